@@ -170,7 +170,9 @@ def lookup(wanted: DataFrame, directory: DataFrame, payloads: bool = False) -> D
     salt = F.pmod(F.xxhash64("key", "id"), F.lit(SALTS)).cast("int")
     asked = asked.select("part", salt.alias("salt"), F.lit(1).alias("turn"), "key", "id", F.lit(None).cast("string").alias("file"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"))
     blocks = directory.select("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("turn"), F.col("first_key").alias("key"), F.col("first_id").alias("id"), "file", "offset", "length")
-    stream = blocks.unionByName(asked).repartition("part", "salt").sortWithinPartitions("part", "salt", "turn", "key", "id")
+    # A set number of tasks: keys are short and the records that they stand for are not.
+    tasks = max(1, min(len(names) * SALTS, 20_000))
+    stream = blocks.unionByName(asked).repartition(tasks, "part", "salt").sortWithinPartitions("part", "salt", "turn", "key", "id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, files, now, heads, places, block_at, lines = None, {}, None, [], [], None, []

@@ -92,10 +92,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(d)), batch.column(1).slice(i, j - i).take(pa.array(d)), pa.array((i0 - w.at[d]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(a)), pa.array(signed(c))], names=["doc_id", "row", "i", "n", "a", "c"])
 
     seen = rows.where("doc_id IS NOT NULL").select("doc_id", "row", "body").mapInArrow(find, "doc_id long, row long, i int, n int, a long, c long")
-    shared = seen.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("low < high").select("a", (F.col("c0") != F.col("c1")).alias("several"))
+    # Read from the shared folder, so that its side of the join is dealt anew and the partition of a hot anchor can be split.
+    shared = cut(seen.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("low < high").select("a", (F.col("c0") != F.col("c1")).alias("several")))
     # Joined, a table of the occurrences of shared anchors only.
     met = cut(seen.join(shared, "a"))
-    least = met.groupBy("a", "c").agg(F.min("doc_id").alias("low"))
+    least = cut(met.groupBy("a", "c").agg(F.min("doc_id").alias("low")))
     # An occurrence is a repeat as a whole, or stands first with its context and may still be one in part.
     marks = met.join(least, ["a", "c"]).where("low < doc_id OR several").select("doc_id", "row", F.struct("i", "n", "a", (F.col("low") < F.col("doc_id")).alias("whole")).alias("mark"))
     marks = marks.groupBy("doc_id", "row").agg(F.collect_set("mark").alias("marks"))
@@ -128,7 +129,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(at), pa.int64()), pa.array([row] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(np.repeat(np.array(a, np.int64), n)), pa.array(signed(g[at]))], names=["doc_id", "row", "i", "a", "w"])
 
     windows = open_rows.select("doc_id", "row", "packed", "i", "n", "a").mapInArrow(extend, "doc_id long, row long, i int, a long, w long")
-    first = windows.groupBy("a", "w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "w", "low")
+    first = cut(windows.groupBy("a", "w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "w", "low"))
     more = windows.join(first, ["a", "w"]).where("low < doc_id").groupBy("doc_id", "row").agg(F.collect_set("i").alias("windows"))
 
     def close(batches):

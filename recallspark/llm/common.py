@@ -40,6 +40,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch. Texts are long: the default of 10,000 rows takes tens of MB in the JVM and again in Python.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of BATCH_ROWS rows from now on, unless the session sets fewer."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, BATCH_ROWS)
+    return df
+
+
 #: A table of at most so many rows, of a few numbers or short strings each, may be broadcast.
 SMALL_ROWS = 200_000
 

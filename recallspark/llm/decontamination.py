@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, Words, chunks, mix, signed, text_bytes
+from .common import NOT_ALNUM, chunks, mix, short_batches, signed, text_bytes, Words
 
 #: Fixed masks; 1 reads a token. Each reads eight of its tokens.
 MASKS = ("11101100101011", "1101010011101101", "11111111")
@@ -128,7 +128,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("body")).distinct()
     size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     passes = max(1, -(-size // SLICE_BYTES))
-    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
+    rows = short_batches(docs).where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     out = None
     for k in range(passes):
         own = [(r[0], bytes(r[1])) for r in items.where(F.pmod(F.xxhash64("body"), F.lit(passes)) == k).collect()]

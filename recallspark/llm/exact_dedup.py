@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import short_batches, text_bytes
 
 #: Bytes of text that a task's first trie holds before it spills a subtree.
 TRIE_BYTES = 32 << 20
@@ -150,7 +150,7 @@ def owners(docs: DataFrame, keep: str = "smallest", trie_bytes: int = TRIE_BYTES
             yield from _rows(ready, False)
         yield from _rows(list(trie.items()), False)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
+    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     kind = "length long, digest binary, body binary, owner long, n long"
     parts = rows.mapInArrow(first, kind).repartition("length", "digest").sortWithinPartitions("length", "digest")
     found = parts.mapInArrow(second, kind).select("length", "digest", "owner", "n")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, text_bytes
+from .common import chunks, cut, short_batches, text_bytes
 
 HIDDEN, PIECE, WARM = 8, 64, 8
 #: Bound of the training sample: so many labelled texts a language, of which so many bytes each.
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, learn: Column | None = None) -> DataFrame:
                 scores = np.where(letters, scores, 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
+    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     return rows.mapInArrow(work, "doc_id long, lang_pred string, score double")
 
 

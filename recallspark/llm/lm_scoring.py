@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, signed, text_bytes
+from .common import chunks, cut, short_batches, signed, text_bytes, Words
 
 DEPTH = 2
 #: Words whose counts are broadcast at most.
@@ -187,7 +187,7 @@ def score(docs: DataFrame, learn: Column | None = None, hot: int = HOT) -> DataF
     Learns from rows where learn holds (learned() by default). Text is lower-cased in A-Z; null is empty: one token, the end, and score 0. With nothing
     to learn from, N and V are 0 and every byte has probability 1/256.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"), (learned() if learn is None else learn).alias("learned"))
+    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"), (learned() if learn is None else learn).alias("learned"))
     counts = _counted(rows.where("learned").select("doc_id", "body"))
     words = counts.where("kind = 0")
     grams_ = counts.where("kind = 1").select("key", "n").toArrow()  # 2**24 rows at most

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, mix, signed, text_bytes
+from .common import chunks, cut, mix, short_batches, signed, text_bytes, Words
 from .components import components
 
 BANDS, ROWS = 20, 4
@@ -209,7 +209,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     100 * |intersection| >= percent * |union|; component_id is the smallest doc_id reachable over links. Documents without words are
     linked with nothing; rows with null doc_id keep component_id null and link nothing.
     """
-    sig = cut(_signed(docs, k, bands, rows))
+    sig = cut(_signed(short_batches(docs), k, bands, rows))
     found = sig.where("n > 0 AND doc_id IS NOT NULL")
     classes = cut(found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     at = classes.select("rep", "n", F.explode("bands").alias("band"))

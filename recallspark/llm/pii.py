@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import short_batches, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -217,7 +217,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 out.append([{"kind": k, "start": a, "end": b, "added": new} for (k, a, b), new in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _SPANS)], names=["doc_id", "spans"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
+    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     return rows.mapInArrow(work, "doc_id long, spans array<struct<kind:string,start:long,end:long,added:boolean>>")
 
 

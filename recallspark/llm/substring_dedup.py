@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, mix, powers, signed, text_bytes
+from .common import chunks, cut, mix, powers, short_batches, signed, text_bytes, Words
 
 LENGTH, SEED = 50, 25
 
@@ -82,7 +82,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     whose sequence also starts in a document with a smaller doc_id, judged on the input. Rows with null doc_id lose nothing and cost others nothing;
     of rows with the same doc_id none is before the other.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).withColumn("row", F.xxhash64("body"))
+    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).withColumn("row", F.xxhash64("body"))
 
     def find(batches):
         for batch in batches:
@@ -101,22 +101,28 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     marks = met.join(least, ["a", "c"]).where("low < doc_id OR several").select("doc_id", "row", F.struct("i", "n", "a", (F.col("low") < F.col("doc_id")).alias("whole")).alias("mark"))
     marks = marks.groupBy("doc_id", "row").agg(F.collect_set("mark").alias("marks"))
 
+    def pack(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([packer.compress(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "row", "packed"])
+
     def settle(batches):
-        pack = zstandard.ZstdCompressor(level=1)
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc_id, row, body, marks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for doc_id, row, packed, marks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 ranges = [(m["i"], m["i"] + m["n"] - 1 + length) for m in marks or () if m["whole"]]
                 if marks and len(ranges) < len(marks):
                     part = [m for m in marks if not m["whole"]]
-                    out.append((doc_id, row, None, None, None, [{"first": a, "end": b} for a, b in ranges], pack.compress(body), [m["i"] for m in part], [m["n"] for m in part], [m["a"] for m in part]))
+                    out.append((doc_id, row, None, None, None, [{"first": a, "end": b} for a, b in ranges], packed, [m["i"] for m in part], [m["n"] for m in part], [m["a"] for m in part]))
                 else:
-                    out.append((doc_id, row, *_finish(body, ranges), None, None, None, None))
+                    out.append((doc_id, row, *_finish(unpack.decompress(packed), ranges), None, None, None, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), _RANGES, pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], names=["doc_id", "row", "n_words", "n_removed", "kept_sha256", "repeats", "packed", "i", "n", "a"])
 
     kind = "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<first:long,end:long>>, packed binary, i array<int>, n array<int>, a array<long>"
-    settled = cut(rows.join(marks, ["doc_id", "row"], "left").select("doc_id", "row", "body", "marks").mapInArrow(settle, kind))
+    packed = rows.select("doc_id", "row", "body").mapInArrow(pack, "doc_id long, row long, packed binary")
+    settled = cut(packed.join(marks, ["doc_id", "row"], "left").select("doc_id", "row", "packed", "marks").mapInArrow(settle, kind))
     open_rows = settled.where("packed IS NOT NULL")
 
     def extend(batches):

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hinted, shared_dir
+from .common import cut, hinted, shared_dir, short_batches
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_PAYLOAD = 100
@@ -81,7 +81,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     A file has a name of its own for each attempt of a task; only those of finished tasks are in the result, so a repeated task does no harm.
     """
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"").cast("binary")).alias("body"))
+    p = short_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"").cast("binary")).alias("body"))
     p = p.withColumn("digest", F.sha2("body", 256))
     same = p.where(F.octet_length("body") >= LEAST_PAYLOAD).select("page_id", F.unhex("digest").alias("d"))
     groups = same.groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")

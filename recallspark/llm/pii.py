@@ -3,7 +3,7 @@
 Base patterns find plain e-mail addresses, ip addresses, card and phone numbers. The method then runs transducers over the places
 that look disguised: look-alike letters and digits and invisible characters become plain ones, spelled digits become digits,
 and at / dot disguises become signs. Each output character keeps the source characters that it stands for, so that what the patterns find in
-the normalised text maps back to a span of the source. A found span that overlaps a plain one of its kind is left out.
+the normalised text maps back to a span of the source. A found span within a plain one of its kind is left out.
 """
 
 from __future__ import annotations
@@ -172,7 +172,7 @@ def _numbers(t: Tape) -> Tape:
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans of disguised identifiers that overlap no base span of their kind."""
+    """Spans of disguised identifiers that are in no base span of their kind."""
     strange = not text.isascii() and _STRANGE_OR_SOFT.search(text)
     signs, numbers = _TRIGGER.search(text), _FIRST_RUN.search(text)
     if not (strange or signs or numbers):
@@ -190,7 +190,7 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     out = []
     for kind, a, b in base_spans(t.text):
         a, b = t.source(a, b)
-        if not any(a < y and x < b for x, y in taken[kind]):
+        if not any(x <= a and b <= y for x, y in taken[kind]):
             out.append((kind, a, b))
     return out
 

@@ -51,7 +51,7 @@ def bm25(chunks: DataFrame, words: list[str], project: str | None = None, k: int
     """
     words = [w for w in words if len(w) >= 3]
     if not words:
-        return chunks.select("id", F.lit("").alias("keyword"), F.lit(0.0).alias("rank"), F.lit(0).alias("place")).limit(0)
+        return chunks.select("id", F.lit(0).alias("no"), F.lit("").alias("keyword"), F.lit(0.0).alias("rank"), F.lit(0).alias("place")).limit(0)
     t = F.lower("content")
     count = [F.regexp_count(t, F.lit("(?=" + re.escape(w.lower()) + ")")).cast("double").alias(f"f{i}") for i, w in enumerate(words)]
     seen = chunks.select("id", *([F.col("project")] if "project" in chunks.columns else []), F.greatest(F.length("content") - 2, F.lit(0)).cast("double").alias("size"), *count)

@@ -42,11 +42,19 @@ class MemoryEngine:
     def _numbered(self, new: DataFrame) -> DataFrame:
         """The columns of chunks for new rows; ids are hashes of session and external_id or index, so that no counter is shared."""
         have = set(new.columns)
-        key = F.coalesce(F.col("external_id") if "external_id" in have else F.lit(None).cast("string"), F.concat_ws("\0", "session", F.col("chunk_index").cast("string")))
+        column = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
+        key = F.coalesce(column("external_id"), F.concat_ws("\0", "session", column("chunk_index")))
         empty = self.spark.createDataFrame([], CHUNKS)
         out = new.withColumn("id", F.abs(F.xxhash64("session", key)))
-        meta = "struct<filePaths:array<string>,toolNames:array<string>,errorMessages:array<string>>"
-        return out.select(*[(F.col(f.name).cast(f.dataType) if f.name in out.columns and f.name != "metadata" else F.col("metadata").cast(meta) if f.name == "metadata" and "metadata" in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in empty.schema])
+        # The metadata of a log record has more fields than a chunk's.
+        meta = F.struct(*[F.coalesce(F.col(f"metadata.{k}"), F.array().cast("array<string>")).alias(k) for k in ("filePaths", "toolNames", "errorMessages")])
+
+        def value(f):
+            if f.name not in out.columns:
+                return F.lit(None)
+            return meta if f.name == "metadata" else F.col(f.name)
+
+        return out.select(*[value(f).cast(f.dataType).alias(f.name) for f in empty.schema])
 
     # --- commands
 

@@ -1,0 +1,73 @@
+import json
+from datetime import datetime
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from recallspark.plans.engine import MemoryEngine
+from recallspark.streaming import checkpoints
+from tests.test_operators import frame, turn
+
+NOW = datetime(2026, 3, 1)
+
+
+def test_commands(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    v1 = [json.dumps({"v": 1, "type": "chunk", "id": f"x{i}", "sessionId": f"s{i % 3}", "projectPath": "/p/one", "chunkIndex": i, "content": f"the parser failed with error {i}" if i % 2 else f"all about gardens {i}", "role": "human", "metadata": None, "tokenCount": 5, "createdAt": f"2026-01-{i + 1:02d}T00:00:00Z"}) for i in range(20)]
+    (log / "2026-01.jsonl").write_text("\n".join([*v1, *frame("a", [turn("a", "k1")])]) + "\n")
+    e = MemoryEngine(spark, str(tmp_path / "store"))
+    assert e.rebuild(str(log), dry_run=True).count() == 21 and e.chunks().count() == 0
+    e.rebuild(str(log))
+    assert e.chunks().count() == 21 and e.stats().first()["sessions"] == 4
+    assert e.search("parser error", NOW).first()["content"].startswith("the parser")
+    assert e.recall("parser error", NOW, "/p/one").first()["text"].startswith("[Mem]\n[2026-01-")
+    assert e.inject("/p/one", 2).first()["text"].count("s=") == 2
+    assert e.sessions().count() == 4 and e.export().count() == 4
+    e.prune(NOW, 50)
+    assert e.chunks().count() < 21
+    lost = e.self_heal(str(log), 100).count()
+    assert lost > 0 and e.chunks().where("external_id LIKE 'x%'").count() == 20
+    first = e.chunks().first()["id"]
+    e.edit(first, "edited")
+    assert e.chunks().where(F.col("content") == "edited").count() == 1
+    e.delete(F.col("session") == "s0")
+    assert e.chunks().where("session = 's0'").count() == 0
+    e.migrate(str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).count() == e.chunks().count()
+
+
+def test_damaged_log_stops_a_rebuild(spark, tmp_path):
+    (tmp_path / "l.jsonl").write_text("\n".join(frame("a", [turn("a", "k")], digest="x")) + "\n")
+    with pytest.raises(ValueError):
+        MemoryEngine(spark, str(tmp_path / "store")).rebuild(str(tmp_path / "l.jsonl"))
+
+
+def test_stream_decides_as_the_rules_say(spark, tmp_path):
+    kind = "session string, turn_key string, history_epoch int, revision int, content_hash string, generation long, offset long"
+    rows = [("s", "k", 0, 0, "a", 0, 1), ("s", "k", 0, 0, "a", 0, 1), ("s", "k", 0, 0, "b", 0, 1), ("s", "k", 0, 1, "b", 0, 2), ("s", "k", 0, 0, "a", 0, 1), ("t", "k", 0, 0, "a", 0, 1)]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], kind).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = checkpoints.decide(stream).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted(r["status"] for r in spark.table("decided").collect())
+    head, want = {}, []
+    for s, k, e, v, h, g, o in rows:
+        new = (e, v, h, g, o)
+        status = checkpoints.status_of(new, head.get((s, k)))
+        want.append(status)
+        if status == "inserted":
+            head[s, k] = new
+    assert got == sorted(want) == sorted(["inserted", "already_current", "conflict", "inserted", "stale", "inserted"])
+
+
+def test_append_is_idempotent(spark, tmp_path):
+    commit = checkpoints.commit_batch(spark, str(tmp_path / "log"))
+    batch = lambda *rows: spark.createDataFrame(pd.DataFrame(rows, columns=["tx_id", "digest", "line"]))
+    commit(batch(("a", "1", "x"), ("a", "1", "x")), 0)
+    commit(batch(("a", "1", "x"), ("b", "2", "y")), 1)
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    with pytest.raises(ValueError):
+        commit(batch(("a", "9", "z")), 2)

@@ -2,32 +2,39 @@
 
 A byte is eight binary decisions, each at a node of the byte's code tree. For each node, the contexts of 0 to DEPTH bytes
 before form a tree; at every depth the Krichevsky-Trofimov estimate of that context is weighted against the mixture of the
-contexts one byte longer. Weights come from the training counts of (DEPTH + 1)-grams of bytes, which Spark sums over the whole corpus; a
-table of log-probabilities for (context, byte) then scores texts, one look-up a byte. With DEPTH 2, counts have at
-most 2**24 rows and the table 2**16 + 257 rows of 256 numbers, whatever the corpus.
+contexts one byte longer. Weights come from the training counts of (DEPTH + 1)-grams of bytes.
 
-The base needs a count for every word. The HOT words with the largest counts, a bounded table, are broadcast; counts of the other
-words, any number, are joined by shuffle to the rare words of each document. Both together are all words.
+Spark counts the grams of all documents, with how often training text has them. The trees below a context of two bytes are
+independent of each other, so grams are grouped by it, and a task mixes the depths from DEPTH to 2. A first sweep sums what the
+trees say for the contexts of 0 and 1 bytes, 65,280 rows; with those, a second sweep gives every gram the log-probability of its last byte.
+A document's score is the sum over its grams. The HOT grams with the largest counts, a bounded table, are broadcast; the others, any number, are
+joined by shuffle to the rare grams of each document, and so are words for the base. All tables but the broadcast ones grow with the corpus.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, short_batches, signed, text_bytes, Words
+from .common import chunks, cut, mix_int, short_batches, signed, text_bytes, Words
 
-DEPTH = 2
-#: Words whose counts are broadcast at most.
+DEPTH = 5
+#: Words and grams whose counts are broadcast, at most so many of each.
 HOT = 1 << 20
-#: Bytes of text whose counts leave a task as one batch.
-COUNTED = 8 << 20
+#: Different words or grams that a task holds before their counts leave it.
+HELD = 1 << 20
+#: Grams whose trees a task mixes at once, if they have more than one context of two bytes. A context of two bytes has
+#: 256**(DEPTH - 1) different grams at most, whatever the corpus, and some 160 bytes of memory are taken for each.
+BLOCK = 1 << 17
 #: Hash that stands for the end of a text.
 END = np.uint64(0xE0D5C3A1977B5F2D)
+WORDS, GRAMS = 0, 1
 
 
 def learned() -> Column:
@@ -39,19 +46,68 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """byte + 256 * byte before + 65536 * byte before that, for each byte of the texts; before a text there are zeros."""
-    x = data.astype(np.uint32)
-    before, earlier = np.zeros_like(x), np.zeros_like(x)
-    before[1:] = x[:-1]
-    earlier[2:] = x[:-2]
+def grams(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """byte + 256 * byte before + 65536 * byte before that and so on, for each byte of the texts; before a text there are zeros."""
+    out = data.astype(np.int64)
     begin = offsets[:-1][np.diff(offsets) > 0]
-    before[begin] = 0
-    earlier[begin] = 0
-    second = begin + 1
-    second = second[second < len(x)]
-    earlier[second] = 0
-    return x | before << np.uint32(8) | earlier << np.uint32(16)
+    for j in range(1, depth + 1):
+        before = np.zeros(len(data), np.int64)
+        before[j:] = data[:-j]
+        for t in range(j):
+            # In a shorter text, this is a byte of the next one that has fewer than j before it too.
+            at = begin + t
+            before[at[at < len(data)]] = 0
+        out |= before << (8 * j)
+    return out
+
+
+# --- counting
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    keys, n, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(n[order], at) if len(at) else n, np.add.reduceat(m[order], at) if len(at) else m
+
+
+def _counted(rows: DataFrame, depth: int) -> DataFrame:
+    """rows (body, learned) -> kind, key, n (in text to learn from), m (in all): words to learn from with one END a text, and the grams of all texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {WORDS: [], GRAMS: []}
+
+        def leave(kind: int) -> pa.RecordBatch:
+            keys, n, m = _summed(held[kind])
+            held[kind] = []
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n), pa.array(m)], names=["kind", "key", "n", "m"])
+
+        def add(kind: int, keys: np.ndarray, n: np.ndarray, own: bool) -> bool:
+            held[kind].append((keys, n if own else np.zeros_like(n), n))
+            if sum(len(x[0]) for x in held[kind]) > HELD:
+                held[kind] = [_summed(held[kind])]
+            return len(held[kind]) == 1 and len(held[kind][0][0]) > HELD // 2
+
+        for batch in batches:
+            for own in (True, False):
+                texts = batch.column(0).filter(pc.equal(batch.column(1), own))
+                for i, j in chunks(texts):
+                    w = Words(texts.slice(i, j - i))
+                    if add(GRAMS, *np.unique(grams(_lower(w.data), w.offsets, depth), return_counts=True), own):
+                        yield leave(GRAMS)
+                    if own:
+                        keys, n = np.unique(signed(w.hash), return_counts=True)
+                        if add(WORDS, np.append(keys, signed(np.array([END]))), np.append(n, j - i), True):
+                            yield leave(WORDS)
+        for kind in (WORDS, GRAMS):
+            if held[kind]:
+                yield leave(kind)
+
+    return cut(rows.mapInArrow(work, "kind int, key long, n long, m long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+
+
+# --- the tree
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -64,166 +120,223 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - np.log(product)
 
 
-def _nodes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts, 256) counts of bytes -> zeros and ones at the 255 nodes of the code tree, root first."""
-    zeros, ones, level = [], [], counts
-    while level.shape[1] > 1:
-        zeros.append(level[:, 0::2])
-        ones.append(level[:, 1::2])
-        level = level[:, 0::2] + level[:, 1::2]
-    return np.concatenate(zeros[::-1], axis=1), np.concatenate(ones[::-1], axis=1)
-
-
 def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov block probability."""
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - 2 * math.lgamma(0.5) - _log_gamma(zeros + ones + 1.0)
 
 
-def _to_bytes(one: np.ndarray) -> np.ndarray:
-    """Probabilities of a 1 at the 255 nodes -> log10 probabilities of the 256 bytes."""
-    p = np.zeros((len(one), 1))
-    for depth in range(8):
-        q = one[:, (1 << depth) - 1 : (2 << depth) - 1]
-        p = np.stack([p + np.log10(1 - q), p + np.log10(q)], axis=2).reshape(len(one), -1)
-    return p
-
-
-class ContextTree:
-    """log10 P(byte | two bytes before) of the weighted mixture. row[context] is a row of table."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
-        """keys: grams() values; n: their counts."""
-        context, byte = keys >> 8, keys & 255
-        known = np.unique(context)
-        counts = np.zeros((len(known), 256))
-        np.add.at(counts, (np.searchsorted(known, context), byte), n)
-        last = known & 255
-        # Depth 2, then sums over the earlier byte (depth 1) and over both (depth 0).
-        lasts = np.unique(last)
-        ones_of, half = {}, np.full((1, 255), 0.5)
-        below1 = np.zeros((len(lasts), 255))
-        counts1 = np.zeros((len(lasts), 256))
-        for i, c in enumerate(lasts):
-            own = counts[last == c]
-            counts1[i] = own.sum(0)
-            z, o = _nodes(own)
-            below1[i] = _kt(z, o).sum(0)
-            ones_of[c] = (o + 0.5) / (z + o + 1)
-        z1, o1 = _nodes(counts1)
-        kt1 = _kt(z1, o1)
-        weighted1 = np.logaddexp(kt1, below1) - math.log(2)
-        z0, o0 = _nodes(counts1.sum(0, keepdims=True))
-        kt0, below0 = _kt(z0, o0), weighted1.sum(0, keepdims=True)
-        share = lambda kt, below: 0.5 * (1 + np.tanh(0.5 * np.clip(kt - below, -700, 700)))
-        w1, w0 = share(kt1, below1), share(kt0, below0)
-        p1, p0 = (o1 + 0.5) / (z1 + o1 + 1), (o0 + 0.5) / (z0 + o0 + 1)
-        self.row = np.zeros(1 << 16, np.int32)
-        rows, at = [_to_bytes(w0 * p0 + (1 - w0) * half)], 1
-        for i, c in enumerate(lasts):
-            p2 = np.concatenate([half, ones_of[c]])
-            rows.append(_to_bytes(w0 * p0 + (1 - w0) * (w1[i] * p1[i] + (1 - w1[i]) * p2)))
-            self.row[(np.arange(256) << 8) | c] = at
-            own = known[last == c]
-            self.row[own] = at + 1 + np.arange(len(own))
-            at += 1 + len(own)
-        self.table = np.concatenate(rows).astype(np.float32)
-
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
-        out = np.zeros(len(offsets) - 1)
-        if not len(data):
-            return out
-        g = grams(data, offsets)
-        each = self.table[self.row[g >> np.uint32(8)], g & np.uint32(255)].astype(np.float64)
-        full = np.flatnonzero(np.diff(offsets) > 0)
-        out[full] = np.add.reduceat(each, offsets[full])
-        return out
-
-
-def _counted(rows: DataFrame) -> DataFrame:
-    """kind (0: word, 1: gram), key, n over all rows."""
-
-    def work(batches):
-        for batch in batches:
-            for i, j in chunks(batch.column(1), COUNTED):
-                parts = []
-                docs = 0
-                for a, b in chunks(batch.column(1).slice(i, j - i)):
-                    w = Words(batch.column(1).slice(i + a, b - a))
-                    parts.append((w.hash, grams(_lower(w.data), w.offsets)))
-                    docs += b - a
-                for kind in (0, 1):
-                    keys, n = np.unique(np.concatenate([p[kind] for p in parts]), return_counts=True)
-                    keys = signed(keys.astype(np.uint64))
-                    if kind == 0:
-                        keys, n = np.append(keys, signed(np.array([END]))), np.append(n, docs)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
-
-    return cut(rows.mapInArrow(work, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-
-
-def _hot(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The words of the largest counts, at most so many, and the least count that they all have; words of equal count stay together."""
-    by = words.groupBy("n").agg(F.count("*").alias("w"))
-    total = words.count()
-    if total <= most:
-        least = 0
-    else:
-        # The largest counts belong to few words each; a few thousand rows settle where the bound is met.
+def _share(kt: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Weight of a context's own estimate against the mixture of longer ones."""
+    return 0.5 * (1 + np.tanh(0.5 * np.clip(kt - below, -700, 700)))
+
+
+def _half(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.logaddexp(x, y) - math.log(2)
+
+
+class Level:
+    """The nodes of one level of the code tree in all contexts of 2 to depth bytes: rows of depth 2 with what goes up, and the estimates."""
+
+    def __init__(self, k: int, rows: dict, counts: dict, up: dict, depth: int):
+        self.k, self.p, self.w, self.parent = k, {}, {}, {}
+        weighted = above = None
+        for d in range(depth, 1, -1):
+            prefix = rows[d] >> (8 - k)
+            at = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+            own = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(prefix))))
+            total = np.add.reduceat(counts[d], at)
+            ones = np.add.reduceat(counts[d] * (rows[d] >> (7 - k) & 1), at)
+            kt = _kt(total - ones, ones)
+            if d == depth:
+                self.of, weighted = own, kt
+            else:
+                self.parent[d] = own[up[d][above]]
+                below = np.bincount(self.parent[d], weighted, len(at))
+                self.w[d], weighted = _share(kt, below), _half(kt, below)
+            self.p[d] = (ones + 0.5) / (total + 1)
+            above = at
+        top = rows[2][above]
+        self.last, self.node = top >> 8 & 255, 1 << k | (top & 255) >> (8 - k)
+        self.zeros, self.ones, self.weighted = total - ones, ones, weighted
+
+    def one(self, own: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarray:
+        """Probability of a 1 at each node of the deepest contexts, own + rest * mixture from depth 2 on."""
+        q, at = self.p[depth], np.arange(len(self.p[depth]))
+        for d in range(depth - 1, 1, -1):
+            at = self.parent[d][at]
+            q = self.w[d][at] * self.p[d][at] + (1 - self.w[d][at]) * q
+        return own[self.last[at], self.node[at]] + rest[self.last[at], self.node[at]] * q
+
+
+def levels(keys: np.ndarray, n: np.ndarray, depth: int) -> Iterator[Level]:
+    """The eight levels of whole trees below contexts of two bytes; keys: different grams, sorted; n: their counts."""
+    rows, counts, up = {depth: keys}, {depth: n.astype(np.float64)}, {}
+    for d in range(depth - 1, 1, -1):
+        rows[d], up[d] = np.unique(rows[d + 1] & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        counts[d] = np.bincount(up[d], counts[d + 1])
+    for k in range(8):
+        yield Level(k, rows, counts, up, depth)
+
+
+def top_of(last: np.ndarray, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of depth-2 nodes by last byte and node -> for last byte and node, (own, rest): P(1) = own + rest * mixture from depth 2 on."""
+    z1, o1, below1 = (np.zeros((256, 256)) for _ in range(3))
+    for into, x in ((z1, zeros), (o1, ones), (below1, weighted)):
+        np.add.at(into, (last, node), x)
+    kt1, p1 = _kt(z1, o1), (o1 + 0.5) / (z1 + o1 + 1)
+    z0, o0, below0 = z1.sum(0), o1.sum(0), _half(kt1, below1).sum(0)
+    w0, w1 = _share(_kt(z0, o0), below0), _share(kt1, below1)
+    return w0 * (o0 + 0.5) / (z0 + o0 + 1) + (1 - w0) * w1 * p1, (1 - w0) * (1 - w1)
+
+
+def gram_scores(keys: np.ndarray, n: np.ndarray, depth: int, top: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 P(byte | bytes before) of each gram."""
+    out = np.zeros(len(keys))
+    for level in levels(keys, n, depth):
+        one = level.one(*top, depth)[level.of]
+        out += np.log10(np.where(keys >> (7 - level.k) & 1, one, 1 - one))
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys (sorted), n and m of whole trees below contexts of two bytes, from rows in order of those contexts."""
+    held, size = [], 0
+    for b in batches:
+        held.append(tuple(b.column(c).to_numpy() for c in ("key", "n", "m")))
+        size += b.num_rows
+        if size < BLOCK:
+            continue
+        keys, n, m = (np.concatenate(x) for x in zip(*held, strict=True))
+        context = keys >> 8 & 0xFFFF
+        done = int(np.searchsorted(context, context[-1]))
+        if done:
+            order = np.argsort(keys[:done])
+            yield keys[:done][order], n[:done][order], m[:done][order]
+        held, size = [(keys[done:], n[done:], m[done:])], len(keys) - done
+        if not done:
+            held, size = [(keys, n, m)], 0  # One context is larger than a block: wait for as much again.
+    if held:
+        keys, n, m = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(keys)
+        if len(keys):
+            yield keys[order], n[order], m[order]
+
+
+def _tree(grams_: DataFrame, depth: int) -> DataFrame:
+    """grams_ (key, n, m) -> key, m, value: log10 P(byte | bytes before) of each."""
+    context = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+    grouped = cut(grams_.select("key", "n", "m", context.alias("context")).repartition("context").sortWithinPartitions("context").drop("context"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n, _ in _blocks(batches):
+            for level in levels(keys, n, depth):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (level.last, level.node, level.zeros, level.ones, level.weighted)], names=["last", "node", "zeros", "ones", "weighted"])
+
+    found = grouped.mapInArrow(sums, "last long, node long, zeros double, ones double, weighted double").groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).toArrow()  # 65,280 rows at most
+    top = grams_.sparkSession.sparkContext.broadcast(top_of(*(found.column(c).to_numpy() for c in ("last", "node", "zeros", "ones", "weighted"))))
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n, m in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(m), pa.array(gram_scores(keys, n, depth, top.value))], names=["key", "m", "value"])
+
+    return cut(grouped.mapInArrow(values, "key long, m long, value double"))
+
+
+# --- scoring
+
+
+class Hot:
+    """key -> value by a table of slots; a slot leads to the most frequent of its keys, the others are searched for."""
+
+    def __init__(self, keys: np.ndarray, m: np.ndarray, value: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.value = keys[order], value[order]
+        self.shift = np.uint64(63 - max(8, len(keys).bit_length()))
+        self.slot = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        rising = np.argsort(m[order], kind="stable")
+        self.slot[self._at(self.keys[rising])] = rising
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(mix_int(1) | 1)) >> self.shift
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, 0 for unknown keys, and whether they are known."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = self.slot[self._at(keys)]
+        known = self.keys[at] == keys
+        miss = np.flatnonzero(~known)
+        if len(miss):
+            other = np.minimum(np.searchsorted(self.keys, keys[miss]), len(self.keys) - 1)
+            at[miss], known[miss] = other, self.keys[other] == keys[miss]
+        return np.where(known, self.value[at], 0.0), known
+
+
+def _hot(found: DataFrame, most: int) -> tuple[Hot, int]:
+    """found (key, m, value): the rows with the largest m, at most so many, and the least m that they all have; rows of equal m stay together."""
+    by = found.groupBy("m").agg(F.count("*").alias("w"))
+    least = 0
+    if found.count() > most:
+        # The largest counts belong to few rows each; a few thousand rows settle where the bound is met.
         got, least = 0, 1 << 62
-        for r in by.orderBy(F.desc("n")).limit(most).toLocalIterator():
+        for r in by.orderBy(F.desc("m")).limit(most).toLocalIterator():
             if got + r["w"] > most:
                 break
-            got, least = got + r["w"], r["n"]
-    t = words.where(F.col("n") >= least).select("key", "n").toArrow()
-    keys, n = t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order], least
+            got, least = got + r["w"], r["m"]
+    t = found.where(F.col("m") >= least).select("key", "m", "value").toArrow()
+    return Hot(*(t.column(c).to_numpy() for c in ("key", "m", "value"))), least
+
+
+def _lists(keys: np.ndarray, doc: np.ndarray, n: int) -> pa.ListArray:
+    """The keys of each of n texts; doc is in order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), pa.array(keys))
 
 
-def score(docs: DataFrame, learn: Column | None = None, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, learn: Column | None = None, hot: int = HOT, depth: int = DEPTH) -> DataFrame:
     """docs (doc_id, text) -> doc_id, learned, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, a row for every row.
 
     Learns from rows where learn holds (learned() by default). Text is lower-cased in A-Z; null is empty: one token, the end, and score 0. With nothing
-    to learn from, N and V are 0 and every byte has probability 1/256.
+    to learn from, N and V are 0 and every byte has probability 1/256. depth is 3 at least.
     """
-    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"), (learned() if learn is None else learn).alias("learned"))
-    counts = _counted(rows.where("learned").select("doc_id", "body"))
-    words = counts.where("kind = 0")
-    grams_ = counts.where("kind = 1").select("key", "n").toArrow()  # 2**24 rows at most
-    tree = ContextTree(grams_.column("key").to_numpy(), grams_.column("n").to_numpy())
+    chosen = learned() if learn is None else F.coalesce(learn, F.lit(False))
+    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"), chosen.alias("learned"))
+    counts = _counted(rows.select("body", "learned"), depth)
+    gain = F.log10(F.col("n") + 0.5) - F.lit(math.log10(0.5))
+    words = counts.where(F.col("kind") == WORDS).select("key", "m", "n", gain.alias("value"))
+    trees = _tree(counts.where(F.col("kind") == GRAMS), depth)
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    keys, n, least = _hot(words, hot)
-    # The end of a text is looked up like a word; were it not hot, it would be joined like one.
-    model = docs.sparkSession.sparkContext.broadcast((tree, keys, np.log10(n + 0.5), tokens, distinct))
+    (hot_words, least_word), (hot_grams, least_gram) = _hot(words, hot), _hot(trees, hot)
+    model = docs.sparkSession.sparkContext.broadcast((hot_words, hot_grams, tokens, distinct))
 
-    def work(batches):
-        tree, keys, logs, tokens, distinct = model.value
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_words, hot_grams, tokens, distinct = model.value
         unseen, scale = math.log10(0.5), math.log10(tokens + 0.5 * (distinct + 1))
         for batch in batches:
             for i, j in chunks(batch.column(1)):
                 w = Words(batch.column(1).slice(i, j - i))
-                count = np.diff(w.at)
-                doc = np.concatenate([w.doc(), np.arange(j - i)])
-                h = np.concatenate([w.hash, np.full(j - i, END)])
-                own, back = np.unique(h, return_inverse=True)
-                at = np.searchsorted(keys, own)
-                at[at == len(keys)] = 0
-                known = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-                value = np.where(known, logs[at] if len(keys) else 0.0, unseen)
-                base = np.bincount(doc, value[back], j - i) - (count + 1) * scale
-                seen = np.bincount(doc, known[back].astype(np.float64), j - i).astype(np.int64)
-                rare = ~known[back]
-                order = np.argsort(doc[rare], kind="stable")
-                left = signed(h[rare][order])
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=j - i))]).astype(np.int32)
-                data = _lower(w.data)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(w.offsets)), pa.array((count + 1).astype(np.int64)), pa.array(seen), pa.array(base), pa.array(tree.scores(data, w.offsets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(left))], names=["doc_id", "learned", "n_bytes", "n_tokens", "n_known", "base_score", "score", "rare"])
-
-    scored = rows.mapInArrow(work, "doc_id long, learned boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, rare array<long>")
+                count = np.diff(w.at) + 1
+                doc, h = np.concatenate([w.doc(), np.arange(j - i)]), signed(np.concatenate([w.hash, np.full(j - i, END)]))
+                value, known = hot_words.get(h)
+                base = np.bincount(doc, value, j - i) + count * (unseen - scale)
+                seen = np.bincount(doc, known, j - i).astype(np.int64)
+                rare = np.flatnonzero(~known)
+                rare = rare[np.argsort(doc[rare], kind="stable")]
+                words_left = _lists(h[rare], doc[rare], j - i)
+                g = grams(_lower(w.data), w.offsets, depth)
+                size = np.diff(w.offsets)
+                doc = np.repeat(np.arange(j - i), size)
+                value, known = hot_grams.get(g)
+                rare = np.flatnonzero(~known)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(size), pa.array(count.astype(np.int64)), pa.array(seen), pa.array(base), pa.array(np.bincount(doc, value, j - i)), words_left, _lists(g[rare], doc[rare], j - i)], names=["doc_id", "learned", "n_bytes", "n_tokens", "n_known", "base_score", "score", "words_left", "grams_left"])
+
+    scored = rows.mapInArrow(work, "doc_id long, learned boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, words_left array<long>, grams_left array<long>")
     scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
-    rest = words.where(F.col("n") < least).select("key", "n")
-    each = scored.select("row", F.explode("rare").alias("key"))
-    gain = each.join(rest, "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 0.5) - F.lit(math.log10(0.5))).alias("gain"))
-    out = scored.drop("rare").join(gain, "row", "left")
+    left = lambda kind, c: scored.select("row", F.lit(kind).alias("kind"), F.explode(c).alias("key"))
+    rest = lambda kind, found, least: found.where(F.col("m") < least).select(F.lit(kind).alias("kind"), "key", "value")
+    each = left(WORDS, "words_left").unionByName(left(GRAMS, "grams_left"))
+    cold = rest(WORDS, words, least_word).unionByName(rest(GRAMS, trees, least_gram))
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("value"))
+    more = each.join(cold, ["kind", "key"]).groupBy("row").agg(F.count(of(WORDS)).alias("more"), F.sum(of(WORDS)).alias("gain"), F.sum(of(GRAMS)).alias("rest"))
+    out = scored.drop("words_left", "grams_left").join(more, "row", "left")
+    out = out.withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
     return out.select("doc_id", "learned", "n_bytes", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score", F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))

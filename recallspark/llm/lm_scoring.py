@@ -4,9 +4,10 @@ A byte is eight binary decisions, each at a node of the byte's code tree. For ea
 before form a tree; at every depth the Krichevsky-Trofimov estimate of that context is weighted against the mixture of the
 contexts one byte longer. Weights come from the training counts of (DEPTH + 1)-grams of bytes.
 
-Spark counts the grams of all documents, with how often training text has them. The trees below a context of two bytes are
-independent of each other, so grams are grouped by it, and a task mixes the depths from DEPTH to 2. A first sweep sums what the
-trees say for the contexts of 0 and 1 bytes, 65,280 rows; with those, a second sweep gives every gram the log-probability of its last byte.
+Spark counts the grams of all documents, with how often training text has them. The trees below a context of ROOT bytes are
+independent of each other, so grams are grouped by it, and a task mixes the depths from DEPTH to ROOT. A first sweep sums what the
+trees say for each node of the contexts of two bytes, a table of at most 256 * 256 * 255 rows (UTF-8 text has some hundred thousand), which
+the driver mixes with depths 1 and 0; with it, a second sweep gives every gram the log-probability of its last byte.
 A document's score is the sum over its grams. The HOT grams with the largest counts, a bounded table, are broadcast; the others, any number, are
 joined by shuffle to the rare grams of each document, and so are words for the base. All tables but the broadcast ones grow with the corpus.
 """
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 from .common import chunks, cut, mix_int, short_batches, signed, text_bytes, Words
 
 DEPTH = 5
+#: Bytes of the context that grams are grouped by. It has at most 256**(DEPTH - ROOT + 1) different grams.
+ROOT = 3
+ROOTS = (1 << 8 * ROOT) - 1
 #: Words and grams whose counts are broadcast, at most so many of each.
 HOT = 1 << 20
 #: Different words or grams that a task holds before their counts leave it.
 HELD = 1 << 20
-#: Grams whose trees a task mixes at once, if they have more than one context of two bytes. A context of two bytes has
-#: 256**(DEPTH - 1) different grams at most, whatever the corpus, and some 160 bytes of memory are taken for each.
+#: Grams whose trees a task mixes at once, if they have more than one context of ROOT bytes; each takes some 160 bytes of memory.
 BLOCK = 1 << 17
 #: Hash that stands for the end of a text.
 END = np.uint64(0xE0D5C3A1977B5F2D)
@@ -135,12 +138,12 @@ def _half(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Level:
-    """The nodes of one level of the code tree in all contexts of 2 to depth bytes: rows of depth 2 with what goes up, and the estimates."""
+    """The nodes of one level of the code tree in all contexts of ROOT to depth bytes: what goes up from depth ROOT, and the estimates."""
 
     def __init__(self, k: int, rows: dict, counts: dict, up: dict, depth: int):
-        self.k, self.p, self.w, self.parent = k, {}, {}, {}
+        self.k, self.depth, self.p, self.w, self.parent = k, depth, {}, {}, {}
         weighted = above = None
-        for d in range(depth, 1, -1):
+        for d in range(depth, ROOT - 1, -1):
             prefix = rows[d] >> (8 - k)
             at = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
             own = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(prefix))))
@@ -155,51 +158,65 @@ class Level:
                 self.w[d], weighted = _share(kt, below), _half(kt, below)
             self.p[d] = (ones + 0.5) / (total + 1)
             above = at
-        top = rows[2][above]
-        self.last, self.node = top >> 8 & 255, 1 << k | (top & 255) >> (8 - k)
+        root = rows[ROOT][above]
+        #: The node with its last two bytes of context, as in Top.
+        self.place = (root >> 8 & 0xFFFF) << 8 | 1 << k | (root & 255) >> (8 - k)
         self.zeros, self.ones, self.weighted = total - ones, ones, weighted
 
-    def one(self, own: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarray:
-        """Probability of a 1 at each node of the deepest contexts, own + rest * mixture from depth 2 on."""
-        q, at = self.p[depth], np.arange(len(self.p[depth]))
-        for d in range(depth - 1, 1, -1):
+    def one(self, top: Top) -> np.ndarray:
+        """Probability of a 1 at each node of the deepest contexts."""
+        q, at = self.p[self.depth], np.arange(len(self.p[self.depth]))
+        for d in range(self.depth - 1, ROOT - 1, -1):
             at = self.parent[d][at]
             q = self.w[d][at] * self.p[d][at] + (1 - self.w[d][at]) * q
-        return own[self.last[at], self.node[at]] + rest[self.last[at], self.node[at]] * q
+        own, rest = top.at(self.place)
+        return own[at] + rest[at] * q
 
 
 def levels(keys: np.ndarray, n: np.ndarray, depth: int) -> Iterator[Level]:
-    """The eight levels of whole trees below contexts of two bytes; keys: different grams, sorted; n: their counts."""
+    """The eight levels of whole trees below contexts of ROOT bytes; keys: different grams, sorted; n: their counts."""
     rows, counts, up = {depth: keys}, {depth: n.astype(np.float64)}, {}
-    for d in range(depth - 1, 1, -1):
+    for d in range(depth - 1, ROOT - 1, -1):
         rows[d], up[d] = np.unique(rows[d + 1] & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
         counts[d] = np.bincount(up[d], counts[d + 1])
     for k in range(8):
         yield Level(k, rows, counts, up, depth)
 
 
-def top_of(last: np.ndarray, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of depth-2 nodes by last byte and node -> for last byte and node, (own, rest): P(1) = own + rest * mixture from depth 2 on."""
-    z1, o1, below1 = (np.zeros((256, 256)) for _ in range(3))
-    for into, x in ((z1, zeros), (o1, ones), (below1, weighted)):
-        np.add.at(into, (last, node), x)
-    kt1, p1 = _kt(z1, o1), (o1 + 0.5) / (z1 + o1 + 1)
-    z0, o0, below0 = z1.sum(0), o1.sum(0), _half(kt1, below1).sum(0)
-    w0, w1 = _share(_kt(z0, o0), below0), _share(kt1, below1)
-    return w0 * (o0 + 0.5) / (z0 + o0 + 1) + (1 - w0) * w1 * p1, (1 - w0) * (1 - w1)
+class Top:
+    """Depths 0 to 2 mixed: at a node of a two-byte context, P(1) = own + rest * mixture from depth 3 on."""
 
+    def __init__(self, place: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
+        """place: 256 * context + node, each once; below: summed log-probabilities of the mixtures from depth 3 on."""
+        order = np.argsort(place)
+        self.place, z2, o2, below = (x[order] for x in (place, zeros, ones, below))
+        at = (self.place >> 8 & 255, self.place & 255)
+        kt2, p2 = _kt(z2, o2), (o2 + 0.5) / (z2 + o2 + 1)
+        z1, o1, below1 = (np.zeros((256, 256)) for _ in range(3))
+        for into, x in ((z1, z2), (o1, o2), (below1, _half(kt2, below))):
+            np.add.at(into, at, x)
+        kt1, p1 = _kt(z1, o1), (o1 + 0.5) / (z1 + o1 + 1)
+        z0, o0, below0 = z1.sum(0), o1.sum(0), _half(kt1, below1).sum(0)
+        w0, w1, w2 = _share(_kt(z0, o0), below0), _share(kt1, below1), _share(kt2, below)
+        own, rest = w0 * (o0 + 0.5) / (z0 + o0 + 1) + (1 - w0) * w1 * p1, (1 - w0) * (1 - w1)
+        self.own, self.rest = own[at] + rest[at] * w2 * p2, rest[at] * (1 - w2)
 
-def gram_scores(keys: np.ndarray, n: np.ndarray, depth: int, top: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = np.searchsorted(self.place, place)
+        return self.own[found], self.rest[found]
+
+
+def gram_scores(keys: np.ndarray, n: np.ndarray, depth: int, top: Top) -> np.ndarray:
     """log10 P(byte | bytes before) of each gram."""
     out = np.zeros(len(keys))
     for level in levels(keys, n, depth):
-        one = level.one(*top, depth)[level.of]
+        one = level.one(top)[level.of]
         out += np.log10(np.where(keys >> (7 - level.k) & 1, one, 1 - one))
     return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys (sorted), n and m of whole trees below contexts of two bytes, from rows in order of those contexts."""
+    """Keys (sorted), n and m of whole trees below contexts of ROOT bytes, from rows in order of those contexts."""
     held, size = [], 0
     for b in batches:
         held.append(tuple(b.column(c).to_numpy() for c in ("key", "n", "m")))
@@ -207,7 +224,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         if size < BLOCK:
             continue
         keys, n, m = (np.concatenate(x) for x in zip(*held, strict=True))
-        context = keys >> 8 & 0xFFFF
+        context = keys >> 8 & ROOTS
         done = int(np.searchsorted(context, context[-1]))
         if done:
             order = np.argsort(keys[:done])
@@ -224,16 +241,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 def _tree(grams_: DataFrame, depth: int) -> DataFrame:
     """grams_ (key, n, m) -> key, m, value: log10 P(byte | bytes before) of each."""
-    context = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+    context = F.shiftright("key", 8).bitwiseAND(ROOTS)
     grouped = cut(grams_.select("key", "n", "m", context.alias("context")).repartition("context").sortWithinPartitions("context").drop("context"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, n, _ in _blocks(batches):
             for level in levels(keys, n, depth):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (level.last, level.node, level.zeros, level.ones, level.weighted)], names=["last", "node", "zeros", "ones", "weighted"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (level.place, level.zeros, level.ones, level.weighted)], names=["place", "zeros", "ones", "weighted"])
 
-    found = grouped.mapInArrow(sums, "last long, node long, zeros double, ones double, weighted double").groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).toArrow()  # 65,280 rows at most
-    top = grams_.sparkSession.sparkContext.broadcast(top_of(*(found.column(c).to_numpy() for c in ("last", "node", "zeros", "ones", "weighted"))))
+    found = grouped.mapInArrow(sums, "place long, zeros double, ones double, weighted double").groupBy("place").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).toArrow()
+    top = grams_.sparkSession.sparkContext.broadcast(Top(*(found.column(c).to_numpy() for c in ("place", "zeros", "ones", "weighted"))))
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, n, m in _blocks(batches):

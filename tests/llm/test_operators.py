@@ -440,8 +440,8 @@ def test_lm_probabilities_sum_to_one_and_edges(spark):
     context = int.from_bytes(b"abcd", "big") << 8
     keys = np.arange(context, context + 256)
     n = np.where(keys & 255 == 101, 5, np.where(keys & 255 == 102, 3, 0))
-    sums = [(x.last, x.node, x.zeros, x.ones, x.weighted) for x in lm_scoring.levels(keys, n, depth)]
-    top = lm_scoring.top_of(*(np.concatenate(x) for x in zip(*sums, strict=True)))
+    sums = [(x.place, x.zeros, x.ones, x.weighted) for x in lm_scoring.levels(keys, n, depth)]
+    top = lm_scoring.Top(*(np.concatenate(x) for x in zip(*sums, strict=True)))
     found = 10 ** lm_scoring.gram_scores(keys, n, depth, top)
     assert abs(found.sum() - 1) < 1e-9 and found.argmax() == 101 and found[102] > found[103]
     assert lm_scoring.score(empty(spark)).count() == 0
@@ -463,12 +463,12 @@ def test_lm_deeper_trees_score_better(spark):
 def test_lm_blocks_keep_contexts_whole(monkeypatch):
     monkeypatch.setattr(lm_scoring, "BLOCK", 50)
     rng = np.random.default_rng(2)
-    keys = np.unique(rng.integers(0, 1 << 40, 4000) & ~0xFFF000 | rng.choice([1, 2, 2, 2, 3], 4000) << 12)
-    keys = keys[np.argsort(keys >> 8 & 0xFFFF, kind="stable")]
+    keys = np.unique(rng.integers(0, 1 << 48, 4000) & ~0xFFFFFF00 | rng.choice([1, 2, 2, 2, 3, 9, 70000], 4000) << 8)
+    keys = keys[np.argsort(keys >> 8 & lm_scoring.ROOTS, kind="stable")]
     batches = [pa.record_batch([pa.array(keys[i : i + 7]), pa.array(keys[i : i + 7]), pa.array(keys[i : i + 7])], names=["key", "n", "m"]) for i in range(0, len(keys), 7)]
     got = list(lm_scoring._blocks(iter(batches)))
     assert sorted(np.concatenate([x[0] for x in got])) == sorted(keys) and len(got) > 2
-    seen = [set(x[0] >> 8 & 0xFFFF) for x in got]
+    seen = [set(x[0] >> 8 & lm_scoring.ROOTS) for x in got]
     assert sum(map(len, seen)) == len(set().union(*seen)) and all((np.diff(k) > 0).all() and (k == n).all() and (k == m).all() for k, n, m in got)
 
 

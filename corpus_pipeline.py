@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recallspark.llm import decontamination, exact_dedup, language_id, mixing, near_dedup
 from recallspark.llm.common import shared_dir, table
@@ -35,9 +36,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the number of copies that the mix takes, where that is one or more."""
-    plan = mixing.mix(docs).where("copies > 0").select("doc_id", "source_size", "target", "copies", "taken").dropDuplicates(["doc_id"])
-    return docs.drop("source_size", "target", "copies", "taken").join(plan, "doc_id")
+    """Documents with the number of copies that the mix takes, where that is one or more.
+
+    Rows without doc_id or source are mixed like others. Rows with the same doc_id and source each get the largest figures among them.
+    """
+    figures = ("source_size", "target", "copies", "taken")
+    plan = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(*(F.max(c).alias(c) for c in figures))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    return docs.drop(*figures, "_id", "_source").join(plan, same).drop("_id", "_source")
 
 
 STAGES = [("language_id", identified), ("exact_dedup", exact_deduplicated), ("near_dedup", near_deduplicated), ("decontamination", decontaminated), ("mixing", mixed)]

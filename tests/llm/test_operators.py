@@ -562,6 +562,24 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     assert {r["doc_id"] for r in out} == set(range(30)) and all(r["copies"] == 1 for r in out)
 
 
+def test_pipeline_mix_keeps_rows_without_id_or_source(spark):
+    import corpus_pipeline
+
+    rows = [(i, "w " * (9 + i % 5), "en", "ab"[i % 2], 0) for i in range(40)] + [(None, "x y z", "en", "a", 0), (None, "x y", "en", None, 0), (40, "p q r", "en", None, 0), (41, "one", "en", "a", 0), (41, "one", "en", "a", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("target", F.lit("clash"))
+    out = corpus_pipeline.mixed(spark, d, "").collect()
+    want = {}
+    for r in mixing.mix(d).collect():
+        if r["copies"] > 0:
+            want.setdefault((r["doc_id"], r["source"]), []).append((r["copies"], r["target"]))
+    got = {}
+    for r in out:
+        got.setdefault((r["doc_id"], r["source"]), []).append((r["copies"], r["target"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    # The source null is small, so its target is three times its size: three copies of each row.
+    assert [x[0] for x in got[None, None]] == [x[0] for x in got[40, None]] == [3]
+
+
 def test_pipeline_of_nothing(spark):
     import corpus_pipeline
 

@@ -437,7 +437,9 @@ _PAIRS = f"""(WITH g AS MATERIALIZED {_G}, e AS MATERIALIZED (SELECT id, session
 SELECT a.id AS a, b.id AS b, count(*) / (a.n + b.n - count(*))::DOUBLE AS similarity FROM e a JOIN e b ON a.session = b.session AND a.t = b.t AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n)"""
 
 
-@query(f"SELECT a, b, round(similarity, 4) AS similarity FROM {_PAIRS} WHERE similarity >= 0.6::DOUBLE")
+# Pairs of class representatives, and each other member with its representative: sets are equal where the similarity is 1.
+@query(f"""WITH p AS MATERIALIZED (SELECT * FROM {_PAIRS} WHERE similarity >= 0.6::DOUBLE), copies AS (SELECT b, min(a) AS a FROM p WHERE similarity = 1 GROUP BY b)
+SELECT a, b, round(similarity, 4) AS similarity FROM p WHERE a NOT IN (SELECT b FROM copies) AND b NOT IN (SELECT b FROM copies) UNION ALL SELECT a, b, 1.0::DOUBLE FROM copies""")
 def dup_pairs(spark, d):
     return duplicates.similar_pairs(chunks(spark, d)).select("a", "b", F.round("similarity", 4).alias("similarity"))
 

@@ -206,8 +206,8 @@ def file_list(c: Column) -> Column:
 def trigrams(c: Column) -> Column:
     """Distinct three-character pieces of the lower-cased text with white space collapsed."""
     t = F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    # A look-ahead takes every place once; cutting by index would walk the text from its start each time.
-    return F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+    # A look-ahead takes every place once, and the dot goes on by a whole character, beyond the BMP too; cutting by index would walk the text from its start each time.
+    return F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(?=(.{3}))."), F.lit(1)))
 
 
 def information(content: Column, paths: Column, tools: Column, role_: Column) -> Column:

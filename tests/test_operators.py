@@ -197,3 +197,33 @@ def test_settings():
         with pytest.raises(ValueError):
             wrong()
 
+
+
+def test_similar_pairs_equal_brute_force_between_classes(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "größe", "日本語", "😀😀", "of", "the"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    texts += [texts[0], texts[0].upper().replace("SS", "ss"), "  ".join(texts[1].split()), "", "ab", None]
+    rows = [(i, f"s{i % 2}", t) for i, t in enumerate(texts)] + [(100, "s0", texts[2]), (101, "s1", texts[2])]
+    sets = {}
+    for i, s, t in rows:
+        t = " ".join((t or "").lower().split())
+        if len(t) > 2:
+            sets[i] = (s, frozenset(t[k : k + 3] for k in range(len(t) - 2)))
+    rep = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    want = {(rep[i], i): 1.0 for i in sets if rep[i] != i}
+    for a in sets:
+        for b in sets:
+            if a < b and rep[a] == a and rep[b] == b and sets[a][0] == sets[b][0]:
+                x, y = sets[a][1], sets[b][1]
+                if len(x & y) / len(x | y) >= 0.6:
+                    want[a, b] = len(x & y) / len(x | y)
+    found = duplicates.similar_pairs(spark.createDataFrame(rows, "id long, session string, content string")).collect()
+    assert len(found) == len(want) > 3
+    assert {(r["a"], r["b"]): round(r["similarity"], 9) for r in found} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_similar_pairs_of_an_empty_table(spark):
+    assert duplicates.similar_pairs(spark.createDataFrame([], "id long, session string, content string")).count() == 0

@@ -1,8 +1,9 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by runs of equal tokens.
 
-A seed is a mask over SPAN token positions of which it reads some; tokens at the other positions may differ. The hashes of
-all seeds of the benchmark meet the hashes of every token position of the corpus. Around a hit, document and item are laid
-side by side and compared token by token, so that replaced words count as differences and do not end a match.
+A stretch of n tokens of which at most e differ holds a run of equal ones of at least (n - e) / (e + 1) tokens: three or four, by the
+item's length. The hashes of all such runs of the benchmark meet those of the corpus, so every stretch that the rule accepts has a hit.
+Around a hit, document and item are laid side by side and compared token by token, so that replaced words count as differences and
+do not end a match.
 
 The benchmark's hashes are broadcast in slices of bounded size, one pass over the documents for each.
 """
@@ -14,10 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, chunks, mix, short_batches, signed, text_bytes, Words
+from .common import NOT_ALNUM, chunks, short_batches, text_bytes, Words
 
-#: Fixed masks; 1 reads a token. Each reads eight of its tokens.
-MASKS = ("11101100101011", "1101010011101101", "11111111")
 #: Tokens of an aligned stretch, and the part of them that must be equal. Shorter items are one stretch.
 STRETCH, EQUAL = 20, 0.8
 #: Items with fewer tokens are found only whole.
@@ -26,40 +25,42 @@ LEAST = 8
 SLICE_BYTES = 8 << 20
 
 
-def seeds(w: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a mask at each first token where it fits into one text, and those positions."""
-    offsets = [i for i, x in enumerate(mask) if x == "1"]
-    n = max(0, len(w.hash) - len(mask) + 1)
-    doc = w.doc()
-    x = np.full(n, np.uint64(int(mask, 2)), np.uint64)
-    for i, o in enumerate(offsets):
-        x += w.hash[o : o + n] * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) % (1 << 64))
-        x ^= x >> np.uint64(29)
-    fits = np.flatnonzero(doc[:n] == doc[len(mask) - 1 : len(mask) - 1 + n])
-    return mix(x[fits]), fits
+#: Hits that are laid side by side at once.
+HITS = 1 << 14
 
 
-def _seed_set(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """All seeds of some texts with their positions; texts too short for any mask get one of all their tokens."""
-    found = [seeds(w, m) for m in MASKS]
-    return np.concatenate([h for h, _ in found]), np.concatenate([p for _, p in found])
+def needed(n: int) -> int:
+    """Tokens of a stretch of n that must be equal."""
+    return int(np.ceil(EQUAL * n - 1e-9))
+
+
+def run_of(n: int) -> int:
+    """Tokens in a row that are equal in every accepted stretch of n: the others cut it into one more parts than they are."""
+    return -(-needed(n) // (n - needed(n) + 1))
 
 
 class Side:
-    """The benchmark's side of the join: sorted seed hashes with positions, and a bitmap that turns most others away."""
+    """The benchmark's side of the join: sorted hashes of runs with positions, and a bitmap that turns most others away."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         w = Words(pa.array([t for _, t in items], pa.binary()), separators=NOT_ALNUM)
         self.ids = np.array([i for i, _ in items], np.int64)
         self.words, self.at, self.doc = w.hash, w.at, w.doc()
-        h, p = _seed_set(w)
-        order = np.argsort(h, kind="stable")
-        self.hash, self.pos = h[order], p[order]
-        n = 1 << max(16, int(len(h)).bit_length() + 5)
-        self.mask = np.uint64(n - 1)
-        self.bits = np.zeros(n, bool)
-        self.bits[h & self.mask] = True
-        # Items too short for the shortest mask: their whole token sequence, by length.
+        size = np.minimum(np.diff(w.at), STRETCH)
+        runs = np.array([run_of(n) if n >= LEAST else 0 for n in range(STRETCH + 1)])[size]
+        self.need = np.array([needed(n) for n in range(STRETCH + 1)])[size]
+        # By length of the run: sorted hashes, positions, bitmap and its mask.
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]] = {}
+        for k in sorted({int(k) for k in runs if k}):
+            g, inside = w.grams(k)
+            p = np.flatnonzero(inside & (runs[self.doc[: len(g)]] == k))
+            h = g[p]
+            order = np.argsort(h, kind="stable")
+            n = 1 << max(16, int(len(h)).bit_length() + 5)
+            bits = np.zeros(n, bool)
+            bits[h & np.uint64(n - 1)] = True
+            self.runs[k] = h[order], p[order], bits, np.uint64(n - 1)
+        # Items of fewer than LEAST tokens: their whole token sequence, by length.
         self.short: dict[int, dict[int, list[int]]] = {}
         for k in range(1, LEAST):
             own = np.flatnonzero(np.diff(w.at) == k)
@@ -73,7 +74,7 @@ class Side:
 
 def _stretches(equal: np.ndarray, least: int) -> tuple[int, int, int] | None:
     """First and last token of the union of stretches of `least` tokens with enough equal ones, and how many are equal there."""
-    need = int(np.ceil(EQUAL * least - 1e-9))
+    need = needed(least)
     total = np.concatenate([[0], np.cumsum(equal)])
     good = np.flatnonzero(total[least:] - total[:-least] >= need)
     if not len(good):
@@ -82,32 +83,50 @@ def _stretches(equal: np.ndarray, least: int) -> tuple[int, int, int] | None:
     return first, last, int(total[last] - total[first])
 
 
+def _near(side: Side, w: Words, docs: np.ndarray, at: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """Whether enough tokens are equal in some STRETCH places around hits of k tokens, within both texts: true for all that an accepted stretch holds."""
+    o = np.arange(k - STRETCH, STRETCH)
+    d, item = docs[at], side.doc[q]
+    x, y = at[:, None] + o, q[:, None] + o
+    inside = (x >= w.at[d][:, None]) & (x < w.at[d + 1][:, None]) & (y >= side.at[item][:, None]) & (y < side.at[item + 1][:, None])
+    equal = inside & (w.hash[np.clip(x, 0, len(w.hash) - 1)] == side.words[np.clip(y, 0, len(side.words) - 1)])
+    total = np.zeros((len(at), len(o) + 1), np.int16)
+    np.cumsum(equal, axis=1, out=total[:, 1:])
+    return (total[:, STRETCH:] - total[:, :-STRETCH]).max(1) >= side.need[item]
+
+
 def matches(side: Side, w: Words) -> list[tuple[int, int, int, int, int]]:
-    """(text, item's row, first token, end token, equal tokens) of each text's best match with each item."""
+    """(text, item's row, first token, end token, equal tokens) of each text's best match with each item; of equally good ones the first."""
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     done = set()
     docs = w.doc()
-    for mask in MASKS:
-        h, p = seeds(w, mask)
-        keep = side.bits[h & side.mask]
-        h, p = h[keep], p[keep]
-        low, high = np.searchsorted(side.hash, h, "left"), np.searchsorted(side.hash, h, "right")
-        for k in np.flatnonzero(high > low):
-            at = int(p[k])
-            d = int(docs[at])
-            for q in side.pos[low[k] : high[k]]:
-                item, diagonal = int(side.doc[q]), at - int(q)
+    for k, (hashes, places, bits, mask) in side.runs.items():
+        h, inside = w.grams(k)
+        p = np.flatnonzero(inside & bits[h & mask])
+        low, high = np.searchsorted(hashes, h[p], "left"), np.searchsorted(hashes, h[p], "right")
+        ends = np.cumsum(high - low)
+        for start in range(0, int(ends[-1]) if len(ends) else 0, HITS):
+            hit = np.arange(start, min(start + HITS, int(ends[-1])))
+            row = np.searchsorted(ends, hit, "right")
+            at, q = p[row], places[high[row] - ends[row] + hit]
+            near = _near(side, w, docs, at, q, k)
+            for a, b in zip(at[near].tolist(), q[near].tolist(), strict=True):
+                d, item, diagonal = int(docs[a]), int(side.doc[b]), a - b
                 if (d, item, diagonal) in done:
                     continue
                 done.add((d, item, diagonal))
                 i0, i1 = int(side.at[item]), int(side.at[item + 1])
-                first, last = max(w.at[d], i0 + diagonal), min(w.at[d + 1], i1 + diagonal)
+                first, last = max(int(w.at[d]), i0 + diagonal), min(int(w.at[d + 1]), i1 + diagonal)
                 n = min(STRETCH, i1 - i0)
                 if last - first < n:
                     continue
                 found = _stretches(w.hash[first:last] == side.words[first - diagonal : last - diagonal], n)
-                if found and found[2] > best.get((d, item), (0, 0, 0))[2]:
-                    best[d, item] = (int(first - w.at[d]) + found[0], int(first - w.at[d]) + found[1], found[2])
+                if found:
+                    x = int(first - w.at[d])
+                    new = (x + found[0], x + found[1], found[2])
+                    old = best.get((d, item))
+                    if old is None or (-new[2], new) < (-old[2], old):
+                        best[d, item] = new
     for k, by in side.short.items():
         g, inside = w.grams(k)
         known = np.array(sorted(by), np.uint64)
@@ -155,4 +174,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti")
 
 
-__all__ = ["MASKS", "Side", "keep_clean", "leaks", "matches", "seeds", "signed"]
+__all__ = ["Side", "keep_clean", "leaks", "matches", "needed", "run_of"]

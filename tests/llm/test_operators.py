@@ -223,6 +223,40 @@ def test_leaks_in_slices(spark, monkeypatch):
     assert got == want
 
 
+def test_leaks_equal_brute_force_alignment():
+    """Every alignment at exactly the accepted number of equal tokens, and one token below it."""
+    rng = random.Random(12)
+    own = lambda n, kind: [f"{kind}{rng.randrange(10**9)}" for _ in range(n)]
+    items = [own(n, "i") for n in [*range(8, 25), 40, 200] for _ in range(12)]
+    texts = []
+    for item in items:
+        n = min(20, len(item))
+        most = n - decontamination.needed(n)
+        for wrong in (most, most + 1):
+            t = list(item)
+            start = rng.randrange(len(t) - n + 1)
+            for j in [*range(start), *range(start + n, len(t)), *(start + j for j in rng.sample(range(n), wrong))]:
+                t[j] = own(1, "z")[0]
+            texts.append(own(rng.randrange(5), "c") + t + own(rng.randrange(5), "c"))
+    for n in (20, 100, 1000):
+        items.append(own(n, "i"))
+        for at in range(5):  # every fifth word
+            texts.append([own(1, "z")[0] if j % 5 == at else x for j, x in enumerate(items[-1])])
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            n = min(20, len(item))
+            common = set(t) & set(item)
+            for shift in {t.index(x) - item.index(x) for x in common}:
+                first, last = max(0, shift), min(len(t), len(item) + shift)
+                equal = [t[j] == item[j - shift] for j in range(first, last)]
+                if any(sum(equal[j : j + n]) * 5 >= 4 * n for j in range(len(equal) - n + 1)):
+                    want.add((d, i))
+    side = decontamination.Side([(i, " ".join(x).encode()) for i, x in enumerate(items)])
+    got = decontamination.matches(side, Words(pa.array([" ".join(t).encode() for t in texts]), separators=decontamination.NOT_ALNUM))
+    assert {(d, i) for d, i, *_ in got} == want and len(want) == 12 * 19 + 15
+
+
 # --- 3
 
 

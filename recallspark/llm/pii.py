@@ -87,9 +87,14 @@ _LOOKS = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТХІЈЅοα
 _UNSEEN = frozenset("­​‌‍‎‏⁠﻿")
 
 _WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
-_RUN = re.compile(rf"(?<!\w)(?:{_WORD}|[0-9]+)(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9]+))+(?!\w)", re.I)
-_SPELLED_ONE = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.I)
 _DOT_WORD = r"dot|punkt|point|punto"
+_NUMBER = rf"(?:{_WORD}|[0-9]+)"
+_BETWEEN = rf"(?:[\s,.-]{{1,3}}|\s{{1,3}}(?:{_DOT_WORD})\s{{1,3}})"
+#: Numbers in a row; after a plus, brackets may stand between them.
+_RUN = re.compile(rf"(?<!\w){_NUMBER}(?:{_BETWEEN}{_NUMBER})+(?!\w)", re.I)
+_PLUS_RUN = re.compile(rf"(?:\+[\s(]{{0,2}}{_NUMBER}(?:(?:[\s,.()-]{{1,4}}|{_BETWEEN}){_NUMBER})+|(?<!\w){_NUMBER}(?:{_BETWEEN}{_NUMBER})+)(?!\w)", re.I)
+_RUN_PART = re.compile(rf"(?P<between>(?:[\s,.()-]|(?:{_DOT_WORD})(?![A-Za-z]))+)|(?P<word>{_WORD})|[0-9]+|\+", re.I)
+_DOT_ONLY = re.compile(rf"\s*(?:\.|(?:{_DOT_WORD}))\s*", re.I)
 _AT = re.compile(r"\s*(?:[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>])\s*", re.I)
 _DOT = re.compile(rf"\s*(?:[\[({{<]\s*(?:{_DOT_WORD}|\.)\s*[\])}}>])\s*", re.I)
 #: An address in words needs both at and dot: name at host dot org.
@@ -152,29 +157,89 @@ def _signs(t: Tape) -> Tape:
     return t.replaced(found) if found else t
 
 
+Part = tuple[int, int, str]
+
+
+def _edge(group: list[Part], last: bool) -> list[Part]:
+    """What of the first or last group of an ip belongs to it: a number next to the dot, or all of its single digits."""
+    near = group[0] if last else group[-1]
+    return [near] if len(near[2]) > 1 else group
+
+
+def _ips(groups: list[list[Part]], dots: list[Part]) -> list[Part]:
+    """Replacements that make ip addresses of four groups of numbers with three dots between them, those with three dots of one form first.
+
+    Single digits with dots as at the end of sentences (one. two. three. four.) are none.
+    """
+    out, used = [], set()
+    form = lambda d: "word" if "." not in d[2] else (d[2][0].isspace(), d[2][-1].isspace())
+    for alike in (True, False):
+        for i in range(len(dots) - 2):
+            three = dots[i : i + 3]
+            if used & {i, i + 1, i + 2, i + 3} or alike != (len({form(d) for d in three}) == 1):
+                continue
+            four = [_edge(groups[i], False), *groups[i + 1 : i + 3], _edge(groups[i + 3], True)]
+            values = ["".join(x[2] for x in g) for g in four]
+            if any(len(g) > 1 and any(len(x[2]) > 1 for x in g) for g in four) or not all(0 < len(v) <= 3 and int(v) <= 255 for v in values):
+                continue
+            if all(len(v) == 1 for v in values) and any(form(d) == (False, True) for d in three):
+                continue
+            used |= {i, i + 1, i + 2, i + 3}
+            for g in four:
+                out += g
+                out += [(x[1], y[0], "") for x, y in zip(g, g[1:], strict=False)]
+            for g, h in zip(four, four[1:], strict=False):
+                out.append((g[-1][1], h[0][0], "."))
+    return out
+
+
 def _numbers(t: Tape) -> Tape:
-    """Digits for spelled ones, in runs of ten digits or more, or of four numbers with dots; spaces and commas within a run go."""
-    found = []
-    for m in _RUN.finditer(t.text):
-        run = m[0]
-        if not _SPELLED_ONE.search(run):
+    """Digits for spelled ones, in runs of ten digits or more, where all between them goes, or in four numbers with dots or words for them.
+
+    A run may hold a plus before its first number, and then brackets. Words for dots end a run of digits without a plus.
+    """
+    found: list[Part] = []
+    for m in (_PLUS_RUN if "+" in t.text else _RUN).finditer(t.text):
+        groups, dots, gaps, runs, disguised, spelled = [[]], [], [], [[]], False, 0
+        for x in _RUN_PART.finditer(m[0]):
+            part = (m.start() + x.start(), m.start() + x.end(), x[0])
+            if x["word"]:
+                disguised, spelled = True, spelled or part[0]
+                part = (*part[:2], _SPELLED[x[0].lower()])
+            if x["between"]:
+                gaps.append(part)
+                if _DOT_ONLY.fullmatch(x[0]):
+                    dots.append(part)
+                    groups.append([])
+                    if "." not in x[0]:
+                        disguised = True
+                        if m[0][0] != "+":
+                            runs.append([])
+            elif x[0] != "+":
+                groups[-1].append(part)
+                runs[-1].append(part)
+        if not disguised:
             continue
-        parts = re.findall(rf"{_WORD}|[0-9]+", run, re.I)
-        if sum(1 if x.lower() in _SPELLED else len(x) for x in parts) < 10:
+        digits = "".join(x[2] for r in runs for x in r)
+        phone = m[0][0] == "+" and len(digits) >= 10
+        if phone and spelled and sum(len(x[2]) for r in runs for x in r if x[0] < spelled) >= 10:
+            # The plain digits are a phone number without the words after them.
+            phone, runs = False, [[x for x in r if x[0] >= spelled] for r in runs]
+        card = len(runs) == 1 and 14 <= len(digits) <= 19 and luhn(digits)
+        ips = [] if phone or card else _ips(groups, dots)
+        if ips:
+            found += ips
             continue
-        for x in re.finditer(rf"({_WORD})|([0-9]+)|([\s,.-]+)", run, re.I):
-            a, b = m.start() + x.start(), m.start() + x.end()
-            if x[1]:
-                found.append((a, b, _SPELLED[x[1].lower()]))
-            elif x[3]:
-                found.append((a, b, ""))
-    return t.replaced(found) if found else t
+        for r in runs:
+            if sum(len(x[2]) for x in r) >= 10 and (phone or any(not t.text[x[0]].isdigit() for x in r)):
+                found += r + [(*g[:2], "") for g in gaps if (m.start() if phone else r[0][0]) <= g[0] < r[-1][0]]
+    return t.replaced(sorted(found)) if found else t
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans of disguised identifiers that are in no base span of their kind."""
     strange = not text.isascii() and _STRANGE_OR_SOFT.search(text)
-    signs, numbers = _TRIGGER.search(text), _FIRST_RUN.search(text)
+    signs, numbers = _TRIGGER.search(text), _RUN_TRIGGER.search(text.casefold())
     if not (strange or signs or numbers):
         return []
     t = Tape(text)
@@ -195,8 +260,8 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     return out
 
 
-#: Three spelled digits in a row: what makes a run worth reading.
-_FIRST_RUN = re.compile(rf"(?<![A-Za-z])(?:{_WORD})[\s,.-]{{1,3}}(?:{_WORD})[\s,.-]{{1,3}}(?:{_WORD})(?![A-Za-z])", re.I)
+#: A spelled digit beside a number, or a word for a dot between two, in small letters: what makes a run worth reading.
+_RUN_TRIGGER = re.compile(rf"(?<!\w)(?=[{''.join(sorted({x[0] for x in _SPELLED}))}0-9])(?:(?:{_WORD})(?:[\s,.()-]{{1,4}}|\s{{1,3}}(?:{_DOT_WORD})\s{{1,3}}){_NUMBER}|[0-9]+(?:[\s,.()-]{{1,4}}(?:{_WORD})|\s{{1,3}}(?:{_DOT_WORD})\s{{1,3}}{_NUMBER}))(?!\w)")
 
 
 def joined(spans: list[Span]) -> str:

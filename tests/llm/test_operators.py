@@ -302,6 +302,35 @@ def test_clean_texts_stay_clean(t):
     assert pii.added_spans(t, pii.base_spans(t)) == []
 
 
+@pytest.mark.parametrize(
+    "before,kind,span,after",
+    [
+        ("ip ", "ip", "one nine two . one six eight . one . one", " ok"),
+        ("at ", "ip", "one nine two dot one six eight dot one dot one", ""),
+        ("in room five. ", "ip", "one nine two . one six eight . one . one", ". Four people"),
+        ("ip ", "ip", "one nine two.one six eight.zero.one", ", ok"),
+        ("ip ", "ip", "one nine two [dot] one six eight [dot] one [dot] two zero", " ok"),
+        ("ip ", "ip", "one nine two . one six eight . one zero zero . one zero zero", " ok"),
+        ("host 5 ", "ip", "192 dot 168 dot 1 dot 20", ", five of them"),
+        ("host ", "ip", "eins neun zwei punkt 168 punkt 1 punkt 20", " ok"),
+        ("call ", "phone", "+1 (five five five) one two three four five six seven", " now"),
+        ("one, two ", "phone", "+1 (555) one two three four five six seven", " now"),
+        ("call ", "phone", "+1 dot five five five dot 123 4567", " now"),
+        ("call ", "phone", "+four four 7911 12 three 456", " now"),
+        ("card ", "card", "four four nine one 3826 4108 8554", " point one two"),
+        ("card ", "card", "4491 3826 4108 855 four", " now"),
+    ],
+)
+def test_spelled_numbers_with_dots_and_brackets(before, kind, span, after):
+    t = before + span + after
+    assert pii.added_spans(t, pii.base_spans(t)) == [(kind, len(before), len(before) + len(span))]
+
+
+@pytest.mark.parametrize("t", ["One. Two. Three. Four. Go.", "at 3 point 5 and one point two", "one dot 300 dot 1 dot 2", "seven (eight) nine (ten)", "5 + 3, one of 1234567890", "evi. +1 (848) 555-1373 Un an"])
+def test_numbers_in_clean_texts_stay(t):
+    assert pii.added_spans(t, pii.base_spans(t)) == []
+
+
 def test_pii_rows(spark):
     rows = {r["doc_id"]: r for r in pii.digest(pii.scan(docs(spark, [(1, None), (2, ""), (3, "é a@b.co 1.2.3.4 " + "9" * 100000), (None, "a@b.co")]))).collect()}
     assert rows[3]["n_email"] == rows[3]["n_ip"] == 1 and rows[3]["spans"] == "email:2:8,ip:9:16"

@@ -8,31 +8,64 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.llm import decontamination, exact_dedup, language_id, mixing, near_dedup
-from recallspark.llm.common import shared_dir, table
+from recallspark.llm.common import cut, shared_dir, table
+from recallspark.llm.url_filter import LOWER, UPPER
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def _by_text(docs: DataFrame) -> DataFrame:
+    """docs with a 64-bit hash of the text as doc_id: the operators then judge texts, whatever ids the rows have, or none."""
+    return docs.withColumn("doc_id", F.xxhash64(_text()))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose text's hash is among the doc_ids of gone."""
+    return docs.join(gone.select(F.col("doc_id").alias("_key")).distinct(), F.xxhash64(_text()) == F.col("_key"), "left_anti")
+
+
+def _apply(docs: DataFrame, key: Column, special: DataFrame) -> DataFrame:
+    """docs with the rows of special (_key, _id, _stays) gone, but for one row, the smallest, of each _key that stays; all columns stay."""
+    same = (key == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    whole = F.struct(*(F.col(c) for c in docs.columns))
+    again = docs.join(special.where("_stays"), same, "left_semi").groupBy(key.alias("_key")).agg(F.min(whole).alias("_row")).select("_row.*")
+    return docs.join(special, same, "left_anti").unionByName(again)
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null, or no letter) go."""
-    return language_id.keep_known(docs)
+    return _without(docs, language_id.identify(_by_text(docs)).where(F.col("lang_pred") == language_id.UNKNOWN))
 
 
 def exact_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id stays."""
-    return exact_dedup.keep_one(docs)
+    """Of equal texts, one row with the smallest doc_id stays; rows without doc_id come last."""
+    found = exact_dedup.owners(docs).groupBy(F.col("digest").alias("_key"), F.col("doc_id").alias("_id")).agg(F.first("owner").alias("owner"), F.count("*").alias("n"))
+    stays = F.col("_id").eqNullSafe(F.col("owner"))
+    special = cut(found.where(~stays | (F.col("n") > 1)).select("_key", "_id", stays.alias("_stays")))
+    return _apply(docs, F.unhex(F.sha2(F.translate(_text(), UPPER, LOWER).cast("binary"), 256)), special)
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents, the row with the smallest doc_id stays."""
-    return near_dedup.keep_one(docs)
+    """Of linked documents, one row with the smallest doc_id stays; rows without doc_id come last."""
+    groups = near_dedup.near_groups(_by_text(docs)).where("n_shingles > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.first("component_id").alias("component"))
+    rows = docs.select(F.xxhash64(_text()).alias("_key"), F.col("doc_id").alias("_id")).groupBy("_key", "_id").agg(F.count("*").alias("n"))
+    rows = cut(rows.join(groups, "_key"))
+    me = F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")
+    best = rows.groupBy("component").agg(F.min(me).alias("best"), F.sum("n").alias("all")).where("all > 1")
+    stays = me == F.col("best")
+    special = cut(rows.join(best, "component").where(~stays | (F.col("n") > 1)).select("_key", "_id", stays.alias("_stays")))
+    return _apply(docs, F.xxhash64(_text()), special)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, decontamination.leaks(_by_text(docs), table(spark, sf_dir, "benchmark")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

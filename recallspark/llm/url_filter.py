@@ -63,8 +63,29 @@ def fitting(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def _plain_path(path: Column) -> Column:
+    """A path that starts with /, without its . and .. segments."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    step = lambda kept, x: F.when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """The target of a link on the page of url; null where it has a scheme without ://, as mailto:, or is relative to a url without host."""
+    root = F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit("://"), F.regexp_extract(_rest(url), r"^[^/?#]*", 0))
+    path = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    tail = F.substr(target, F.length(path) + F.lit(1))
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)", 1))
+    found = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+    found = found.when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit(":"), target)).when(host_of(url) == "", None)
+    found = found.when(target.startswith("#"), F.concat(F.regexp_extract(url, r"(?s)^[^#]*", 0), target)).when(target.startswith("?"), F.concat(root, path_of(url), target))
+    return found.when(target.startswith("/"), F.concat(root, _plain_path(path), tail)).otherwise(F.concat(root, _plain_path(F.concat(folder, path)), tail))
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """pages (url, html) -> (url, target) of canonical links and refresh tags; targets that start with / are on the page's host."""
+    """pages (url, html) -> (url, target) of canonical links and refresh tags; relative targets are resolved against the page's url."""
     html = F.translate(F.col("html"), UPPER, LOWER)
     some = pages.where("url IS NOT NULL AND html IS NOT NULL").where(html.contains("canonical") | html.contains("http-equiv"))
     tag = F.col("tag")
@@ -73,10 +94,7 @@ def links(pages: DataFrame) -> DataFrame:
     canonical = F.when(tag.rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""), F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]*)""", 1))
     refresh = F.when(tag.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract(tag, r"""(?is)\burl\s*=\s*["']?([^"'\s>]*)""", 1))
     found = tags.select("url", F.trim(F.coalesce(canonical, refresh)).alias("target")).where("target <> ''")
-    scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
-    host = F.regexp_extract(_rest(F.col("url")), r"^[^/?#]*", 0)
-    absolute = F.when(F.col("target").startswith("//"), F.concat(scheme, F.lit(":"), F.col("target"))).when(F.col("target").startswith("/"), F.concat(scheme, F.lit("://"), host, F.col("target"))).otherwise(F.col("target"))
-    return cut(found.select("url", absolute.alias("target")).where(F.col("target").contains("://")))
+    return cut(found.select("url", resolved(F.col("url"), F.col("target")).alias("target")).where(F.col("target").contains("://")))
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:

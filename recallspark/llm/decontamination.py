@@ -1,75 +1,90 @@
-"""Benchmark decontamination by runs of equal tokens.
+"""Benchmark decontamination by spaced-seed hashing.
 
-A stretch of n tokens of which at most e differ holds a run of equal ones of at least (n - e) / (e + 1) tokens: three or four, by the
-item's length. The hashes of all such runs of the benchmark meet those of the corpus, so every stretch that the rule accepts has a hit.
-Around a hit, document and item are laid side by side and compared token by token, so that replaced words count as differences and
-do not end a match.
+A seed reads the tokens where a fixed mask has a 1 and ignores those between, so that a replaced word there costs nothing. The hashes of all
+seeds of the benchmark meet those of the corpus. The masks are lossless: however the tokens that the rule allows to differ lie in a
+stretch, one of the masks fits somewhere among the others, so every stretch that the rule accepts has a hit. Around a hit, document and
+item are laid side by side and compared token by token.
 
-The benchmark's hashes are broadcast in slices of bounded size, one pass over the documents for each.
+A benchmark of up to SLICE_BYTES of text is broadcast and joined in memory, in one pass over the documents. A larger one is joined by a shuffle on
+the hashes of both sides: the documents are read once for their seeds, of which a bitmap of fixed size turns away most that no
+item has, and once more where they have hits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, chunks, short_batches, text_bytes, Words
+from .common import NOT_ALNUM, chunks, cut, mix, short_batches, signed, text_bytes, Words
 
 #: Tokens of an aligned stretch, and the part of them that must be equal. Shorter items are one stretch.
 STRETCH, EQUAL = 20, 0.8
 #: Items with fewer tokens are found only whole.
 LEAST = 8
-#: Bytes of benchmark text a pass holds.
+#: Fixed masks for stretches of 15 to 20 tokens, of which 3 or 4 may differ, and for those of 8 to 14, of which 1 or 2 may.
+LONG_FROM = 15
+LONG = ("1111-111", "11-1---1-111", "111-11---11", "11--1-1--1-11", "1-1---11-111", "11--11-11--1")
+SHORT = ("1111-11", "11--1111", "11-11--11", "1111-1-1", "1-1-1111")
+#: Bytes of benchmark text that are broadcast.
 SLICE_BYTES = 8 << 20
-
-
+#: Bits of the map that turns away seeds of the documents where the benchmark is larger; it is broadcast, 32 MB.
+MAP_BITS = 1 << 28
 #: Hits that are laid side by side at once.
 HITS = 1 << 14
 
+_ODD = mix(np.arange(1, 32, dtype=np.uint64)) | np.uint64(1)
+
 
 def needed(n: int) -> int:
     """Tokens of a stretch of n that must be equal."""
-    return int(np.ceil(EQUAL * n - 1e-9))
+    return n if n < LEAST else int(np.ceil(EQUAL * n - 1e-9))
+
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks for items of n tokens: all tokens where all must be equal."""
+    return () if n < 1 else ("1" * n,) if n < LEAST else SHORT if n < LONG_FROM else LONG
 
-def run_of(n: int) -> int:
-    """Tokens in a row that are equal in every accepted stretch of n: the others cut it into one more parts than they are."""
-    return -(-needed(n) // (n - needed(n) + 1))
+
+#: All masks, for looking up by number; no number is used for two.
+MASKS = (*(m for n in range(1, LEAST) for m in masks_of(n)), *SHORT, *LONG)
+
+
+def seeds(w: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens that the mask reads from each place on, and whether it lies in one text there."""
+    n = max(0, len(w.hash) - len(mask) + 1)
+    total = np.full(n, MASKS.index(mask) + 1, np.uint64)
+    for k, i in enumerate(i for i, c in enumerate(mask) if c == "1"):
+        total += w.hash[i : i + n] * _ODD[k]
+    doc = w.doc()
+    return mix(total), doc[:n] == doc[len(mask) - 1 : len(mask) - 1 + n]
 
 
 class Side:
-    """The benchmark's side of the join: sorted hashes of runs with positions, and a bitmap that turns most others away."""
+    """The benchmark's side of the join in memory: sorted seeds with positions, and a bitmap that turns most others away."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         w = Words(pa.array([t for _, t in items], pa.binary()), separators=NOT_ALNUM)
         self.ids = np.array([i for i, _ in items], np.int64)
         self.words, self.at, self.doc = w.hash, w.at, w.doc()
-        size = np.minimum(np.diff(w.at), STRETCH)
-        runs = np.array([run_of(n) if n >= LEAST else 0 for n in range(STRETCH + 1)])[size]
+        length = np.diff(w.at)
+        size = np.minimum(length, STRETCH)
         self.need = np.array([needed(n) for n in range(STRETCH + 1)])[size]
-        # By length of the run: sorted hashes, positions, bitmap and its mask.
-        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]] = {}
-        for k in sorted({int(k) for k in runs if k}):
-            g, inside = w.grams(k)
-            p = np.flatnonzero(inside & (runs[self.doc[: len(g)]] == k))
-            h = g[p]
+        # By mask: sorted hashes, positions, bitmap and its mask.
+        self.seeds: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]] = {}
+        for mask in sorted({m for n in set(size.tolist()) for m in masks_of(n)}, key=MASKS.index):
+            own = np.array([mask in masks_of(n) for n in range(STRETCH + 1)])[size]
+            h, inside = seeds(w, mask)
+            p = np.flatnonzero(inside & own[self.doc[: len(h)]])
+            h = h[p]
             order = np.argsort(h, kind="stable")
             n = 1 << max(16, int(len(h)).bit_length() + 5)
             bits = np.zeros(n, bool)
             bits[h & np.uint64(n - 1)] = True
-            self.runs[k] = h[order], p[order], bits, np.uint64(n - 1)
-        # Items of fewer than LEAST tokens: their whole token sequence, by length.
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for k in range(1, LEAST):
-            own = np.flatnonzero(np.diff(w.at) == k)
-            if len(own):
-                g, _ = w.grams(k)
-                by: dict[int, list[int]] = {}
-                for i in own:
-                    by.setdefault(int(g[w.at[i]]), []).append(int(i))
-                self.short[k] = by
+            self.seeds[mask] = h[order], p[order], bits, np.uint64(n - 1)
 
 
 def _stretches(equal: np.ndarray, least: int) -> tuple[int, int, int] | None:
@@ -83,6 +98,25 @@ def _stretches(equal: np.ndarray, least: int) -> tuple[int, int, int] | None:
     return first, last, int(total[last] - total[first])
 
 
+Found = tuple[int, int, int]
+
+
+def alignment(text: np.ndarray, item: np.ndarray, diagonals: Iterable[int]) -> Found | None:
+    """(first token, end token, equal tokens) of the best match of an item in a text at some shifts; of equally good ones the first."""
+    best = None
+    n = min(STRETCH, len(item))
+    for shift in diagonals:
+        first, last = max(0, shift), min(len(text), len(item) + shift)
+        if last - first < n:
+            continue
+        found = _stretches(text[first:last] == item[first - shift : last - shift], n)
+        if found:
+            new = (first + found[0], first + found[1], found[2])
+            if best is None or (-new[2], new) < (-best[2], best):
+                best = new
+    return best
+
+
 def _near(side: Side, w: Words, docs: np.ndarray, at: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
     """Whether enough tokens are equal in some STRETCH places around hits of k tokens, within both texts: true for all that an accepted stretch holds."""
     o = np.arange(k - STRETCH, STRETCH)
@@ -96,82 +130,155 @@ def _near(side: Side, w: Words, docs: np.ndarray, at: np.ndarray, q: np.ndarray,
 
 
 def matches(side: Side, w: Words) -> list[tuple[int, int, int, int, int]]:
-    """(text, item's row, first token, end token, equal tokens) of each text's best match with each item; of equally good ones the first."""
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    done = set()
+    """(text, item's row, first token, end token, equal tokens) of each text's best match with each item."""
+    met: dict[tuple[int, int], set[int]] = {}
     docs = w.doc()
-    for k, (hashes, places, bits, mask) in side.runs.items():
-        h, inside = w.grams(k)
-        p = np.flatnonzero(inside & bits[h & mask])
+    for mask, (hashes, places, bits, low_bits) in side.seeds.items():
+        h, inside = seeds(w, mask)
+        p = np.flatnonzero(inside & bits[h & low_bits])
         low, high = np.searchsorted(hashes, h[p], "left"), np.searchsorted(hashes, h[p], "right")
         ends = np.cumsum(high - low)
         for start in range(0, int(ends[-1]) if len(ends) else 0, HITS):
             hit = np.arange(start, min(start + HITS, int(ends[-1])))
             row = np.searchsorted(ends, hit, "right")
             at, q = p[row], places[high[row] - ends[row] + hit]
-            near = _near(side, w, docs, at, q, k)
-            for a, b in zip(at[near].tolist(), q[near].tolist(), strict=True):
-                d, item, diagonal = int(docs[a]), int(side.doc[b]), a - b
-                if (d, item, diagonal) in done:
-                    continue
-                done.add((d, item, diagonal))
-                i0, i1 = int(side.at[item]), int(side.at[item + 1])
-                first, last = max(int(w.at[d]), i0 + diagonal), min(int(w.at[d + 1]), i1 + diagonal)
-                n = min(STRETCH, i1 - i0)
-                if last - first < n:
-                    continue
-                found = _stretches(w.hash[first:last] == side.words[first - diagonal : last - diagonal], n)
+            near = _near(side, w, docs, at, q, len(mask))
+            at, q = at[near], q[near]
+            shift = (at - w.at[docs[at]]) - (q - side.at[side.doc[q]])
+            for d, item, s in np.unique(np.stack([docs[at], side.doc[q], shift]), axis=1).T.tolist():
+                met.setdefault((d, item), set()).add(s)
+    out = []
+    for (d, item), shifts in sorted(met.items()):
+        found = alignment(w.hash[w.at[d] : w.at[d + 1]], side.words[side.at[item] : side.at[item + 1]], sorted(shifts))
+        if found:
+            out.append((d, item, *found))
+    return out
+
+
+_OUT = "doc_id long, item_id long, first_token long, end_token long, equal_tokens long"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "item_id", "first_token", "end_token", "equal_tokens"])
+
+
+def _in_memory(rows: DataFrame, own: list[tuple[int, bytes]]) -> DataFrame:
+    side = rows.sparkSession.sparkContext.broadcast(Side(own))
+
+    def work(batches):
+        s = side.value
+        for batch in batches:
+            for i, j in chunks(batch.column(1)):
+                found = matches(s, Words(batch.column(1).slice(i, j - i), separators=NOT_ALNUM))
+                ids = batch.column(0).slice(i, j - i).to_pylist()
                 if found:
-                    x = int(first - w.at[d])
-                    new = (x + found[0], x + found[1], found[2])
-                    old = best.get((d, item))
-                    if old is None or (-new[2], new) < (-old[2], old):
-                        best[d, item] = new
-    for k, by in side.short.items():
-        g, inside = w.grams(k)
-        known = np.array(sorted(by), np.uint64)
-        for at in np.flatnonzero(inside & np.isin(g, known)):
-            d = int(docs[at])
-            for item in by[int(g[at])]:
-                best.setdefault((d, item), (int(at - w.at[d]), int(at - w.at[d]) + k, k))
-    return [(d, item, *x) for (d, item), x in sorted(best.items())]
+                    yield _batch([(ids[d], int(s.ids[item]), a, b, n) for d, item, a, b, n in found])
+
+    return rows.mapInArrow(work, _OUT)
+
+
+_PAGE = 1 << 16
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """MAP_BITS bits, packed, with those of the hashes (h long) set. Each task sends its own map's pages that aren't empty; pages are joined before the driver gets them."""
+
+    def local(batches):
+        bits = np.zeros(MAP_BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy().view(np.uint64) & np.uint64(MAP_BITS - 1)] = True
+        pages = bits.reshape(-1, _PAGE)
+        for i in np.flatnonzero(pages.any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([int(i)], pa.int32()), pa.array([np.packbits(pages[i]).tobytes()], pa.binary())], names=["page", "bits"])
+
+    def union(t: pa.Table) -> pa.Table:
+        whole = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()])
+        return pa.table({"page": t.column("page").slice(0, 1), "bits": pa.array([whole.tobytes()], pa.binary())})
+
+    kind = "page int, bits binary"
+    out = np.zeros((MAP_BITS // _PAGE, _PAGE // 8), np.uint8)
+    for r in hashes.mapInArrow(local, kind).groupBy("page").applyInArrow(union, kind).toLocalIterator():
+        out[r["page"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.reshape(-1)
+
+
+def _seeded(rows: DataFrame, whole_items: bool, bitmap=None) -> DataFrame:
+    """rows (id, row, body) -> id, row, at, h: the seeds of items by the masks of their length, or of documents by all masks, where the bitmap has them."""
+
+    def work(batches) -> Iterator[pa.RecordBatch]:
+        have = None if bitmap is None else bitmap.value
+        for batch in batches:
+            for i, j in chunks(batch.column(2)):
+                w = Words(batch.column(2).slice(i, j - i), separators=NOT_ALNUM)
+                ids, keys, docs, length = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), w.doc(), np.minimum(np.diff(w.at), STRETCH)
+                for mask in MASKS:
+                    h, inside = seeds(w, mask)
+                    if whole_items:
+                        inside = inside & np.array([mask in masks_of(n) for n in range(STRETCH + 1)])[length][docs[: len(h)]]
+                    if have is not None:
+                        bit = h & np.uint64(MAP_BITS - 1)
+                        inside = inside & (have[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                    p = np.flatnonzero(inside)
+                    d = pa.array(docs[p])
+                    yield pa.RecordBatch.from_arrays([ids.take(d), keys.take(d), pa.array((p - w.at[docs[p]]).astype(np.int32)), pa.array(signed(h[p]))], names=["id", "row", "at", "h"])
+
+    return rows.mapInArrow(work, "id long, row long, at int, h long")
+
+
+def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """The same rows as _in_memory for a benchmark of any size."""
+    context = rows.sparkSession.sparkContext
+    keyed = lambda d, name: d.select(F.col(name).alias("id"), F.xxhash64("body").alias("row"), "body")
+    bench = keyed(items, "item_id")
+    own = cut(_seeded(bench, True))
+    documents = keyed(rows, "doc_id")
+    hits = _seeded(documents, False, context.broadcast(_bitmap(own.select("h"))))
+    theirs = own.select(F.col("id").alias("item_id"), F.col("row").alias("item"), F.col("at").alias("there"), "h")
+    met = hits.join(theirs, "h").groupBy("id", "row", "item_id", "item").agg(F.collect_set(F.col("at") - F.col("there")).alias("shifts"))
+    met = cut(met)
+    none = lambda kind: F.lit(None).cast(kind)
+    pairs = met.join(bench.select(F.col("id").alias("item_id"), F.col("row").alias("item"), "body"), ["item_id", "item"]).select("id", "row", F.lit(1).alias("turn"), "body", "item_id", "shifts")
+    held = documents.join(met.select(F.col("id").alias("i2"), F.col("row").alias("r2")).distinct(), F.col("id").eqNullSafe(F.col("i2")) & (F.col("row") == F.col("r2")), "left_semi")
+    texts = held.select("id", "row", F.lit(0).alias("turn"), "body", none("long").alias("item_id"), none("array<int>").alias("shifts"))
+
+    def work(batches):
+        now, copies, text = None, 0, None
+        for batch in batches:
+            out = []
+            for id_, row, turn, body, item_id, shifts in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                w = Words(pa.array([body], pa.binary()), separators=NOT_ALNUM).hash
+                if turn == 0:
+                    copies = copies + 1 if now == (id_, row) else 1
+                    now, text = (id_, row), w
+                elif found := alignment(text, w, sorted(shifts)):
+                    out += [(id_, item_id, *found)] * copies
+            if out:
+                yield _batch(out)
+
+    return texts.unionByName(pairs).repartition("id", "row").sortWithinPartitions("id", "row", "turn").mapInArrow(work, _OUT)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, first_token, end_token, equal_tokens: a row for each document and item that it holds.
 
     Tokens are runs of letters and digits (bytes from 128 on count as letters), A-Z lower-cased. A document holds an item if STRETCH aligned tokens (the
-    whole item, if it has fewer) are equal in EQUAL of their places; items of fewer than LEAST tokens must be found whole. Null texts, and items
-    without tokens, match nothing. A null doc_id stays null.
+    whole item, if it has fewer) are equal in EQUAL of their places; items of fewer than LEAST tokens must be found whole. Of several matches the one
+    with most equal tokens is given, the first on ties. Null texts, and items without tokens, match nothing. Ids must fit into a long;
+    a null doc_id stays null, and repeated rows give repeated results.
     """
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("body")).distinct()
     size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    passes = max(1, -(-size // SLICE_BYTES))
     rows = short_batches(docs).where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-    out = None
-    for k in range(passes):
-        own = [(r[0], bytes(r[1])) for r in items.where(F.pmod(F.xxhash64("body"), F.lit(passes)) == k).collect()]
-        side = docs.sparkSession.sparkContext.broadcast(Side(own))
-
-        def work(batches, side=side):
-            s = side.value
-            for batch in batches:
-                for i, j in chunks(batch.column(1)):
-                    found = matches(s, Words(batch.column(1).slice(i, j - i), separators=NOT_ALNUM))
-                    ids = batch.column(0).slice(i, j - i).to_pylist()
-                    if found:
-                        d, item, a, b, n = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in d], pa.int64()), pa.array(s.ids[list(item)]), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "item_id", "first_token", "end_token", "equal_tokens"])
-
-        part = rows.mapInArrow(work, "doc_id long, item_id long, first_token long, end_token long, equal_tokens long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    if size <= SLICE_BYTES:
+        return _in_memory(rows, [(r[0], bytes(r[1])) for r in items.where("item_id IS NOT NULL").collect()])
+    return _by_shuffle(rows, items.where("item_id IS NOT NULL"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a benchmark item; all columns stay."""
-    gone = leaks(docs, benchmark).where("doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without the rows that hold a benchmark item, judged by their texts whatever their ids; all columns stay."""
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    gone = leaks(docs.withColumn("doc_id", key), benchmark).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, key == F.col("_gone"), "left_anti")
 
 
-__all__ = ["Side", "keep_clean", "leaks", "matches", "needed", "run_of"]
+__all__ = ["MASKS", "Side", "alignment", "keep_clean", "leaks", "masks_of", "matches", "needed", "seeds"]

@@ -210,17 +210,43 @@ def test_leaks(spark):
     assert got == {(2, 1), (3, 0), (4, 3), (5, 4), (7, 5), (None, 1)}
     assert decontamination.leaks(empty(spark), bench).count() == 0
     assert decontamination.leaks(docs(spark, texts), bench.limit(0)).count() == 0
-    assert {r["doc_id"] for r in decontamination.keep_clean(docs(spark, texts), bench).collect()} == {1, 6, 8, 9, None}
+    assert {r["doc_id"] for r in decontamination.keep_clean(docs(spark, texts), bench).collect()} == {1, 6, 8, 9}  # the row without doc_id holds item 1
 
 
-def test_leaks_in_slices(spark, monkeypatch):
+@pytest.mark.parametrize("n", range(1, 21))
+def test_masks_are_lossless(n):
+    """However the tokens that may differ lie, some mask of the item's length fits among the others."""
+    from itertools import combinations
+
+    if n >= decontamination.LEAST:
+        assert all("-" in m and m[0] == m[-1] == "1" for m in decontamination.masks_of(n))
+    for wrong in combinations(range(n), n - decontamination.needed(n)):
+        assert any(all(m[i] == "-" or o + i not in wrong for i in range(len(m))) for m in decontamination.masks_of(n) for o in range(n - len(m) + 1))
+
+
+def test_leaks_of_a_large_benchmark(spark, monkeypatch):
+    """The join by shuffle gives the same rows as the one in memory, repeated and null ids, short items and replaced words too."""
     rng = random.Random(7)
-    items = [(i, text(rng, 30, 9000)) for i in range(12)]
+    items = [(i, text(rng, n, 9000)) for i, n in enumerate((30, 30, 9, 14, 4, 1, 25, 60))] + [(8, None), (9, "?!"), (None, "a b c")]
+    items += [(10, items[0][1]), (1, items[1][1])]
+    rows = [(i + 100, f"a b {t} c") for i, t in items if t and i is not None]
+    rows += [(500, " ".join(w if k % 6 else "other" for k, w in enumerate(t.split()))) for _, t in items[:8]]
+    rows += [(None, items[0][1]), (None, items[3][1]), (7, items[0][1] + " x " + items[6][1]), (7, items[0][1] + " x " + items[6][1]), (8, None), (9, ""), (10, text(rng, 300, 9000))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = {(i + 100, i) for i, _ in items}
-    monkeypatch.setattr(decontamination, "SLICE_BYTES", 600)
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs(spark, [(i + 100, "a b " + t) for i, t in items]), bench).collect()}
-    assert got == want
+    found = lambda: sorted(map(tuple, decontamination.leaks(docs(spark, rows), bench).collect()), key=str)
+    want = found()
+    monkeypatch.setattr(decontamination, "SLICE_BYTES", 0)
+    monkeypatch.setattr(decontamination, "MAP_BITS", 1 << 20)
+    assert found() == want and len(want) > 20
+    assert decontamination.leaks(empty(spark), bench).count() == 0
+
+
+def test_leaks_of_ties_repeats_and_long_texts(spark):
+    item = text(random.Random(8), 20, 9000)
+    bench = spark.createDataFrame([(0, item), (1, item)], "item_id long, text string")
+    long = "w " * 200_000 + item + " v" * 200_000 + " " + item
+    got = sorted(map(tuple, decontamination.leaks(docs(spark, [(1, item + " " + item), (1, item + " " + item), (2, long)]), bench).collect()))
+    assert got == [(1, 0, 0, 20, 20), (1, 0, 0, 20, 20), (1, 1, 0, 20, 20), (1, 1, 0, 20, 20), (2, 0, 200_000, 200_020, 20), (2, 1, 200_000, 200_020, 20)]
 
 
 def test_leaks_equal_brute_force_alignment():

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 Span = tuple[str, int, int]
+#: A range and what replaces it.
+Part = tuple[int, int, str]
 
 
 def luhn(digits: str) -> bool:
@@ -81,8 +84,8 @@ _SPELLED = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-#: Letters of other scripts that look like Latin ones (Cyrillic, then Greek), and signs.
-_LOOKS = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТХІЈЅοαιυνρτκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwABEKMHOPCTXIJSoaiuvptkABEZHIKMNOPTYX", strict=True)) | dict(zip("․。．﹒‐‑‒–—―−＠﹫٠", "....-------@@0", strict=True))
+#: Letters of other scripts that look like Latin ones (Cyrillic, then Greek), signs, then Latin small capitals and look-alikes.
+_LOOKS = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТХІЈЅοαιυνρτκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwABEKMHOPCTXIJSoaiuvptkABEZHIKMNOPTYX", strict=True)) | dict(zip("․。．﹒‐‑‒–—―−＠﹫٠", "....-------@@0", strict=True)) | dict(zip("ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢıȷɑɡ", "abcdefghijklmnoprstuvwyzijag", strict=True))
 #: Characters without width.
 _UNSEEN = frozenset("­​‌‍‎‏⁠﻿")
 
@@ -95,11 +98,15 @@ _RUN = re.compile(rf"(?<!\w){_NUMBER}(?:{_BETWEEN}{_NUMBER})+(?!\w)", re.I)
 _PLUS_RUN = re.compile(rf"(?:\+[\s(]{{0,2}}{_NUMBER}(?:(?:[\s,.()-]{{1,4}}|{_BETWEEN}){_NUMBER})+|(?<!\w){_NUMBER}(?:{_BETWEEN}{_NUMBER})+)(?!\w)", re.I)
 _RUN_PART = re.compile(rf"(?P<between>(?:[\s,.()-]|(?:{_DOT_WORD})(?![A-Za-z]))+)|(?P<word>{_WORD})|[0-9]+|\+", re.I)
 _DOT_ONLY = re.compile(rf"\s*(?:\.|(?:{_DOT_WORD}))\s*", re.I)
-_AT = re.compile(r"\s*(?:[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>])\s*", re.I)
-_DOT = re.compile(rf"\s*(?:[\[({{<]\s*(?:{_DOT_WORD}|\.)\s*[\])}}>])\s*", re.I)
-#: An address in words needs both at and dot: name at host dot org.
-_PHRASE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+(?:{_DOT_WORD})\s+)[A-Za-z0-9_%+-]+)*(?:\s+(?:at|arroba)\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+(?:{_DOT_WORD})\s+|\.)[A-Za-z0-9-]+)*\s+(?:{_DOT_WORD})\s+[A-Za-z]{{2,12}}(?![A-Za-z])", re.I)
-_PHRASE_PART = re.compile(rf"\s+(?P<at>at|arroba)\s+|\s*@\s*|\s+(?P<dot>{_DOT_WORD})\s+", re.I)
+_AT = re.compile(r"[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]", re.I)
+_DOT = re.compile(rf"[\[({{<]\s*(?:{_DOT_WORD}|\.)\s*[\])}}>]", re.I)
+#: An address in words needs both at and dot: name at host dot org. A run of white space is tried from its start only.
+_WORD_AT = re.compile(r"(?<!\s)\s+(?:at|arroba)\s+|@", re.I)
+_NAME_BACK = re.compile(r"[A-Za-z0-9_%+-]+")
+_HOST = re.compile(r"[A-Za-z0-9-]+")
+_LINK = re.compile(rf"\.|\s+(?P<dot>{_DOT_WORD})\s+", re.I)
+_LAST = re.compile(r"[A-Za-z]{2,12}(?![A-Za-z])")
+_DOT_BACK = re.compile(rf"(?:\.|\s+(?:{_DOT_WORD[::-1]})\s+)", re.I)
 _TRIGGER = re.compile(rf"[\[({{<]\s*(?:at|@|arroba|ät|{_DOT_WORD}|\.)\s*[\])}}>]|\s(?:{_DOT_WORD})\s", re.I)
 
 
@@ -144,47 +151,105 @@ def _characters(t: Tape) -> Tape:
     return t.replaced(found) if found else t
 
 
-_STRANGE_OR_SOFT = re.compile(r"[­]|[^\x00-˿]")
+_STRANGE_OR_SOFT = re.compile("[­" + "".join(x for x in _LOOKS if x < "\u0300") + "]|[^\\x00-\u02ff]")
+
+
+def _spaced(text: str, a: int, b: int) -> tuple[int, int]:
+    """[a, b) with the white space around it."""
+    while a > 0 and text[a - 1].isspace():
+        a -= 1
+    while b < len(text) and text[b].isspace():
+        b += 1
+    return a, b
+
+
+def _name(back: str, i: int, end: int) -> tuple[int, list[Part]]:
+    """Where the name that ends at i begins, not before end, and the dots and words for dots in it; back is the text backwards."""
+    n, dots = len(back), []
+    word = _NAME_BACK.match(back, n - i, n - end)
+    while word:
+        i = n - word.end()
+        link = _DOT_BACK.match(back, n - i, n - end)
+        word = link and _NAME_BACK.match(back, link.end(), n - end)
+        if word:
+            dots.append((n - link.end(), i, "."))
+    return i, dots
+
+
+def _host(text: str, i: int) -> tuple[int, list[Part]]:
+    """Where the host that begins at i ends, i if there is none, and the dots in it: words and dots, and at last a word for a dot and letters."""
+    dots, whole, end = [], 0, i
+    while word := _HOST.match(text, i):
+        link = _LINK.match(text, word.end())
+        if not link:
+            break
+        dots.append((*link.span(), "."))
+        i = link.end()
+        if link["dot"] and (last := _LAST.match(text, i)):
+            whole, end = len(dots), last.end()
+    return end, dots[:whole]
+
+
+def _phrases(text: str) -> list[Part]:
+    """Signs for the at and the words for dots of addresses in words. From each at the name is read backwards and the host forwards, so no place is read more than a few times."""
+    out: list[Part] = []
+    end, back = 0, text[::-1]
+    for m in _WORD_AT.finditer(text):
+        a, b = _spaced(text, *m.span())
+        if a < end:
+            continue
+        start, before = _name(back, a, end)
+        stop, after = _host(text, b)
+        if start < a and stop > b:
+            end = stop
+            out += [x for x in [*before[::-1], (a, b, "@"), *after] if text[x[0] : x[1]] not in ("@", ".")]
+    return out
 
 
 def _signs(t: Tape) -> Tape:
     for pattern, sign in ((_AT, "@"), (_DOT, ".")):
-        found = [(m.start(), m.end(), sign) for m in pattern.finditer(t.text)]
+        found, end = [], 0
+        for m in pattern.finditer(t.text):
+            a, b = _spaced(t.text, *m.span())
+            found.append((max(a, end), b, sign))
+            end = b
         t = t.replaced(found) if found else t
-    found = []
-    for m in _PHRASE.finditer(t.text):
-        found += [(m.start() + x.start(), m.start() + x.end(), "." if x["dot"] else "@") for x in _PHRASE_PART.finditer(m[0])]
+    found = _phrases(t.text)
     return t.replaced(found) if found else t
 
 
-Part = tuple[int, int, str]
-
-
 def _edge(group: list[Part], last: bool) -> list[Part]:
     """What of the first or last group of an ip belongs to it: a number next to the dot, or all of its single digits."""
     near = group[0] if last else group[-1]
     return [near] if len(near[2]) > 1 else group
 
 
+def _octet(group: list[Part]) -> str:
+    """The number from 0 to 255 that a group spells, as its digits; nothing if it is none."""
+    value = "".join(x[2] for x in group) if len(group) < 4 else ""
+    return value if 0 < len(value) <= 3 and int(value) <= 255 and (len(group) == 1 or len(value) == len(group)) else ""
+
+
 def _ips(groups: list[list[Part]], dots: list[Part]) -> list[Part]:
     """Replacements that make ip addresses of four groups of numbers with three dots between them, those with three dots of one form first.
 
     Single digits with dots as at the end of sentences (one. two. three. four.) are none.
     """
+    if len(dots) < 3:
+        return []
     out, used = [], set()
-    form = lambda d: "word" if "." not in d[2] else (d[2][0].isspace(), d[2][-1].isspace())
+    forms = ["word" if "." not in d[2] else (d[2][0].isspace(), d[2][-1].isspace()) for d in dots]
+    ends = [[_edge(g, last) if g else g for g in groups] for last in (False, True)]
+    left, inner, right = ([_octet(g) for g in x] for x in (ends[0], groups, ends[1]))
     for alike in (True, False):
         for i in range(len(dots) - 2):
-            three = dots[i : i + 3]
-            if used & {i, i + 1, i + 2, i + 3} or alike != (len({form(d) for d in three}) == 1):
-                continue
-            four = [_edge(groups[i], False), *groups[i + 1 : i + 3], _edge(groups[i + 3], True)]
-            values = ["".join(x[2] for x in g) for g in four]
-            if any(len(g) > 1 and any(len(x[2]) > 1 for x in g) for g in four) or not all(0 < len(v) <= 3 and int(v) <= 255 for v in values):
+            values = left[i], inner[i + 1], inner[i + 2], right[i + 3]
+            if not all(values) or alike != (forms[i] == forms[i + 1] == forms[i + 2]) or used & {i, i + 1, i + 2, i + 3}:
                 continue
-            if all(len(v) == 1 for v in values) and any(form(d) == (False, True) for d in three):
+            if all(len(v) == 1 for v in values) and (False, True) in forms[i : i + 3]:
                 continue
             used |= {i, i + 1, i + 2, i + 3}
+            four = [ends[0][i], *groups[i + 1 : i + 3], ends[1][i + 3]]
             for g in four:
                 out += g
                 out += [(x[1], y[0], "") for x, y in zip(g, g[1:], strict=False)]
@@ -251,11 +316,14 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         t = _numbers(t)
     if t.text == text:
         return []
+    # Those of a kind are in order and don't overlap, so only the last that begins before a found one can hold it.
     taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
+    starts = {k: [a for a, _ in v] for k, v in taken.items()}
     out = []
     for kind, a, b in base_spans(t.text):
         a, b = t.source(a, b)
-        if not any(x <= a and b <= y for x, y in taken[kind]):
+        k = bisect_right(starts[kind], a) - 1
+        if k < 0 or taken[kind][k][1] < b:
             out.append((kind, a, b))
     return out
 
@@ -290,11 +358,11 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts and digest of the base spans, all spans as text, and how many the method added."""
+    """Counts and digest of the base spans, all spans as text, how many the method added, and how many there are."""
     base = F.filter("spans", lambda s: ~s["added"])
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans"))
 
 
 __all__ = ["added_spans", "base_spans", "digest", "joined", "scan"]

@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("the cluster names no folder that driver and executors share: set spark.checkpoint.dir")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="recallspark-"))
         found = jsc.getCheckpointDir().get()
     return found
@@ -40,6 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of df."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 #: Rows of an Arrow batch. Texts are long: the default of 10,000 rows takes tens of MB in the JVM and again in Python.
 BATCH_ROWS = 500
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

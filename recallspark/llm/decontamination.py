@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, chunks, cut, mix, short_batches, signed, text_bytes, Words
+from .common import NOT_ALNUM, chunks, cut, mix, short_batches, signed, text_bytes, unused, Words
 
 #: Tokens of an aligned stretch, and the part of them that must be equal. Shorter items are one stretch.
 STRETCH, EQUAL = 20, 0.8
@@ -277,8 +277,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark item, judged by their texts whatever their ids; all columns stay."""
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    gone = leaks(docs.withColumn("doc_id", key), benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, key == F.col("_gone"), "left_anti")
+    (gone,) = unused(docs, "_gone")
+    found = leaks(docs.withColumn("doc_id", key), benchmark).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, key == F.col(gone), "left_anti")
 
 
 __all__ = ["MASKS", "Side", "alignment", "keep_clean", "leaks", "masks_of", "matches", "needed", "seeds"]

@@ -2,24 +2,25 @@
 
 Each task first inserts its texts into compressed radix tries of its own, which leaves one row for each
 different text of the task (a hot text costs one row a task, not one a copy). Those go to partitions by
-length and content hash, sorted, and are inserted as full byte strings into a trie for each key, so two
-texts are one only if all bytes are. A terminal node holds the smallest identifier and the count (the
+length and content hash, sorted, and all of a partition are inserted as full byte strings into one trie, so two
+texts are one only if all bytes are; different ones of one length and hash end the job. A terminal node holds the smallest identifier and the count (the
 largest one where that row is to stay). A trie over its budget spills its largest subtree: the subtree's
-terminals leave as rows, to meet the rest of their text in the partition of their key.
+terminals leave as rows. In the first tries they meet the rest of their text in the partition of their key; in the second
+they are complete, as keys come in order and a trie spills only between two keys.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, text_bytes
+from .common import short_batches, text_bytes, unused
 
-#: Bytes of text that a task's first trie holds before it spills a subtree.
+#: Bytes of text that a trie holds before it spills a subtree.
 TRIE_BYTES = 32 << 20
 
 
@@ -104,7 +105,7 @@ def _shared(label: bytes, key: bytes, at: int) -> int:
 _PART = pa.schema([("length", pa.int64()), ("digest", pa.binary()), ("body", pa.binary()), ("owner", pa.int64()), ("n", pa.int64())])
 
 
-def _rows(found: list[tuple[bytes, object, int]], with_body: bool = True) -> Iterator[pa.RecordBatch]:
+def _rows(found: Iterable[tuple[bytes, object, int]], with_body: bool = True) -> Iterator[pa.RecordBatch]:
     size, batch = 0, []
     for key, owner, n in found:
         batch.append((len(key), hashlib.sha256(key).digest(), key if with_body else None, owner, n))
@@ -139,16 +140,17 @@ def owners(docs: DataFrame, keep: str = "smallest", trie_bytes: int = TRIE_BYTES
         yield from _rows(list(trie.items()))
 
     def second(batches):
-        trie, now = PatriciaTrie(better), None
+        trie, now, text = PatriciaTrie(better), None, None
         for b in batches:
-            ready = []
             for length, digest, body, owner, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if (length, digest) != now:
-                    ready += trie.items()
-                    trie, now = PatriciaTrie(better), (length, digest)
+                    while trie.size > trie_bytes:
+                        yield from _rows(trie.spill(), False)
+                    now, text = (length, digest), body
+                elif body != text:
+                    raise ValueError(f"two texts of {length} bytes have the hash {digest.hex()}")
                 trie.insert(body, owner, n)
-            yield from _rows(ready, False)
-        yield from _rows(list(trie.items()), False)
+        yield from _rows(trie.items(), False)
 
     rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     kind = "length long, digest binary, body binary, owner long, n long"
@@ -158,6 +160,12 @@ def owners(docs: DataFrame, keep: str = "smallest", trie_bytes: int = TRIE_BYTES
 
 
 def keep_one(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """docs without the rows whose text another row owns; all columns stay. Rows without doc_id stay."""
-    gone = owners(docs, keep).where("doc_id <> owner").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without the rows whose doc_id isn't the owner of their text; all columns stay.
+
+    A row is judged by its own text, also where others have its doc_id. Rows without doc_id stay where no row of their text has one. Repeated rows
+    of an owner all stay: they are told apart by nothing (the pipeline's stage keeps one of them).
+    """
+    text = F.unhex(F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256))
+    digest, owner = unused(docs, "_digest", "_owner")
+    found = owners(docs, keep).where("owner IS NOT NULL").select(F.col("digest").alias(digest), F.col("owner").alias(owner)).distinct()
+    return docs.join(found, (text == F.col(digest)) & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col(owner))), "left_anti")

@@ -10,14 +10,16 @@ neighbourhood on either side, so every byte of a text is labelled once and piece
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks, cut, short_batches, text_bytes
+from .common import chunks, cut, short_batches, text_bytes, unused
 
 HIDDEN, PIECE, WARM = 8, 64, 8
 #: Bound of the training sample: so many labelled texts a language, of which so many bytes each.
@@ -205,32 +207,59 @@ def identify(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     Learns from rows where learn holds (not held_out() by default) and lang is not null. lang_pred is `und` with score 0 if the text
     is null or has no letter, or if there is nothing to learn from; else the language of the largest mean probability over all bytes.
     """
-    found = sample(docs.select("doc_id", "text", "lang"), ~held_out() if learn is None else learn)
-    model = train(found) if found else Model([], [], [], np.zeros(0), np.zeros(0))
+    model = learned(docs, learn)
 
     def work(batches):
         for batch in batches:
-            for i, j in chunks(batch.column(1)):
-                texts = batch.column(1).slice(i, j - i)
-                if model.languages:
-                    p = pooled(model, texts)
-                    best = p.argmax(1)
-                    names, scores = [model.languages[k] for k in best], np.clip(p[np.arange(len(p)), best], 0, 1)
-                else:
-                    names, scores = [UNKNOWN] * (j - i), np.zeros(j - i)
-                letters = [bool(_LETTER.search(x)) for x in texts.cast(pa.string()).to_pylist()]
-                names = [x if y else UNKNOWN for x, y in zip(names, letters, strict=True)]
-                scores = np.where(letters, scores, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+            for i, j, names, scores in _named(model, batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), names, scores], names=["doc_id", "lang_pred", "score"])
 
     rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     return rows.mapInArrow(work, "doc_id long, lang_pred string, score double")
 
 
+def learned(docs: DataFrame, learn: Column | None = None) -> Model:
+    found = sample(docs.select("doc_id", "text", "lang"), ~held_out() if learn is None else learn)
+    return train(found) if found else Model([], [], [], np.zeros(0), np.zeros(0))
+
+
+def _named(model: Model, bodies: pa.Array) -> Iterator[tuple[int, int, pa.Array, pa.Array]]:
+    """For ranges of texts: their languages and scores."""
+    for i, j in chunks(bodies):
+        texts = bodies.slice(i, j - i)
+        if model.languages:
+            p = pooled(model, texts)
+            best = p.argmax(1)
+            names, scores = [model.languages[k] for k in best], np.clip(p[np.arange(len(p)), best], 0, 1)
+        else:
+            names, scores = [UNKNOWN] * (j - i), np.zeros(j - i)
+        letters = [bool(_LETTER.search(x)) for x in texts.cast(pa.string()).to_pylist()]
+        names = [x if y else UNKNOWN for x, y in zip(names, letters, strict=True)]
+        yield i, j, pa.array(names, pa.string()), pa.array(np.where(letters, scores, 0.0))
+
+
+def labelled(docs: DataFrame, name: str = "lang_pred", score: str = "score", learn: Column | None = None) -> DataFrame:
+    """docs with the language and score of each row's own text beside its columns, in one pass without a shuffle; columns of these names are replaced."""
+    model = learned(docs, learn)
+    (body,) = unused(docs, "_body")
+    kept = docs.drop(name, score)
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())])
+
+    def work(batches):
+        for batch in batches:
+            for i, j, names, scores in _named(model, batch.column(batch.num_columns - 1)):
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], names, scores], names=schema.names)
+
+    # By place, as columns may have any names.
+    return short_batches(kept).withColumn(body, text_bytes()).toDF(*(f"c{k}" for k in range(len(schema) - 1))).mapInArrow(work, schema)
+
+
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without the rows that get no language; all columns stay."""
-    gone = identify(docs).where(F.col("lang_pred") == UNKNOWN).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without the rows that get no language, each judged by its own text; all columns stay, and a null lang becomes the predicted one."""
+    name, score = unused(docs, "_lang", "_score")
+    kept = labelled(docs, name, score).where(F.col(name) != UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", name)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-__all__ = ["Model", "cut", "held_out", "identify", "keep_known", "positions", "sample", "train"]
+__all__ = ["Model", "cut", "held_out", "identify", "keep_known", "labelled", "learned", "positions", "sample", "train"]

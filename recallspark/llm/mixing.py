@@ -9,6 +9,8 @@ which one cell of about a 16-millionth of a source is put in order; no task hold
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,15 +47,21 @@ def uniform(key: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def mix(docs: DataFrame, weight: Column | None = None) -> DataFrame:
+def by_size(size: Column) -> Column:
+    """Inclusion odds in proportion to the square root of the size."""
+    return F.sqrt(size)
+
+
+def mix(docs: DataFrame, weight: Callable[[Column], Column] | Column | None = None) -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, copies, taken for every row.
 
-    Size is the number of words; null text has none. weight multiplies a document's inclusion odds (none: all alike).
+    Size is the number of words; null text has none. weight multiplies a document's inclusion odds: a column of docs, or a function of the size (none: all alike).
     Rows with the same doc_id get the same rank; ties are ordered by doc_id and source. The words that a
     source takes differ from its target by half a document's size at most.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD.replace("]+", "]++"))), F.lit(0)).cast("long").alias("size"), (F.lit(1.0) if weight is None else F.greatest(weight.cast("double"), F.lit(1e-9))).alias("w"))
-    base = cut(base)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD.replace("]+", "]++"))), F.lit(0)).cast("long").alias("size"), *([weight.cast("double").alias("w")] if isinstance(weight, Column) else []))
+    own = F.lit(1.0) if weight is None else F.col("w") if isinstance(weight, Column) else weight(F.col("size")).cast("double")
+    base = cut(base.withColumn("w", F.greatest(own, F.lit(1e-9))))
     plan = shares(base.groupBy("source").agg(F.sum("size").alias("source_size")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.least(F.floor(ratio), F.lit(MOST)).cast("long"))

@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix, short_batches, signed, text_bytes, Words
+from .common import chunks, cut, mix, short_batches, signed, text_bytes, unused, Words
 from .components import components
 
 BANDS, ROWS = 20, 4
 #: Classes of a bucket that are compared in one task with as many others.
 BLOCK = 512
+#: Members of a bucket that meet its head in one stream.
+STREAM = 64
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -135,7 +137,7 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _against_heads(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (head, rep, members of the bucket) -> links (u, v) whose sets are alike. A head meets its members in a stream, split by salt where they are many."""
-    salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / (2 * BLOCK)))
+    salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / STREAM))
     pairs = pairs.withColumn("salt", salt)
     heads = pairs.select("head", "salt").distinct().join(sets.withColumnRenamed("rep", "head"), "head").select("head", "salt", F.lit(0).alias("turn"), F.col("head").alias("rep"), "s")
     rest = pairs.join(sets, "rep").select("head", "salt", F.lit(1).alias("turn"), "rep", "s")
@@ -235,6 +237,14 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are linked to a smaller doc_id; five words a shingle. All columns stay."""
-    gone = near_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without the rows whose own text is linked to that of a smaller doc_id; five words a shingle. All columns stay.
+
+    Texts are linked, whatever ids their rows have; rows without doc_id come after all others. Repeated rows of one doc_id and text all stay.
+    """
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    found = near_groups(docs.withColumn("doc_id", key)).where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    rows = docs.select(key.alias("key"), "doc_id").join(found, "key").select("component_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("me"))
+    best = rows.groupBy("component_id").agg(F.min("me").alias("best"))
+    text, id_ = unused(docs, "_key", "_id")
+    gone = cut(rows.join(best, "component_id").where("me <> best").select(F.col("me.key").alias(text), F.col("me.doc_id").alias(id_)).distinct())
+    return docs.join(gone, (key == F.col(text)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")

@@ -41,7 +41,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.by_size).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +100,14 @@ steps AS (
   FROM steps WHERE step < 40),
 targets AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM steps WHERE step = 40),
 ranked AS (
-  SELECT doc_id, size, source_size, target, whole, target - whole * source_size AS remains,
-    sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR)[:12], doc_id ROWS UNBOUNDED PRECEDING) AS through
-  FROM base JOIN targets USING (source))
-SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN remains > 0 AND through - size / 2.0::DOUBLE <= remains THEN 1 ELSE 0 END)::BIGINT AS taken FROM ranked
+  SELECT doc_id, size, source_size, target, whole, source,
+    target - whole * source_size AS rest, (('0x' || md5(doc_id::VARCHAR)[:12])::UBIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+  FROM base JOIN targets USING (source)),
+placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY (u / (1.0::DOUBLE - u)) / (sqrt(size) * (rest / source_size) / (1.0::DOUBLE - rest / source_size)), doc_id ROWS UNBOUNDED PRECEDING) AS through
+  FROM ranked WHERE size > 0 AND rest > 0
+  UNION ALL SELECT *, NULL FROM ranked WHERE NOT (size > 0 AND rest > 0))
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN through - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END)::BIGINT AS taken FROM placed
 """
 
 _NEAR = rf"""

@@ -108,13 +108,15 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     if redirects is not None:
         edges = edges.unionByName(redirects.where("url IS NOT NULL AND target IS NOT NULL").select("url", "target"))
     edges = edges.select(key_of(F.col("url")).alias("x"), key_of(F.col("target")).alias("y"), "url", "target").where("x IS NOT NULL AND y IS NOT NULL AND x <> y")
-    edges = cut(edges.select(F.xxhash64("x").alias("u"), F.xxhash64("y").alias("v"), "url", "target").distinct())
+    edges = cut(edges.select(F.xxhash64("x").alias("u"), F.xxhash64("y").alias("v"), "x", "y", "url", "target").distinct())
     groups = cut(components(edges.select("u", "v")))
     ends = edges.select(F.col("u").alias("node"), "url").unionByName(edges.select(F.col("v").alias("node"), F.col("target").alias("url")))
     ruled = ends.select("node", fitting(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"].alias("own")).where("own IS NOT NULL").distinct()
     carried = ruled.join(groups, "node").groupBy("component").agg(F.min("own").alias("carried"))  # allow is before block
-    known = groups.join(carried, "component", "left").select(F.col("node").alias("n"), "component", "carried")
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64(key_of(F.col("url"))).alias("node"))
+    # A url belongs to a component by its whole key, not by the hash alone.
+    keys = edges.select(F.col("u").alias("node"), F.col("x").alias("key")).unionByName(edges.select(F.col("v").alias("node"), F.col("y").alias("key"))).distinct()
+    known = groups.join(carried, "component", "left").join(keys, "node").select("key", "component", "carried")
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), key_of(F.col("url")).alias("own_key"))
     rows = rows.withColumn("own", fitting(F.col("host"), F.col("path"), rules))
-    out = rows.join(known, (F.col("node") == F.col("n")) & (F.col("host") != ""), "left")
+    out = rows.join(known, F.col("own_key") == F.col("key"), "left")
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "carried", F.lit("allow")).alias("verdict"), "component")

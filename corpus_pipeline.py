@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.llm import decontamination, exact_dedup, language_id, mixing, near_dedup
-from recallspark.llm.common import cut, shared_dir, table
+from recallspark.llm.common import cut, shared_dir, table, unused
 from recallspark.llm.url_filter import LOWER, UPPER
 
 
@@ -25,58 +25,57 @@ def _by_text(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", F.xxhash64(_text()))
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose text's hash is among the doc_ids of gone."""
-    return docs.join(gone.select(F.col("doc_id").alias("_key")).distinct(), F.xxhash64(_text()) == F.col("_key"), "left_anti")
-
-
 def _apply(docs: DataFrame, key: Column, special: DataFrame) -> DataFrame:
-    """docs with the rows of special (_key, _id, _stays) gone, but for one row, the smallest, of each _key that stays; all columns stay."""
-    same = (key == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    whole = F.struct(*(F.col(c) for c in docs.columns))
-    again = docs.join(special.where("_stays"), same, "left_semi").groupBy(key.alias("_key")).agg(F.min(whole).alias("_row")).select("_row.*")
-    return docs.join(special, same, "left_anti").unionByName(again)
+    """docs with the rows of special (key, id, stays) gone, but for one row, the first as JSON, of each key that stays; all columns stay, whatever their names."""
+    k, i, stays, row = unused(docs, "_key", "_id", "_stays", "_row")
+    special = special.withColumnsRenamed({"key": k, "id": i, "stays": stays})
+    same = (key == F.col(k)) & F.col("doc_id").eqNullSafe(F.col(i))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    again = docs.join(special.where(F.col(stays)), same, "left_semi").groupBy(key.alias(k)).agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*")
+    return docs.join(special.drop(stays), same, "left_anti").unionByName(again)
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter) go."""
-    return _without(docs, language_id.identify(_by_text(docs)).where(F.col("lang_pred") == language_id.UNKNOWN))
+    """Documents without a language (null, or no letter) go; a null lang of the others becomes the language that the network finds."""
+    return language_id.keep_known(docs)
 
 
 def exact_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one row with the smallest doc_id stays; rows without doc_id come last."""
-    found = exact_dedup.owners(docs).groupBy(F.col("digest").alias("_key"), F.col("doc_id").alias("_id")).agg(F.first("owner").alias("owner"), F.count("*").alias("n"))
-    stays = F.col("_id").eqNullSafe(F.col("owner"))
-    special = cut(found.where(~stays | (F.col("n") > 1)).select("_key", "_id", stays.alias("_stays")))
+    found = exact_dedup.owners(docs).groupBy(F.col("digest").alias("key"), F.col("doc_id").alias("id")).agg(F.first("owner").alias("owner"), F.count("*").alias("n"))
+    stays = F.col("id").eqNullSafe(F.col("owner"))
+    special = cut(found.where(~stays | (F.col("n") > 1)).select("key", "id", stays.alias("stays")))
     return _apply(docs, F.unhex(F.sha2(F.translate(_text(), UPPER, LOWER).cast("binary"), 256)), special)
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents, one row with the smallest doc_id stays; rows without doc_id come last."""
-    groups = near_dedup.near_groups(_by_text(docs)).where("n_shingles > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.first("component_id").alias("component"))
-    rows = docs.select(F.xxhash64(_text()).alias("_key"), F.col("doc_id").alias("_id")).groupBy("_key", "_id").agg(F.count("*").alias("n"))
-    rows = cut(rows.join(groups, "_key"))
-    me = F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")
+    groups = near_dedup.near_groups(_by_text(docs)).where("n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("component"))
+    rows = docs.select(F.xxhash64(_text()).alias("key"), F.col("doc_id").alias("id")).groupBy("key", "id").agg(F.count("*").alias("n"))
+    rows = cut(rows.join(groups, "key"))
+    me = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     best = rows.groupBy("component").agg(F.min(me).alias("best"), F.sum("n").alias("all")).where("all > 1")
     stays = me == F.col("best")
-    special = cut(rows.join(best, "component").where(~stays | (F.col("n") > 1)).select("_key", "_id", stays.alias("_stays")))
+    special = cut(rows.join(best, "component").where(~stays | (F.col("n") > 1)).select("key", "id", stays.alias("stays")))
     return _apply(docs, F.xxhash64(_text()), special)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, decontamination.leaks(_by_text(docs), table(spark, sf_dir, "benchmark")))
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the number of copies that the mix takes, where that is one or more.
 
-    Rows without doc_id or source are mixed like others. Rows with the same doc_id and source each get the largest figures among them.
+    Rows without doc_id or source are mixed like others. Rows with the same doc_id and source each get the largest figures among them. Columns
+    named like the four figures are replaced; all others stay.
     """
     figures = ("source_size", "target", "copies", "taken")
-    plan = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(*(F.max(c).alias(c) for c in figures))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    return docs.drop(*figures, "_id", "_source").join(plan, same).drop("_id", "_source")
+    i, s = unused(docs, "_id", "_source")
+    plan = mixing.mix(docs, mixing.by_size).where("copies > 0").groupBy(F.col("doc_id").alias(i), F.col("source").alias(s)).agg(*(F.max(c).alias(c) for c in figures))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s))
+    return docs.drop(*figures).join(plan, same).drop(i, s)
 
 
 STAGES = [("language_id", identified), ("exact_dedup", exact_deduplicated), ("near_dedup", near_deduplicated), ("decontamination", decontaminated), ("mixing", mixed)]
@@ -86,10 +85,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over documents, each written as Parquet below the shared folder and read again."""
+    """Every stage over documents, each written as Parquet below the shared folder and read again. Each is removed when the next is written; the last stays."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return docs

@@ -26,8 +26,8 @@ class Chunking:
 class Maintenance:
     enabled: bool = True
     interval_hours: float = 24.0
-    retention_days: float | None = None
-    max_bytes: int | None = None
+    retention_days: float | None = 90.0
+    max_bytes: int | None = 100 * 1024 * 1024
 
 
 @dataclass(frozen=True)

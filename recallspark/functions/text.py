@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import struct
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,15 +94,18 @@ def role(c: Column) -> Column:
 
 
 def split_text(c: Column, most: int = 512) -> Column:
-    """Paragraphs packed greedily while they fit into `most` tokens; one that doesn't fit by itself stays whole."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    """Paragraphs packed greedily while they fit into `most` tokens; one that doesn't fit by itself stays whole. The length of the piece in hand is kept, not measured again."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).cast("long").alias("n"))
 
     def step(acc, p):
-        joined = F.when(acc["now"] == "", p).otherwise(F.concat(acc["now"], F.lit("\n\n"), p))
-        over = (estimate_tokens(joined) > most) & (acc["now"] != "")
-        return F.struct(F.when(over, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), F.when(over, p).otherwise(joined).alias("now"))
-
-    packed = F.aggregate(F.split(c, r"\n{2,}"), start, step, lambda acc: F.when(acc["now"] != "", F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
+        empty = acc["now"] == ""
+        joined = acc["n"] + 2 + p["n"]
+        over = ~empty & (F.ceil(joined / 4.0) > most)
+        fresh = empty | over
+        return F.struct(F.when(over, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), F.when(fresh, p["t"]).otherwise(F.concat(acc["now"], F.lit("\n\n"), p["t"])).alias("now"), F.when(fresh, p["n"]).otherwise(joined).alias("n"))
+
+    paragraphs = F.transform(F.split(c, r"\n{2,}"), lambda t: F.struct(t.alias("t"), units(t).alias("n")))
+    packed = F.aggregate(paragraphs, start, step, lambda acc: F.when(acc["now"] != "", F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
     return F.when(estimate_tokens(c) <= most, F.array(c)).otherwise(packed)
 
 
@@ -177,12 +179,29 @@ def compare_boundary(left: Column, right: Column) -> Column:
     return F.when(both("source_offset"), offset).when(both("delivery_sequence"), order(left["sequence"], right["sequence"], F.lit("equal"))).otherwise("incomparable")
 
 
+#: What a text must hold, in small letters, for each of CREDENTIALS to find anything: one of some strings.
+_HINTS = [
+    ("private key-----",), ("://",), ("-u", "--user"), ("--",), ("authorization",), ("aws_secret_access_key", "database_url"), ("key", "password", "token", "secret"), ("key", "password", "token", "secret"),
+    ("sk-", "gh"), ("akia", "asia"), ("_live_", "_test_"), ("xox",), ("glpat-",), ("npm_",), ("aiza",), ("eyj",),
+]
+
+
 def mask(c: Column) -> Column:
-    for pattern, new in CREDENTIALS:
-        c = F.regexp_replace(c, pattern, new)
+    """Credentials replaced, pattern after pattern; a pattern runs only over texts that hold one of its hints, which what replaces others never adds."""
+    low = F.lower(c)
+    for (pattern, new), hints in zip(CREDENTIALS, _HINTS, strict=True):
+        some = F.contains(low, F.lit(hints[0]))
+        for h in hints[1:]:
+            some = some | F.contains(low, F.lit(h))
+        c = _where(some, c, pattern, new)
     return c
 
 
+def _where(some: Column, c: Column, pattern: str, new: str) -> Column:
+    """c with the pattern replaced where some holds. c is bound by a lambda, so that a chain of these grows by one each and doesn't double."""
+    return F.element_at(F.transform(F.array(c), lambda x: F.when(some, F.regexp_replace(x, pattern, new)).otherwise(x)), 1)
+
+
 def scrub(c: Column) -> Column:
     return F.regexp_replace(c, CONTROL, "�")
 
@@ -227,10 +246,21 @@ def summary_text(**fields: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def vec_to_hex(v: pd.Series) -> pd.Series:
-    """float32 values in native (little-endian) byte order as hex."""
-    return v.map(lambda x: None if x is None else struct.pack(f"<{len(x)}f", *x).hex())
+    """float32 values in little-endian byte order as hex; all vectors of a batch are encoded at once."""
+    there = v.notna().to_numpy()
+    sizes = np.array([len(x) for x in v[there]], np.int64) * 8
+    digits = np.concatenate([np.asarray(x, "<f4") for x in v[there]]).tobytes().hex() if len(sizes) else ""
+    ends = np.cumsum(sizes)
+    out = pd.Series([None] * len(v), index=v.index, dtype=object)
+    out[there] = [digits[b - n : b] for b, n in zip(ends, sizes, strict=True)]
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def hex_to_vec(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else list(struct.unpack(f"<{len(x) // 8}f", bytes.fromhex(x))))
+    there = s.notna().to_numpy()
+    sizes = np.array([len(x) // 8 for x in s[there]], np.int64)
+    flat = np.frombuffer(bytes.fromhex("".join(s[there])), "<f4")
+    out = pd.Series([None] * len(s), index=s.index, dtype=object)
+    out[there] = pd.Series(np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else [], index=s.index[there], dtype=object)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, truncate_output
+from ..functions.text import LOWER, UPPER, ascii_lower, truncate_output
 
 KEY = ("runtime", "project", "session", "command")
 
@@ -37,7 +37,8 @@ def resolutions(obs: DataFrame) -> DataFrame:
 
 def search_resolutions(found: DataFrame, q: str, project: str | None = None, limit: int = 50) -> DataFrame:
     """The newest resolutions whose command or an excerpt contains q, A-Z in any case."""
-    like = "%" + q.lower() + "%"
+    # The same fold for both sides: A-Z only.
+    like = "%" + q.translate(str.maketrans(UPPER, LOWER)).replace("\\", "\\\\") + "%"
     hit = ascii_lower(F.col("command")).like(like) | ascii_lower(F.col("failure_excerpt")).like(like) | ascii_lower(F.col("success_excerpt")).like(like)
     if project is not None:
         hit = hit & (F.col("project") == project)
@@ -61,7 +62,7 @@ def extract_executions(uses: DataFrame, results: DataFrame) -> DataFrame:
     return found.select("session", "message", "tool_name", "command", status.alias("status"), truncate_output(F.col("first")).alias("output_excerpt"), index.alias("execution_index"))
 
 
-def replace_turn(obs: DataFrame, incoming: DataFrame) -> DataFrame:
-    """obs with the executions of incoming's turns (runtime, session, turn_key) replaced by incoming's."""
+def replace_turn(obs: DataFrame, incoming: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+    """obs with the executions of turns (runtime, session, turn_key; default: incoming's) replaced by incoming's; a turn may have none."""
     key = ["runtime", "session", "turn_key"]
-    return obs.join(incoming.select(*key).distinct(), key, "left_anti").unionByName(incoming)
+    return obs.join((incoming if turns is None else turns).select(*key).distinct(), key, "left_anti").unionByName(incoming.select(*obs.columns))

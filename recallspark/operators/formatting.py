@@ -26,13 +26,25 @@ def hook_output(text: Column, event: str) -> Column:
     return F.to_json(F.struct(F.struct(F.lit(event).alias("hookEventName"), text.alias("additionalContext")).alias("hookSpecificOutput")))
 
 
+def _ends(chunks: DataFrame) -> DataFrame:
+    """chunks with whether each is the first and the last of its session. No session is brought together: only its first and last index are."""
+    ends = chunks.groupBy("session").agg(F.min("chunk_index").alias("_low"), F.max("chunk_index").alias("_high"))
+    return chunks.join(ends, "session").withColumn("_first", F.col("chunk_index") == F.col("_low")).withColumn("_last", F.col("chunk_index") == F.col("_high"))
+
+
 def export_json(chunks: DataFrame) -> DataFrame:
-    """One JSON document a session."""
-    c = F.struct("chunk_index", "role", "content", "created_at")
-    return chunks.groupBy("session").agg(F.to_json(F.array_sort(F.collect_list(c))).alias("document"))
+    """session, chunk_index, line: the lines of a session, in order of chunk_index, are one JSON array of its chunks. Times are ISO texts."""
+    made = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at") if dict(chunks.dtypes)["created_at"].startswith("timestamp") else F.col("created_at")
+    line = F.concat(F.when(F.col("_first"), "[").otherwise(","), F.to_json(F.struct("chunk_index", "role", "content", made)), F.when(F.col("_last"), "]").otherwise(""))
+    return _ends(chunks).select("session", "chunk_index", line.alias("line"))
 
 
 def export_markdown(chunks: DataFrame) -> DataFrame:
-    c = F.struct("chunk_index", F.concat(F.lit("### "), F.col("role"), F.lit("\n\n"), F.col("content")).alias("t"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "\n\n")
-    return chunks.groupBy("session").agg(F.concat(F.lit("# "), F.first("session"), F.lit("\n\n"), text, F.lit("\n")).alias("document"))
+    """session, chunk_index, line: the lines of a session, in order of chunk_index and joined by newlines, are one document."""
+    head = F.when(F.col("_first"), F.concat(F.lit("# "), F.col("session").cast("string"), F.lit("\n\n"))).otherwise("")
+    return _ends(chunks).select("session", "chunk_index", F.concat(head, F.lit("### "), F.col("role"), F.lit("\n\n"), F.coalesce("content", F.lit("")), F.lit("\n")).alias("line"))
+
+
+def write_export(lines: DataFrame, path: str) -> None:
+    """Lines as text files, in order of session and chunk, a hot session over several files."""
+    lines.repartitionByRange("session", "chunk_index").sortWithinPartitions("session", "chunk_index").select(F.col("line").alias("value")).write.text(path)

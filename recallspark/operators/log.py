@@ -38,13 +38,20 @@ def frames(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return g.where("valid").select("file", "tx_id", "created_at", "begin_offset", "digest", "payloads"), bad.unionByName(orphan).unionByName(broken)
 
 
+#: Fixed value: bytes of a record in a transaction.
+MOST_BYTES = 4 * 1024 * 1024
+
+
 def serialize_frame(payloads: DataFrame) -> DataFrame:
-    """payloads (tx_id, created_at, no, line) -> tx_id, lines: begin, payloads in order, commit with count and digest."""
-    g = payloads.groupBy("tx_id", "created_at").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]).alias("body"))
+    """payloads (tx_id, created_at, no, line) -> tx_id, lines (begin, payloads in order of no, commit with count and digest), digest. A payload over MOST_BYTES is an error."""
+    fits = F.octet_length("line") <= MOST_BYTES
+    line = F.when(fits, F.col("line")).otherwise(F.raise_error(F.concat(F.lit("a record is too long in transaction "), F.col("tx_id"))).cast("string"))
+    g = payloads.groupBy("tx_id", "created_at").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", line.alias("line")))), lambda x: x["line"]).alias("body"))
     head = lambda kind: [F.lit(2).alias("v"), F.lit(kind).alias("type"), F.col("tx_id").alias("txId")]
+    g = g.withColumn("digest", payload_digest(F.col("body")))
     begin = F.to_json(F.struct(*head("tx_begin"), F.col("created_at").alias("createdAt")))
-    end = F.to_json(F.struct(*head("tx_commit"), F.size("body").alias("recordCount"), payload_digest(F.col("body")).alias("payloadDigest"), F.col("created_at").alias("createdAt")))
-    return g.select("tx_id", F.concat(F.array(begin), F.col("body"), F.array(end)).alias("lines"))
+    end = F.to_json(F.struct(*head("tx_commit"), F.size("body").alias("recordCount"), F.col("digest").alias("payloadDigest"), F.col("created_at").alias("createdAt")))
+    return g.select("tx_id", F.concat(F.array(begin), F.col("body"), F.array(end)).alias("lines"), "digest")
 
 
 def one_payload_each(committed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,3 +102,8 @@ def latest_by_id(records: DataFrame) -> DataFrame:
     """Each external id once, its last record in order of file and line."""
     w = Window.partitionBy("external_id").orderBy(F.desc("file"), F.desc("line_no"))
     return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def insert_count(legacy: DataFrame, turns: DataFrame) -> DataFrame:
+    """One row, chunks: the chunks that a rebuild stores, legacy ones and the parts of turns."""
+    return legacy.select(F.lit(1).alias("n")).unionByName(turns.select(F.size("parts").alias("n"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,9 +34,36 @@ def keywords(text: str, least: int = 3, most_grams: int = 8) -> list[str]:
     return list(out.values())
 
 
+@dataclass(frozen=True)
+class Term:
+    """What a keyword looks for: a text, anywhere or only at the start of the content."""
+
+    text: str
+    initial: bool = False
+
+
+_PIECE = r'(?:[A-Za-z0-9_\u0080-\U0010ffff]+|"(?:[^"]|"")*")'
+
+
+def term(keyword: str) -> Term | None:
+    """A keyword in the full-text query language: a plain string of letters, digits, _ and non-ASCII, or a quoted one; ^ before it looks at the start, * after it changes
+    nothing, as all pieces have three characters, and + puts strings together, which must overlap by two characters as their pieces follow each other. None if the language rejects it.
+    """
+    if not re.fullmatch(rf"\^?{_PIECE}(?:\+{_PIECE})*\*?", keyword):
+        return None
+    pieces = re.findall(_PIECE, keyword)
+    if len(pieces) == 1 and keyword in ("AND", "OR", "NOT"):
+        return None
+    plain = [p for p in (x[1:-1].replace('""', '"') if x[0] == '"' else x for x in pieces) if len(p) >= 3]
+    text = plain[0] if plain else ""
+    for p in plain[1:]:
+        text = text + p[2:] if text and text[-2:].lower() == p[:2].lower() else ""
+    return Term(text, keyword[0] == "^")
+
+
 def accepted(keyword: str) -> bool:
-    """Whether the full-text query language takes the keyword as a plain string: letters, digits, _ and non-ASCII, and none of its operators."""
-    return bool(re.fullmatch(r"[A-Za-z0-9_\u0080-\U0010ffff]+", keyword)) and keyword not in ("AND", "OR", "NOT")
+    """Whether the full-text query language takes the keyword."""
+    return term(keyword) is not None
 
 
 def fts_match(chunks: DataFrame, keyword: str) -> DataFrame:
@@ -43,38 +71,84 @@ def fts_match(chunks: DataFrame, keyword: str) -> DataFrame:
     return chunks.where(F.contains(F.lower("content"), F.lit(keyword.lower())) & F.lit(len(keyword) >= 3))
 
 
-def bm25(chunks: DataFrame, words: list[str], project: str | None = None, k: int | None = 20) -> DataFrame:
-    """id, keyword, rank (negative, the best is the smallest) and place of the k best chunks for each keyword.
+def _rank(f: Column, n: Column, docs: Column, size: Column, mean: Column) -> Column:
+    idf = F.log((docs - n + 0.5) / (n + 0.5))
+    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
+    return -idf * (f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)))
 
-    Statistics are over all chunks, also where project narrows the result: one row of sums, taken from the same scan for all keywords. Only ids and
-    counts go on from the scan, and a chunk for a keyword only if it has it. An occurrence is counted wherever it begins, overlaps too.
-    """
-    words = [w for w in words if len(w) >= 3]
-    if not words:
-        return chunks.select("id", F.lit(0).alias("no"), F.lit("").alias("keyword"), F.lit(0.0).alias("rank"), F.lit(0).alias("place")).limit(0)
+
+def _scanned(chunks: DataFrame, terms: list[Term], project: str | None) -> DataFrame:
+    """no, keyword, id, rank from the contents: one scan for the statistics and one for the rows, for all keywords together."""
     t = F.lower("content")
-    count = [F.regexp_count(t, F.lit("(?=" + re.escape(w.lower()) + ")")).cast("double").alias(f"f{i}") for i, w in enumerate(words)]
-    seen = chunks.select("id", *([F.col("project")] if "project" in chunks.columns else []), F.greatest(F.length("content") - 2, F.lit(0)).cast("double").alias("size"), *count)
-    stats = seen.agg(F.count("*").cast("double").alias("docs"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(words))])
+
+    def count(x: Term) -> Column:
+        low = x.text.lower()
+        # Most rows don't have the word at all, which is cheaper to see than how often it occurs.
+        return F.startswith(t, F.lit(low)).cast("double") if x.initial else F.when(F.contains(t, F.lit(low)), F.regexp_count(t, F.lit("(?=" + re.escape(low) + ")"))).otherwise(0).cast("double")
+
+    seen = chunks.select("id", *([F.col("project")] if "project" in chunks.columns else []), F.greatest(F.length("content") - 2, F.lit(0)).cast("double").alias("size"), *[count(x).alias(f"f{i}") for i, x in enumerate(terms)])
+    stats = seen.agg(F.count("*").cast("double").alias("docs"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(terms))])
     if project is not None:
         seen = seen.where(F.col("project") == project)
     both = seen.crossJoin(F.broadcast(stats))  # one row
+    rank = lambda i: _rank(F.col(f"f{i}"), F.col(f"n{i}"), F.col("docs"), F.col("size"), F.col("mean"))
+    return both.select("id", F.explode(F.filter(F.array(*[F.when(F.col(f"f{i}") > 0, F.struct(F.lit(i).alias("no"), F.lit(x.text).alias("keyword"), rank(i).alias("rank"))) for i, x in enumerate(terms)]), lambda x: x.isNotNull())).alias("x")).select("id", "x.*")
 
-    def rank(i: int) -> Column:
-        f, n = F.col(f"f{i}"), F.col(f"n{i}")
-        idf = F.log((F.col("docs") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        return -idf * (f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / F.col("mean"))))
 
-    each = both.select("id", F.explode(F.filter(F.array(*[F.when(F.col(f"f{i}") > 0, F.struct(F.lit(i).alias("no"), F.lit(w).alias("keyword"), rank(i).alias("rank"))) for i, w in enumerate(words)]), lambda x: x.isNotNull())).alias("x")).select("id", "x.*")
+def _indexed(index: DataFrame, terms: list[Term], project: str | None) -> DataFrame:
+    """The same from the postings of the keywords' pieces."""
+    from . import postings
+
+    docs, mean = postings.totals(index)
+    seen = postings.occurrences(index, [(x.text, x.initial) for x in terms])
+    often = seen.groupBy("no").agg(F.count("*").cast("double").alias("n"))  # a row a keyword
+    if project is not None:
+        seen = seen.where(F.col("project") == project)
+    keyword = F.element_at(F.array(*[F.lit(x.text) for x in terms]), F.col("no") + 1)
+    return seen.join(F.broadcast(often), "no").select("no", keyword.alias("keyword"), "id", _rank(F.col("f"), F.col("n"), F.lit(float(docs)), F.col("size"), F.lit(float(mean))).alias("rank"))
+
+
+def bm25(chunks: DataFrame, words: list[str | Term], project: str | None = None, k: int | None = 20, index: DataFrame | None = None) -> DataFrame:
+    """id, no, keyword, rank (negative, the best is the smallest) and place of the k best chunks for each keyword, from the contents or, if there is one, from the index.
+
+    Statistics are over all chunks, also where project narrows the result. Only ids and counts go on from the scan, and a chunk for a keyword only
+    if it has it. An occurrence is counted wherever it begins, overlaps too.
+    """
+    terms = [x for x in (w if isinstance(w, Term) else Term(w) for w in words) if len(x.text) >= 3]
+    if not terms:
+        return chunks.select("id", F.lit(0).alias("no"), F.lit("").alias("keyword"), F.lit(0.0).alias("rank"), F.lit(0).alias("place")).limit(0)
+    each = _scanned(chunks, terms, project) if index is None else _indexed(index, terms, project)
     place = F.row_number().over(Window.partitionBy("no").orderBy("rank", "id"))
-    out = each.withColumn("place", place)
+    out = each.withColumn("place", place).select("id", "no", "keyword", "rank", "place")
     return out if k is None else out.where(F.col("place") <= k)
 
 
-def search_keywords(chunks: DataFrame, words: list[str], project: str | None = None, limit: int = 20) -> DataFrame:
+def words_of(c: Column, least: int = 1) -> Column:
+    """Lower-cased runs of letters a to z of some length."""
+    return F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: F.length(x) >= max(1, least))
+
+
+def bm25_batch(docs: DataFrame, queries: DataFrame, k: int = 5, least: int = 1) -> DataFrame:
+    """docs (id, content), queries (query_id, text) -> query_id, id, score, place: the k best documents by whole words for each of many queries, in one job.
+
+    The words of the documents are joined with those that some query has; idf, size (in words) and mean size as in bm25, with positive scores.
+    Words of fewer than `least` letters count for nothing, in sizes neither.
+    """
+    w = words_of(F.col("content"), least)
+    q = queries.select("query_id", F.explode(F.array_distinct(words_of(F.col("text"), least))).alias("w"))
+    each = docs.select("id", F.size(w).cast("double").alias("size"), w.alias("words"))
+    stats = each.agg(F.count("*").cast("double").alias("docs"), F.avg("size").alias("mean"))
+    t = each.select("id", "size", F.explode("words").alias("w")).join(q.select("w").distinct(), "w", "left_semi").groupBy("id", "size", "w").agg(F.count("*").cast("double").alias("f"))
+    n = t.groupBy("w").agg(F.count("*").cast("double").alias("n"))
+    part = -_rank(F.col("f"), F.col("n"), F.col("docs"), F.col("size"), F.col("mean"))
+    s = t.join(n, "w").join(q, "w").crossJoin(F.broadcast(stats)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))  # one row
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return s.withColumn("place", place).where(F.col("place") <= k)
+
+
+def search_keywords(chunks: DataFrame, words: list[str | Term], project: str | None = None, limit: int = 20, index: DataFrame | None = None) -> DataFrame:
     """id, rank, pos: hits of all keywords in the order of the keywords and then of the rank, each chunk where it comes first."""
-    hits = bm25(chunks, words, project, limit)
+    hits = bm25(chunks, words, project, limit, index)
     first = hits.groupBy("id").agg(F.min(F.struct("no", "place", "rank")).alias("x"))
     order = Window.orderBy("x.no", "x.place", "id")  # at most limit rows a keyword
     return first.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("id", F.col("x.rank").alias("rank"), "pos")
@@ -88,7 +162,7 @@ def search_like(chunks: DataFrame, q: str, project: str | None = None, limit: in
     return hit.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
 
-def search_fts(chunks: DataFrame, query: str, project: str | None = None, limit: int = 20, all_projects: bool = False) -> DataFrame:
+def search_fts(chunks: DataFrame, query: str, project: str | None = None, limit: int = 20, all_projects: bool = False, index: DataFrame | None = None) -> DataFrame:
     """id, rank, pos. Nothing for an empty query; short ones and those without keywords by LIKE; keywords that the query language rejects are skipped."""
     q = query.strip()
     scope = None if all_projects else project
@@ -98,7 +172,7 @@ def search_fts(chunks: DataFrame, query: str, project: str | None = None, limit:
     if len(q) < 3 or not words:
         hit = search_like(chunks, q, scope, limit)
         return hit.select("id", F.lit(None).cast("double").alias("rank"), F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))).alias("pos"))
-    return search_keywords(chunks, [w for w in words if accepted(w)], scope, limit)
+    return search_keywords(chunks, [x for x in map(term, words) if x], scope, limit, index)
 
 
 def recent(chunks: DataFrame, project: str, n: int = 3) -> DataFrame:

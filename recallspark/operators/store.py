@@ -60,8 +60,39 @@ def older_than(created_at: Column, cutoff: datetime, as_strings: bool = False) -
     return created_at.cast("string") < F.lit(cutoff.isoformat(sep=" ")) if as_strings else created_at.cast("timestamp") < F.lit(cutoff).cast("timestamp")
 
 
-def retain(chunks: DataFrame, cutoff: datetime) -> DataFrame:
-    return chunks.where(~F.coalesce(older_than(F.col("created_at"), cutoff), F.lit(False)))
+def retain(rows: DataFrame, cutoff: datetime, made: str = "created_at") -> DataFrame:
+    """Rows that are not older than the cutoff; those without a time stay."""
+    return rows.where(~F.coalesce(older_than(F.col(made), cutoff), F.lit(False)))
+
+
+def drop_orphans(sessions: DataFrame, chunks: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sessions that have chunks, and observations without those of sessions that are stored and have none."""
+    gone = orphan_sessions(sessions, chunks).select("session")
+    return delete_sessions(sessions, gone), delete_sessions(observations, gone)
+
+
+def baseline(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """rows without those of sessions, which start anew."""
+    return rows.join(sessions.select("session"), "session", "left_anti")
+
+
+def replace_baseline(chunks: DataFrame, observations: DataFrame, sessions: DataFrame, parts: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """chunks and observations where all rows of sessions are replaced by parts and seen."""
+    return baseline(chunks, sessions).unionByName(parts.join(sessions.select("session"), "session", "left_semi")), baseline(observations, sessions).unionByName(seen.join(sessions.select("session"), "session", "left_semi"))
+
+
+def measure(rows: DataFrame, content: str) -> tuple[int, int]:
+    """Rows, and bytes of the column."""
+    r = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(content)), F.lit(0))).first()
+    return r[0], r[1]
+
+
+def overview(chunks: DataFrame, sessions: DataFrame, observations: DataFrame, resolutions: DataFrame, project: str | None = None) -> DataFrame:
+    """One row: stats of the chunks, stored sessions, observations with and without a known status, and resolutions. Each table gives one row to the join."""
+    known = F.col("status") != "unknown"
+    seen = observations.agg(F.count_if(known).alias("explicit_observations"), F.count_if(~known).alias("unknown_observations"))
+    found = resolutions.agg(F.count("*").alias("resolutions"))
+    return stats(chunks, project).crossJoin(sessions.agg(F.count("*").alias("stored_sessions"))).crossJoin(seen).crossJoin(found)
 
 
 def oldest(chunks: DataFrame, n: int) -> DataFrame:
@@ -75,7 +106,6 @@ def evict_oldest(chunks: DataFrame, n: int) -> DataFrame:
 def evict_to_size(chunks: DataFrame, observations: DataFrame, most_bytes: int, rounds: int = 10) -> tuple[DataFrame, DataFrame, int]:
     """While both hold more than most_bytes, at most `rounds` times, the oldest tenth (rounded up) of the larger table goes, of chunks if they are as large. Only counts and sizes come to the driver."""
     done = 0
-    measure = lambda d, c: d.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(c)), F.lit(0))).first()
     for _ in range(rounds):
         (n, a), (m, b) = measure(chunks, "content"), measure(observations, "output_excerpt")
         if a + b <= most_bytes or n + m == 0:
@@ -83,11 +113,20 @@ def evict_to_size(chunks: DataFrame, observations: DataFrame, most_bytes: int, r
         if n >= m:
             chunks = evict_oldest(chunks, -(-n // 10))
         else:
-            observations = observations.join(observations.orderBy("completed_at", "id").limit(-(-m // 10)).select("id"), "id", "left_anti")
+            observations = _without_oldest(observations, -(-m // 10))
         done += 1
     return chunks, observations, done
 
 
+#: What tells an observation from all others.
+OBSERVATION = ["runtime", "session", "turn_key", "execution_index"]
+
+
+def _without_oldest(observations: DataFrame, n: int) -> DataFrame:
+    key = ["id"] if "id" in observations.columns else OBSERVATION
+    return observations.join(observations.orderBy("completed_at", *key).limit(n).select(*key), key, "left_anti")
+
+
 def fitting(chunks: DataFrame, most_bytes: int, days: str = "created_at") -> DataFrame:
     """The newest chunks that fit into most_bytes, in one pass: sizes are summed by day first, and only the day where the limit falls is put in order row by row."""
     size = F.octet_length("content").cast("long")
@@ -129,9 +168,9 @@ def apply_checkpoints(parts: DataFrame, incoming_parts: DataFrame, decided: Data
     return parts.join(won, turn, "left_anti").unionByName(incoming_parts.join(won, turn, "left_semi"))
 
 
-def turn_state(turns: DataFrame) -> DataFrame:
-    """One row a turn: its highest epoch and revision."""
-    return turns.groupBy("session", "turn_key").agg(F.max_by(F.struct("history_epoch", "revision", "content_hash"), F.struct("history_epoch", "revision")).alias("x")).select("session", "turn_key", "x.*")
+def turn_state(turns: DataFrame, *more: str) -> DataFrame:
+    """One row a turn: its highest epoch and revision, and more columns of that row."""
+    return turns.groupBy("session", "turn_key").agg(F.max_by(F.struct("history_epoch", "revision", "content_hash", *more), F.struct("history_epoch", "revision")).alias("x")).select("session", "turn_key", "x.*")
 
 
 def maintenance_due(log: DataFrame, as_of: datetime, interval_hours: float) -> bool:

@@ -1,62 +1,97 @@
-"""MemoryEngine: the store's commands over tables in a folder. Each write makes a new snapshot folder and then moves the pointer to it."""
+"""MemoryEngine: the store's commands over tables in a folder. Tables are immutable snapshots, and a command's changes to all of them appear at once."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators import duplicates, executions, formatting, log, search, sessions, store
-from ..sources import foreign, logs, transcripts
-
-CHUNKS = "id long, external_id string, session string, project string, chunk_index long, content string, role string, metadata struct<filePaths:array<string>,toolNames:array<string>,errorMessages:array<string>>, token_count long, created_at timestamp, turn_key string, source_order string, part_index long"
+from ..operators import duplicates, embedding, executions, formatting, log, postings, search, sessions, store
+from ..schema import BOUNDARY
+from ..session import checkpointed
+from ..sources import foreign, lines, logs, pending, transcripts
+from . import checkpoints
+from .snapshots import Snapshots
+
+CHUNKS = f"id long, external_id string, session string, project string, chunk_index long, content string, role string, metadata struct<filePaths:array<string>,toolNames:array<string>,errorMessages:array<string>>, token_count long, created_at timestamp, turn_key string, source_order string, part_index long, revision int, content_hash string, history_epoch int, observed_through {BOUNDARY.simpleString()}"
+SESSIONS = "session string, project string, started_at timestamp, ended_at timestamp, chunk_count long, first_message string, last_message string"
+OBSERVATIONS = "runtime string, session string, project string, turn_key string, source_order string, history_epoch int, revision int, completed_at string, execution_index int, tool_name string, command string, status string, exit_code int, output_excerpt string"
+RESOLUTIONS = "runtime string, project string, session string, command string, failure_count long, first_failure_turn string, last_failure_turn string, failure_excerpt string, success_turn string, success_index int, success_excerpt string, verified_at string"
+VECTORS = "id long, embedding array<float>"
+MAINTENANCE = "action string, chunks_deleted long, bytes_freed long, executed_at timestamp"
+CURSORS = "runtime string, session string, cursor string"
+TABLES = {"chunks": CHUNKS, "sessions": SESSIONS, "observations": OBSERVATIONS, "resolutions": RESOLUTIONS, "vectors": VECTORS, "maintenance_log": MAINTENANCE, "heads": checkpoints.HEADS, "epochs": checkpoints.EPOCHS, "committed": checkpoints.COMMITTED, "receipts": checkpoints.RECEIPTS, "pending": pending.PENDING, "cursors": CURSORS, "postings": postings.SCHEMA}
+#: Tables that a rebuild makes from the log.
+DERIVED = ("chunks", "sessions", "observations", "resolutions", "vectors", "postings")
+
+
+def names(schema: str) -> list[str]:
+    return [f.split()[0] for f in _top_level(schema)]
+
+
+def _top_level(schema: str) -> list[str]:
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(schema + ","):
+        depth += (c == "<") - (c == ">")
+        if c == "," and depth == 0:
+            out.append(schema[start:i].strip())
+            start = i + 1
+    return out
 
 
 class MemoryEngine:
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None):
         self.spark, self.path, self.config = spark, path.rstrip("/"), config or Config()
+        self.snapshots = Snapshots(spark, self.path)
 
-    # --- snapshots
-
-    def _fs(self, name: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    # --- tables
 
-    def _pointer(self, table: str) -> str | None:
-        p, f = self._fs(f"{self.path}/{table}.current")
-        return self.spark.read.text(f"{self.path}/{table}.current").first()[0] if f.exists(p) else None
+    def table(self, name: str) -> DataFrame:
+        return self.snapshots.read(name, TABLES[name])
 
     def chunks(self) -> DataFrame:
-        at = self._pointer("chunks")
-        return self.spark.read.schema(CHUNKS).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], CHUNKS)
-
-    def save(self, chunks: DataFrame) -> None:
-        """New snapshot; rows without id get the next ones."""
-        name = f"chunks-{uuid.uuid4().hex}"
-        chunks.select(*[F.col(c) for c in self.spark.createDataFrame([], CHUNKS).columns]).repartitionByRange("project", "created_at").write.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/chunks.current")
+        return self.table("chunks")
+
+    def _fitted(self, name: str, rows: DataFrame) -> DataFrame:
+        have = set(rows.columns)
+        kinds = [f.split(None, 1) for f in _top_level(TABLES[name])]
+        return rows.select(*[(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in kinds])
+
+    def _commit(self, base: int, **tables: DataFrame | None) -> None:
+        layout = {"chunks": ("project", "created_at"), "postings": ("bucket", "gram")}
+        ready = {k: None if v is None else self._fitted(k, v) for k, v in tables.items()}
+        self.snapshots.commit(base, **{k: v.repartitionByRange(*layout[k]).sortWithinPartitions(*layout[k]) if v is not None and k in layout else v for k, v in ready.items()})
+
+    def save(self, chunks: DataFrame, base: int | None = None, **others: DataFrame | None) -> None:
+        """New chunks, and the sessions that follow from them. Vectors of chunks that are gone go too."""
+        base = self.snapshots.current()[0] if base is None else base
+        chunks = checkpointed(self._fitted("chunks", chunks))
+        vectors = others.pop("vectors", None)
+        vectors = self.table("vectors") if vectors is None else vectors
+        tables = {"chunks": chunks, "sessions": sessions.session_summary(chunks), "vectors": vectors.join(chunks.select("id"), "id", "left_semi"), "postings": None} | others
+        self._commit(base, **tables)
 
     def _numbered(self, new: DataFrame) -> DataFrame:
-        """The columns of chunks for new rows; ids are hashes of session and external_id or index, so that no counter is shared."""
+        """The columns of chunks for new rows; ids are hashes of session and external_id or index, so that no counter is shared. Two chunks of one id are an error."""
         have = set(new.columns)
         column = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
         key = F.coalesce(column("external_id"), F.concat_ws("\0", "session", column("chunk_index")))
-        empty = self.spark.createDataFrame([], CHUNKS)
-        out = new.withColumn("id", F.abs(F.xxhash64("session", key)))
-        # The metadata of a log record has more fields than a chunk's.
-        meta = F.struct(*[F.coalesce(F.col(f"metadata.{k}"), F.array().cast("array<string>")).alias(k) for k in ("filePaths", "toolNames", "errorMessages")])
+        out = new.withColumn("id", F.xxhash64("session", key).bitwiseAND(F.lit((1 << 63) - 1)))
+        if "metadata" in have:
+            # The metadata of a log record has more fields than a chunk's.
+            out = out.withColumn("metadata", F.struct(*[F.coalesce(F.col(f"metadata.{k}"), F.array().cast("array<string>")).alias(k) for k in ("filePaths", "toolNames", "errorMessages")]))
+        return self._fitted("chunks", out)
 
-        def value(f):
-            if f.name not in out.columns:
-                return F.lit(None)
-            return meta if f.name == "metadata" else F.col(f.name)
+    def _distinct(self, chunks: DataFrame) -> DataFrame:
+        again = chunks.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
+        if again:
+            raise ValueError(f"several chunks have the id {again[0]['id']}")
+        return chunks
 
-        return out.select(*[value(f).cast(f.dataType).alias(f.name) for f in empty.schema])
-
-    # --- commands
+    # --- import and rebuild
 
     def import_transcripts(self, path: str, project: str) -> DataFrame:
         """Transcripts to chunks; sessions in the input replace their older chunks."""
@@ -64,50 +99,183 @@ class MemoryEngine:
         found = transcripts.with_tools(m, u, r)
         when = found.groupBy("session").agg(F.to_timestamp(F.min("timestamp")).alias("created_at"))
         new = sessions.build_chunks(found, self.config.chunking.max_tokens).join(when, "session").withColumn("project", F.lit(project))
-        self.save(store.replace_sessions(self.chunks(), self._numbered(new)))
+        self.save(self._distinct(store.replace_sessions(self.chunks(), self._numbered(new))))
         return new
 
-    def rebuild(self, path: str, dry_run: bool = False) -> DataFrame:
-        """The log folded to chunks; errors that matter stop it. Returns what would be or was stored."""
-        frames, problems = logs.read_frames(self.spark, path)
+    def _folded(self, path: str, from_month: str | None = None):
+        """-> current turns, legacy chunks, resets, committed frames. Errors that matter raise."""
+        where: str | list[str] = path
+        if from_month is not None:
+            where = [r["path"] for r in lines.list_files(self.spark, path, from_month).select("path").collect()]
+        if not where:
+            raise FileNotFoundError(f"no log file below {path} has {from_month}")
+        frames, problems = logs.read_frames(self.spark, where)
         committed, doubles = log.one_payload_each(frames)
+        committed = checkpointed(committed)
         turns, resets = logs.payloads(committed)
-        legacy = log.latest_by_id(logs.read_chunks(self.spark, path))
-        now, old, conflicts = log.fold(turns, resets, legacy)
-        retried = committed.select("tx_id", "digest")
-        left = problems.where("message <> 'incomplete transaction at EOF' AND message <> 'unknown record version/type'").join(retried, ["tx_id", "digest"], "left_anti")
+        now, old, conflicts = log.fold(turns, resets, log.latest_by_id(logs.read_chunks(self.spark, where)))
+        left = problems.where("message <> 'incomplete transaction at EOF' AND message <> 'unknown record version/type'").join(committed.select("tx_id", "digest"), ["tx_id", "digest"], "left_anti")
         bad = left.count() + doubles.count() + conflicts.count()
         if bad:
             raise ValueError(f"the log has {bad} errors")
-        new = sessions.reindex(self._numbered(logs.parts(now)).unionByName(self._numbered(old)))
+        return checkpointed(now), checkpointed(old), resets, committed
+
+    def rebuild(self, path: str, dry_run: bool = False, from_month: str | None = None) -> DataFrame:
+        """The log folded to all tables: chunks, sessions, observations, resolutions, vectors, and heads, epochs and transactions for later checkpoints.
+
+        Returns the chunks that would be or were stored. With a month only files whose name has it are read, which needs dry_run.
+        """
+        if from_month is not None and not dry_run:
+            raise ValueError("from_month needs dry_run")
+        base = self.snapshots.current()[0]
+        now, old, resets, committed = self._folded(path, from_month)
+        new = self._numbered(logs.parts(now)).unionByName(self._numbered(old))
+        new = sessions.reindex(self._distinct(checkpointed(new)))
         if not dry_run:
-            self.save(new)
+            seen = logs.observations(now)
+            vectors = old.where("embedding IS NOT NULL").select("external_id", "embedding").join(new.select("id", "external_id"), "external_id").select("id", "embedding")
+            epochs = checkpoints.raised_epochs(self.spark.createDataFrame([], checkpoints.EPOCHS), resets)
+            receipts = self.table("receipts").join(committed.select("tx_id"), "tx_id", "left_anti")
+            self.save(new, base, vectors=vectors, observations=seen, resolutions=executions.resolutions(seen), heads=now.select(*names(checkpoints.HEADS)), epochs=epochs, committed=committed.select("tx_id", "digest"), receipts=receipts)
         return new
 
+    def truncate(self) -> None:
+        """Empties the derived tables; what is needed for checkpoints, and the maintenance log, stay."""
+        self._commit(self.snapshots.current()[0], **dict.fromkeys(DERIVED))
+
+    # --- checkpoints
+
+    def commit(self, candidates: DataFrame, path: str, as_of: datetime, resets: DataFrame | None = None, cursors: DataFrame | None = None) -> DataFrame:
+        """Turn candidates (checkpoints.CANDIDATE) to the log below path and to the tables; -> session, turn_key, revision, status of each.
+
+        resets (session, reason) start a new epoch: the session's other chunks and observations go. What an earlier commit left half done is
+        recovered first. Pending prompts of a session, and its cursor (runtime, session, cursor), are settled if none of its candidates is stale or in conflict.
+        """
+        if self.table("receipts").limit(1).count():
+            self.recover_prepared(path)
+        base = self.snapshots.current()[0]
+        resets = self.spark.createDataFrame([], "session string, reason string") if resets is None else resets
+        decided = checkpointed(checkpoints.decide(candidates, resets, self.table("heads"), self.table("epochs"), self.config.chunking.max_tokens))
+        raised = resets.join(self.table("epochs"), "session", "left").select("session", (F.coalesce("history_epoch", F.lit(0)) + 1).cast("int").alias("history_epoch"), "reason")
+        found = checkpointed(checkpoints.receipts(decided, raised, as_of.isoformat(timespec="milliseconds") + "Z"))
+        base = self._prepare(base, found)
+        self._append(found, path, as_of)
+        turns = decided.where("status = 'inserted'")
+        fine = decided.groupBy("session").agg(F.every(F.col("status").isin("inserted", "already_current")).alias("fine")).where("fine").select("session")
+        settled = decided.join(fine, "session", "left_semi").select("runtime", "session", "pending_key")
+        changes = {"pending": self.table("pending").join(settled, ["runtime", "session", "pending_key"], "left_anti")}
+        if cursors is not None:
+            changes["cursors"] = store.upsert(self.table("cursors"), cursors.join(fine, "session", "left_semi").select(*names(CURSORS)), ["runtime", "session"])
+        self._apply(base, turns, raised, found.select("tx_id", "digest"), **changes)
+        return decided.select("session", "turn_key", "revision", "status")
+
+    def _prepare(self, base: int, found: DataFrame) -> int:
+        """Receipts are stored before anything is written to the log."""
+        self._commit(base, receipts=self.table("receipts").unionByName(found.select(*names(checkpoints.RECEIPTS))))
+        return base + 1
+
+    def _append(self, found: DataFrame, path: str, as_of: datetime) -> None:
+        """Frames of transactions that were not committed yet, each as one piece of a file of the month. An id that was committed with another digest is an error."""
+        new = found.join(self.table("committed").withColumnRenamed("digest", "said"), "tx_id", "left")
+        if new.where("said <> digest").limit(1).count():
+            raise ValueError("a committed transaction has another digest")
+        new.where("said IS NULL").select(F.array_join("lines", "\n").alias("value"), F.lit(as_of.strftime("%Y-%m")).alias("year_month")).write.mode("append").partitionBy("year_month").text(path)
+
+    def _apply(self, base: int, turns: DataFrame, resets: DataFrame, committed: DataFrame, **others: DataFrame | None) -> None:
+        """Committed turns and resets to all tables, in one commit without receipts."""
+        heads, errors = checkpoints.advance(self.table("heads"), turns)
+        if bad := errors.limit(1).collect():
+            raise ValueError(f"turn {bad[0]['turn_key']}: {bad[0]['message']}")
+        chunks, seen = self.chunks(), self.table("observations")
+        again = resets.select("session").distinct()
+        stored = store.turn_state(chunks.where("turn_key IS NOT NULL").join(again, "session", "left_anti"), "observed_through")
+        won = checkpointed(store.checkpoint_decision(turns, stored).where("status = 'inserted'").drop("status"))
+        touched = checkpointed(won.select("session").unionByName(again).distinct())
+        new = self._numbered(logs.parts(won))
+        kept = store.baseline(chunks, again).join(won.select("session", "turn_key"), ["session", "turn_key"], "left_anti")
+        mine = checkpointed(sessions.reindex(kept.join(touched, "session", "left_semi").unionByName(new)))
+        seen = checkpointed(executions.replace_turn(store.baseline(seen, again), logs.observations(won), won))
+        all_ = store.baseline(kept, touched).unionByName(mine)
+        changes = {
+            "chunks": all_,
+            "sessions": store.baseline(self.table("sessions"), touched).unionByName(self._fitted("sessions", sessions.session_summary(mine))),
+            "observations": seen,
+            "resolutions": store.baseline(self.table("resolutions"), touched).unionByName(self._fitted("resolutions", executions.resolutions(seen.join(touched, "session", "left_semi")))),
+            "vectors": self.table("vectors").join(all_.select("id"), "id", "left_semi"),
+            "heads": heads,
+            "epochs": checkpoints.raised_epochs(self.table("epochs"), resets),
+            "committed": store.append_new(self.table("committed"), committed, ["tx_id"]),
+            "receipts": None,
+            "postings": None,
+        }
+        self._commit(base, **(changes | others))
+
+    def recover_prepared(self, path: str) -> DataFrame:
+        """Receipts that a crash left -> tx_id, result, reason; transactions that the log has are applied to the tables, and all receipts are settled."""
+        base = self.snapshots.current()[0]
+        found = self.table("receipts")
+        frames = self.spark.createDataFrame([], "file string, tx_id string, created_at string, begin_offset long, digest string, payloads array<string>")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            frames = log.one_payload_each(logs.read_frames(self.spark, path)[0])[0]
+        mine = checkpointed(frames.join(found.select("tx_id").distinct(), "tx_id", "left_semi"))
+        judged = checkpointed(checkpoints.judged(found, mine.select("tx_id", "digest"), self.table("heads"), self.table("epochs")))
+        good = mine.join(judged.where("result = 'finalized'").select("tx_id"), "tx_id", "left_semi")
+        turns, resets = logs.payloads(good)
+        keys = found.join(good.select("tx_id"), "tx_id", "left_semi").select("session", F.explode("pending_keys").alias("pending_key"))
+        self._apply(base, turns, resets, good.select("tx_id", "digest"), pending=self.table("pending").join(keys, ["session", "pending_key"], "left_anti"))
+        return judged
+
+    def capture_prompts(self, prompts: DataFrame) -> None:
+        """Pending prompts (pending.PENDING) to the store; a key that is there already is replaced."""
+        key = ["runtime", "session", "pending_key"]
+        self._commit(self.snapshots.current()[0], pending=store.upsert(self.table("pending"), prompts.dropDuplicates(key).select(*names(pending.PENDING)), key))
+
+    def save_answers(self, stops: DataFrame, path: str, as_of: datetime) -> DataFrame:
+        """Answers (as pending.pair_answers takes them) paired with the pending prompts and committed."""
+        return self.commit(pending.pair_answers(self.table("pending"), stops), path, as_of)
+
+    def stream_checkpoints(self, stream: DataFrame, path: str, as_of: Callable[[], datetime]):
+        """A writer that commits each micro-batch of candidates; a batch that is run again changes nothing, as its turns are current by then."""
+        return stream.writeStream.foreachBatch(lambda batch, _: self.commit(batch, path, as_of()) and None)
+
+    # --- search
+
     def search(self, query: str, as_of: datetime, project: str | None = None, limit: int = 50) -> DataFrame:
         return search.rank(self._candidates(query, project, limit), as_of, self.config.search.half_life_days, query).orderBy(F.desc("score"), "id")
 
-    def _candidates(self, query: str, project: str | None, limit: int, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
+    def index(self) -> None:
+        """Stores the postings of all chunks, which later searches read instead of all contents until the chunks change."""
+        self._commit(self.snapshots.current()[0], postings=postings.build(self.chunks()))
+
+    def _candidates(self, query: str, project: str | None, limit: int, query_vector: list[float] | None = None) -> DataFrame:
         c = self.chunks()
-        hits = search.search_fts(c, query, project, limit, all_projects=self.config.search.project_scope != True)  # noqa: E712
-        if vectors is not None and query_vector is not None:
-            near = search.knn(vectors, query_vector, limit)
+        index = self.table("postings") if "postings" in self.snapshots.current()[1] else None
+        hits = search.search_fts(c, query, project, limit, all_projects=self.config.search.project_scope != True, index=index)  # noqa: E712
+        if query_vector is not None:
+            near = search.knn(self.table("vectors").join(c.select("id"), "id", "left_semi"), query_vector, limit)
             pos = F.row_number().over(search.Window.orderBy("distance", "id"))
             hits = search.rrf(hits, near.withColumn("pos", pos))
         return c.join(F.broadcast(hits.select("id", "rank")), "id")  # limit rows at most, or twice
 
-    def recall(self, prompt: str, as_of: datetime, project: str | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
+    def recall(self, prompt: str, as_of: datetime, project: str | None = None, query_vector: list[float] | None = None) -> DataFrame:
         s = self.config.search
         tiered = s.project_scope == "tiered"
-        cands = self._candidates(prompt, project, s.default_limit * (3 if tiered else 1), vectors, query_vector)
+        cands = checkpointed(self._candidates(prompt, project, s.default_limit * (3 if tiered else 1), query_vector))
         best = search.cascade(cands, as_of, s.default_limit, s.half_life_days, prompt, project, s.cross_project_penalty if tiered else None, s.min_score, tiered)
         return formatting.format_results(best, s.default_limit)
 
     def inject(self, project: str, n: int = 3) -> DataFrame:
         return formatting.format_results(search.recent(self.chunks(), project, n).withColumn("is_local", F.lit(True)), n)
 
+    def resolutions(self, query: str | None = None, project: str | None = None, limit: int = 50) -> DataFrame:
+        return executions.search_resolutions(self.table("resolutions"), query or "", project, limit)
+
+    # --- maintenance
+
     def merge(self, threshold: float = 0.6, dry_run: bool = False) -> DataFrame:
         kept, marked = duplicates.merge(self.chunks(), threshold)
+        marked = checkpointed(marked)
         if not dry_run:
             self.save(kept)
         return marked
@@ -115,51 +283,85 @@ class MemoryEngine:
     def prune(self, as_of: datetime, days: float) -> None:
         self.save(store.retain(self.chunks(), as_of - timedelta(days=days)))
 
-    def maintain(self, as_of: datetime) -> None:
-        """Age, then size."""
-        m, c = self.config.maintenance, self.chunks()
+    def maintain(self, as_of: datetime) -> dict:
+        """If it is switched on and due: age, then size, then sessions without chunks, then old snapshots, and a line in the maintenance log.
+
+        -> skipped, reason, and how many chunks, observations, orphaned sessions and bytes of content went.
+        """
+        m = self.config.maintenance
+        if not m.enabled:
+            return {"skipped": True, "reason": "disabled"}
+        if not store.maintenance_due(self.table("maintenance_log"), as_of, m.interval_hours):
+            return {"skipped": True, "reason": "interval"}
+        base = self.snapshots.current()[0]
+        chunks, seen, named = self.chunks(), self.table("observations"), self.table("sessions")
+        before, before_seen = store.measure(chunks, "content"), store.measure(seen, "output_excerpt")
+        left, left_seen = chunks, seen
         if m.retention_days is not None:
-            c = store.retain(c, as_of - timedelta(days=m.retention_days))
+            cutoff = as_of - timedelta(days=m.retention_days)
+            left, left_seen = store.retain(left, cutoff), store.retain(left_seen, cutoff, "completed_at")
         if m.max_bytes is not None:
-            c = store.fitting(c, m.max_bytes)
-        self.save(c)
+            left, left_seen, _ = store.evict_to_size(left, left_seen, m.max_bytes)
+        left = checkpointed(left)
+        live, left_seen = store.drop_orphans(named, left, left_seen)
+        left_seen = checkpointed(left_seen)
+        after, after_seen = store.measure(left, "content"), store.measure(left_seen, "output_excerpt")
+        orphans = named.count() - live.count()
+        freed = before[1] + before_seen[1] - after[1] - after_seen[1]
+        entry = self.spark.createDataFrame([("auto", before[0] - after[0], freed, as_of)], MAINTENANCE)
+        self.save(left, base, observations=left_seen, resolutions=executions.resolutions(left_seen), maintenance_log=self.table("maintenance_log").unionByName(entry))
+        self.snapshots.vacuum()
+        return {"skipped": False, "reason": None, "chunks_deleted": before[0] - after[0], "observations_deleted": before_seen[0] - after_seen[0], "orphaned_sessions_deleted": orphans, "bytes_freed": freed}
 
     def edit(self, id_: int, content: str) -> None:
         self.save(store.edit(self.chunks(), id_, content))
 
     def delete(self, where: Column) -> None:
-        self.save(self.chunks().where(~F.coalesce(where, F.lit(False))))
+        """Chunks go; observations and resolutions of sessions that then have no chunk go too."""
+        left = checkpointed(self.chunks().where(~F.coalesce(where, F.lit(False))))
+        _, seen = store.drop_orphans(self.table("sessions"), left, self.table("observations"))
+        self.save(left, observations=seen, resolutions=executions.resolutions(seen))
+
+    # --- reports and exchange
 
     def sessions(self, project: str | None = None) -> DataFrame:
-        return store.list_sessions(sessions.session_summary(self.chunks()), project)
+        return store.list_sessions(self.table("sessions"), project)
 
     def stats(self, project: str | None = None) -> DataFrame:
-        return store.stats(self.chunks(), project)
+        return store.overview(self.chunks(), self.table("sessions"), self.table("observations"), self.table("resolutions"), project).withColumn("bytes", F.lit(self.snapshots.size()))
 
     def export(self, markdown: bool = False) -> DataFrame:
         return formatting.export_markdown(self.chunks()) if markdown else formatting.export_json(self.chunks())
 
-    def migrate(self, path: str) -> None:
-        logs.append_chunks(self.chunks(), path)
+    def migrate(self, path: str, host: str = "local") -> None:
+        logs.append_chunks(self.chunks(), path, host)
 
     def recover(self, path: str) -> DataFrame:
         return transcripts.recoverable(self.spark, path, self.chunks().select("session").distinct())
 
     def self_heal(self, path: str, n: int = 100) -> DataFrame:
-        lost = log.self_heal(logs.read_chunks(self.spark, path), self.chunks(), n)
-        self.save(self.chunks().unionByName(self._numbered(lost)))
+        lost = checkpointed(log.self_heal(logs.read_chunks(self.spark, path), self.chunks(), n))
+        self.save(self._distinct(self.chunks().unionByName(self._numbered(lost))))
         return lost
 
-    def import_foreign(self, s: DataFrame, o: DataFrame, m: DataFrame, project: str | None = None) -> DataFrame:
+    def import_foreign(self, s: DataFrame, o: DataFrame, m: DataFrame, project: str | None = None, dry_run: bool = False) -> DataFrame:
         new, added = foreign.import_foreign(s, o, m, self.chunks().select("session").distinct(), project)
-        self.save(self.chunks().unionByName(self._numbered(new)))
+        added = checkpointed(added)
+        if not dry_run:
+            self.save(self._distinct(self.chunks().unionByName(self._numbered(new))))
         return added
 
-    def resolutions(self, path: str) -> DataFrame:
-        turns, resets = logs.payloads(log.one_payload_each(logs.read_frames(self.spark, path)[0])[0])
-        now, _, _ = log.fold(turns, resets, self.spark.createDataFrame([], "session string"))
-        return executions.resolutions(logs.observations(now))
+    def backfill(self, model: Callable[[Column], Column], dry_run: bool = False) -> dict:
+        """Vectors for chunks that lack them, by a pandas UDF of text; dry_run only counts. -> total, processed, skipped."""
+        c, have = self.chunks(), self.table("vectors")
+        total = embedding.backlog(c, have).count()
+        if dry_run or not total:
+            return {"total": total, "processed": 0, "skipped": total}
+        base = self.snapshots.current()[0]
+        self._commit(base, vectors=embedding.insert_vectors(have, embedding.backfill(c, have, model)))
+        return {"total": total, "processed": total, "skipped": 0}
+
+    def add_vectors(self, rows: DataFrame) -> None:
+        """Vectors (id, embedding) of chunks, in place of older ones."""
+        self._commit(self.snapshots.current()[0], vectors=embedding.insert_vectors(self.table("vectors"), rows.join(self.chunks().select("id"), "id", "left_semi")))
 
-    def backfill(self, vectors: DataFrame, embed) -> DataFrame:
-        """Vectors (id, embedding) for chunks that lack them; embed is a pandas UDF of text, which gets 512 characters at most."""
-        return store.missing(self.chunks().select("id", "content"), vectors, "id").select("id", embed(F.substring("content", 1, 512)).alias("embedding"))

@@ -16,12 +16,22 @@ def parse_payloads(raw: DataFrame) -> DataFrame:
     return d.withColumn("prompt", F.when(F.col("prompt").rlike(r"^\s*\["), F.array_join(texts, "\n")).otherwise(F.col("prompt")))
 
 
-def wire_answers(spark: SparkSession, path: str) -> DataFrame:
-    """file, session (the folder above agents/main) and the assistant text after the last step.begin of each wire log."""
-    d = read_lines(spark, path).withColumn("r", F.from_json("line", WIRE)).where("r.type = 'context.append_loop_event'")
+def wire_texts(lines: DataFrame) -> DataFrame:
+    """lines (file, line_no, line) -> file and the assistant text after the last step.begin of each wire log."""
+    d = lines.withColumn("r", F.from_json("line", WIRE)).where("r.type = 'context.append_loop_event'")
     order = Window.partitionBy("file").orderBy("line_no")
     d = d.withColumn("step", F.sum((F.col("r.event.type") == "step.begin").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     last = Window.partitionBy("file")
-    d = d.withColumn("top", F.max("step").over(last)).where("step = top AND step > 0 AND r.event.type = 'content.part' AND r.event.part.type = 'text'")
+    d = d.withColumn("top", F.max("step").over(last)).where("step = top AND r.event.type = 'content.part' AND r.event.part.type = 'text'")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("r.event.part.text", "r.event.part.content").alias("t")))), lambda x: x["t"]), "")
-    return d.groupBy("file").agg(F.trim(text).alias("text")).withColumn("session", F.regexp_extract("file", r"sessions/[^/]+/([^/]+)/agents/main/wire\.jsonl", 1))
+    return d.groupBy("file").agg(F.trim(text).alias("text"))
+
+
+def wire_answers(spark: SparkSession, path: str) -> DataFrame:
+    """file, session (the folder above agents/main) and text of the wire logs that path names."""
+    return wire_texts(read_lines(spark, path)).withColumn("session", F.regexp_extract("file", r"sessions/[^/]+/([^/]+)/agents/main/wire\.jsonl", 1))
+
+
+def wire_files(home: str, session: str) -> str:
+    """Where the wire logs of a session may be below a home folder, for any work folder."""
+    return f"{home.rstrip('/')}/sessions/*/{session}/agents/main/wire.jsonl"

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, line_no, offset, line of text files whose lines must stay in order: one file is one row until it is split. Blank lines go; a last line without newline stays."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     each = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     size = F.octet_length("line").cast("long") + 1
     before = F.coalesce(F.sum(size).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -27,8 +27,8 @@ def parsed(lines: DataFrame, schema: StructType) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, from_month: str | None = None) -> DataFrame:
-    """Sorted names below path that end in .jsonl; with a month, those whose name holds it or a later one."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    """Sorted files below path that end in .jsonl or are parts of a log; with a month, those whose path has it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{*.jsonl,part-*.txt}").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
     if from_month is not None:
-        files = files.where(F.regexp_extract("path", r"(\d{4}-\d{2})[^/]*$", 1) >= from_month)
+        files = files.where(F.contains("path", F.lit(from_month)))
     return files.orderBy("path")

@@ -33,8 +33,8 @@ def payloads(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parts(turns: DataFrame) -> DataFrame:
     """Chunks of turn checkpoints."""
-    d = turns.select("session", "project", "turn_key", "source_order", "history_epoch", "revision", F.to_timestamp("completed_at").alias("created_at"), F.explode("parts").alias("p"))
-    return d.select(F.col("p.externalId").alias("external_id"), "session", "project", "turn_key", "source_order", F.col("p.partIndex").alias("part_index"), F.col("p.content").alias("content"), F.col("p.role").alias("role"), F.col("p.metadata").alias("metadata"), F.col("p.tokenCount").alias("token_count"), "created_at")
+    d = turns.select("session", "project", "turn_key", "source_order", "history_epoch", "revision", "content_hash", "observed_through", F.to_timestamp("completed_at").alias("created_at"), F.explode("parts").alias("p"))
+    return d.select("revision", "content_hash", "history_epoch", "observed_through", F.col("p.externalId").alias("external_id"), "session", "project", "turn_key", "source_order", F.col("p.partIndex").alias("part_index"), F.col("p.content").alias("content"), F.col("p.role").alias("role"), F.col("p.metadata").alias("metadata"), F.col("p.tokenCount").alias("token_count"), "created_at")
 
 
 def observations(turns: DataFrame) -> DataFrame:
@@ -51,5 +51,6 @@ def chunk_records(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.to_json(record).alias("value"), F.date_format("created_at", "yyyy-MM").alias("year_month"))
 
 
-def append_chunks(chunks: DataFrame, path: str) -> None:
-    chunk_records(chunks).write.mode("append").partitionBy("year_month").text(path)
+def append_chunks(chunks: DataFrame, path: str, host: str = "local") -> None:
+    """Version 1 records to files by month and by the host that writes them."""
+    chunk_records(chunks).withColumn("host", F.lit(host)).write.mode("append").partitionBy("year_month", "host").text(path)

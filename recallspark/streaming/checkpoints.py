@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -47,22 +48,131 @@ def status_of(new: tuple, head: tuple | None) -> str:
 
 
 def commit_batch(spark: SparkSession, log_path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends a batch of (tx_id, digest, line) once. Transactions that the log has are left out; the same id with another digest is an error."""
+    """For foreachBatch: appends a batch of (tx_id, no, digest, line) once, no being the line's place in its transaction.
+
+    Each batch has a folder of lines and one of ids, which a second run of the batch replaces. Transactions of other batches are left out, seen from their ids alone; an id with
+    another digest, in the batch or before it, is an error.
+    """
+    ids_path = f"{log_path.rstrip('/')}-ids"
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        own = batch.dropDuplicates(["tx_id", "digest"])
-        jvm = spark._jvm.org.apache.hadoop.fs.Path(log_path)
+        own = batch.dropDuplicates(["tx_id", "no", "digest"])
+        jvm = spark._jvm.org.apache.hadoop.fs.Path(ids_path)
         if jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
-            have = spark.read.parquet(log_path).select("tx_id", F.col("digest").alias("old"))
-            both = own.join(have, "tx_id", "left")
-            if both.where("old <> digest").limit(1).count():
-                raise ValueError(f"batch {batch_id}: a committed transaction id has another digest")
-            own = both.where("old IS NULL").drop("old")
-        own.write.mode("append").parquet(log_path)
+            have = spark.read.parquet(ids_path).where(F.col("batch") != batch_id).select("tx_id", F.col("digest").alias("old"))
+            own = own.join(have, "tx_id", "left")
+        else:
+            own = own.withColumn("old", F.lit(None).cast("string"))
+        bad = own.groupBy("tx_id").agg(F.count_distinct("digest").alias("digests"), F.count_if(F.col("old") != F.col("digest")).alias("others")).where("digests > 1 OR others > 0")
+        if bad.limit(1).count():
+            raise ValueError(f"batch {batch_id}: a transaction id has two digests")
+        new = own.where("old IS NULL").drop("old")
+        new.write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/batch={batch_id}")
+        new.select("tx_id", "digest").distinct().write.mode("overwrite").parquet(f"{ids_path}/batch={batch_id}")
 
     return commit
 
 
+def _stateful(stream: DataFrame, key: list[str], order: list[str], out: str, state: str, empty: tuple, step: Callable[[tuple, object, tuple], tuple[tuple, list[tuple]]]) -> DataFrame:
+    """step(key, row, state) -> state, rows, for the rows of a key in order within a micro-batch; the state goes on from batch to batch."""
+    names = [f.strip().split()[0] for f in out.split(",")]
+
+    def work(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = held.get if held.exists else empty
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        found = []
+        for r in rows.itertuples(index=False):
+            now, more = step(k, r, now)
+            found += more
+        held.update(now)
+        yield pd.DataFrame(found, columns=names)
+
+    return stream.groupBy(*key).applyInPandasWithState(work, out, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def sequences(stream: DataFrame) -> DataFrame:
+    """stream (runtime, session, pending_key) -> each row with its sequence in the session from 1 on; a key that comes again keeps its number."""
+
+    def step(k: tuple, r: object, state: tuple) -> tuple[tuple, list[tuple]]:
+        known = json.loads(state[0])
+        n = known.setdefault(r.pending_key, len(known) + 1)
+        return (json.dumps(known),), [(*k, r.pending_key, n)]
+
+    return _stateful(stream, ["runtime", "session"], ["pending_key"], "runtime string, session string, pending_key string, sequence long", "known string", ("{}",), step)
+
+
+def delivery_sequences(stream: DataFrame) -> DataFrame:
+    """stream (runtime, session, event) -> each row with the next number of the session, also where an event comes again."""
+
+    def step(k: tuple, r: object, state: tuple) -> tuple[tuple, list[tuple]]:
+        return (state[0] + 1,), [(*k, r.event, state[0] + 1)]
+
+    return _stateful(stream, ["runtime", "session"], ["event"], "runtime string, session string, event string, sequence long", "last long", (0,), step)
+
+
+def decide_with_resets(stream: DataFrame) -> DataFrame:
+    """stream (session, kind, turn_key, history_epoch, revision, content_hash, generation, offset), kind being turn or reset -> each row with its status.
+
+    A reset to a higher epoch forgets the session's heads, and rows of lower epochs are stale from then on; its status is reset, or stale for a lower epoch.
+    """
+
+    def step(k: tuple, r: object, state: tuple) -> tuple[tuple, list[tuple]]:
+        epoch, heads = state[0], json.loads(state[1])
+        own = int(r.history_epoch)
+        row = lambda status: [(*k, r.kind, r.turn_key, own, status)]
+        if r.kind == "reset":
+            return ((own, "{}"), row("reset")) if own > epoch else (state, row("stale"))
+        if own < epoch:
+            return state, row("stale")
+        new = (own, int(r.revision), r.content_hash, int(r.generation), int(r.offset))
+        head = heads.get(r.turn_key)
+        status = status_of(new, tuple(head) if head else None)
+        if status == "inserted":
+            heads[r.turn_key] = new
+        return (epoch, json.dumps(heads)), row(status)
+
+    return _stateful(stream, ["session"], ["history_epoch", "kind", "generation", "offset", "revision"], "session string, kind string, turn_key string, history_epoch int, status string", "epoch int, heads string", (0, "{}"), step)
+
+
+def resolutions(stream: DataFrame) -> DataFrame:
+    """stream of observations (runtime, project, session, command, history_epoch, source_order, execution_index, turn_key, status, output_excerpt) -> a row for each success that ends failures of its command.
+
+    State holds the pending failures of a command: their number, the first and last turn, and the last output.
+    """
+
+    def step(k: tuple, r: object, state: tuple) -> tuple[tuple, list[tuple]]:
+        n, first, _, excerpt = state
+        if r.status == "failed":
+            return (n + 1, first if n else r.turn_key, r.turn_key, r.output_excerpt), []
+        if r.status == "succeeded" and n:
+            return (0, "", "", ""), [(*k, n, first, state[2], excerpt, r.turn_key)]
+        return state, []
+
+    out = "runtime string, project string, session string, command string, failure_count long, first_failure_turn string, last_failure_turn string, failure_excerpt string, success_turn string"
+    return _stateful(stream, ["runtime", "project", "session", "command"], ["history_epoch", "source_order", "execution_index"], out, "n long, first string, last string, excerpt string", (0, "", "", ""), step)
+
+
+def pair_answers(stream: DataFrame) -> DataFrame:
+    """stream (runtime, session, at, kind, turn_id, pending_key, source_order, text), kind being prompt or stop -> a row for each stop: ready with its prompt, or deferred.
+
+    A stop takes the waiting prompt with its turn_id, else the last one in order of source_order, which then waits no more. A stop without text or prompt is deferred.
+    """
+
+    def step(k: tuple, r: object, state: tuple) -> tuple[tuple, list[tuple]]:
+        waiting = json.loads(state[0])
+        if r.kind == "prompt":
+            waiting = sorted([w for w in waiting if w[1] != r.pending_key] + [[r.source_order, r.pending_key, r.turn_id, r.text]], key=lambda w: w[:2])
+            return (json.dumps(waiting),), []
+        answer = (r.text or "").strip()
+        own = [w for w in waiting if r.turn_id and w[2] == r.turn_id] or waiting[-1:]
+        if not answer or not own:
+            return state, [(*k, r.turn_id, "deferred", None, None, answer or None)]
+        w = own[0]
+        return (json.dumps([x for x in waiting if x is not w]),), [(*k, r.turn_id, "ready", w[1], w[3], answer)]
+
+    return _stateful(stream, ["runtime", "session"], ["at"], "runtime string, session string, turn_id string, status string, pending_key string, prompt string, answer string", "waiting string", ("[]",), step)
+
+
 def sessions_of(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Event-time sessions of a stream (user_id, ts): start, end and count, once the watermark has passed them."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")

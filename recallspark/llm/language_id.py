@@ -24,6 +24,8 @@ from .common import chunks, cut, short_batches, text_bytes, unused
 HIDDEN, PIECE, WARM = 8, 64, 8
 #: Bound of the training sample: so many labelled texts a language, of which so many bytes each.
 SAMPLE_TEXTS, SAMPLE_BYTES = 150, 4000
+#: Languages that are learned: those with the most labelled texts. With the bounds above, the sample is 150 MB at most.
+MOST_LANGUAGES = 256
 STEPS, BATCH, LENGTH = 260, 192, 40
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -189,8 +191,10 @@ def pooled(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def sample(docs: DataFrame, learn: Column) -> list[tuple[str, bytes]]:
-    """Of each language, the SAMPLE_TEXTS texts with the smallest hash of doc_id and text where learn holds, from each a piece of SAMPLE_BYTES bytes at most."""
+    """Of each language, the SAMPLE_TEXTS texts with the smallest hash of doc_id and text where learn holds, from each a piece of SAMPLE_BYTES bytes at most; of MOST_LANGUAGES languages."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
+    rows = rows.join(F.broadcast(most), "lang", "left_semi")
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     rows = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring(text_bytes(), 1, SAMPLE_BYTES).alias("t"))
     # The rank's limit goes before the exchange, so a task sends that many rows of a language at most.

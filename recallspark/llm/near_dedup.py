@@ -8,7 +8,7 @@ similarity 0.8 a pair is missed with probability (1 - 0.8**4)**20 = 3e-5, at 0.8
 Documents with equal sets are one class. Then two waves confirm links on full sets:
 
 1. in each bucket every class is held against the bucket's smallest one, as sorted streams;
-2. in buckets where more than one component is left, blocks of classes meet all blocks of the bucket, classes of
+2. in buckets where more than one component is left, blocks of the classes outside its main component meet all blocks of the bucket, classes of
    different components are compared in memory, and only edges that join two components come out.
 
 So no pairs of a group are emitted, no bucket is capped, and no task holds more than two blocks.
@@ -28,7 +28,7 @@ from .components import components
 
 BANDS, ROWS = 20, 4
 #: Classes of a bucket that are compared in one task with as many others.
-BLOCK = 512
+BLOCK = 256
 #: Members of a bucket that meet its head in one stream.
 STREAM = 64
 
@@ -224,9 +224,14 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     links = cut(_against_heads(pairs, sets, percent))
     groups = cut(components(links))
     known = met.join(groups, F.col("rep") == F.col("node"), "left").select("band", "rep", "members", F.coalesce("component", "rep").alias("component"))
-    mixed = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    left = known.join(mixed, "band", "left_semi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    left = left.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # In a bucket with several components, the members of its main one need not meet each other, so their blocks meet only those of the rest.
+    sizes = known.groupBy("band", "component").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count("*").alias("several")).where("several > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    left = known.join(mixed, "band").withColumn("loose", F.col("component") != F.col("main")).withColumn("lb", blocks(F.col("all") - F.col("most"))).withColumn("mb", blocks(F.col("most")))
+    place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    left = left.withColumn("mine", F.when(F.col("loose"), place(F.col("lb"))).otherwise(F.col("lb") + place(F.col("mb"))))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("loose"), F.col("lb") + F.col("mb")).otherwise(F.col("lb")) - 1)))
     left = left.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component")
     more = cut(_within(left.join(sets, "rep").select("band", "i", "j", "mine", "rep", "component", "s"), percent))
     final = components(links.unionByName(more))

@@ -17,7 +17,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +70,18 @@ def _finish(body: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, str,
     return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"first": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
+_CODEC = "zstd"
+
+
+def _packed(body: bytes) -> bytes:
+    """The text compressed, after its size in eight bytes."""
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec=_CODEC, asbytes=True)
+
+
+def _unpacked(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec=_CODEC, asbytes=True)
+
+
 _RANGES = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<first:long,end:long>>"
 
@@ -102,12 +113,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     marks = marks.groupBy("doc_id", "row").agg(F.collect_set("mark").alias("marks"))
 
     def pack(batches):
-        packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([packer.compress(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "row", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_packed(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "row", "packed"])
 
     def settle(batches):
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             for doc_id, row, packed, marks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -116,7 +125,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
                     part = [m for m in marks if not m["whole"]]
                     out.append((doc_id, row, None, None, None, [{"first": a, "end": b} for a, b in ranges], packed, [m["i"] for m in part], [m["n"] for m in part], [m["a"] for m in part]))
                 else:
-                    out.append((doc_id, row, *_finish(unpack.decompress(packed), ranges), None, None, None, None))
+                    out.append((doc_id, row, *_finish(_unpacked(packed), ranges), None, None, None, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), _RANGES, pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], names=["doc_id", "row", "n_words", "n_removed", "kept_sha256", "repeats", "packed", "i", "n", "a"])
 
@@ -126,10 +135,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     open_rows = settled.where("packed IS NOT NULL")
 
     def extend(batches):
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for doc_id, row, packed, i, n, a in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                g, _ = Words(pa.array([unpack.decompress(packed)], pa.binary()), fold=False).grams(length)
+                g, _ = Words(pa.array([_unpacked(packed)], pa.binary()), fold=False).grams(length)
                 i, n = np.array(i), np.array(n)
                 at = np.repeat(i, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(at), pa.int64()), pa.array([row] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(np.repeat(np.array(a, np.int64), n)), pa.array(signed(g[at]))], names=["doc_id", "row", "i", "a", "w"])
@@ -139,11 +147,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     more = windows.join(first, ["a", "w"]).where("low < doc_id").groupBy("doc_id", "row").agg(F.collect_set("i").alias("windows"))
 
     def close(batches):
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             for doc_id, packed, ranges, windows in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                out.append((doc_id, *_finish(unpack.decompress(packed), [(r["first"], r["end"]) for r in ranges] + [(i, i + length) for i in windows or ()])))
+                out.append((doc_id, *_finish(_unpacked(packed), [(r["first"], r["end"]) for r in ranges] + [(i, i + length) for i in windows or ()])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), _RANGES), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "repeats"])
 

@@ -86,10 +86,17 @@ def fold(turns: DataFrame, resets: DataFrame, legacy: DataFrame) -> tuple[DataFr
     return now, legacy.join(top.select("session"), "session", "left_anti"), conflicts
 
 
+#: Fixed value: bytes at the end of a file that a tail reads.
+TAIL_BYTES = 1024 * 1024
+
+
 def tail(lines: DataFrame, n: int = 100) -> DataFrame:
-    """The last n lines of each file."""
+    """The last n lines of each file; of lines with their text, only those that lie wholly in the last TAIL_BYTES."""
     w = Window.partitionBy("file").orderBy(F.desc("line_no"))
-    return lines.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    d = lines.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
+    if "line" in lines.columns:
+        d = d.withColumn("_bytes", F.sum(F.octet_length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_bytes") <= TAIL_BYTES).drop("_bytes")
+    return d.drop("_n")
 
 
 def self_heal(records: DataFrame, chunks: DataFrame, n: int = 100) -> DataFrame:

@@ -227,3 +227,100 @@ def test_similar_pairs_equal_brute_force_between_classes(spark):
 
 def test_similar_pairs_of_an_empty_table(spark):
     assert duplicates.similar_pairs(spark.createDataFrame([], "id long, session string, content string")).count() == 0
+
+
+def test_tail_is_bounded_in_lines_and_bytes(spark, monkeypatch):
+    rows = [("a", i, "x" * 9) for i in range(20)] + [("b", i, "y") for i in range(3)]
+    d = spark.createDataFrame(rows, "file string, line_no long, line string")
+    assert sorted((r["file"], r["line_no"]) for r in log.tail(d, 2).collect()) == [("a", 18), ("a", 19), ("b", 1), ("b", 2)]
+    monkeypatch.setattr(log, "TAIL_BYTES", 35)
+    assert sorted((r["file"], r["line_no"]) for r in log.tail(d, 10).collect()) == [("a", 17), ("a", 18), ("a", 19), ("b", 0), ("b", 1), ("b", 2)]
+
+
+def test_keywords_in_the_query_language_equal_sqlite(spark):
+    import sqlite3
+
+    con = sqlite3.connect(":memory:")
+    try:
+        con.execute("CREATE VIRTUAL TABLE t USING fts5(c, tokenize='trigram')")
+    except sqlite3.OperationalError:
+        pytest.skip("this sqlite has no trigram search")
+    texts = ["foo bar", "a foobar", "food", "fo", "NEAR it", "and or not", "abcd xabcd", "say \"hi there\"", "Foo at the start", "日本語の形態素"]
+    con.executemany("INSERT INTO t(rowid, c) VALUES (?, ?)", list(enumerate(texts)))
+    c = chunks(spark, [(i, t, "p", "s", i, 0, None) for i, t in enumerate(texts)])
+    for word in ("foo*", "^foo", "foo+bar", "abc+bcd", '"foo"', '"foo bar"', '^"a f"', "NEAR", "AND", '"and"', "foo-bar", "it's", "fo*", "a_b", "形態素", '"foo', "^", "foo++bar", "(foo)"):
+        try:
+            want = {r[0] for r in con.execute("SELECT rowid FROM t WHERE t MATCH ?", (word,))}
+        except sqlite3.OperationalError:
+            assert search.term(word) is None or word == "(foo)", word  # brackets separate keywords
+            continue
+        t = search.term(word)
+        if word == "(foo)":
+            continue
+        got = {r["id"] for r in search.bm25(c, [t], k=None).collect()} if t else None
+        assert got == want, (word, t, got, want)
+
+
+def test_search_from_the_index_equals_the_scan(spark, tmp_path):
+    import random
+
+    from recallspark.operators import postings
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abAB 日") for _ in range(rng.randrange(40))) for _ in range(120)] + ["", "ab", None, "aaaaaaaa", "😀😀😀😀 aab"]
+    c = chunks(spark, [(i, t, f"p{i % 3}", "s", i, 0, None) for i, t in enumerate(texts)]).withColumn("content", F.coalesce("content", F.lit("")))
+    postings.build(c).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    words = ["aab", "aaa", "AbAb", "日ab a", search.Term("aba", True), "zzz", "😀😀😀", "aaaaaaa"]
+    for project in (None, "p1"):
+        f = lambda i: sorted((r["no"], r["id"], round(r["rank"], 9), r["place"]) for r in search.bm25(c, words, project, 15, i).collect())
+        assert f(index) == f(None) and len(f(index)) > 40
+    assert search.search_fts(c, "aab aaa", limit=7, all_projects=True, index=index).select("id", "pos").collect() == search.search_fts(c, "aab aaa", limit=7, all_projects=True).select("id", "pos").collect()
+
+
+def test_masking_hints_lose_nothing(spark):
+    """The gated chain equals all patterns one after another."""
+    import random
+    import re
+
+    from recallspark.functions import text as T
+
+    rng = random.Random(3)
+    bits = ["-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", "https://me:pw@host/x", "curl -u a:b", "--user 'a b'", "--api-key=zz", "Authorization: Bearer abc.def", "AWS_SECRET_ACCESS_KEY=q", "database_url: 'x'", "my_token = 5", "password:x", "sk-" + "a" * 20, "ghp_" + "b" * 20, "AKIA" + "A" * 16, "sk_live_12345678", "xoxb-1234567890", "glpat-abcdefghij", "npm_abcdefghij", "AIza" + "c" * 25, "eyJa.eyJb.c", "plain words", "token", "a://b"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(5))) for _ in range(200)]
+
+    def all_of(t):
+        for pattern, new in T.CREDENTIALS:
+            t = re.sub(pattern, new.replace("$1", "\\1"), t, flags=re.A)
+        return t
+
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["m"] for r in d.select(T.mask(F.col("t")).alias("m")).collect()] == [all_of(t) for t in texts]
+
+
+def test_long_turns_are_packed_as_before(spark):
+    import random
+
+    from recallspark.functions import text as T
+
+    rng = random.Random(6)
+
+    def pack(t, most):
+        tokens = lambda x: -(-len(x.encode("utf-16-be")) // 8)
+        if tokens(t) <= most:
+            return [t]
+        out, now = [], ""
+        import re
+
+        for p in re.split(r"\n{2,}", t):
+            joined = p if now == "" else now + "\n\n" + p
+            if now != "" and tokens(joined) > most:
+                out.append(now)
+                now = p
+            else:
+                now = joined
+        return out + ([now] if now else [])
+
+    texts = ["\n\n".join(rng.choice(["", "a" * rng.randrange(60), "é😀" * rng.randrange(9)]) for _ in range(rng.randrange(1, 30))) for _ in range(80)]
+    got = [r["x"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.split_text(F.col("t"), 16).alias("x")).collect()]
+    assert got == [pack(t, 16) for t in texts]

@@ -222,9 +222,14 @@ def file_list(c: Column) -> Column:
     return F.coalesce(F.filter(parts, lambda x: F.trim(x) != ""), F.array().cast("array<string>"))
 
 
+def trigram_text(c: Column) -> Column:
+    """The lower-cased text with white space collapsed and none around it, which trigrams are taken from."""
+    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+
+
 def trigrams(c: Column) -> Column:
     """Distinct three-character pieces of the lower-cased text with white space collapsed."""
-    t = F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    t = trigram_text(c)
     # A look-ahead takes every place once, and the dot goes on by a whole character, beyond the BMP too; cutting by index would walk the text from its start each time.
     return F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(?=(.{3}))."), F.lit(1)))
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import payload_digest
 
 
-def frames(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def frames(lines: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda d: d) -> tuple[DataFrame, DataFrame]:
     """lines (file, line_no, offset, line, v, type, txId, recordCount, payloadDigest, createdAt, problem) -> committed frames and diagnostics.
 
     Frames: file, tx_id, created_at, begin_offset, digest, payloads. Diagnostics: file, offset, tx_id, digest, message: damaged lines, frames abandoned by a
     new begin, commits without begin, invalid frames, frames without end. A file is one window partition; logs are split by month and host.
+    cut may store the frames, which both results are made from.
     """
     bad = lines.where("problem IS NOT NULL").select("file", "offset", F.lit(None).cast("string").alias("tx_id"), F.lit(None).cast("string").alias("digest"), F.col("problem").alias("message"))
     v2 = lines.where("problem IS NULL AND v = 2")
@@ -32,7 +35,7 @@ def frames(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     g = g.withColumn("payloads", F.transform("body", lambda x: x["line"])).withColumn("digest", payload_digest(F.col("payloads"))).join(last, "file")
     same = F.forall("body", lambda x: F.coalesce(x["txId"] == F.col("tx_id"), F.lit(False)))
     valid = (F.col("ends") == 1) & (F.col("tx_id") == F.col("commit_tx")) & (F.col("record_count") == F.size("payloads")) & (F.col("said") == F.col("digest")) & F.col("created_at").isNotNull() & same
-    g = g.withColumn("valid", F.coalesce(valid, F.lit(False)))
+    g = cut(g.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("body"))
     message = F.when(F.col("ends") > 0, "invalid transaction frame").when(F.col("frame") < F.col("last_frame"), "abandoned frame: new tx_begin before commit").otherwise("incomplete transaction at EOF")
     broken = g.where("NOT valid").select("file", F.col("begin_offset").alias("offset"), "tx_id", F.when(message.startswith("abandoned"), F.col("digest")).alias("digest"), message.alias("message"))
     return g.where("valid").select("file", "tx_id", "created_at", "begin_offset", "digest", "payloads"), bad.unionByName(orphan).unionByName(broken)

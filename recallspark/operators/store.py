@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def by_key(df: DataFrame, column: str, value: object) -> DataFrame:
     return df.where(F.col(column) == F.lit(value))
@@ -95,36 +97,52 @@ def overview(chunks: DataFrame, sessions: DataFrame, observations: DataFrame, re
     return stats(chunks, project).crossJoin(sessions.agg(F.count("*").alias("stored_sessions"))).crossJoin(seen).crossJoin(found)
 
 
+def _aged(rows: DataFrame, n: int, made: str = "created_at", key: tuple[str, ...] = ("id",)) -> tuple[DataFrame, DataFrame]:
+    """The n oldest rows, and the rest; nulls are oldest, and the key orders equal times. Rows are counted by day, and only the day where the n-th falls is put in order row by row."""
+    day = F.substring(made, 1, 10) if dict(rows.dtypes)[made] == "string" else F.to_date(made).cast("string")
+    d = rows.withColumn("_day", F.coalesce(day, F.lit("")))
+    days = d.groupBy("_day").agg(F.count("*").alias("_count"))
+    before = F.sum("_count").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))  # a row a day
+    d = d.join(days.withColumn("_before", F.coalesce(before, F.lit(0))), "_day")
+    start, end = F.col("_before"), F.col("_before") + F.col("_count")
+    edge = d.where((start < n) & (end > n)).withColumn("_rank", F.row_number().over(Window.partitionBy("_day").orderBy(made, *key)))
+    both = lambda whole, part: whole.select(*rows.columns).unionByName(part.select(*rows.columns))
+    return both(d.where(end <= n), edge.where(start + F.col("_rank") <= n)), both(d.where(start >= n), edge.where(start + F.col("_rank") > n))
+
+
 def oldest(chunks: DataFrame, n: int) -> DataFrame:
-    return chunks.orderBy("created_at", "id").limit(n)
+    return _aged(chunks, n)[0]
 
 
 def evict_oldest(chunks: DataFrame, n: int) -> DataFrame:
-    return chunks.join(oldest(chunks, n).select("id"), "id", "left_anti")
+    return _aged(chunks, n)[1]
+
+
+#: What tells an observation from all others.
+OBSERVATION = ("runtime", "session", "turn_key", "execution_index")
 
 
 def evict_to_size(chunks: DataFrame, observations: DataFrame, most_bytes: int, rounds: int = 10) -> tuple[DataFrame, DataFrame, int]:
-    """While both hold more than most_bytes, at most `rounds` times, the oldest tenth (rounded up) of the larger table goes, of chunks if they are as large. Only counts and sizes come to the driver."""
-    done = 0
-    for _ in range(rounds):
-        (n, a), (m, b) = measure(chunks, "content"), measure(observations, "output_excerpt")
-        if a + b <= most_bytes or n + m == 0:
-            break
+    """While both hold more than most_bytes, at most `rounds` times, the oldest tenth (rounded up) of the larger table goes, of chunks if they are as large.
+
+    Rounds go over keys, times and sizes alone; only counts and sizes come to the driver.
+    """
+    key = ("id",) if "id" in observations.columns else OBSERVATION
+    thin = lambda d, content, *columns: checkpointed(d.select(*columns, F.octet_length(content).alias("bytes")))
+    total = lambda d: tuple(d.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first())
+    c, o = thin(chunks, "content", "id", "created_at"), thin(observations, "output_excerpt", *key, "completed_at")
+    (n, a), (m, b), done = total(c), total(o), 0
+    while done < rounds and a + b > most_bytes and n + m > 0:
         if n >= m:
-            chunks = evict_oldest(chunks, -(-n // 10))
+            c = checkpointed(_aged(c, -(-n // 10))[1])
+            n, a = total(c)
         else:
-            observations = _without_oldest(observations, -(-m // 10))
+            o = checkpointed(_aged(o, -(-m // 10), "completed_at", key)[1])
+            m, b = total(o)
         done += 1
-    return chunks, observations, done
-
-
-#: What tells an observation from all others.
-OBSERVATION = ["runtime", "session", "turn_key", "execution_index"]
-
-
-def _without_oldest(observations: DataFrame, n: int) -> DataFrame:
-    key = ["id"] if "id" in observations.columns else OBSERVATION
-    return observations.join(observations.orderBy("completed_at", *key).limit(n).select(*key), key, "left_anti")
+    if not done:
+        return chunks, observations, 0
+    return chunks.join(c.select("id"), "id", "left_semi"), observations.join(o.select(*key), list(key), "left_semi"), done
 
 
 def fitting(chunks: DataFrame, most_bytes: int, days: str = "created_at") -> DataFrame:

@@ -109,13 +109,14 @@ class MemoryEngine:
             where = [r["path"] for r in lines.list_files(self.spark, path, from_month).select("path").collect()]
         if not where:
             raise FileNotFoundError(f"no log file below {path} has {from_month}")
-        frames, problems = logs.read_frames(self.spark, where)
+        seen = checkpointed(logs.frame_lines(self.spark, where))
+        frames, problems = log.frames(seen, checkpointed)
         committed, doubles = log.one_payload_each(frames)
-        committed = checkpointed(committed)
         turns, resets = logs.payloads(committed)
-        now, old, conflicts = log.fold(turns, resets, log.latest_by_id(logs.read_chunks(self.spark, where)))
+        turns = checkpointed(turns)
+        now, old, conflicts = log.fold(turns, resets, log.latest_by_id(logs.chunks_of(seen.where("v = 1"))))
         left = problems.where("message <> 'incomplete transaction at EOF' AND message <> 'unknown record version/type'").join(committed.select("tx_id", "digest"), ["tx_id", "digest"], "left_anti")
-        bad = left.count() + doubles.count() + conflicts.count()
+        bad = left.select("message").unionByName(doubles.select("message")).unionByName(conflicts.select(F.lit("").alias("message"))).count()
         if bad:
             raise ValueError(f"the log has {bad} errors")
         return checkpointed(now), checkpointed(old), resets, committed
@@ -163,7 +164,9 @@ class MemoryEngine:
         turns = decided.where("status = 'inserted'")
         fine = decided.groupBy("session").agg(F.every(F.col("status").isin("inserted", "already_current")).alias("fine")).where("fine").select("session")
         settled = decided.join(fine, "session", "left_semi").select("runtime", "session", "pending_key")
-        changes = {"pending": self.table("pending").join(settled, ["runtime", "session", "pending_key"], "left_anti")}
+        changes = {}
+        if "pending" in self.snapshots.current()[1]:
+            changes["pending"] = self.table("pending").join(settled, ["runtime", "session", "pending_key"], "left_anti")
         if cursors is not None:
             changes["cursors"] = store.upsert(self.table("cursors"), cursors.join(fine, "session", "left_semi").select(*names(CURSORS)), ["runtime", "session"])
         self._apply(base, turns, raised, found.select("tx_id", "digest"), **changes)
@@ -201,13 +204,14 @@ class MemoryEngine:
             "sessions": store.baseline(self.table("sessions"), touched).unionByName(self._fitted("sessions", sessions.session_summary(mine))),
             "observations": seen,
             "resolutions": store.baseline(self.table("resolutions"), touched).unionByName(self._fitted("resolutions", executions.resolutions(seen.join(touched, "session", "left_semi")))),
-            "vectors": self.table("vectors").join(all_.select("id"), "id", "left_semi"),
             "heads": heads,
             "epochs": checkpoints.raised_epochs(self.table("epochs"), resets),
             "committed": store.append_new(self.table("committed"), committed, ["tx_id"]),
             "receipts": None,
             "postings": None,
         }
+        if "vectors" in self.snapshots.current()[1]:
+            changes["vectors"] = self.table("vectors").join(all_.select("id"), "id", "left_semi")
         self._commit(base, **(changes | others))
 
     def recover_prepared(self, path: str) -> DataFrame:

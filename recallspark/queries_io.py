@@ -236,7 +236,7 @@ def insert_vectors(spark, d):
 # --- the engine
 
 
-def _written_log(spark, d) -> str:
+def written_log(spark, d) -> str:
     """Documents as version 1 records, those with a vector with it, and orders as committed turns of customers; a reset hides one customer segment's first epoch."""
     where = scratch(spark, "log")
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("float")).alias("v"))
@@ -264,7 +264,7 @@ UNION ALL SELECT 'characters', (SELECT sum(length(text)) FROM documents) + (SELE
 def rebuild_tables(spark, d):
     """A log of records and transactions folded to all tables, by their sizes."""
     e = MemoryEngine(spark, scratch(spark, "store"))
-    e.rebuild(_written_log(spark, d))
+    e.rebuild(written_log(spark, d))
     count = lambda name: e.table(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
     out = e.chunks().agg(F.sum(F.length("content")).alias("n")).select(F.lit("characters").alias("name"), "n")
     for name in ("chunks", "sessions", "observations", "resolutions", "vectors", "heads", "committed"):
@@ -274,7 +274,7 @@ def rebuild_tables(spark, d):
 
 @query("SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM orders) AS chunks")
 def insert_count(spark, d):
-    where = _written_log(spark, d)
+    where = written_log(spark, d)
     turns, _ = logs.payloads(logs.read_frames(spark, where)[0])
     return log.insert_count(logs.read_chunks(spark, where), turns)
 

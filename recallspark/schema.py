@@ -19,6 +19,8 @@ EXECUTION = _struct(executionIndex=I, toolName=S, command=S, status=S, exitCode=
 V2 = _struct(
     v=I, type=S, txId=S, createdAt=S, recordCount=I, payloadDigest=S, sessionId=S, historyEpoch=I, reason=S, runtime=S, turnKey=S, sourceOrder=S,
     revision=I, contentHash=S, completedAt=S, projectPath=S, observedThrough=BOUNDARY, parts=ArrayType(PART), executions=ArrayType(EXECUTION))
+#: What frames are told by; payloads are parsed later.
+FRAME = _struct(v=I, type=S, txId=S, createdAt=S, recordCount=I, payloadDigest=S)
 WIRE = _struct(type=S, event=_struct(type=S, id=S, prompt=S, part=_struct(type=S, text=S, content=S)))
 HOOK = _struct(hook_event_name=S, session_id=S, cwd=S, prompt=S, transcript_path=S, turn_id=S, model=S, prompt_uuid=S, last_assistant_message=S, stop_hook_active=B, reason=S)
 VECTOR = ArrayType(DoubleType())

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import SMALL_ROWS, cut
 
 #: Edges a file of a round.
 EDGES = 100_000
@@ -25,12 +25,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(tidy)
     n = now.count()
     while n:
+        # Minima of a round with few edges, which were counted, are broadcast, so that the edges of a node need not come together; Spark splits larger joins.
+        near = F.broadcast if 2 * n <= SMALL_ROWS else lambda d: d
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(near(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Nodes that are the smallest of their neighbours keep their edges to it.
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(near(lower), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # A round has no more edges than the one before, so a small table is written as few files.
         now = cut(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct().coalesce(max(1, -(-n // EDGES))))
         n, done = now.count(), _is_stars(now)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, lm_scoring, mixing, near_dedup, pii, substring_dedup, url_filter, warc
+from . import decontamination, exact_dedup, language_id, lm_scoring, merkle, mixing, near_dedup, pii, substring_dedup, url_filter, warc
 from .common import table
 
 RULES = [url_filter.Rule("allow", "org/"), url_filter.Rule("block", "example.org/es/"), url_filter.Rule("block", "example.org/en/1"), url_filter.Rule("allow", "com/fr/"), url_filter.Rule("block", "com/de/")]
@@ -58,13 +58,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered).drop("source")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_pii, op4_decontamination, op5_lm_scoring, op6_language_id, op7_mixing, op8_near_dedup, op9_exact_dedup, op10_substring_dedup, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_pii, op4_decontamination, op5_lm_scoring, op6_language_id, op7_mixing, op8_near_dedup, op9_exact_dedup, op10_substring_dedup, op13_merkle, pipeline)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -140,4 +145,38 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_remov
 FROM docs LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_url_filter": _URL, "op2_warc": _WARC, "op7_mixing": _MIXING, "op8_near_dedup": _NEAR, "op9_exact_dedup": _EXACT, "op10_substring_dedup": _SUBSTRING}
+
+
+def _merkle(docs: int, sources: int) -> str:
+    """SQL for trees of so many levels over the documents of a source and over the sources."""
+    field = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')".format
+    leaf = f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars')))} || {field('{0}')})".format
+    one = "list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda a, b: {one.replace('[c,', '[xor(a, b),')}), 4294967295)"
+
+    def levels(name: str, n: int) -> str:
+        out = ""
+        for k in range(n):
+            run = "OVER (PARTITION BY g, pos // 16 ORDER BY pos ROWS BETWEEN"
+            out += f""", {name}n{k} AS (SELECT g, pos, node, count(*) OVER (PARTITION BY g) AS n,
+  coalesce(string_agg(node, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(node, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k}),
+{name}{k + 1} AS (SELECT g, pos // 16 AS pos, CASE WHEN max(n) = 1 THEN max(node) ELSE sha256(string_agg(node, '' ORDER BY pos)) END AS node FROM {name}n{k} GROUP BY g, pos // 16)"""
+        return out
+
+    steps = [("d", k) for k in range(docs)] + [("s", k) for k in range(sources)]
+    walk, last = "", "w"
+    for i, (name, k) in enumerate(steps):
+        g, pos = ("w.g", "w.pos") if name == "d" else ("0", "w.g")
+        walk += f""", w{i} AS (SELECT w.* EXCLUDE (node, proof), CASE WHEN n > 1 THEN sha256(l || w.node || r) ELSE w.node END AS node, proof || CASE WHEN n > 1 THEN l || r ELSE '' END AS proof
+FROM {last} w JOIN {name}n{k} x ON x.g = {g} AND x.pos = {pos} // {16**k})"""
+        last = f"w{i}"
+    return f"""
+WITH leaves AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(_LOWER.format('text'))} ELSE {leaf('text')} END AS node FROM documents),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+d0 AS (SELECT g, pos, leaf AS node FROM placed){levels("d", docs)}, s0 AS (SELECT 0 AS g, g AS pos, node FROM d{docs}){levels("s", sources)},
+w AS (SELECT *, '' AS proof FROM placed){walk}
+SELECT doc_id, leaf, x.node AS subroot, y.node AS root, sha256(proof) AS proof_sha256, w.node AS folded_root, w.node = y.node AS verified FROM {last} w JOIN d{docs} x ON w.g = x.g CROSS JOIN s{sources} y
+"""
+
+
+ORACLE_SQL = {"op1_url_filter": _URL, "op2_warc": _WARC, "op7_mixing": _MIXING, "op8_near_dedup": _NEAR, "op9_exact_dedup": _EXACT, "op10_substring_dedup": _SUBSTRING, "op13_merkle": _merkle(5, 2)}

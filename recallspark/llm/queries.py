@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, language_id, lm_scoring, merkle, mixing, near_dedup, pii, substring_dedup, url_filter, warc
+from . import bpe, decontamination, exact_dedup, language_id, lm_scoring, merkle, mixing, near_dedup, periodic, pii, substring_dedup, url_filter, warc
 from .common import table
 
 RULES = [url_filter.Rule("allow", "org/"), url_filter.Rule("block", "example.org/es/"), url_filter.Rule("block", "example.org/en/1"), url_filter.Rule("allow", "com/fr/"), url_filter.Rule("block", "com/de/")]
@@ -64,6 +64,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered).drop("source")
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_pii, op4_decontamination, op5_lm_scoring, op6_language_id, op7_mixing, op8_near_dedup, op9_exact_dedup, op10_substring_dedup, op11_bpe, op13_merkle, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_pii, op4_decontamination, op5_lm_scoring, op6_language_id, op7_mixing, op8_near_dedup, op9_exact_dedup, op10_substring_dedup, op11_bpe, op12_periodic_runs, op13_merkle, pipeline)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, short_batches, text_bytes
 
-#: Stretches and pairs of tokens that a process keeps, some 100 MB; when there are more, all go.
-KEPT_STRETCHES, KEPT_PAIRS = 1 << 19, 1 << 18
+#: Stretches and pairs of tokens that a process keeps, some 250 MB; when there are more, all go.
+KEPT_STRETCHES, KEPT_PAIRS = 1 << 20, 1 << 19
 #: Bytes of the longest stretch that is kept.
 KEPT_BYTES = 64
 #: A token that no merge makes dies never.

@@ -21,6 +21,8 @@ from .common import cut, hinted
 FAN, LEVELS = 16, 2
 #: Leaves of a block.
 BLOCK = FAN**LEVELS
+#: Paths that may be broadcast: each has 960 bytes a level, so that these take some 20 MB.
+PATHS = 5_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,7 +110,7 @@ def climb(items: DataFrame, payload: list[str], over: Callable[[DataFrame], Data
     rest = [c for c in tops.columns if c != "g"]
     up = tops.withColumn("block", F.lit(0).cast("long"))
     for k in reversed(range(len(rounds))):
-        up = hinted(cut(up)) if k < len(rounds) - 1 else hinted(up)
+        up = hinted(cut(up), PATHS)
         up = up.withColumnsRenamed({"g": "g2", "block": "block2"})
         now = rounds[k].join(up, F.col("g").eqNullSafe(F.col("g2")) & (F.col("block") == F.col("block2"))).drop("g2", "block2")
         if k:

@@ -2,7 +2,10 @@
 
 Rows are (bucket, gram, id, project, size, at): the places of a piece in a chunk's lower-cased content. A keyword occurs where its pieces stand at
 places in step, so occurrences, and with them BM25, come from the rows of its pieces alone. The index is stored in order of bucket and gram, and a search
-reads the row groups of its buckets. One row, of bucket -1, has the number of chunks as id and the sum of sizes as size.
+reads the row groups of its buckets. A row of bucket -1, which is of no chunk, has the number of chunks as gram and the sum of their sizes as size.
+
+An index may be several segments, each the postings of the chunks that a change brought, without those of chunks that a later change took away. The
+rows of bucket -1 then count what each change brought less what it took away.
 """
 
 from __future__ import annotations
@@ -26,8 +29,11 @@ def bucket(gram: int) -> int:
     return (gram * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 56
 
 
-def build(chunks: DataFrame) -> DataFrame:
-    """chunks (id, project, content) -> SCHEMA. Contents of under three characters, and null ones, count as chunks and have no pieces."""
+def build(chunks: DataFrame, lost: DataFrame | None = None) -> DataFrame:
+    """chunks (id, project, content) -> SCHEMA. Contents of under three characters, and null ones, count as chunks and have no pieces.
+
+    lost (id, content): chunks that are gone, which the segment's counts are less by.
+    """
 
     def work(batches):
         for batch in batches:
@@ -43,11 +49,21 @@ def build(chunks: DataFrame) -> DataFrame:
                 own = (names.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(names), pa.array(np.full(n, id_)), pa.array([project] * n, pa.string()), pa.array(np.full(n, len(gram))), at], names=["bucket", "gram", "id", "project", "size", "at"])
 
-    text = chunks.select(F.col("id").cast("long").alias("id"), F.col("project").cast("string").alias("project"), F.lower(F.coalesce("content", F.lit(""))).alias("text"))
-    size = F.greatest(F.length("text") - 2, F.lit(0)).cast("long")
-    totals = text.agg(F.count("*").alias("id"), F.coalesce(F.sum(size), F.lit(0)).alias("size"))
-    row = totals.select(F.lit(-1).alias("bucket"), F.lit(-1).cast("long").alias("gram"), "id", F.lit(None).cast("string").alias("project"), "size", F.array().cast("array<int>").alias("at"))
-    return text.mapInArrow(work, SCHEMA).unionByName(row)
+    plain = F.lower(F.coalesce("content", F.lit("")))
+    text = chunks.select(F.col("id").cast("long").alias("id"), F.col("project").cast("string").alias("project"), plain.alias("text"))
+    sizes = lambda d, sign: d.select(F.lit(sign).cast("long").alias("gram"), (sign * F.greatest(F.length(plain) - 2, F.lit(0))).cast("long").alias("size"))
+    counts = sizes(chunks, 1) if lost is None else sizes(chunks, 1).unionByName(sizes(lost, -1))
+    return text.mapInArrow(work, SCHEMA).unionByName(_counted(counts))
+
+
+def _counted(counts: DataFrame) -> DataFrame:
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return counts.agg(total("gram"), total("size")).select(F.lit(-1).alias("bucket"), "gram", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("project"), "size", F.array().cast("array<int>").alias("at"))
+
+
+def combined(rows: DataFrame) -> DataFrame:
+    """Rows of several segments as one segment: their counts become one row."""
+    return rows.where("bucket >= 0").unionByName(_counted(rows.where("bucket = -1")))
 
 
 def occurrences(index: DataFrame, words: list[tuple[str, bool]]) -> DataFrame:
@@ -72,5 +88,5 @@ def occurrences(index: DataFrame, words: list[tuple[str, bool]]) -> DataFrame:
 
 def totals(index: DataFrame) -> tuple[int, float]:
     """Chunks, and the mean size."""
-    r = index.where("bucket = -1").select("id", "size").first()
-    return (0, 0.0) if r is None or not r["id"] else (r["id"], r["size"] / r["id"])
+    r = index.where("bucket = -1").agg(F.sum("gram").alias("n"), F.sum("size").alias("size")).first()
+    return (r["n"], r["size"] / r["n"]) if r["n"] else (0, 0.0)

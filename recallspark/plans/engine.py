@@ -1,4 +1,8 @@
-"""MemoryEngine: the store's commands over tables in a folder. Tables are immutable snapshots, and a command's changes to all of them appear at once."""
+"""MemoryEngine: the store's commands over tables in a folder. Tables are layers of immutable folders, and a command's changes to all of them appear at once.
+
+A command that changes some sessions reads and writes these: their rows become a layer on top of each table, and the full-text index gets a segment
+with the postings of the chunks that are new, and the ids of those that are gone.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ from ..schema import BOUNDARY
 from ..session import checkpointed
 from ..sources import foreign, lines, logs, pending, transcripts
 from . import checkpoints
-from .snapshots import Snapshots
+from .snapshots import Conflict, Snapshots
 
 CHUNKS = f"id long, external_id string, session string, project string, chunk_index long, content string, role string, metadata struct<filePaths:array<string>,toolNames:array<string>,errorMessages:array<string>>, token_count long, created_at timestamp, turn_key string, source_order string, part_index long, revision int, content_hash string, history_epoch int, observed_through {BOUNDARY.simpleString()}"
 SESSIONS = "session string, project string, started_at timestamp, ended_at timestamp, chunk_count long, first_message string, last_message string"
@@ -26,6 +30,10 @@ CURSORS = "runtime string, session string, cursor string"
 TABLES = {"chunks": CHUNKS, "sessions": SESSIONS, "observations": OBSERVATIONS, "resolutions": RESOLUTIONS, "vectors": VECTORS, "maintenance_log": MAINTENANCE, "heads": checkpoints.HEADS, "epochs": checkpoints.EPOCHS, "committed": checkpoints.COMMITTED, "receipts": checkpoints.RECEIPTS, "pending": pending.PENDING, "cursors": CURSORS, "postings": postings.SCHEMA}
 #: Tables that a rebuild makes from the log.
 DERIVED = ("chunks", "sessions", "observations", "resolutions", "vectors", "postings")
+#: What rows are replaced by: a commit writes rows of some keys, and readers forget the older ones of these.
+KEYS = {"chunks": ("session",), "sessions": ("session",), "observations": ("session",), "resolutions": ("session",), "heads": ("session",), "epochs": ("session",), "vectors": ("id",), "postings": ("id",), "committed": ("tx_id",), "receipts": ("tx_id",), "pending": ("runtime", "session", "pending_key"), "cursors": ("runtime", "session")}
+PARTED = ("chunks", "observations", "heads")
+LAYOUT = {"chunks": ("project", "created_at"), "postings": ("bucket", "gram", "id")}
 
 
 def names(schema: str) -> list[str]:
@@ -45,12 +53,13 @@ def _top_level(schema: str) -> list[str]:
 class MemoryEngine:
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None):
         self.spark, self.path, self.config = spark, path.rstrip("/"), config or Config()
-        self.snapshots = Snapshots(spark, self.path)
+        self.snapshots = Snapshots(spark, self.path, KEYS, PARTED, LAYOUT)
 
     # --- tables
 
-    def table(self, name: str) -> DataFrame:
-        return self.snapshots.read(name, TABLES[name])
+    def table(self, name: str, keys: DataFrame | None = None) -> DataFrame:
+        """The table's rows; with keys, those of these keys (sessions, for most tables)."""
+        return self.snapshots.read(name, TABLES[name], keys)
 
     def chunks(self) -> DataFrame:
         return self.table("chunks")
@@ -61,19 +70,68 @@ class MemoryEngine:
         return rows.select(*[(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in kinds])
 
     def _commit(self, base: int, **tables: DataFrame | None) -> None:
-        layout = {"chunks": ("project", "created_at"), "postings": ("bucket", "gram")}
-        ready = {k: None if v is None else self._fitted(k, v) for k, v in tables.items()}
-        self.snapshots.commit(base, **{k: v.repartitionByRange(*layout[k]).sortWithinPartitions(*layout[k]) if v is not None and k in layout else v for k, v in ready.items()})
+        """Tables that are written whole."""
+        self.snapshots.commit(base, **{k: None if v is None else self._fitted(k, v) for k, v in tables.items()})
+
+    def _change(self, base: int, touched: DataFrame | None, **changes: tuple[DataFrame | None, DataFrame | None]) -> None:
+        """For each table, new rows and the keys whose older rows don't count any more. Other writers may come between if they touch other sessions."""
+        self.snapshots.commit(base, touched, {k: (None if rows is None else self._fitted(k, rows), gone) for k, (rows, gone) in changes.items()})
+        self.compact()
+
+    def compact(self, least: int | None = None) -> list[str]:
+        """Merges layers of like size, if there are many; -> the tables. If another writer comes first, nothing happens."""
+        more = {} if least is None else {"least": least}
+        try:
+            return self.snapshots.compact(TABLES, {"postings": postings.combined}, **more)
+        except Conflict:
+            return []
+
+    def _indexed(self) -> bool:
+        return "postings" in self.snapshots.current()[1]
 
     def save(self, chunks: DataFrame, base: int | None = None, **others: DataFrame | None) -> None:
-        """New chunks, and the sessions that follow from them. Vectors of chunks that are gone go too."""
+        """All chunks anew, and the sessions that follow from them. Vectors of chunks that are gone go too, and if there is an index it is made anew."""
         base = self.snapshots.current()[0] if base is None else base
         chunks = checkpointed(self._fitted("chunks", chunks))
         vectors = others.pop("vectors", None)
         vectors = self.table("vectors") if vectors is None else vectors
-        tables = {"chunks": chunks, "sessions": sessions.session_summary(chunks), "vectors": vectors.join(chunks.select("id"), "id", "left_semi"), "postings": None} | others
+        tables = {"chunks": chunks, "sessions": sessions.session_summary(chunks), "vectors": vectors.join(chunks.select("id"), "id", "left_semi"), "postings": postings.build(chunks) if self._indexed() else None} | others
         self._commit(base, **tables)
 
+    def _replace(self, base: int, touched: DataFrame, mine: DataFrame, **more: tuple[DataFrame | None, DataFrame | None]) -> None:
+        """The sessions touched (session) have the chunks `mine` from now on; sessions, vectors and index follow, and more tables change with them."""
+        touched = checkpointed(touched.select("session").distinct())
+        mine = checkpointed(self._fitted("chunks", mine))
+        have = self.snapshots.current()[1]
+        changes = {"chunks": (mine, touched), "sessions": (sessions.session_summary(mine), touched)}
+        if "vectors" in have or "postings" in have:
+            had = self.table("chunks", touched)
+            if "vectors" in have:
+                changes["vectors"] = (None, had.join(mine, "id", "left_anti"))
+            if "postings" in have:
+                differ = lambda a, b: a.alias("a").join(b.alias("b"), (F.col("a.id") == F.col("b.id")) & F.col("a.project").eqNullSafe(F.col("b.project")) & F.col("a.content").eqNullSafe(F.col("b.content")), "left_anti")
+                lost = checkpointed(differ(had, mine).select("id", "project", "content"))
+                changes["postings"] = (postings.build(differ(mine, had), lost), lost)
+        self._change(base, touched, **(changes | more))
+
+    def _add(self, base: int, new: DataFrame) -> None:
+        """Chunks (as _numbered makes them) to sessions that may have others. Two chunks of one id are an error."""
+        new = checkpointed(new)
+        touched = checkpointed(new.select("session").distinct())
+        mine = self._distinct(checkpointed(self.table("chunks", touched).unionByName(new)))
+        clash = self.chunks().select("id", "session").join(touched, "session", "left_anti").join(new.select("id"), "id", "left_semi").limit(1).collect()
+        if clash:
+            raise ValueError(f"several chunks have the id {clash[0]['id']}")
+        self._replace(base, touched, mine)
+
+    def _drop(self, base: int, lost: DataFrame, orphans_too: bool = False) -> None:
+        """Chunks lost (id, session) go, and with orphans_too observations and resolutions of sessions that then have none."""
+        lost = checkpointed(lost.select("id", "session"))
+        touched = checkpointed(lost.select("session").distinct())
+        mine = checkpointed(self.table("chunks", touched).join(lost.select("id"), "id", "left_anti"))
+        gone = touched.join(mine, "session", "left_anti")
+        self._replace(base, touched, mine, **({"observations": (None, gone), "resolutions": (None, gone)} if orphans_too else {}))
+
     def _numbered(self, new: DataFrame) -> DataFrame:
         """The columns of chunks for new rows; ids are hashes of session and external_id or index, so that no counter is shared. Two chunks of one id are an error."""
         have = set(new.columns)
@@ -99,7 +157,8 @@ class MemoryEngine:
         found = transcripts.with_tools(m, u, r)
         when = found.groupBy("session").agg(F.to_timestamp(F.min("timestamp")).alias("created_at"))
         new = sessions.build_chunks(found, self.config.chunking.max_tokens).join(when, "session").withColumn("project", F.lit(project))
-        self.save(self._distinct(store.replace_sessions(self.chunks(), self._numbered(new))))
+        base, incoming = self.snapshots.current()[0], checkpointed(self._numbered(new))
+        self._replace(base, incoming, self._distinct(incoming))
         return new
 
     def _folded(self, path: str, from_month: str | None = None):
@@ -159,23 +218,23 @@ class MemoryEngine:
         decided = checkpointed(checkpoints.decide(candidates, resets, self.table("heads"), self.table("epochs"), self.config.chunking.max_tokens))
         raised = resets.join(self.table("epochs"), "session", "left").select("session", (F.coalesce("history_epoch", F.lit(0)) + 1).cast("int").alias("history_epoch"), "reason")
         found = checkpointed(checkpoints.receipts(decided, raised, as_of.isoformat(timespec="milliseconds") + "Z"))
-        base = self._prepare(base, found)
+        self._prepare(base, found)
         self._append(found, path, as_of)
         turns = decided.where("status = 'inserted'")
         fine = decided.groupBy("session").agg(F.every(F.col("status").isin("inserted", "already_current")).alias("fine")).where("fine").select("session")
         settled = decided.join(fine, "session", "left_semi").select("runtime", "session", "pending_key")
         changes = {}
         if "pending" in self.snapshots.current()[1]:
-            changes["pending"] = self.table("pending").join(settled, ["runtime", "session", "pending_key"], "left_anti")
+            changes["pending"] = (None, settled)
         if cursors is not None:
-            changes["cursors"] = store.upsert(self.table("cursors"), cursors.join(fine, "session", "left_semi").select(*names(CURSORS)), ["runtime", "session"])
-        self._apply(base, turns, raised, found.select("tx_id", "digest"), **changes)
+            own = cursors.join(fine, "session", "left_semi").select(*names(CURSORS))
+            changes["cursors"] = (own, own)
+        self._apply(base, turns, raised, found.select("tx_id", "digest"), found, **changes)
         return decided.select("session", "turn_key", "revision", "status")
 
-    def _prepare(self, base: int, found: DataFrame) -> int:
+    def _prepare(self, base: int, found: DataFrame) -> None:
         """Receipts are stored before anything is written to the log."""
-        self._commit(base, receipts=self.table("receipts").unionByName(found.select(*names(checkpoints.RECEIPTS))))
-        return base + 1
+        self._change(base, None, receipts=(found, None))
 
     def _append(self, found: DataFrame, path: str, as_of: datetime) -> None:
         """Frames of transactions that were not committed yet, each as one piece of a file of the month. An id that was committed with another digest is an error."""
@@ -184,35 +243,39 @@ class MemoryEngine:
             raise ValueError("a committed transaction has another digest")
         new.where("said IS NULL").select(F.array_join("lines", "\n").alias("value"), F.lit(as_of.strftime("%Y-%m")).alias("year_month")).write.mode("append").partitionBy("year_month").text(path)
 
-    def _apply(self, base: int, turns: DataFrame, resets: DataFrame, committed: DataFrame, **others: DataFrame | None) -> None:
-        """Committed turns and resets to all tables, in one commit without receipts."""
-        heads, errors = checkpoints.advance(self.table("heads"), turns)
+    def _apply(self, base: int, turns: DataFrame, resets: DataFrame, committed: DataFrame, receipts: DataFrame | None = None, legacy: DataFrame | None = None, **others: tuple[DataFrame | None, DataFrame | None]) -> None:
+        """Committed turns and resets to the tables of their sessions, in one commit that settles the receipts (tx_id); legacy: version 1 records, which replace those of their ids."""
+        again = checkpointed(resets.select("session").distinct())
+        touched = turns.select("session").unionByName(again)
+        if legacy is not None:
+            # A session that was ever reset has no version 1 records.
+            epochs = self.table("epochs").where("history_epoch > 0").select("session").unionByName(again)
+            legacy = checkpointed(self._numbered(legacy.join(epochs, "session", "left_anti")))
+            touched = touched.unionByName(legacy.select("session"))
+        touched = checkpointed(touched.distinct())
+        heads, errors = checkpoints.advance(store.baseline(self.table("heads", touched), again), turns)
         if bad := errors.limit(1).collect():
             raise ValueError(f"turn {bad[0]['turn_key']}: {bad[0]['message']}")
-        chunks, seen = self.chunks(), self.table("observations")
-        again = resets.select("session").distinct()
+        chunks, seen = self.table("chunks", touched), self.table("observations", touched)
         stored = store.turn_state(chunks.where("turn_key IS NOT NULL").join(again, "session", "left_anti"), "observed_through")
         won = checkpointed(store.checkpoint_decision(turns, stored).where("status = 'inserted'").drop("status"))
-        touched = checkpointed(won.select("session").unionByName(again).distinct())
-        new = self._numbered(logs.parts(won))
         kept = store.baseline(chunks, again).join(won.select("session", "turn_key"), ["session", "turn_key"], "left_anti")
-        mine = checkpointed(sessions.reindex(kept.join(touched, "session", "left_semi").unionByName(new)))
+        new = self._numbered(logs.parts(won))
+        if legacy is not None:
+            kept = kept.join(legacy.select("external_id"), "external_id", "left_anti")
+            new = new.unionByName(legacy)
+        mine = self._distinct(checkpointed(sessions.reindex(kept.unionByName(new))))
         seen = checkpointed(executions.replace_turn(store.baseline(seen, again), logs.observations(won), won))
-        all_ = store.baseline(kept, touched).unionByName(mine)
         changes = {
-            "chunks": all_,
-            "sessions": store.baseline(self.table("sessions"), touched).unionByName(self._fitted("sessions", sessions.session_summary(mine))),
-            "observations": seen,
-            "resolutions": store.baseline(self.table("resolutions"), touched).unionByName(self._fitted("resolutions", executions.resolutions(seen.join(touched, "session", "left_semi")))),
-            "heads": heads,
-            "epochs": checkpoints.raised_epochs(self.table("epochs"), resets),
-            "committed": store.append_new(self.table("committed"), committed, ["tx_id"]),
-            "receipts": None,
-            "postings": None,
+            "observations": (seen, touched),
+            "resolutions": (executions.resolutions(seen), touched),
+            "heads": (heads, touched),
+            "epochs": (checkpoints.raised_epochs(self.table("epochs", again), resets), again),
+            "committed": (committed.dropDuplicates(["tx_id"]).join(self.table("committed").select("tx_id"), "tx_id", "left_anti"), None),
         }
-        if "vectors" in self.snapshots.current()[1]:
-            changes["vectors"] = self.table("vectors").join(all_.select("id"), "id", "left_semi")
-        self._commit(base, **(changes | others))
+        if receipts is not None:
+            changes["receipts"] = (None, receipts)
+        self._replace(base, touched, mine, **(changes | others))
 
     def recover_prepared(self, path: str) -> DataFrame:
         """Receipts that a crash left -> tx_id, result, reason; transactions that the log has are applied to the tables, and all receipts are settled."""
@@ -227,13 +290,14 @@ class MemoryEngine:
         good = mine.join(judged.where("result = 'finalized'").select("tx_id"), "tx_id", "left_semi")
         turns, resets = logs.payloads(good)
         keys = found.join(good.select("tx_id"), "tx_id", "left_semi").select("session", F.explode("pending_keys").alias("pending_key"))
-        self._apply(base, turns, resets, good.select("tx_id", "digest"), pending=self.table("pending").join(keys, ["session", "pending_key"], "left_anti"))
+        self._apply(base, turns, resets, good.select("tx_id", "digest"), found, pending=(None, self.table("pending").join(keys, ["session", "pending_key"], "left_semi")))
         return judged
 
     def capture_prompts(self, prompts: DataFrame) -> None:
         """Pending prompts (pending.PENDING) to the store; a key that is there already is replaced."""
         key = ["runtime", "session", "pending_key"]
-        self._commit(self.snapshots.current()[0], pending=store.upsert(self.table("pending"), prompts.dropDuplicates(key).select(*names(pending.PENDING)), key))
+        new = prompts.dropDuplicates(key)
+        self._change(self.snapshots.current()[0], None, pending=(new, new))
 
     def save_answers(self, stops: DataFrame, path: str, as_of: datetime) -> DataFrame:
         """Answers (as pending.pair_answers takes them) paired with the pending prompts and committed."""
@@ -249,12 +313,12 @@ class MemoryEngine:
         return search.rank(self._candidates(query, project, limit), as_of, self.config.search.half_life_days, query).orderBy(F.desc("score"), "id")
 
     def index(self) -> None:
-        """Stores the postings of all chunks, which later searches read instead of all contents until the chunks change."""
+        """Stores the postings of all chunks, which later searches read instead of all contents, and which later changes of chunks add to."""
         self._commit(self.snapshots.current()[0], postings=postings.build(self.chunks()))
 
     def _candidates(self, query: str, project: str | None, limit: int, query_vector: list[float] | None = None) -> DataFrame:
         c = self.chunks()
-        index = self.table("postings") if "postings" in self.snapshots.current()[1] else None
+        index = self.table("postings") if self._indexed() else None
         hits = search.search_fts(c, query, project, limit, all_projects=self.config.search.project_scope != True, index=index)  # noqa: E712
         if query_vector is not None:
             near = search.knn(self.table("vectors").join(c.select("id"), "id", "left_semi"), query_vector, limit)
@@ -278,14 +342,16 @@ class MemoryEngine:
     # --- maintenance
 
     def merge(self, threshold: float = 0.6, dry_run: bool = False) -> DataFrame:
-        kept, marked = duplicates.merge(self.chunks(), threshold)
+        base, chunks = self.snapshots.current()[0], self.chunks()
+        kept, marked = duplicates.merge(chunks, threshold)
         marked = checkpointed(marked)
         if not dry_run:
-            self.save(kept)
+            self._drop(base, chunks.select("id", "session").join(kept.select("id"), "id", "left_anti"))
         return marked
 
     def prune(self, as_of: datetime, days: float) -> None:
-        self.save(store.retain(self.chunks(), as_of - timedelta(days=days)))
+        base, old = self.snapshots.current()[0], store.older_than(F.col("created_at"), as_of - timedelta(days=days))
+        self._drop(base, self.chunks().where(old))
 
     def maintain(self, as_of: datetime) -> dict:
         """If it is switched on and due: age, then size, then sessions without chunks, then old snapshots, and a line in the maintenance log.
@@ -313,18 +379,23 @@ class MemoryEngine:
         orphans = named.count() - live.count()
         freed = before[1] + before_seen[1] - after[1] - after_seen[1]
         entry = self.spark.createDataFrame([("auto", before[0] - after[0], freed, as_of)], MAINTENANCE)
-        self.save(left, base, observations=left_seen, resolutions=executions.resolutions(left_seen), maintenance_log=self.table("maintenance_log").unionByName(entry))
+        # Sessions that lost chunks or observations are written anew, others stay as they are.
+        lost = checkpointed(chunks.select("session", "id").join(left.select("id"), "id", "left_anti").select("session").unionByName(store.orphan_sessions(named, left).select("session")).distinct())
+        rest = seen.groupBy("session").agg(F.count("*").alias("n")).join(left_seen.groupBy("session").agg(F.count("*").alias("m")), "session", "left").where("m IS NULL OR m < n").select("session")
+        less = checkpointed(lost.unionByName(rest).distinct())
+        kept_seen = left_seen.join(less, "session", "left_semi")
+        self._replace(base, less, left.join(less, "session", "left_semi"), observations=(kept_seen, less), resolutions=(executions.resolutions(kept_seen), less), maintenance_log=(entry, None))
         self.snapshots.vacuum()
         return {"skipped": False, "reason": None, "chunks_deleted": before[0] - after[0], "observations_deleted": before_seen[0] - after_seen[0], "orphaned_sessions_deleted": orphans, "bytes_freed": freed}
 
     def edit(self, id_: int, content: str) -> None:
-        self.save(store.edit(self.chunks(), id_, content))
+        base = self.snapshots.current()[0]
+        touched = checkpointed(store.by_key(self.chunks(), "id", id_).select("session"))
+        self._replace(base, touched, store.edit(self.table("chunks", touched), id_, content))
 
     def delete(self, where: Column) -> None:
         """Chunks go; observations and resolutions of sessions that then have no chunk go too."""
-        left = checkpointed(self.chunks().where(~F.coalesce(where, F.lit(False))))
-        _, seen = store.drop_orphans(self.table("sessions"), left, self.table("observations"))
-        self.save(left, observations=seen, resolutions=executions.resolutions(seen))
+        self._drop(self.snapshots.current()[0], self.chunks().where(where), orphans_too=True)
 
     # --- reports and exchange
 
@@ -344,15 +415,17 @@ class MemoryEngine:
         return transcripts.recoverable(self.spark, path, self.chunks().select("session").distinct())
 
     def self_heal(self, path: str, n: int = 100) -> DataFrame:
+        base = self.snapshots.current()[0]
         lost = checkpointed(log.self_heal(logs.read_chunks(self.spark, path), self.chunks(), n))
-        self.save(self._distinct(self.chunks().unionByName(self._numbered(lost))))
+        self._add(base, self._numbered(lost))
         return lost
 
     def import_foreign(self, s: DataFrame, o: DataFrame, m: DataFrame, project: str | None = None, dry_run: bool = False) -> DataFrame:
+        base = self.snapshots.current()[0]
         new, added = foreign.import_foreign(s, o, m, self.chunks().select("session").distinct(), project)
         added = checkpointed(added)
         if not dry_run:
-            self.save(self._distinct(self.chunks().unionByName(self._numbered(new))))
+            self._add(base, self._numbered(new))
         return added
 
     def backfill(self, model: Callable[[Column], Column], dry_run: bool = False) -> dict:
@@ -362,10 +435,12 @@ class MemoryEngine:
         if dry_run or not total:
             return {"total": total, "processed": 0, "skipped": total}
         base = self.snapshots.current()[0]
-        self._commit(base, vectors=embedding.insert_vectors(have, embedding.backfill(c, have, model)))
+        new = checkpointed(embedding.backfill(c, have, model))
+        self._change(base, None, vectors=(new, new))
         return {"total": total, "processed": total, "skipped": 0}
 
     def add_vectors(self, rows: DataFrame) -> None:
         """Vectors (id, embedding) of chunks, in place of older ones."""
-        self._commit(self.snapshots.current()[0], vectors=embedding.insert_vectors(self.table("vectors"), rows.join(self.chunks().select("id"), "id", "left_semi")))
+        base, new = self.snapshots.current()[0], checkpointed(rows.join(self.chunks().select("id"), "id", "left_semi"))
+        self._change(base, None, vectors=(new, new))
 

@@ -246,7 +246,7 @@ def test_vectors_and_index(spark, tmp_path):
     e.add_vectors(spark.createDataFrame([(one, [1.0, 0.0]), (-5, [1.0, 0.0])], "id long, embedding array<double>"))
     assert {r["id"]: r["embedding"] for r in e.table("vectors").collect()}[one] == [1.0, 0.0] and e.table("vectors").count() == 2
     e.delete(F.col("session") == "s")
-    assert e.table("vectors").count() == 1 and "postings" not in e.snapshots.current()[1]
+    assert e.table("vectors").count() == 1 and "postings" in e.snapshots.current()[1] and e.search("parser", NOW).count() == 0
     stats = e.stats().first()
     assert (stats["chunks"], stats["stored_sessions"], stats["resolutions"]) == (1, 1, 0) and stats["bytes"] > 0
 

@@ -14,16 +14,19 @@ def frames(lines: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda d: d
     """lines (file, line_no, offset, line, v, type, txId, recordCount, payloadDigest, createdAt, problem) -> committed frames and diagnostics.
 
     Frames: file, tx_id, created_at, begin_offset, digest, payloads. Diagnostics: file, offset, tx_id, digest, message: damaged lines, frames abandoned by a
-    new begin, commits without begin, invalid frames, frames without end. A file is one window partition; logs are split by month and host.
-    cut may store the frames, which both results are made from.
+    new begin, commits without begin, invalid frames, frames without end. Begins are counted by the lines' ranges (split, if there is one) and added up
+    over a file's ranges, so that a file of any size is many tasks. cut may store the frames, which both results are made from.
     """
+    if "split" not in lines.columns:
+        lines = lines.withColumn("split", F.lit(0))
     bad = lines.where("problem IS NOT NULL").select("file", "offset", F.lit(None).cast("string").alias("tx_id"), F.lit(None).cast("string").alias("digest"), F.col("problem").alias("message"))
     v2 = lines.where("problem IS NULL AND v = 2")
-    order = Window.partitionBy("file").orderBy("line_no")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     begin, commit = F.col("type") == "tx_begin", F.col("type") == "tx_commit"
     # A frame number begins at each begin; whatever stands after a commit of the same number is outside of frames.
-    d = v2.withColumn("frame", F.sum(begin.cast("int")).over(upto))
+    own = F.sum(begin.cast("int")).over(Window.partitionBy("file", "split").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    begins = v2.groupBy("file", "split").agg(F.count_if(begin).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    d = v2.withColumn("own", own).join(begins.select("file", "split", before.alias("before")), ["file", "split"]).withColumn("frame", F.col("before") + F.col("own"))
     d = d.withColumn("commits", F.coalesce(F.sum(commit.cast("int")).over(Window.partitionBy("file", "frame").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     orphan = d.where(commit & ((F.col("frame") == 0) | (F.col("commits") > 0))).select("file", "offset", F.col("txId").alias("tx_id"), F.lit(None).cast("string").alias("digest"), F.lit("orphan tx_commit without tx_begin").alias("message"))
     last = d.groupBy("file").agg(F.max("frame").alias("last_frame"))
@@ -65,6 +68,19 @@ def one_payload_each(committed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.where("n = 1").drop("first_digest", "n"), errors
 
 
+def cursors(lines: DataFrame, committed: DataFrame, problems: DataFrame) -> DataFrame:
+    """lines (file, offset, ended, line), and frames() of them -> file, offset: where reading each file goes on when it has grown.
+
+    That is after the last line; but where the file ends in a frame without commit at that frame, and where its last line has no newline at that line, or at the file's last
+    frame, if that comes before. What is read twice is the same and changes nothing.
+    """
+    last = lines.groupBy("file").agg(F.max(F.col("offset") + F.octet_length("line") + F.col("ended").cast("int")).alias("end"), F.min(F.when(~F.col("ended"), F.col("offset"))).alias("open"))
+    unfinished = problems.where("message = 'incomplete transaction at EOF'").groupBy("file").agg(F.min("offset").alias("begun"))
+    done = committed.groupBy("file").agg(F.max("begin_offset").alias("frame"))
+    d = last.join(unfinished, "file", "left").join(done, "file", "left")
+    return d.select("file", F.least("end", "open", "begun", F.when(F.col("open").isNotNull(), F.col("frame"))).alias("offset"))
+
+
 def latest_revisions(turns: DataFrame) -> DataFrame:
     """turns (session, turn_key, history_epoch, revision, content_hash, ...) -> for each turn and epoch the highest revision, the first hash of it."""
     best = F.row_number().over(Window.partitionBy("session", "turn_key", "history_epoch").orderBy(F.desc("revision"), "content_hash"))

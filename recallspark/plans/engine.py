@@ -27,11 +27,13 @@ RESOLUTIONS = "runtime string, project string, session string, command string, f
 VECTORS = "id long, embedding array<float>"
 MAINTENANCE = "action string, chunks_deleted long, bytes_freed long, executed_at timestamp"
 CURSORS = "runtime string, session string, cursor string"
-TABLES = {"chunks": CHUNKS, "sessions": SESSIONS, "observations": OBSERVATIONS, "resolutions": RESOLUTIONS, "vectors": VECTORS, "maintenance_log": MAINTENANCE, "heads": checkpoints.HEADS, "epochs": checkpoints.EPOCHS, "committed": checkpoints.COMMITTED, "receipts": checkpoints.RECEIPTS, "pending": pending.PENDING, "cursors": CURSORS, "postings": postings.SCHEMA}
+#: How far each log file is in the tables.
+LOG_STATE = "file string, offset long"
+TABLES = {"chunks": CHUNKS, "sessions": SESSIONS, "observations": OBSERVATIONS, "resolutions": RESOLUTIONS, "vectors": VECTORS, "maintenance_log": MAINTENANCE, "heads": checkpoints.HEADS, "epochs": checkpoints.EPOCHS, "committed": checkpoints.COMMITTED, "receipts": checkpoints.RECEIPTS, "pending": pending.PENDING, "cursors": CURSORS, "postings": postings.SCHEMA, "log_state": LOG_STATE}
 #: Tables that a rebuild makes from the log.
 DERIVED = ("chunks", "sessions", "observations", "resolutions", "vectors", "postings")
 #: What rows are replaced by: a commit writes rows of some keys, and readers forget the older ones of these.
-KEYS = {"chunks": ("session",), "sessions": ("session",), "observations": ("session",), "resolutions": ("session",), "heads": ("session",), "epochs": ("session",), "vectors": ("id",), "postings": ("id",), "committed": ("tx_id",), "receipts": ("tx_id",), "pending": ("runtime", "session", "pending_key"), "cursors": ("runtime", "session")}
+KEYS = {"chunks": ("session",), "sessions": ("session",), "observations": ("session",), "resolutions": ("session",), "heads": ("session",), "epochs": ("session",), "vectors": ("id",), "postings": ("id",), "committed": ("tx_id",), "receipts": ("tx_id",), "pending": ("runtime", "session", "pending_key"), "cursors": ("runtime", "session"), "log_state": ("file",)}
 PARTED = ("chunks", "observations", "heads")
 LAYOUT = {"chunks": ("project", "created_at"), "postings": ("bucket", "gram", "id")}
 
@@ -98,16 +100,17 @@ class MemoryEngine:
         tables = {"chunks": chunks, "sessions": sessions.session_summary(chunks), "vectors": vectors.join(chunks.select("id"), "id", "left_semi"), "postings": postings.build(chunks) if self._indexed() else None} | others
         self._commit(base, **tables)
 
-    def _replace(self, base: int, touched: DataFrame, mine: DataFrame, **more: tuple[DataFrame | None, DataFrame | None]) -> None:
-        """The sessions touched (session) have the chunks `mine` from now on; sessions, vectors and index follow, and more tables change with them."""
+    def _replace(self, base: int, touched: DataFrame, mine: DataFrame, vectors: DataFrame | None = None, **more: tuple[DataFrame | None, DataFrame | None]) -> None:
+        """The sessions touched (session) have the chunks `mine` from now on; sessions, vectors (with new ones) and index follow, and more tables change with them."""
         touched = checkpointed(touched.select("session").distinct())
         mine = checkpointed(self._fitted("chunks", mine))
         have = self.snapshots.current()[1]
         changes = {"chunks": (mine, touched), "sessions": (sessions.session_summary(mine), touched)}
-        if "vectors" in have or "postings" in have:
+        if "vectors" in have or "postings" in have or vectors is not None:
             had = self.table("chunks", touched)
-            if "vectors" in have:
-                changes["vectors"] = (None, had.join(mine, "id", "left_anti"))
+            if "vectors" in have or vectors is not None:
+                lost = had.select("id").join(mine, "id", "left_anti")
+                changes["vectors"] = (vectors, lost if vectors is None else lost.unionByName(vectors.select("id")))
             if "postings" in have:
                 differ = lambda a, b: a.alias("a").join(b.alias("b"), (F.col("a.id") == F.col("b.id")) & F.col("a.project").eqNullSafe(F.col("b.project")) & F.col("a.content").eqNullSafe(F.col("b.content")), "left_anti")
                 lost = checkpointed(differ(had, mine).select("id", "project", "content"))
@@ -161,24 +164,54 @@ class MemoryEngine:
         self._replace(base, incoming, self._distinct(incoming))
         return new
 
+    def _read(self, where: str | list[str], since: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """-> lines, committed frames (each transaction once), how far each file is read, and errors (message)."""
+        seen = checkpointed(logs.frame_lines(self.spark, where, since))
+        frames, problems = log.frames(seen, checkpointed)
+        committed, doubles = log.one_payload_each(frames)
+        left = problems.where("message <> 'incomplete transaction at EOF' AND message <> 'unknown record version/type'").join(committed.select("tx_id", "digest"), ["tx_id", "digest"], "left_anti")
+        return seen, committed, log.cursors(seen, committed, problems), left.select("message").unionByName(doubles.select("message"))
+
     def _folded(self, path: str, from_month: str | None = None):
-        """-> current turns, legacy chunks, resets, committed frames. Errors that matter raise."""
+        """-> current turns, legacy chunks, resets, committed frames, how far files are read. Errors that matter raise."""
         where: str | list[str] = path
         if from_month is not None:
             where = [r["path"] for r in lines.list_files(self.spark, path, from_month).select("path").collect()]
         if not where:
             raise FileNotFoundError(f"no log file below {path} has {from_month}")
-        seen = checkpointed(logs.frame_lines(self.spark, where))
-        frames, problems = log.frames(seen, checkpointed)
-        committed, doubles = log.one_payload_each(frames)
+        seen, committed, ends, errors = self._read(where)
         turns, resets = logs.payloads(committed)
         turns = checkpointed(turns)
         now, old, conflicts = log.fold(turns, resets, log.latest_by_id(logs.chunks_of(seen.where("v = 1"))))
-        left = problems.where("message <> 'incomplete transaction at EOF' AND message <> 'unknown record version/type'").join(committed.select("tx_id", "digest"), ["tx_id", "digest"], "left_anti")
-        bad = left.select("message").unionByName(doubles.select("message")).unionByName(conflicts.select(F.lit("").alias("message"))).count()
-        if bad:
+        if bad := errors.unionByName(conflicts.select(F.lit("").alias("message"))).count():
             raise ValueError(f"the log has {bad} errors")
-        return checkpointed(now), checkpointed(old), resets, committed
+        return checkpointed(now), checkpointed(old), resets, committed, ends
+
+    def refresh(self, path: str) -> dict:
+        """What the log's files have grown by since they were last read, to the tables: as a rebuild would have it. -> new transactions, records and bytes.
+
+        Each file is read from where it was left: after its last line, or at a transaction that had no end yet. Files that are gone or shorter are an error.
+        """
+        base = self.snapshots.current()[0]
+        since = {r["file"]: r["offset"] for r in self.table("log_state").collect()}  # a row a file
+        seen, found, ends, errors = self._read(path, since)
+        if bad := errors.count():
+            raise ValueError(f"the log has {bad} errors")
+        known = self.table("committed").select("tx_id", F.col("digest").alias("said"))
+        found = checkpointed(found.join(known, "tx_id", "left"))
+        if found.where("said <> digest").limit(1).count():
+            raise ValueError("a committed transaction has another digest")
+        new = found.where("said IS NULL").drop("said")
+        turns, resets = logs.payloads(new)
+        own = self.table("epochs").where("history_epoch > 0")
+        resets = checkpointed(resets.groupBy("session").agg(F.max("history_epoch").alias("history_epoch")).join(own.withColumnRenamed("history_epoch", "own"), "session", "left").where("own IS NULL OR history_epoch > own").drop("own"))
+        top = own.unionByName(resets).groupBy("session").agg(F.max("history_epoch").alias("top"))
+        turns = checkpointed(turns.join(top, "session", "left").where("top IS NULL OR history_epoch = top").drop("top"))
+        legacy = checkpointed(log.latest_by_id(logs.chunks_of(seen.where("v = 1"))))
+        ends = checkpointed(ends)
+        self._apply(base, turns, resets, new.select("tx_id", "digest"), legacy=legacy, by_revision=True, log_state=(ends, ends))
+        size = seen.agg(F.coalesce(F.sum(F.octet_length("line") + F.col("ended").cast("int")), F.lit(0))).first()[0]
+        return {"transactions": new.count(), "records": legacy.count(), "bytes": size}
 
     def rebuild(self, path: str, dry_run: bool = False, from_month: str | None = None) -> DataFrame:
         """The log folded to all tables: chunks, sessions, observations, resolutions, vectors, and heads, epochs and transactions for later checkpoints.
@@ -188,7 +221,7 @@ class MemoryEngine:
         if from_month is not None and not dry_run:
             raise ValueError("from_month needs dry_run")
         base = self.snapshots.current()[0]
-        now, old, resets, committed = self._folded(path, from_month)
+        now, old, resets, committed, ends = self._folded(path, from_month)
         new = self._numbered(logs.parts(now)).unionByName(self._numbered(old))
         new = sessions.reindex(self._distinct(checkpointed(new)))
         if not dry_run:
@@ -196,7 +229,7 @@ class MemoryEngine:
             vectors = old.where("embedding IS NOT NULL").select("external_id", "embedding").join(new.select("id", "external_id"), "external_id").select("id", "embedding")
             epochs = checkpoints.raised_epochs(self.spark.createDataFrame([], checkpoints.EPOCHS), resets)
             receipts = self.table("receipts").join(committed.select("tx_id"), "tx_id", "left_anti")
-            self.save(new, base, vectors=vectors, observations=seen, resolutions=executions.resolutions(seen), heads=now.select(*names(checkpoints.HEADS)), epochs=epochs, committed=committed.select("tx_id", "digest"), receipts=receipts)
+            self.save(new, base, vectors=vectors, observations=seen, resolutions=executions.resolutions(seen), heads=now.select(*names(checkpoints.HEADS)), epochs=epochs, committed=committed.select("tx_id", "digest"), receipts=receipts, log_state=ends)
         return new
 
     def truncate(self) -> None:
@@ -243,22 +276,33 @@ class MemoryEngine:
             raise ValueError("a committed transaction has another digest")
         new.where("said IS NULL").select(F.array_join("lines", "\n").alias("value"), F.lit(as_of.strftime("%Y-%m")).alias("year_month")).write.mode("append").partitionBy("year_month").text(path)
 
-    def _apply(self, base: int, turns: DataFrame, resets: DataFrame, committed: DataFrame, receipts: DataFrame | None = None, legacy: DataFrame | None = None, **others: tuple[DataFrame | None, DataFrame | None]) -> None:
-        """Committed turns and resets to the tables of their sessions, in one commit that settles the receipts (tx_id); legacy: version 1 records, which replace those of their ids."""
+    def _apply(self, base: int, turns: DataFrame, resets: DataFrame, committed: DataFrame, receipts: DataFrame | None = None, legacy: DataFrame | None = None, by_revision: bool = False, **others: tuple[DataFrame | None, DataFrame | None]) -> None:
+        """Committed turns and resets to the tables of their sessions, in one commit that settles the receipts (tx_id).
+
+        legacy: version 1 records, which replace those of their ids. by_revision: a turn's highest epoch and revision count, as a rebuild has it, whatever its boundary.
+        """
         again = checkpointed(resets.select("session").distinct())
         touched = turns.select("session").unionByName(again)
         if legacy is not None:
             # A session that was ever reset has no version 1 records.
             epochs = self.table("epochs").where("history_epoch > 0").select("session").unionByName(again)
-            legacy = checkpointed(self._numbered(legacy.join(epochs, "session", "left_anti")))
+            records = legacy.join(epochs, "session", "left_anti")
+            legacy = checkpointed(self._numbered(records))
             touched = touched.unionByName(legacy.select("session"))
+            vectors = records.where("embedding IS NOT NULL").select("external_id", "embedding").join(legacy.select("id", "external_id"), "external_id").select("id", "embedding")
         touched = checkpointed(touched.distinct())
-        heads, errors = checkpoints.advance(store.baseline(self.table("heads", touched), again), turns)
+        before = store.baseline(self.table("heads", touched), again)
+        heads, errors = checkpoints.advance(before, turns)
         if bad := errors.limit(1).collect():
             raise ValueError(f"turn {bad[0]['turn_key']}: {bad[0]['message']}")
         chunks, seen = self.table("chunks", touched), self.table("observations", touched)
         stored = store.turn_state(chunks.where("turn_key IS NOT NULL").join(again, "session", "left_anti"), "observed_through")
-        won = checkpointed(store.checkpoint_decision(turns, stored).where("status = 'inserted'").drop("status"))
+        if by_revision:
+            place = ["session", "turn_key", "history_epoch", "revision", "content_hash"]
+            moved = heads.select(*place).join(before.select(*place), place, "left_anti")
+            won = checkpointed(log.latest_revisions(turns).join(moved, place, "left_semi"))
+        else:
+            won = checkpointed(store.checkpoint_decision(turns, stored).where("status = 'inserted'").drop("status"))
         kept = store.baseline(chunks, again).join(won.select("session", "turn_key"), ["session", "turn_key"], "left_anti")
         new = self._numbered(logs.parts(won))
         if legacy is not None:
@@ -275,7 +319,7 @@ class MemoryEngine:
         }
         if receipts is not None:
             changes["receipts"] = (None, receipts)
-        self._replace(base, touched, mine, **(changes | others))
+        self._replace(base, touched, mine, None if legacy is None else vectors, **(changes | others))
 
     def recover_prepared(self, path: str) -> DataFrame:
         """Receipts that a crash left -> tx_id, result, reason; transactions that the log has are applied to the tables, and all receipts are settled."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import hex_to_vec
 from ..operators import log
 from ..schema import FRAME, METADATA, V1_CHUNK, V2
-from .lines import parsed, read_lines
+from .lines import parsed, read_lines, scan
 
 
 def read_chunks(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -18,7 +18,7 @@ def read_chunks(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def chunks_of(lines: DataFrame) -> DataFrame:
     """The same from lines (file, line_no, offset, line)."""
-    d = parsed(lines.select("file", "line_no", "offset", "line"), V1_CHUNK).where("problem IS NULL AND v = 1 AND id IS NOT NULL AND sessionId IS NOT NULL AND content IS NOT NULL AND role IN ('human', 'assistant', 'mixed') AND chunkIndex IS NOT NULL AND createdAt IS NOT NULL")
+    d = parsed(lines.select(*[c for c in ("file", "line_no", "offset", "line") if c in lines.columns]), V1_CHUNK).where("problem IS NULL AND v = 1 AND id IS NOT NULL AND sessionId IS NOT NULL AND content IS NOT NULL AND role IN ('human', 'assistant', 'mixed') AND chunkIndex IS NOT NULL AND createdAt IS NOT NULL")
     none = F.from_json(F.lit('{"filePaths":[],"toolNames":[],"errorMessages":[]}'), METADATA)
     vector = F.when(F.col("embedding").rlike("^([0-9a-fA-F]{8})+$"), hex_to_vec("embedding"))
     return d.select("file", "line_no", F.col("id").alias("external_id"), F.col("sessionId").alias("session"), F.col("projectPath").alias("project"), F.col("chunkIndex").alias("chunk_index"), "content", "role", F.coalesce(F.from_json("metadata", METADATA), none).alias("metadata"), F.col("tokenCount").alias("token_count"), F.to_timestamp("createdAt").alias("created_at"), vector.alias("embedding"), F.col("embeddingModel").alias("embedding_model"))
@@ -28,9 +28,10 @@ def read_frames(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame,
     return log.frames(frame_lines(spark, path))
 
 
-def frame_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines with what frames are told by, and their problems."""
-    return parsed(read_lines(spark, path), FRAME)
+def frame_lines(spark: SparkSession, path: str | list[str], since: dict[str, int] | None = None, split: int | None = None) -> DataFrame:
+    """Lines with what frames are told by, and their problems; since: from where each file is read."""
+    found = scan(spark, path, split, since).where(F.trim("line") != "")
+    return parsed(found.select("file", "split", F.col("offset").alias("line_no"), "offset", "ended", "line"), FRAME)
 
 
 def payloads(frames: DataFrame) -> tuple[DataFrame, DataFrame]:

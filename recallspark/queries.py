@@ -713,4 +713,4 @@ def batch_recall(spark, d):
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score")
 
 
-from . import queries_io  # noqa: E402, F401
+from . import queries_io, queries_store  # noqa: E402, F401

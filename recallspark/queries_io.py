@@ -209,9 +209,9 @@ def imported_texts(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.sha2(seen, 256).alias("observation"), F.sha2(told, 256).alias("summary"))
 
 
-@query("SELECT vec_id AS id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 4)) AS v FROM embeddings")
+@query("SELECT vec_id AS id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 4) + 0.0::DOUBLE) AS v FROM embeddings")
 def unit_vectors(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(embedding.unit(F.col("embedding")), lambda x: F.round(x, 4)).alias("v"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(embedding.unit(F.col("embedding")), lambda x: F.round(x, 4) + 0.0).alias("v"))
 
 
 @query("SELECT label, round(sum(list_sum(embedding)) / count(*), 5) AS total FROM embeddings GROUP BY label")

@@ -191,11 +191,11 @@ def pooled(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def sample(docs: DataFrame, learn: Column) -> list[tuple[str, bytes]]:
-    """Of each language, the SAMPLE_TEXTS texts with the smallest hash of doc_id and text where learn holds, from each a piece of SAMPLE_BYTES bytes at most; of MOST_LANGUAGES languages."""
+    """Of each language, the SAMPLE_TEXTS texts with the smallest hash of doc_id (ties: doc_id, then the text) where learn holds, from each a piece of SAMPLE_BYTES bytes at most; of MOST_LANGUAGES languages."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
     rows = rows.join(F.broadcast(most), "lang", "left_semi")
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
     rows = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring(text_bytes(), 1, SAMPLE_BYTES).alias("t"))
     # The rank's limit goes before the exchange, so a task sends that many rows of a language at most.
     return [(r["lang"], bytes(r["t"])) for r in rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_TEXTS).orderBy("lang", "k").select("lang", "t").collect()]
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     """docs (doc_id, text, lang) -> doc_id, lang_pred, score for every row.
 
     Learns from rows where learn holds (not held_out() by default) and lang is not null. lang_pred is `und` with score 0 if the text
-    is null or has no letter, or if there is nothing to learn from; else the language of the largest mean probability over all bytes.
+    is null or has no letter, or if there is nothing to learn from; else the language of the largest mean probability over all bytes. Bytes that are no UTF-8 are read as they are, and are no letters.
     """
     model = learned(docs, learn)
 
@@ -237,7 +237,7 @@ def _named(model: Model, bodies: pa.Array) -> Iterator[tuple[int, int, pa.Array,
             names, scores = [model.languages[k] for k in best], np.clip(p[np.arange(len(p)), best], 0, 1)
         else:
             names, scores = [UNKNOWN] * (j - i), np.zeros(j - i)
-        letters = [bool(_LETTER.search(x)) for x in texts.cast(pa.string()).to_pylist()]
+        letters = [bool(_LETTER.search(x.decode("utf-8", "replace"))) for x in texts.to_pylist()]
         names = [x if y else UNKNOWN for x, y in zip(names, letters, strict=True)]
         yield i, j, pa.array(names, pa.string()), pa.array(np.where(letters, scores, 0.0))
 
@@ -259,11 +259,18 @@ def labelled(docs: DataFrame, name: str = "lang_pred", score: str = "score", lea
     return short_batches(kept).withColumn(body, text_bytes()).toDF(*(f"c{k}" for k in range(len(schema) - 1))).mapInArrow(work, schema)
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without the rows that get no language, each judged by its own text; all columns stay, and a null lang becomes the predicted one."""
+#: Mean probability from which a prediction overrules a document's own label.
+SURE = 0.95
+
+
+def keep_known(docs: DataFrame, sure: float = SURE) -> DataFrame:
+    """docs without the rows that get no language, each judged by its own text; all columns stay.
+
+    lang becomes the predicted one where it is null, or where it is another one and the score is `sure` or more.
+    """
     name, score = unused(docs, "_lang", "_score")
     kept = labelled(docs, name, score).where(F.col(name) != UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", name)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.withColumn("lang", F.when(F.col("lang").isNull() | (F.col(score) >= sure), F.col(name)).otherwise(F.col("lang"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 __all__ = ["Model", "cut", "held_out", "identify", "keep_known", "labelled", "learned", "positions", "sample", "train"]

@@ -64,7 +64,7 @@ def base_spans(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(y := x.lstrip("0")) <= 3 and int(y or "0") <= 255 for x in m[0].split(".")):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         if 14 <= m.end() - m.start() and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -338,12 +338,13 @@ def joined(spans: list[Span]) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, spans array<struct<kind, start, end, added>> in code points, a row for every row; null text is empty."""
+    """docs (doc_id, text) -> doc_id, spans array<struct<kind, start, end, added>> in code points, a row for every row; null text is empty, and malformed UTF-8 counts as U+FFFD."""
 
     def work(batches):
         for batch in batches:
             out = []
-            for x in batch.column(1).cast(pa.string()).to_pylist():
+            for body in batch.column(1).to_pylist():
+                x = body.decode("utf-8", "replace")
                 base = base_spans(x)
                 spans = [(s, False) for s in base] + [(s, True) for s in added_spans(x, base)]
                 spans.sort(key=lambda s: (s[0][1], KINDS.index(s[0][0]), s[0][2]))

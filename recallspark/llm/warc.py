@@ -79,9 +79,10 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """pages (page_id, url, html) -> key, id, file, offset, length of every record, after writing them below folder (a uri).
 
+    In urls malformed UTF-8 becomes U+FFFD; payloads are written byte by byte.
     A file has a name of its own for each attempt of a task; only those of finished tasks are in the result, so a repeated task does no harm.
     """
-    p = short_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"").cast("binary")).alias("body"))
+    p = short_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.make_valid_utf8(F.col("url").cast("string")).alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"").cast("binary")).alias("body"))
     p = p.withColumn("digest", F.sha2("body", 256))
     same = p.where(F.octet_length("body") >= LEAST_PAYLOAD).select("page_id", F.unhex("digest").alias("d"))
     groups = same.groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")

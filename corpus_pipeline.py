@@ -36,7 +36,7 @@ def _apply(docs: DataFrame, key: Column, special: DataFrame) -> DataFrame:
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter) go; a null lang of the others becomes the language that the network finds."""
+    """Documents without a language (null, or no letter) go; the others' lang becomes the language that the network finds where it was null or the network is sure of another."""
     return language_id.keep_known(docs)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -333,39 +333,57 @@ def advanced_heads(spark, d):
 # --- streams
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, make, name: str, files: int = 3) -> DataFrame:
-    """rows as a stream of some files in order, through make, to a table that is read again."""
+def _streamed(spark: SparkSession, rows: DataFrame, make, name: str, by: Column) -> DataFrame:
+    """rows through make as a stream that stops and goes on: four micro-batches or more, each with the rows of a quarter of `by`. -> what it wrote."""
     where = scratch(spark, name)
-    rows.write.parquet(f"{where}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{where}/in")
-    made = make(stream)
-    made.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    d = rows.withColumn("_by", by.cast("double"))
+    edges = [float("-inf"), *d.approxQuantile("_by", [0.25, 0.5, 0.75], 0.001), float("inf")]
+    for low, high in zip(edges, edges[1:], strict=False):
+        d.where((F.col("_by") > low) & (F.col("_by") <= high)).drop("_by").write.mode("append").parquet(f"{where}/in")
+        made = make(spark.readStream.schema(rows.schema).parquet(f"{where}/in"))
+        made.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{where}/out")
 
 
 @query(f"SELECT session, first_failure_turn, last_failure_turn, failure_count, success_turn FROM {_RES}")
 def stream_resolutions(spark, d):
-    """resolutions, with pending failures in state, from one file after another."""
+    """resolutions, with pending failures in state, from four micro-batches."""
     o = observations(spark, d).select("runtime", "project", F.col("session").cast("string").alias("session"), "command", "history_epoch", "source_order", "execution_index", "turn_key", "status", "output_excerpt")
-    found = _streamed(spark, o.repartitionByRange(4, "source_order"), streams.resolutions, "resolutions", 1000)
+    found = _streamed(spark, o, streams.resolutions, "resolutions", F.col("source_order"))
     return found.select(F.col("session").cast("long").alias("session"), "first_failure_turn", "last_failure_turn", "failure_count", "success_turn")
 
 
 @query("SELECT user_id::VARCHAR AS session, event_type AS pending_key, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS sequence FROM events")
 def stream_sequences(spark, d):
-    """Numbers of a session's keys, which a key keeps where it comes again."""
+    """Numbers of a session's keys, which a key keeps where it comes again; keys arrive in order of their first letter."""
     e = table(spark, d, "events").select(F.lit("r").alias("runtime"), F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("pending_key"))
-    return _streamed(spark, e.coalesce(1), streams.sequences, "sequences").select("session", "pending_key", "sequence")
+    return _streamed(spark, e, streams.sequences, "sequences", F.ascii("pending_key")).select("session", "pending_key", "sequence")
 
 
 @query(f"SELECT session::VARCHAR AS session, status, count(*) AS n FROM (SELECT session, CASE WHEN row_number() OVER (PARTITION BY session, turn_key ORDER BY o_orderkey) = 1 OR revision > max(revision) OVER (PARTITION BY session, turn_key ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'inserted' WHEN revision < max(revision) OVER (PARTITION BY session, turn_key ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'stale' ELSE 'conflict' END AS status FROM (SELECT o_custkey AS session, o_orderpriority AS turn_key, o_orderkey % 7 AS revision, o_orderkey FROM orders)) GROUP BY ALL")
 def stream_decisions(spark, d):
     """Revisions of turns in order of their place, each with other content: newer ones are inserted, older ones stale, and equal ones conflicts."""
     o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("session"), F.col("o_orderpriority").alias("turn_key"), F.lit(0).alias("history_epoch"), (F.col("o_orderkey") % 7).cast("int").alias("revision"), F.col("o_orderkey").cast("string").alias("content_hash"), F.lit(0).cast("long").alias("generation"), F.col("o_orderkey").alias("offset"))
-    found = _streamed(spark, o.coalesce(1), streams.decide, "decisions")
+    found = _streamed(spark, o, streams.decide, "decisions", F.col("offset"))
     return found.groupBy("session", "status").agg(F.count("*").alias("n"))
 
 
+# A reset starts the epoch after its order's number; the orders up to the next one are turns of that epoch.
+@query("""WITH o AS (SELECT o_custkey AS session, o_orderpriority AS turn_key, o_orderkey AS k, (o_orderkey % 7)::INT AS revision, o_orderstatus, coalesce(max(o_orderkey + 1) FILTER (o_orderstatus = 'P') OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 0) AS epoch FROM orders),
+t AS (SELECT *, row_number() OVER w AS nth, max(revision) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM o WHERE o_orderstatus <> 'P' WINDOW w AS (PARTITION BY session, turn_key, epoch ORDER BY k))
+SELECT session::VARCHAR AS session, status, count(*) AS n FROM (SELECT session, 'reset' AS status FROM o WHERE o_orderstatus = 'P' UNION ALL
+SELECT session, CASE WHEN nth = 1 OR revision > top THEN 'inserted' WHEN revision < top THEN 'stale' ELSE 'conflict' END FROM t) GROUP BY ALL""")
+def stream_resets(spark, d):
+    """Turns and resets of a stream; the heads of a session's turns are forgotten at each reset."""
+    o = table(spark, d, "orders")
+    reset = F.col("o_orderstatus") == "P"
+    epoch = F.coalesce(F.max(F.when(reset, F.col("o_orderkey") + 1)).over(Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    rows = o.select(
+        F.col("o_custkey").cast("string").alias("session"), F.when(reset, "reset").otherwise("turn").alias("kind"), F.col("o_orderpriority").alias("turn_key"), epoch.cast("int").alias("history_epoch"), (F.col("o_orderkey") % 7).cast("int").alias("revision"),
+        F.col("o_orderkey").cast("string").alias("content_hash"), F.lit(0).cast("long").alias("generation"), F.col("o_orderkey").alias("offset"))
+    return _streamed(spark, rows, streams.decide_with_resets, "resets", F.col("offset")).groupBy("session", "status").agg(F.count("*").alias("n"))
+
+
 # A prompt waits until an answer takes it. With 1 for a prompt and -1 for an answer, sums that fall to a new low below 0 are answers without one.
 @query(f"""WITH x AS (SELECT session, role, sum(CASE role WHEN 'user' THEN 1 ELSE -1 END) OVER (PARTITION BY session ORDER BY line ROWS UNBOUNDED PRECEDING) AS w FROM {M})
 SELECT session::VARCHAR AS session, count(*) FILTER (role = 'assistant') AS answers, (count(*) FILTER (role = 'assistant') + least(0, min(w)))::BIGINT AS ready FROM x GROUP BY session HAVING count(*) FILTER (role = 'assistant') > 0""")
@@ -374,7 +392,7 @@ def stream_pairs(spark, d):
     m = messages(spark, d).where("role IN ('user', 'assistant')")
     n = F.col("line").cast("string")
     rows = m.select(F.lit("r").alias("runtime"), F.col("session").cast("string").alias("session"), F.col("line").alias("at"), F.when(F.col("role") == "user", "prompt").otherwise("stop").alias("kind"), F.lit(None).cast("string").alias("turn_id"), F.concat(F.lit("k"), n).alias("pending_key"), F.lpad(n, 20, "0").alias("source_order"), "text")
-    found = _streamed(spark, rows.coalesce(1), streams.pair_answers, "pairs")
+    found = _streamed(spark, rows, streams.pair_answers, "pairs", F.col("at"))
     after = m.select(F.col("session").cast("string").alias("session"), F.col("line"), "role", F.col("text").alias("prompt"))
     both = after.where("role = 'user'").select("session", F.concat(F.lit("k"), F.col("line").cast("string")).alias("pending_key"), F.col("prompt").alias("own"))
     d2 = found.join(both, ["session", "pending_key"], "left")

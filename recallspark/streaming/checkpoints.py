@@ -1,17 +1,68 @@
-"""Turn checkpoints as a stream: a stateful decision for each turn, and an idempotent append to the log."""
+"""Turn checkpoints as a stream: stateful processors with values, maps and timers, and an idempotent append to the log."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUT = "session string, turn_key string, history_epoch int, revision int, content_hash string, status string"
-STATE = "history_epoch int, revision int, content_hash string, generation long, offset long"
+#: State stores that keep maps and timers.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HEAD = "history_epoch int, revision int, content_hash string, generation long, offset long"
+
+
+class _InOrder(StatefulProcessor):
+    """Takes the rows of a key within a micro-batch in order; step(key, row) -> rows. State is read and written a key of a map at a time."""
+
+    order: tuple[str, ...] = ()
+    columns: tuple[str, ...] = ()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def begin(self) -> None:
+        pass
+
+    def end(self) -> None:
+        pass
+
+    def step(self, key: tuple, r: object) -> list[tuple]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows)).sort_values(list(self.order), kind="stable")
+        self.begin()
+        out = [x for r in batch.itertuples(index=False) for x in self.step(key, r)]
+        self.end()
+        if out:
+            yield pd.DataFrame(out, columns=list(self.columns))
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(stream: DataFrame, key: list[str], processor: _InOrder, out: str, mode: str = "none") -> DataFrame:
+    """The processor over a stream. The session's state stores become RocksDB, which maps and timers need."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    processor.columns = tuple(f.strip().split()[0] for f in out.split(","))
+    return stream.groupBy(*key).transformWithStateInPandas(processor, out, "append", mode)
+
+
+class _Decide(_InOrder):
+    order = ("history_epoch", "generation", "offset", "revision")
+
+    def init(self, handle):
+        self.head = handle.getValueState("head", HEAD)
+
+    def step(self, key, r):
+        new = _head(r)
+        status = status_of(new, self.head.get() if self.head.exists() else None)
+        if status == "inserted":
+            self.head.update(new)
+        return [(*key, new[0], new[1], new[2], status)]
 
 
 def decide(stream: DataFrame) -> DataFrame:
@@ -19,25 +70,15 @@ def decide(stream: DataFrame) -> DataFrame:
 
     State holds the head of each turn. Within a micro-batch rows of a turn are taken in order of epoch, generation, offset and revision.
     """
+    return _stateful(stream, ["session", "turn_key"], _Decide(), "session string, turn_key string, history_epoch int, revision int, content_hash string, status string")
 
-    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        head = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["history_epoch", "generation", "offset", "revision"], kind="stable")
-        out = []
-        for r in rows.itertuples(index=False):
-            new = (int(r.history_epoch), int(r.revision), r.content_hash, int(r.generation), int(r.offset))
-            status = status_of(new, head)
-            if status == "inserted":
-                head = new
-            out.append((*key, new[0], new[1], new[2], status))
-        if head is not None:
-            state.update(head)
-        yield pd.DataFrame(out, columns=["session", "turn_key", "history_epoch", "revision", "content_hash", "status"])
 
-    return stream.groupBy("session", "turn_key").applyInPandasWithState(work, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def _head(r: object) -> tuple:
+    return int(r.history_epoch), int(r.revision), r.content_hash, int(r.generation), int(r.offset)
 
 
 def status_of(new: tuple, head: tuple | None) -> str:
+    head = None if head is None else tuple(head)
     if head is None:
         return "inserted"
     if new[0] < head[0] or new[3:] < head[3:] or new[1] < head[1]:
@@ -73,41 +114,66 @@ def commit_batch(spark: SparkSession, log_path: str) -> Callable[[DataFrame, int
     return commit
 
 
-def _stateful(stream: DataFrame, key: list[str], order: list[str], out: str, state: str, empty: tuple, step: Callable[[tuple, object, tuple], tuple[tuple, list[tuple]]]) -> DataFrame:
-    """step(key, row, state) -> state, rows, for the rows of a key in order within a micro-batch; the state goes on from batch to batch."""
-    names = [f.strip().split()[0] for f in out.split(",")]
+class _Numbers(_InOrder):
+    order = ("pending_key",)
 
-    def work(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = held.get if held.exists else empty
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        found = []
-        for r in rows.itertuples(index=False):
-            now, more = step(k, r, now)
-            found += more
-        held.update(now)
-        yield pd.DataFrame(found, columns=names)
+    def init(self, handle):
+        self.known, self.last = handle.getMapState("known", "pending_key string", "n long"), handle.getValueState("last", "n long")
 
-    return stream.groupBy(*key).applyInPandasWithState(work, out, state, "append", GroupStateTimeout.NoTimeout)
+    def step(self, key, r):
+        own = (r.pending_key,)
+        if self.known.containsKey(own):
+            return [(*key, r.pending_key, self.known.getValue(own)[0])]
+        n = 1 + (self.last.get()[0] if self.last.exists() else 0)
+        self.known.updateValue(own, (n,))
+        self.last.update((n,))
+        return [(*key, r.pending_key, n)]
 
 
 def sequences(stream: DataFrame) -> DataFrame:
-    """stream (runtime, session, pending_key) -> each row with its sequence in the session from 1 on; a key that comes again keeps its number."""
+    """stream (runtime, session, pending_key) -> each row with its sequence in the session from 1 on; a key that comes again keeps its number. State is a map from keys to numbers."""
+    return _stateful(stream, ["runtime", "session"], _Numbers(), "runtime string, session string, pending_key string, sequence long")
+
 
-    def step(k: tuple, r: object, state: tuple) -> tuple[tuple, list[tuple]]:
-        known = json.loads(state[0])
-        n = known.setdefault(r.pending_key, len(known) + 1)
-        return (json.dumps(known),), [(*k, r.pending_key, n)]
+class _Deliveries(_InOrder):
+    order = ("event",)
 
-    return _stateful(stream, ["runtime", "session"], ["pending_key"], "runtime string, session string, pending_key string, sequence long", "known string", ("{}",), step)
+    def init(self, handle):
+        self.last = handle.getValueState("last", "n long")
+
+    def step(self, key, r):
+        n = 1 + (self.last.get()[0] if self.last.exists() else 0)
+        self.last.update((n,))
+        return [(*key, r.event, n)]
 
 
 def delivery_sequences(stream: DataFrame) -> DataFrame:
     """stream (runtime, session, event) -> each row with the next number of the session, also where an event comes again."""
+    return _stateful(stream, ["runtime", "session"], _Deliveries(), "runtime string, session string, event string, sequence long")
+
 
-    def step(k: tuple, r: object, state: tuple) -> tuple[tuple, list[tuple]]:
-        return (state[0] + 1,), [(*k, r.event, state[0] + 1)]
+class _Resets(_InOrder):
+    order = ("history_epoch", "kind", "generation", "offset", "revision")
 
-    return _stateful(stream, ["runtime", "session"], ["event"], "runtime string, session string, event string, sequence long", "last long", (0,), step)
+    def init(self, handle):
+        self.epoch, self.heads = handle.getValueState("epoch", "epoch int"), handle.getMapState("heads", "turn_key string", HEAD)
+
+    def step(self, key, r):
+        epoch, own = self.epoch.get()[0] if self.epoch.exists() else 0, int(r.history_epoch)
+        row = lambda status: [(*key, r.kind, r.turn_key, own, status)]
+        if r.kind == "reset":
+            if own <= epoch:
+                return row("stale")
+            self.epoch.update((own,))
+            self.heads.clear()
+            return row("reset")
+        if own < epoch:
+            return row("stale")
+        turn, new = (r.turn_key,), _head(r)
+        status = status_of(new, self.heads.getValue(turn) if self.heads.containsKey(turn) else None)
+        if status == "inserted":
+            self.heads.updateValue(turn, new)
+        return row(status)
 
 
 def decide_with_resets(stream: DataFrame) -> DataFrame:
@@ -115,62 +181,94 @@ def decide_with_resets(stream: DataFrame) -> DataFrame:
 
     A reset to a higher epoch forgets the session's heads, and rows of lower epochs are stale from then on; its status is reset, or stale for a lower epoch.
     """
+    return _stateful(stream, ["session"], _Resets(), "session string, kind string, turn_key string, history_epoch int, status string")
 
-    def step(k: tuple, r: object, state: tuple) -> tuple[tuple, list[tuple]]:
-        epoch, heads = state[0], json.loads(state[1])
-        own = int(r.history_epoch)
-        row = lambda status: [(*k, r.kind, r.turn_key, own, status)]
-        if r.kind == "reset":
-            return ((own, "{}"), row("reset")) if own > epoch else (state, row("stale"))
-        if own < epoch:
-            return state, row("stale")
-        new = (own, int(r.revision), r.content_hash, int(r.generation), int(r.offset))
-        head = heads.get(r.turn_key)
-        status = status_of(new, tuple(head) if head else None)
-        if status == "inserted":
-            heads[r.turn_key] = new
-        return (epoch, json.dumps(heads)), row(status)
 
-    return _stateful(stream, ["session"], ["history_epoch", "kind", "generation", "offset", "revision"], "session string, kind string, turn_key string, history_epoch int, status string", "epoch int, heads string", (0, "{}"), step)
+class _Failures(_InOrder):
+    order = ("history_epoch", "source_order", "execution_index")
+
+    def init(self, handle):
+        self.held = handle.getValueState("failures", "n long, first string, last string, excerpt string")
+
+    def step(self, key, r):
+        n, first, last, excerpt = self.held.get() if self.held.exists() else (0, "", "", "")
+        if r.status == "failed":
+            self.held.update((n + 1, first if n else r.turn_key, r.turn_key, r.output_excerpt))
+        elif r.status == "succeeded" and n:
+            self.held.clear()
+            return [(*key, n, first, last, excerpt, r.turn_key)]
+        return []
 
 
 def resolutions(stream: DataFrame) -> DataFrame:
     """stream of observations (runtime, project, session, command, history_epoch, source_order, execution_index, turn_key, status, output_excerpt) -> a row for each success that ends failures of its command.
 
-    State holds the pending failures of a command: their number, the first and last turn, and the last output.
+    State holds the pending failures of a command: their number, the first and last turn, and the last output; a success removes it.
     """
+    out = "runtime string, project string, session string, command string, failure_count long, first_failure_turn string, last_failure_turn string, failure_excerpt string, success_turn string"
+    return _stateful(stream, ["runtime", "project", "session", "command"], _Failures(), out)
 
-    def step(k: tuple, r: object, state: tuple) -> tuple[tuple, list[tuple]]:
-        n, first, _, excerpt = state
-        if r.status == "failed":
-            return (n + 1, first if n else r.turn_key, r.turn_key, r.output_excerpt), []
-        if r.status == "succeeded" and n:
-            return (0, "", "", ""), [(*k, n, first, state[2], excerpt, r.turn_key)]
-        return state, []
 
-    out = "runtime string, project string, session string, command string, failure_count long, first_failure_turn string, last_failure_turn string, failure_excerpt string, success_turn string"
-    return _stateful(stream, ["runtime", "project", "session", "command"], ["history_epoch", "source_order", "execution_index"], out, "n long, first string, last string, excerpt string", (0, "", "", ""), step)
+class _Pairs(_InOrder):
+    order = ("at",)
+    wait = 0  # milliseconds that a prompt waits; 0: for ever
 
+    def init(self, handle):
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "pending_key string", "source_order string, turn_id string, text string, until long")
 
-def pair_answers(stream: DataFrame) -> DataFrame:
-    """stream (runtime, session, at, kind, turn_id, pending_key, source_order, text), kind being prompt or stop -> a row for each stop: ready with its prompt, or deferred.
+    def begin(self):
+        """The session's waiting prompts, read once a micro-batch; end() writes what has changed."""
+        self.now = {k[0]: tuple(v) for k, v in self.waiting.iterator()}
+        self.before = dict(self.now)
 
-    A stop takes the waiting prompt with its turn_id, else the last one in order of source_order, which then waits no more. A stop without text or prompt is deferred.
-    """
+    def end(self):
+        for k in self.before.keys() - self.now.keys():
+            self.waiting.removeKey((k,))
+        for k, v in self.now.items():
+            if self.before.get(k) != v:
+                self.waiting.updateValue((k,), v)
 
-    def step(k: tuple, r: object, state: tuple) -> tuple[tuple, list[tuple]]:
-        waiting = json.loads(state[0])
+    def step(self, key, r):
         if r.kind == "prompt":
-            waiting = sorted([w for w in waiting if w[1] != r.pending_key] + [[r.source_order, r.pending_key, r.turn_id, r.text]], key=lambda w: w[:2])
-            return (json.dumps(waiting),), []
+            until = int(r.ts.value // 1_000_000) + self.wait if self.wait else 0
+            if until:
+                self.handle.registerTimer(until)
+            self.now[r.pending_key] = (r.source_order, r.turn_id, r.text, until)
+            return []
         answer = (r.text or "").strip()
-        own = [w for w in waiting if r.turn_id and w[2] == r.turn_id] or waiting[-1:]
+        own = [k for k, v in self.now.items() if r.turn_id and v[1] == r.turn_id] or sorted(self.now, key=lambda k: (self.now[k][0], k))[-1:]
         if not answer or not own:
-            return state, [(*k, r.turn_id, "deferred", None, None, answer or None)]
-        w = own[0]
-        return (json.dumps([x for x in waiting if x is not w]),), [(*k, r.turn_id, "ready", w[1], w[3], answer)]
+            return [(*key, r.turn_id, "deferred", None, None, answer or None)]
+        own = min(own, key=lambda k: (self.now[k][0], k))
+        prompt = self.now.pop(own)
+        return [(*key, r.turn_id, "ready", own, prompt[2], answer)]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.begin()
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        late = sorted(k for k, v in self.now.items() if v[3] and v[3] <= at)
+        out = [(*key, self.now[k][1], "expired", k, self.now[k][2], None) for k in late]
+        for k in late:
+            del self.now[k]
+        self.end()
+        if out:
+            yield pd.DataFrame(out, columns=list(self.columns))
+
+
+def pair_answers(stream: DataFrame, wait: str | None = None, late: str = "1 minute") -> DataFrame:
+    """stream (runtime, session, at, kind, turn_id, pending_key, source_order, text), kind being prompt or stop -> a row for each stop: ready with its prompt, or deferred.
 
-    return _stateful(stream, ["runtime", "session"], ["at"], "runtime string, session string, turn_id string, status string, pending_key string, prompt string, answer string", "waiting string", ("[]",), step)
+    A stop takes the waiting prompt with its turn_id, else the last one in order of source_order, which then waits no more. A stop without text or prompt is deferred.
+    A prompt whose pending_key is waiting replaces it. wait (an interval): the stream also has ts, a prompt that waited so long by the watermark, which is `late` behind, is
+    given up with a row `expired`, and rows that come after the watermark count for nothing. Without it prompts wait for ever.
+    """
+    out = "runtime string, session string, turn_id string, status string, pending_key string, prompt string, answer string"
+    if wait is None:
+        return _stateful(stream, ["runtime", "session"], _Pairs(), out)
+    timed = _Pairs()
+    timed.wait = int(pd.Timedelta(wait).total_seconds() * 1000)
+    return _stateful(stream.withWatermark("ts", late), ["runtime", "session"], timed, out, "eventTime")
 
 
 def sessions_of(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

@@ -301,6 +301,26 @@ def test_stream_of_resets_numbers_and_pairs(spark, tmp_path):
     assert got == [("ready", "k1", "p1", "a1"), ("ready", "k2", "p2", "a2")]
 
 
+def test_prompts_that_wait_too_long_expire(spark, tmp_path):
+    """Four micro-batches: a prompt that is answered late, one that is never answered, and one that comes twice."""
+    kind = "runtime string, session string, at long, kind string, turn_id string, pending_key string, source_order string, text string, ts timestamp"
+    at = lambda minutes: datetime(2026, 1, 1) + timedelta(minutes=minutes)
+    batches = [
+        [("r", "s", 1, "prompt", "t1", "k1", "1", "first", at(0)), ("r", "s", 2, "prompt", None, "k2", "2", "second", at(1)), ("r", "u", 1, "prompt", None, "k9", "1", "other", at(1))],
+        [("r", "s", 3, "stop", "t1", None, None, "answer", at(5)), ("r", "s", 4, "prompt", None, "k2", "2", "second again", at(6))],
+        [("r", "u", 2, "stop", None, None, None, "in time", at(9)), ("r", "v", 1, "prompt", None, "k5", "1", "late", at(90))],
+        [("r", "s", 5, "stop", None, None, None, "too late", at(91))],
+    ]
+    found = None
+    for rows in batches:
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(str(tmp_path / "in"))
+        made = checkpoints.pair_answers(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), "30 minutes")
+        made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+        found = spark.read.schema(made.schema).parquet(str(tmp_path / "out"))
+    got = sorted((r["session"], r["status"], r["pending_key"], r["prompt"], r["answer"]) for r in found.collect())
+    assert got == [("s", "deferred", None, None, "too late"), ("s", "expired", "k2", "second again", None), ("s", "ready", "k1", "first", "answer"), ("u", "ready", "k9", "other", "in time")]
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "2026-01.jsonl").write_text("\n".join(json.dumps({"v": 1, "type": "chunk", "id": f"x{i}", "sessionId": "s", "projectPath": "/p", "chunkIndex": i, "content": f"the parser failed {i}", "role": "human", "tokenCount": 5, "createdAt": "2026-01-05T00:00:00Z"}) for i in range(3)) + "\n")
     call = lambda *args: cli.run(spark, ["--store", str(tmp_path / "store"), "--as-of", "2026-03-01", *args])

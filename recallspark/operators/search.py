@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower
+from ..session import checkpointed
 
 #: Separators of keywords, particles after which a keyword ends, and the range of CJK characters.
 SEPARATORS = r"[\s、。,.!?;:()\[\]{}「」『』・\n\r\t]+"
@@ -128,22 +129,63 @@ def words_of(c: Column, least: int = 1) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: F.length(x) >= max(1, least))
 
 
+#: Scores are compared as rounded to six places: what is lower by more than that can't come in.
+MARGIN = 1e-5
+#: So many times k documents of a query are scored first.
+FIRST = 4
+#: Rows of a few numbers and words that may be broadcast.
+FEW = 200_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if a count of it, which is stored, shows that it is small."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def bm25_batch(docs: DataFrame, queries: DataFrame, k: int = 5, least: int = 1) -> DataFrame:
     """docs (id, content), queries (query_id, text) -> query_id, id, score, place: the k best documents by whole words for each of many queries, in one job.
 
-    The words of the documents are joined with those that some query has; idf, size (in words) and mean size as in bm25, with positive scores.
-    Words of fewer than `least` letters count for nothing, in sizes neither.
+    idf, size (in words) and mean size as in bm25, with positive scores. Words of fewer than `least` letters count for nothing, in sizes neither.
+    Exact, but most pairs of a query and a document are never made. The whole scores of documents that are among the best for some words give a score that k documents reach at least. A query's words
+    with the lowest bounds, which together stay below it, bring no document in: only documents with one of the other words are
+    scored, and only those that can still reach the score are completed. So frequent words' postings are looked up, not gone through for each query.
     """
+    return batch_parts(docs, queries, k, least)["best"]
+
+
+def batch_parts(docs: DataFrame, queries: DataFrame, k: int = 5, least: int = 1) -> dict[str, DataFrame]:
+    """best, as bm25_batch returns it; and of the work: postings (w, id, s) of all words of queries, and entering (query_id, w, s...), the words whose postings were gone through."""
     w = words_of(F.col("content"), least)
-    q = queries.select("query_id", F.explode(F.array_distinct(words_of(F.col("text"), least))).alias("w"))
+    q = checkpointed(queries.select("query_id", F.explode(F.array_distinct(words_of(F.col("text"), least))).alias("w")))
     each = docs.select("id", F.size(w).cast("double").alias("size"), w.alias("words"))
     stats = each.agg(F.count("*").cast("double").alias("docs"), F.avg("size").alias("mean"))
-    t = each.select("id", "size", F.explode("words").alias("w")).join(q.select("w").distinct(), "w", "left_semi").groupBy("id", "size", "w").agg(F.count("*").cast("double").alias("f"))
-    n = t.groupBy("w").agg(F.count("*").cast("double").alias("n"))
-    part = -_rank(F.col("f"), F.col("n"), F.col("docs"), F.col("size"), F.col("mean"))
-    s = t.join(n, "w").join(q, "w").crossJoin(F.broadcast(stats)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))  # one row
+    named = _few(q.select("w").distinct())
+    t = each.select("id", "size", F.explode("words").alias("w")).join(named, "w", "left_semi").groupBy("id", "size", "w").agg(F.count("*").cast("double").alias("f"))
+    t = checkpointed(t.crossJoin(F.broadcast(stats)))  # one row
+    n = _few(t.groupBy("w").agg(F.count("*").cast("double").alias("n")))
+    p = t.join(n, "w").select("w", "id", (-_rank(F.col("f"), F.col("n"), F.col("docs"), F.col("size"), F.col("mean"))).alias("s"))
+    # A score that k documents of each query reach: the whole scores of those that come off best by the k best postings of each word.
+    nth = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("s"), "id"))
+    top = _few(p.withColumn("nth", nth).where(F.col("nth") <= k))
+    bound = top.where("nth = 1").select("w", F.col("s").alias("most"))
+    part = q.join(top.select("w", "id", "s"), "w").groupBy("query_id", "id").agg(F.sum("s").alias("s"))
+    first = part.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))).where(F.col("nth") <= FIRST * k).select("query_id", "id")
+    tried = _few(first.join(q, "query_id"))
+    reached = tried.join(p, ["w", "id"]).groupBy("query_id", "id").agg(F.sum("s").alias("s"))
+    reached = reached.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))).where(F.col("nth") == k).select("query_id", F.col("s").alias("least"))
+    # The words that bring documents in, and what the others add at most.
+    below = F.sum("most").over(Window.partitionBy("query_id").orderBy("most", "w").rowsBetween(Window.unboundedPreceding, 0))
+    use = q.join(bound, "w").join(reached, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - MARGIN).withColumn("below", below)
+    use = use.withColumn("enters", F.col("below") >= F.col("least"))
+    use = _few(use.withColumn("rest", F.coalesce(F.sum(F.when(~F.col("enters"), F.col("most"))).over(Window.partitionBy("query_id")), F.lit(0.0))))
+    entering = use.where("enters").select("query_id", "w", "least", "rest")
+    some = p.join(entering, "w").groupBy("query_id", "id").agg(F.sum("s").alias("s"), F.first("least").alias("least"), F.first("rest").alias("rest"))
+    some = _few(some.where(F.col("s") + F.col("rest") >= F.col("least")).select("query_id", "id", "s"))
+    other = some.drop("s").join(use.where("NOT enters").select("query_id", "w"), "query_id").join(p, ["w", "id"]).select("query_id", "id", "s")
+    whole = some.unionByName(other).groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return s.withColumn("place", place).where(F.col("place") <= k)
+    return {"best": whole.withColumn("place", place).where(F.col("place") <= k), "postings": p, "entering": entering}
 
 
 def search_keywords(chunks: DataFrame, words: list[str | Term], project: str | None = None, limit: int = 20, index: DataFrame | None = None) -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .line_source import LineSource
+from . import line_source
+
+# The process that plans a source need not find this package.
+cloudpickle.register_pickle_by_value(line_source)
 
 
 #: Stores that the line source opens by itself; files in others are read whole, a task each.
@@ -29,7 +33,7 @@ def _source(spark: SparkSession, paths: list[str]) -> dict[str, str] | None:
             if uri.getScheme() not in SCHEMES:
                 return None
             whole.append(f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}")
-    spark.dataSource.register(LineSource)
+    spark.dataSource.register(line_source.LineSource)
     return {"paths": json.dumps(whole)}
 
 

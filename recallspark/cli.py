@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from datetime import datetime, timezone
 
@@ -15,6 +16,9 @@ from .functions.text import format_bytes, mask, scrub
 from .operators.formatting import hook_output
 from .plans.engine import MemoryEngine
 
+#: The environment's variable that names the log's folder where a command does not.
+LOG_VARIABLE = "RECALLSPARK_LOG"
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="recallspark")
@@ -48,6 +52,8 @@ def parser() -> argparse.ArgumentParser:
     add("inject", "--project", "--hook", project={"required": True}, hook=flag)
     add("rebuild", "log", "--dry-run", "--from-month", dry_run=flag)
     add("migrate", "log", "--host", host={"default": "local"})
+    add("refresh", "log", log={"nargs": "?"})
+    add("compact")
     add("index")
     add("embed", "--dry-run", dry_run=flag)
     return p
@@ -75,7 +81,7 @@ def run(spark: SparkSession, argv: list[str], model=None) -> list[str]:
             e.capture_prompts(spark.read.json(a.prompts, schema=PENDING))
             return []
         case "recall":
-            return [r["text"] for r in e.recall(a.prompt, now, a.project).collect()]
+            return [r["text"] for r in e.recall(a.prompt, now, a.project, model=model).collect()]
         case "search":
             return _lines(e.search(a.query, now, a.project, a.limit).select("id", "session", "score", F.substring("content", 1, 200).alias("content")), a.limit)
         case "resolutions":
@@ -116,6 +122,13 @@ def run(spark: SparkSession, argv: list[str], model=None) -> list[str]:
             return [r[0] for r in d.select(hook_output(F.col("text"), "SessionStart") if a.hook else F.col("text")).collect()]
         case "rebuild":
             return [str(e.rebuild(a.log, a.dry_run, a.from_month).count())]
+        case "refresh":
+            where = a.log or os.environ.get(LOG_VARIABLE)
+            if not where:
+                raise SystemExit(f"refresh needs the log's folder, as an argument or in {LOG_VARIABLE}")
+            return [json.dumps(e.refresh(where))]
+        case "compact":
+            return e.compact(2)
         case "migrate":
             e.migrate(a.log, a.host)
             return []

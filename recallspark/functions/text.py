@@ -78,9 +78,9 @@ def _byte_bounded(s: pd.Series) -> pd.Series:
     return s.map(_cut_bytes)
 
 
-def truncate_output(c: Column) -> Column:
+def truncate_output(c: Column, head: int = HEAD_LINES, tail: int = TAIL_LINES) -> Column:
     """truncate_lines, then at most 64 KiB: four fifths from the start, one fifth from the end. Only outputs over the limit go through Python."""
-    lines = truncate_lines(c)
+    lines = truncate_lines(c, head, tail)
     return F.when(F.octet_length(lines) <= OUTPUT_BYTES, lines).otherwise(_byte_bounded(lines))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,7 +158,7 @@ class MemoryEngine:
     def import_transcripts(self, path: str, project: str) -> DataFrame:
         """Transcripts to chunks; sessions in the input replace their older chunks."""
         m, u, r = transcripts.read_transcripts(self.spark, path)
-        found = transcripts.with_tools(m, u, r)
+        found = transcripts.with_tools(m, u, r, self.config.chunking.head_lines, self.config.chunking.tail_lines)
         when = found.groupBy("session").agg(F.to_timestamp(F.min("timestamp")).alias("created_at"))
         new = sessions.build_chunks(found, self.config.chunking.max_tokens).join(when, "session").withColumn("project", F.lit(project))
         base, incoming = self.snapshots.current()[0], checkpointed(self._numbered(new))
@@ -365,13 +366,29 @@ class MemoryEngine:
         index = self.table("postings") if self._indexed() else None
         hits = search.search_fts(c, query, project, limit, all_projects=self.config.search.project_scope != True, index=index)  # noqa: E712
         if query_vector is not None:
-            near = search.knn(self.table("vectors").join(c.select("id"), "id", "left_semi"), query_vector, limit)
+            scoped = self.config.search.project_scope == True and project is not None  # noqa: E712
+            mine = c.where(F.col("project") == project) if scoped else c
+            near = search.knn(self.table("vectors").join(mine.select("id"), "id", "left_semi"), query_vector, limit)
             pos = F.row_number().over(search.Window.orderBy("distance", "id"))
             hits = search.rrf(hits, near.withColumn("pos", pos))
         return c.join(F.broadcast(hits.select("id", "rank")), "id")  # limit rows at most, or twice
 
-    def recall(self, prompt: str, as_of: datetime, project: str | None = None, query_vector: list[float] | None = None) -> DataFrame:
+    def query_vector(self, prompt: str, model: Callable[[Column], Column]) -> list[float] | None:
+        """The prompt's vector by a pandas UDF of text, if hybrid search is set and there are vectors; None if the model fails, as full text alone then has to do."""
+        if not self.config.search.hybrid or "vectors" not in self.snapshots.current()[1]:
+            return None
+        made = self.spark.createDataFrame([(prompt,)], "text string").select(model(embedding.query_input(F.col("text"))).alias("v"))
+        vector = made.select(embedding.unit(F.col("v")).alias("v"))
+        try:
+            return vector.first()["v"]
+        except PythonException:
+            return None
+
+    def recall(self, prompt: str, as_of: datetime, project: str | None = None, query_vector: list[float] | None = None, model: Callable[[Column], Column] | None = None) -> DataFrame:
+        """The best chunks for a prompt as one text. With a model and hybrid search, the nearest vectors are fused with the full-text hits."""
         s = self.config.search
+        if query_vector is None and model is not None:
+            query_vector = self.query_vector(prompt, model)
         tiered = s.project_scope == "tiered"
         cands = checkpointed(self._candidates(prompt, project, s.default_limit * (3 if tiered else 1), query_vector))
         best = search.cascade(cands, as_of, s.default_limit, s.half_life_days, prompt, project, s.cross_project_penalty if tiered else None, s.min_score, tiered)

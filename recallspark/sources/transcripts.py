@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import truncate_output
+from ..functions.text import HEAD_LINES, TAIL_LINES, truncate_output
 from ..schema import BLOCK, TRANSCRIPT
 from .lines import read_lines
 
@@ -47,10 +47,10 @@ def read_transcripts(spark: SparkSession, path: str | list[str]) -> tuple[DataFr
     return messages, uses, results
 
 
-def with_tools(messages: DataFrame, uses: DataFrame, results: DataFrame) -> DataFrame:
+def with_tools(messages: DataFrame, uses: DataFrame, results: DataFrame, head: int = HEAD_LINES, tail: int = TAIL_LINES) -> DataFrame:
     """messages whose assistant texts are followed by `[Tool: name] input` of each use and then the results, cut."""
     u = uses.groupBy("file", F.col("message").alias("line")).agg(F.array_sort(F.collect_list(F.struct("block", F.concat(F.lit("[Tool: "), F.col("tool_name"), F.lit("] "), F.col("input")).alias("t")))).alias("u"))
-    r = results.groupBy("file", F.col("message").alias("line")).agg(F.array_sort(F.collect_list(F.struct("place", truncate_output(F.coalesce("content", F.lit(""))).alias("t")))).alias("r"))
+    r = results.groupBy("file", F.col("message").alias("line")).agg(F.array_sort(F.collect_list(F.struct("place", truncate_output(F.coalesce("content", F.lit("")), head, tail).alias("t")))).alias("r"))
     t = lambda c: F.transform(c, lambda x: x["t"])
     d = messages.join(u, ["file", "line"], "left").join(r, ["file", "line"], "left")
     return d.withColumn("text", F.when(F.col("role") == "assistant", F.concat_ws("\n", F.when(F.col("text") != "", F.col("text")), t("u"), t("r"))).otherwise(F.col("text"))).drop("u", "r")

@@ -251,6 +251,31 @@ def test_vectors_and_index(spark, tmp_path):
     assert (stats["chunks"], stats["stored_sessions"], stats["resolutions"]) == (1, 1, 0) and stats["bytes"] > 0
 
 
+def test_hybrid_recall_and_refresh_by_the_command_line(spark, tmp_path, monkeypatch):
+    @F.pandas_udf("array<double>")
+    def model(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [0.0, 2.0] if "garden" in t or t == "検索クエリ: parser" else [2.0, 0.0])
+
+    @F.pandas_udf("array<double>")
+    def broken(texts: pd.Series) -> pd.Series:
+        raise ValueError("no model")
+
+    log = tmp_path / "2026-01.jsonl"
+    line = lambda i, text: json.dumps({"v": 1, "type": "chunk", "id": f"x{i}", "sessionId": f"s{i}", "projectPath": "/p", "chunkIndex": 0, "content": text, "role": "human", "tokenCount": 1, "createdAt": "2026-01-05T00:00:00.000Z"}) + "\n"
+    log.write_text(line(1, "the parser fails"))
+    monkeypatch.setenv(cli.LOG_VARIABLE, str(log))
+    settings = tmp_path / "settings.json"
+    settings.write_text(json.dumps({"search": {"hybrid": True}}))
+    call = lambda *args, m=model: cli.run(spark, ["--store", str(tmp_path / "store"), "--config", str(settings), "--as-of", "2026-01-06", *args], m)
+    assert json.loads(call("refresh")[0])["records"] == 1
+    log.write_text(log.read_text() + line(2, "about gardens"))
+    assert json.loads(call("refresh")[0])["records"] == 1
+    call("embed")
+    assert call("recall", "parser", "--project", "/p")[0].count("s=") == 2  # the garden by its vector
+    assert call("recall", "parser", "--project", "/p", m=broken)[0].count("s=") == 1  # full text alone
+    assert "chunks" in call("compact") and json.loads(call("stats")[0])["chunks"] == 2
+
+
 def test_pending_prompts(spark, tmp_path):
     p = {"version": 2, "runtime": "codex", "sessionId": "s", "projectPath": "/p", "prompt": "q", "pendingKey": "k", "turnSequence": 2, "sourceOrder": "2", "createdAt": "t"}
     files = {"a.json": p, "b.json": p | {"sourceOrder": "1", "runtimeTurnId": "t1"}, "c.json": p | {"sessionId": "u"}, "d.json": {"version": 1}, "e.json": "not json", ".hidden.json": p, "f.txt": p}

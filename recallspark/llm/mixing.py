@@ -4,7 +4,8 @@ A document wants target / size-of-its-source copies. Whole copies are certain. F
 each document gets a uniform number u from its doc_id and ranks by u/(1-u) over o, with
 inclusion odds o = weight * p/(1-p): random odds divided by inclusion odds. The lowest ranks are taken, up to
 a fixed size in words for each source. That cut is found by two passes of partial sums over 4096 cells of the rank, after
-which one cell of about a 16-millionth of a source is put in order; no task holds a whole source.
+which the ranks in one cell of about a 16-millionth of a source are put in order. Rows that share the rank at the cut, as those of one
+doc_id do, are cut in the same way by a random number from their text, and rows of one id and text by one from their place in the input; no task holds a whole source.
 """
 
 from __future__ import annotations
@@ -52,14 +53,34 @@ def by_size(size: Column) -> Column:
     return F.sqrt(size)
 
 
-def mix(docs: DataFrame, weight: Callable[[Column], Column] | Column | None = None) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, copies, taken for every row.
+def _edge(rows: DataFrame, value: str, key: str) -> DataFrame:
+    """rows (source, size, budget, value between 0 and 1, key that sorts as value does) -> s2, edge, rest: the key in each source at which its budget ends, and what is left of the budget before it."""
+    at = F.least((F.col(value) * float(CELLS * CELLS)).cast("long"), F.lit(CELLS * CELLS - 1))
+    same = F.col("source").eqNullSafe(F.col("s2"))
+    for step in (F.floor(at / CELLS), at % CELLS):
+        rows = rows.withColumn("cell", step)
+        found = rows.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("budget").alias("whole"))
+        through = F.sum("words").over(Window.partitionBy("source").orderBy("cell"))
+        ends = found.withColumn("through", through).where("through >= whole").groupBy("source").agg(F.min(F.struct("cell", (F.col("whole") - F.col("through") + F.col("words")).alias("rest"))).alias("x"))
+        ends = hinted(cut(ends.select(F.col("source").alias("s2"), F.col("x.cell").alias("end"), F.col("x.rest").alias("rest"))))
+        rows = rows.join(ends, same & (F.col("cell") == F.col("end"))).withColumn("budget", F.col("rest")).drop("s2", "cell", "end", "rest")
+    found = rows.groupBy("source", key).agg(F.sum("size").alias("words"), F.first("budget").alias("whole"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = found.withColumn("before", before).where("before < whole").groupBy("source").agg(F.max(F.struct(F.col(key).alias("edge"), (F.col("whole") - F.col("before")).alias("rest"))).alias("x"))
+    return cut(found.select(F.col("source").alias("s2"), "x.edge", "x.rest"))
+
+
+def mix(docs: DataFrame, weight: Callable[[Column], Column] | Column | None = None, digests: bool = False) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, copies, taken for every row; with digests, also the MD5 of the text.
 
     Size is the number of words; null text has none. weight multiplies a document's inclusion odds: a column of docs, or a function of the size (none: all alike).
-    Rows with the same doc_id get the same rank; ties are ordered by doc_id and source. The words that a
+    Rows with the same doc_id (or none) have the same rank. Where the cut falls among them, they are told apart by their texts, and rows with equal texts too by their
+    places in the input, so that which of several equal rows is taken may depend on how the input is split. The words that a
     source takes differ from its target by half a document's size at most.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD.replace("]+", "]++"))), F.lit(0)).cast("long").alias("size"), *([weight.cast("double").alias("w")] if isinstance(weight, Column) else []))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD.replace("]+", "]++"))), F.lit(0)).cast("long")
+    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), digest.alias("digest"), F.monotonically_increasing_id().alias("row"), *([weight.cast("double").alias("w")] if isinstance(weight, Column) else []))
     own = F.lit(1.0) if weight is None else F.col("w") if isinstance(weight, Column) else weight(F.col("size")).cast("double")
     base = cut(base.withColumn("w", F.greatest(own, F.lit(1e-9))))
     plan = shares(base.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -69,29 +90,28 @@ def mix(docs: DataFrame, weight: Callable[[Column], Column] | Column | None = No
     u = uniform(F.col("doc_id"))
     p = F.col("left") / F.col("source_size")
     odds = F.col("w") * p / (F.lit(1.0) - p)
-    # v / (1 - v) is the rank; v grows with it and stays between 0 and 1.
-    v = (u / (F.lit(1.0) - u)) / odds
-    at = F.least((v / (F.lit(1.0) + v) * float(CELLS * CELLS)).cast("long"), F.lit(CELLS * CELLS - 1))
+    rank = (u / (F.lit(1.0) - u)) / odds
     same = F.col("source").eqNullSafe(F.col("s2"))
-    each = base.join(hinted(plan).withColumnRenamed("source", "s2"), same).drop("s2").withColumn("rank", F.when((F.col("left") > 0) & (F.col("size") > 0), v)).withColumn("cell", F.when(F.col("rank").isNotNull(), at))
-
-    def cells(rows: DataFrame, name: str, budget: str) -> DataFrame:
-        """For each source the cell where its budget ends, and what is left of the budget before it."""
-        found = rows.groupBy("source", name).agg(F.sum("size").alias("words"), F.first(budget).alias("budget"))
-        running = F.sum("words").over(Window.partitionBy("source").orderBy(name))
-        return found.withColumn("through", running).where(F.col("through") >= F.col("budget")).groupBy("source").agg(F.min(F.struct(F.col(name).alias("c"), (F.col("budget") - F.col("through") + F.col("words")).alias("rest"))).alias("x")).select(F.col("source").alias("s2"), F.col("x.c").alias(f"end_{name}"), F.col("x.rest").alias(f"rest_{name}"))
-
-    live = each.where("cell IS NOT NULL").withColumn("upper", F.floor(F.col("cell") / CELLS)).withColumn("lower", F.col("cell") % CELLS)
-    one = cut(cells(live, "upper", "left"))
-    inner = live.join(hinted(one), same & (F.col("upper") == F.col("end_upper"))).drop("s2")
-    two = cut(cells(inner, "lower", "rest_upper"))
-    last = inner.join(hinted(two), same & (F.col("lower") == F.col("end_lower"))).drop("s2")
-    order = Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_last())
-    last = last.withColumn("through", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # The document over the edge is taken if that comes nearer.
-    edge = cut(last.where(F.col("through") - F.col("size") / 2 <= F.col("rest_lower")).groupBy("source").agg(F.max(F.struct("rank", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"))).alias("edge")).select(F.col("source").alias("s4"), "edge"))
-    ends = one.join(two.withColumnRenamed("s2", "s3"), F.col("s2").eqNullSafe(F.col("s3")), "left").join(edge, F.col("s2").eqNullSafe(F.col("s4")), "left").select("s2", (F.col("end_upper") * CELLS + F.col("end_lower")).alias("end"), "edge")
-    me = F.struct("rank", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"))
-    extra = F.col("cell").isNotNull() & (F.col("end").isNull() | (F.col("cell") < F.col("end")) | ((F.col("cell") == F.col("end")) & (me <= F.col("edge"))))
-    out = each.join(hinted(cut(ends)), same, "left").withColumn("copies", F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    each = base.join(hinted(plan).withColumnRenamed("source", "s2"), same).drop("s2").withColumn("rank", F.when((F.col("left") > 0) & (F.col("size") > 0), rank))
+    # By id, by text and by place: a key that is shared only by rows that are alike in this, and a number between 0 and 1 that grows with it.
+    r = F.col("rank")
+    places = [("id", F.struct(r.alias("at"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("own")), r / (F.lit(1.0) + r))]
+    places += [(name, F.struct(uniform(c).alias("at"), F.col(name).alias("own")), uniform(c)) for name, c in (("digest", F.hex("digest")), ("row", F.col("row")))]
+    open_rows = each.where("rank IS NOT NULL").withColumn("budget", F.col("left"))
+    ends, before, known = plan.select(F.col("source").alias("s3")), F.lit(False), F.lit(True)
+    for name, key, value in places:
+        rows = open_rows.withColumn("key", key).withColumn("value", value)
+        edge = _edge(rows, "value", "key")
+        open_rows = cut(rows.join(hinted(edge), same & (F.col("key") == F.col("edge"))).withColumn("budget", F.col("rest")).drop("s2", "edge", "rest", "key", "value"))
+        ends = ends.join(edge.select("s2", F.col("edge").alias(f"edge_{name}")), F.col("s3").eqNullSafe(F.col("s2")), "left").drop("s2")
+        e = F.col(f"edge_{name}")
+        before = before | (known & F.coalesce(key < e, F.lit(name == "id")))
+        known = known & F.coalesce(key == e, F.lit(False))
+        if open_rows.groupBy("source").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            break
+    # A document over the edge is taken if that comes nearer.
+    over = open_rows.where(F.col("size") / 2 <= F.col("budget")).select(F.col("source").alias("s2"), F.col("row").alias("over"))
+    ends = hinted(cut(ends.join(over, F.col("s3").eqNullSafe(F.col("s2")), "left").drop("s2")))
+    extra = F.col("rank").isNotNull() & (before | F.coalesce(F.col("row") == F.col("over"), F.lit(False)))
+    out = each.join(ends, F.col("source").eqNullSafe(F.col("s3"))).withColumn("copies", F.col("whole") + extra.cast("long"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["digest"] if digests else []))

@@ -50,8 +50,9 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose doc_id is their text's owner are kept, repeated ones too; rows without doc_id only where no row of their text has one."""
     found = exact_dedup.owners(table(spark, sf_dir, "documents"), keep="largest")
-    return found.select("doc_id", F.col("owner").alias("keep_id"), F.col("n").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("owner"), F.lit(True)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return found.select("doc_id", F.col("owner").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("owner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

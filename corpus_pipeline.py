@@ -20,11 +20,6 @@ def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
-def _by_text(docs: DataFrame) -> DataFrame:
-    """docs with a 64-bit hash of the text as doc_id: the operators then judge texts, whatever ids the rows have, or none."""
-    return docs.withColumn("doc_id", F.xxhash64(_text()))
-
-
 def _apply(docs: DataFrame, key: Column, special: DataFrame) -> DataFrame:
     """docs with the rows of special (key, id, stays) gone, but for one row, the first as JSON, of each key that stays; all columns stay, whatever their names."""
     k, i, stays, row = unused(docs, "_key", "_id", "_stays", "_row")
@@ -49,15 +44,8 @@ def exact_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents, one row with the smallest doc_id stays; rows without doc_id come last."""
-    groups = near_dedup.near_groups(_by_text(docs)).where("n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("component"))
-    rows = docs.select(F.xxhash64(_text()).alias("key"), F.col("doc_id").alias("id")).groupBy("key", "id").agg(F.count("*").alias("n"))
-    rows = cut(rows.join(groups, "key"))
-    me = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    best = rows.groupBy("component").agg(F.min(me).alias("best"), F.sum("n").alias("all")).where("all > 1")
-    stays = me == F.col("best")
-    special = cut(rows.join(best, "component").where(~stays | (F.col("n") > 1)).select("key", "id", stays.alias("stays")))
-    return _apply(docs, F.xxhash64(_text()), special)
+    """Of linked documents, one row with the smallest doc_id stays; rows without doc_id come last, rows of one doc_id in order of their texts' hashes and then of the input."""
+    return near_dedup.keep_one(docs, repeats=False)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,14 +56,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the number of copies that the mix takes, where that is one or more.
 
-    Rows without doc_id or source are mixed like others. Rows with the same doc_id and source each get the largest figures among them. Columns
+    Rows without doc_id or source are mixed like others. Rows with the same doc_id, source and text each get the largest figures among them. Columns
     named like the four figures are replaced; all others stay.
     """
     figures = ("source_size", "target", "copies", "taken")
-    i, s = unused(docs, "_id", "_source")
-    plan = mixing.mix(docs, mixing.by_size).where("copies > 0").groupBy(F.col("doc_id").alias(i), F.col("source").alias(s)).agg(*(F.max(c).alias(c) for c in figures))
-    same = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s))
-    return docs.drop(*figures).join(plan, same).drop(i, s)
+    i, s, t = unused(docs, "_id", "_source", "_text")
+    plan = mixing.mix(docs, mixing.by_size, digests=True).where("copies > 0").groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("digest").alias(t)).agg(*(F.max(c).alias(c) for c in figures))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)) & (F.unhex(F.md5(_text().cast("binary"))) == F.col(t))
+    return docs.drop(*figures).join(plan, same).drop(i, s, t)
 
 
 STAGES = [("language_id", identified), ("exact_dedup", exact_deduplicated), ("near_dedup", near_deduplicated), ("decontamination", decontaminated), ("mixing", mixed)]

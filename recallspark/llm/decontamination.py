@@ -33,6 +33,8 @@ SHORT = ("1111-11", "11--1111", "11-11--11", "1111-1-1", "1-1-1111")
 SLICE_BYTES = 8 << 20
 #: Bits of the map that turns away seeds of the documents where the benchmark is larger; it is broadcast, 32 MB.
 MAP_BITS = 1 << 28
+#: Distances at which a text may repeat itself for long without more work than one repeat is.
+PERIODS = (1, 2, 3, 4)
 #: Hits that are laid side by side at once.
 HITS = 1 << 14
 
@@ -63,6 +65,22 @@ def seeds(w: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return mix(total), doc[:n] == doc[len(mask) - 1 : len(mask) - 1 + n]
 
 
+def settled(w: Words, reach: int) -> np.ndarray:
+    """By token: whether the `reach` tokens before it and from it on all repeat those some places earlier, in one text, at one of the distances PERIODS.
+
+    With an item of at most `reach` tokens, whatever alignment such a token is in, the one shifted back by that distance has the same equal tokens and comes earlier.
+    So it is never the best, and its hits need not be looked at.
+    """
+    n, doc = len(w.hash), w.doc()
+    out = np.zeros(n, bool)
+    for q in PERIODS:
+        if n >= 2 * reach + q:
+            total = np.zeros(n + 1, np.int64)
+            total[q + 1 :] = np.cumsum((w.hash[q:] == w.hash[:-q]) & (doc[q:] == doc[:-q]))
+            out[reach : n - reach + 1] |= (total[2 * reach :] - total[: n + 1 - 2 * reach] == 2 * reach)[: n - reach]
+    return out
+
+
 class Side:
     """The benchmark's side of the join in memory: sorted seeds with positions, and a bitmap that turns most others away."""
 
@@ -71,6 +89,7 @@ class Side:
         self.ids = np.array([i for i, _ in items], np.int64)
         self.words, self.at, self.doc = w.hash, w.at, w.doc()
         length = np.diff(w.at)
+        self.reach = max(STRETCH, int(length.max(initial=0)))
         size = np.minimum(length, STRETCH)
         self.need = np.array([needed(n) for n in range(STRETCH + 1)])[size]
         # By mask: sorted hashes, positions, bitmap and its mask.
@@ -132,10 +151,10 @@ def _near(side: Side, w: Words, docs: np.ndarray, at: np.ndarray, q: np.ndarray,
 def matches(side: Side, w: Words) -> list[tuple[int, int, int, int, int]]:
     """(text, item's row, first token, end token, equal tokens) of each text's best match with each item."""
     met: dict[tuple[int, int], set[int]] = {}
-    docs = w.doc()
+    docs, over = w.doc(), settled(w, side.reach)
     for mask, (hashes, places, bits, low_bits) in side.seeds.items():
         h, inside = seeds(w, mask)
-        p = np.flatnonzero(inside & bits[h & low_bits])
+        p = np.flatnonzero(inside & ~over[: len(h)] & bits[h & low_bits])
         low, high = np.searchsorted(hashes, h[p], "left"), np.searchsorted(hashes, h[p], "right")
         ends = np.cumsum(high - low)
         for start in range(0, int(ends[-1]) if len(ends) else 0, HITS):
@@ -202,8 +221,8 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _seeded(rows: DataFrame, whole_items: bool, bitmap=None) -> DataFrame:
-    """rows (id, row, body) -> id, row, at, h: the seeds of items by the masks of their length, or of documents by all masks, where the bitmap has them."""
+def _seeded(rows: DataFrame, whole_items: bool, bitmap=None, reach: int = 0) -> DataFrame:
+    """rows (id, row, body) -> id, row, at, h: the seeds of items by the masks of their length, or of documents by all masks, where the bitmap has them and items of up to `reach` tokens need them."""
 
     def work(batches) -> Iterator[pa.RecordBatch]:
         have = None if bitmap is None else bitmap.value
@@ -211,8 +230,10 @@ def _seeded(rows: DataFrame, whole_items: bool, bitmap=None) -> DataFrame:
             for i, j in chunks(batch.column(2)):
                 w = Words(batch.column(2).slice(i, j - i), separators=NOT_ALNUM)
                 ids, keys, docs, length = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), w.doc(), np.minimum(np.diff(w.at), STRETCH)
+                over = settled(w, reach) if reach else np.zeros(len(w.hash), bool)
                 for mask in MASKS:
                     h, inside = seeds(w, mask)
+                    inside = inside & ~over[: len(h)]
                     if whole_items:
                         inside = inside & np.array([mask in masks_of(n) for n in range(STRETCH + 1)])[length][docs[: len(h)]]
                     if have is not None:
@@ -232,7 +253,8 @@ def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
     bench = keyed(items, "item_id")
     own = cut(_seeded(bench, True))
     documents = keyed(rows, "doc_id")
-    hits = _seeded(documents, False, context.broadcast(_bitmap(own.select("h"))))
+    longest = bench.agg(F.max(F.octet_length("body"))).first()[0] or 0
+    hits = _seeded(documents, False, context.broadcast(_bitmap(own.select("h"))), max(STRETCH, longest // 2 + 1))
     theirs = own.select(F.col("id").alias("item_id"), F.col("row").alias("item"), F.col("at").alias("there"), "h")
     met = hits.join(theirs, "h").groupBy("id", "row", "item_id", "item").agg(F.collect_set(F.col("at") - F.col("there")).alias("shifts"))
     met = cut(met)

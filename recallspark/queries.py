@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import duplicates, executions, formatting, log, postings, rerank, search, sessions, store
+from .operators import duplicates, executions, formatting, log, neighbours, postings, rerank, search, sessions, store
 from .session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,6 +187,25 @@ def knn_topk(spark, d):
     return search.knn(v, _first_vector(spark, d), 10).select("id", F.round("distance", 4).alias("distance"))
 
 
+_ALL_NEAR = f"(SELECT q.vec_id AS query_id, e.vec_id AS id, {_DIST} AS x, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS place FROM embeddings e, embeddings q)"
+
+
+@query(f"SELECT query_id, id, round(x, 4) AS distance, place FROM {_ALL_NEAR} WHERE place <= 10")
+def knn_batch(spark, d):
+    """The nearest vectors of each vector, itself first."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return neighbours.knn_batch(v, v.withColumnRenamed("id", "query_id"), 10).select("query_id", "id", F.round("distance", 4).alias("distance"), "place")
+
+
+@query(f"SELECT q.label, count(*) AS n, count(*) FILTER (WHERE e.label = q.label) AS same FROM {_ALL_NEAR} p JOIN embeddings q ON q.vec_id = p.query_id JOIN embeddings e ON e.vec_id = p.id WHERE place <= 3 GROUP BY q.label")
+def knn_batch_labels(spark, d):
+    """How many of the three nearest vectors have the label of the one asked for, by label."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    near = neighbours.knn_batch(v, v.withColumnRenamed("id", "query_id"), 3)
+    named = near.join(v.select(F.col("id").alias("query_id"), "label"), "query_id").join(v.select("id", F.col("label").alias("other")), "id")
+    return named.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("other")).alias("same"))
+
+
 @query(f"SELECT id FROM (SELECT e.vec_id AS id, e.label, {_DIST} AS x FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY x, e.vec_id LIMIT 40) WHERE label = 1")
 def knn_project_filtered(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("project"))

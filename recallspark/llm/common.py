@@ -75,6 +75,27 @@ def hinted(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def text_ids(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a long in the column `name`, the same for equal texts (null is as empty) and another for others.
+
+    It is a 64-bit hash. Two numbers of eight bytes a text are grouped to find texts that share the hash; there all but one take another hash, so that
+    two texts have the same number only if two independent hashes coincide for them.
+    """
+    body = F.coalesce(F.col("text"), F.lit(""))
+    one, two, three = F.xxhash64(body), F.xxhash64(F.lit(1), body), F.xxhash64(F.lit(2), body)
+    return numbered_apart(docs, name, one, two, three)
+
+
+def numbered_apart(docs: DataFrame, name: str, one: Column, two: Column, three: Column) -> DataFrame:
+    """docs with `one` in the column `name`; among rows that have it and differ in `two`, only those with the smallest keep it, and the others have `three`."""
+    first, other = unused(docs, "_one", "_least")
+    shared = docs.groupBy(one.alias(first)).agg(F.min(two).alias(other), F.max(two).alias("most")).where(F.col(other) != F.col("most")).drop("most")
+    shared = cut(shared)
+    if shared.isEmpty():
+        return docs.withColumn(name, one)
+    return docs.join(hinted(shared), one == F.col(first), "left").withColumn(name, F.when(two != F.col(other), three).otherwise(one)).drop(first, other)
+
+
 def text_bytes(column: str = "text") -> Column:
     """The text in UTF-8; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))

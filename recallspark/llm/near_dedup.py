@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, hinted, mix, short_batches, signed, text_bytes, unused, Words
+from .common import chunks, cut, mix, short_batches, signed, text_bytes, text_ids, unused, Words
 from .components import components
 
 BANDS, ROWS = 20, 4
@@ -241,19 +241,16 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, repeats: bool = True) -> DataFrame:
+def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows whose own text is linked to that of a smaller doc_id; five words a shingle. All columns stay.
 
-    Rows are linked by their texts, whatever ids they have, through a number that each row gets in a stored copy; rows without doc_id come after all others,
-    and rows of one doc_id in order of their texts' hashes. Repeated rows of one doc_id and text all stay or, without repeats, the first in the input.
+    Texts are linked, whatever ids their rows have; rows without doc_id come after all others. Repeated rows of one doc_id and text all stay.
     """
-    row, gone_row = unused(docs, "_row", "_gone")
-    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    groups = near_groups(numbered.select(F.col(row).alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
-    several = cut(groups.groupBy(F.col("component_id").alias("component")).agg(F.count("*").alias("n")).where("n > 1"))
-    linked = groups.join(hinted(several), F.col("component_id") == F.col("component")).select("row", "component")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash"), (F.lit(0).cast("long") if repeats else F.col(row)).alias("place"))
-    found = cut(numbered.select(order.alias("me"), F.col(row).alias("own")).join(linked, F.col("own") == F.col("row")).select("component", "me", "row"))
-    best = found.groupBy("component").agg(F.min("me").alias("best"))
-    gone = cut(found.join(best, "component").where("NOT me <=> best").select(F.col("row").alias(gone_row)))
-    return numbered.join(gone, F.col(row) == F.col(gone_row), "left_anti").drop(row)
+    (text,) = unused(docs, "_key")
+    docs = text_ids(docs, text)
+    found = near_groups(docs.select(F.col(text).alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    rows = docs.select(F.col(text).alias("key"), "doc_id").join(found, "key").select("component_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("me"))
+    best = rows.groupBy("component_id").agg(F.min("me").alias("best"))
+    same, id_ = unused(docs, "_same", "_id")
+    gone = cut(rows.join(best, "component_id").where("me <> best").select(F.col("me.key").alias(same), F.col("me.doc_id").alias(id_)).distinct())
+    return docs.join(gone, (F.col(text) == F.col(same)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti").drop(text)

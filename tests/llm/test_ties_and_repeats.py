@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from recallspark.llm import decontamination, exact_dedup, mixing, near_dedup
-from recallspark.llm.common import NOT_ALNUM, Words
+from recallspark.llm.common import NOT_ALNUM, Words, numbered_apart, text_ids
 
 from .test_operators import docs, text
 
@@ -68,4 +68,11 @@ def test_near_copies_under_one_id(spark):
     rows = [(1, base), (1, base), (1, other), (None, base + " x"), (2, other + " y")]
     d = docs(spark, rows)
     assert sorted((r["doc_id"], r["text"]) for r in near_dedup.keep_one(d).collect()) == sorted([(1, base), (1, base), (1, other)])
-    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.keep_one(d, repeats=False).collect()) == sorted([(1, base), (1, other)])
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark):
+    d = spark.createDataFrame([("a", 1, 5, 50), ("a", 1, 5, 50), ("b", 1, 7, 70), ("c", 1, 6, 60), ("d", 2, 5, 80)], "text string, x int, y int, z int")
+    got = {(r["text"], r["n"]) for r in numbered_apart(d, "n", F.col("x"), F.col("y"), F.col("z")).collect()}
+    assert got == {("a", 1), ("b", 70), ("c", 60), ("d", 2)}
+    seen = text_ids(docs(spark, [(1, "a"), (2, "a"), (3, "A"), (4, None), (5, "")]), "n").groupBy("n").count().collect()
+    assert sorted(r["count"] for r in seen) == [1, 2, 2]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.llm import decontamination, exact_dedup, language_id, mixing, near_dedup
-from recallspark.llm.common import cut, shared_dir, table, unused
+from recallspark.llm.common import cut, shared_dir, table, text_ids, unused
 from recallspark.llm.url_filter import LOWER, UPPER
 
 
@@ -44,8 +44,17 @@ def exact_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents, one row with the smallest doc_id stays; rows without doc_id come last, rows of one doc_id in order of their texts' hashes and then of the input."""
-    return near_dedup.keep_one(docs, repeats=False)
+    """Of linked documents, one row with the smallest doc_id stays; rows without doc_id come last."""
+    (text,) = unused(docs, "_text")
+    docs = text_ids(docs, text)
+    groups = near_dedup.near_groups(docs.select(F.col(text).alias("doc_id"), "text")).where("n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("component"))
+    rows = docs.select(F.col(text).alias("key"), F.col("doc_id").alias("id")).groupBy("key", "id").agg(F.count("*").alias("n"))
+    rows = cut(rows.join(groups, "key"))
+    me = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    best = rows.groupBy("component").agg(F.min(me).alias("best"), F.sum("n").alias("all")).where("all > 1")
+    stays = me == F.col("best")
+    special = cut(rows.join(best, "component").where(~stays | (F.col("n") > 1)).select("key", "id", stays.alias("stays")))
+    return _apply(docs, F.col(text), special).drop(text)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

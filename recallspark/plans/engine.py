@@ -81,11 +81,11 @@ class MemoryEngine:
         self.snapshots.commit(base, touched, {k: (None if rows is None else self._fitted(k, rows), gone) for k, (rows, gone) in changes.items()})
         self.compact()
 
-    def compact(self, least: int | None = None) -> list[str]:
-        """Merges layers of like size, if there are many; -> the tables. If another writer comes first, nothing happens."""
+    def compact(self, least: int | None = None, whole: bool = False) -> list[str]:
+        """Merges layers of like size, if there are many, or with `whole` all layers of each table; -> the tables. If another writer comes first, nothing happens."""
         more = {} if least is None else {"least": least}
         try:
-            return self.snapshots.compact(TABLES, {"postings": postings.combined}, **more)
+            return self.snapshots.compact(TABLES, {"postings": postings.combined}, whole=whole, **more)
         except Conflict:
             return []
 

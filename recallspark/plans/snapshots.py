@@ -192,10 +192,10 @@ class Snapshots:
 
     # --- upkeep
 
-    def compact(self, schemas: dict[str, str], combine: dict[str, Callable[[DataFrame], DataFrame]] | None = None, least: int = MERGED) -> list[str]:
+    def compact(self, schemas: dict[str, str], combine: dict[str, Callable[[DataFrame], DataFrame]] | None = None, least: int = MERGED, whole: bool = False) -> list[str]:
         """Merges the newest layers of each table, where `least` of them are of one size class or smaller; -> the tables. The rows that count stay the same.
 
-        combine: what else is done to a table's merged rows. The commit touches no session, so that other writers can go on; one that
+        whole: merges all layers of each table that has several, whatever their sizes. combine: what else is done to a table's merged rows. The commit touches no session, so that other writers can go on; one that
         compacts at the same time, or writes a table whole, makes this one fail, which loses nothing.
         """
         base, tables = self.current()
@@ -209,7 +209,9 @@ class Snapshots:
                         break
                     tier = size
                 n += 1
-            if n < max(2, least):
+            if whole:
+                n = len(layers)
+            if n < max(2, 0 if whole else least):
                 continue
             tail, head = layers[-n:], layers[:-n]
             rows = self.read(name, schemas[name], layers=tail, gone=layers)

@@ -86,7 +86,7 @@ def index_after_delete(spark, d):
 def merged_layers(spark, d):
     """Chunks of a store that grew by commits, after its layers were merged."""
     e = _grown(spark, d, False)
-    if "chunks" not in e.compact(2) or len(e.snapshots.current()[1]["chunks"]) != 1:
+    if "chunks" not in e.compact(whole=True) or len(e.snapshots.current()[1]["chunks"]) != 1:
         raise ValueError("the layers were not merged")
     return e.chunks().select(F.col("external_id").cast("long").alias("id"), "session", "chunk_index", F.md5(F.col("content").cast("binary")).alias("hash"))
 

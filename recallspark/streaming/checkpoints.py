@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: State stores that keep maps and timers.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-HEAD = "history_epoch int, revision int, content_hash string, generation long, offset long"
+#: Groups that keys are dealt to by hash. The state of a group's keys is one value, which is read and written once a micro-batch that has rows of it.
+SHARDS = 256
 
 
 class _InOrder(StatefulProcessor):
@@ -51,18 +53,39 @@ def _stateful(stream: DataFrame, key: list[str], processor: _InOrder, out: str,
     return stream.groupBy(*key).transformWithStateInPandas(processor, out, "append", mode)
 
 
-class _Decide(_InOrder):
-    order = ("history_epoch", "generation", "offset", "revision")
+class _InShards(_InOrder):
+    """Takes the rows of all keys of a shard in order; turn(row) -> the output's row. self.now has the state of each key: state by call for each of many small keys would cost more than the rows do."""
 
     def init(self, handle):
-        self.head = handle.getValueState("head", HEAD)
+        self.held = handle.getValueState("held", "json string")
+
+    def begin(self):
+        self.now = {tuple(k): v for k, v in json.loads(self.held.get()[0])} if self.held.exists() else {}
+
+    def end(self):
+        self.held.update((json.dumps(list(self.now.items())),))
+
+    def turn(self, r: object) -> tuple:
+        raise NotImplementedError
 
     def step(self, key, r):
-        new = _head(r)
-        status = status_of(new, self.head.get() if self.head.exists() else None)
+        return [self.turn(r)]
+
+
+def _in_shards(stream: DataFrame, key: list[str], processor: _InShards, out: str) -> DataFrame:
+    shard = F.pmod(F.xxhash64(*key), F.lit(SHARDS)).cast("int")
+    return _stateful(stream.withColumn("shard", shard), ["shard"], processor, out)
+
+
+class _Decide(_InShards):
+    order = ("history_epoch", "generation", "offset", "revision")
+
+    def turn(self, r):
+        key, new = (r.session, r.turn_key), _head(r)
+        status = status_of(new, self.now.get(key))
         if status == "inserted":
-            self.head.update(new)
-        return [(*key, new[0], new[1], new[2], status)]
+            self.now[key] = new
+        return (*key, new[0], new[1], new[2], status)
 
 
 def decide(stream: DataFrame) -> DataFrame:
@@ -70,7 +93,7 @@ def decide(stream: DataFrame) -> DataFrame:
 
     State holds the head of each turn. Within a micro-batch rows of a turn are taken in order of epoch, generation, offset and revision.
     """
-    return _stateful(stream, ["session", "turn_key"], _Decide(), "session string, turn_key string, history_epoch int, revision int, content_hash string, status string")
+    return _in_shards(stream, ["session", "turn_key"], _Decide(), "session string, turn_key string, history_epoch int, revision int, content_hash string, status string")
 
 
 def _head(r: object) -> tuple:
@@ -152,27 +175,35 @@ def delivery_sequences(stream: DataFrame) -> DataFrame:
     return _stateful(stream, ["runtime", "session"], _Deliveries(), "runtime string, session string, event string, sequence long")
 
 
-class _Resets(_InOrder):
+class _Resets(_InShards):
+    """The state of a session is its epoch, and the heads of its turns."""
+
     order = ("history_epoch", "kind", "generation", "offset", "revision")
 
-    def init(self, handle):
-        self.epoch, self.heads = handle.getValueState("epoch", "epoch int"), handle.getMapState("heads", "turn_key string", HEAD)
+    def begin(self):
+        super().begin()
+        self.now = {k: (epoch, dict(heads)) for k, (epoch, heads) in self.now.items()}
 
-    def step(self, key, r):
-        epoch, own = self.epoch.get()[0] if self.epoch.exists() else 0, int(r.history_epoch)
-        row = lambda status: [(*key, r.kind, r.turn_key, own, status)]
+    def end(self):
+        self.now = {k: (epoch, list(heads.items())) for k, (epoch, heads) in self.now.items()}
+        super().end()
+
+    def turn(self, r):
+        own = int(r.history_epoch)
+        epoch, heads = self.now.get((r.session,), (0, {}))
+        row = lambda status: (r.session, r.kind, r.turn_key, own, status)
         if r.kind == "reset":
             if own <= epoch:
                 return row("stale")
-            self.epoch.update((own,))
-            self.heads.clear()
+            self.now[(r.session,)] = (own, {})
             return row("reset")
         if own < epoch:
             return row("stale")
-        turn, new = (r.turn_key,), _head(r)
-        status = status_of(new, self.heads.getValue(turn) if self.heads.containsKey(turn) else None)
+        new = _head(r)
+        status = status_of(new, heads.get(r.turn_key))
         if status == "inserted":
-            self.heads.updateValue(turn, new)
+            heads[r.turn_key] = new
+            self.now[(r.session,)] = (epoch, heads)
         return row(status)
 
 
@@ -181,7 +212,9 @@ def decide_with_resets(stream: DataFrame) -> DataFrame:
 
     A reset to a higher epoch forgets the session's heads, and rows of lower epochs are stale from then on; its status is reset, or stale for a lower epoch.
     """
-    return _stateful(stream, ["session"], _Resets(), "session string, kind string, turn_key string, history_epoch int, status string")
+    # A reset needs no place; a null would make numbers of 64 bits floats.
+    placed = stream.withColumns({c: F.when(F.col("kind") == "reset", F.coalesce(c, F.lit(0).cast(stream.schema[c].dataType))).otherwise(F.col(c)) for c in ("generation", "offset", "revision")})
+    return _in_shards(placed, ["session"], _Resets(), "session string, kind string, turn_key string, history_epoch int, status string")
 
 
 class _Failures(_InOrder):

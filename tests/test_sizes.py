@@ -3,6 +3,7 @@
 import hashlib
 
 from recallspark import queries_store
+from recallspark.streaming import checkpoints
 
 
 def documents(spark, path, rows):
@@ -18,3 +19,23 @@ def test_layers_of_unlike_sizes_are_merged(spark, tmp_path):
     found = queries_store.merged_layers(spark, d).collect()
     assert sorted(r["id"] for r in found) == list(range(len(langs)))
     assert all(r["hash"] == hashlib.md5((noise(r["id"]) if langs[r["id"]] == "en" else f"text {r['id']}").encode()).hexdigest() for r in found)
+
+
+def test_decisions_of_many_turns_take_few_groups(spark, tmp_path, monkeypatch):
+    """Turns share groups: a group a turn took a second for each few hundred of them. Keys that share one keep their own heads over two micro-batches."""
+    made = []
+    plain = checkpoints._stateful
+    monkeypatch.setattr(checkpoints, "_stateful", lambda stream, key, *more: made.append(stream.select(*key)) or plain(stream, key, *more))
+    monkeypatch.setattr(checkpoints, "SHARDS", 2)
+    kind = "session string, turn_key string, history_epoch int, revision int, content_hash string, generation long, offset long"
+    one = [(f"s{i}", t, 0, 1, f"{i}", 0, 1 << 60) for i in range(20) for t in ("a", None)]
+    two = [(f"s{i}", t, 0, i % 3, f"{i}", 0, (1 << 60) + 1) for i in range(20) for t in ("a", None)]
+    for x, part in (("0", one), ("1", two)):
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{x}")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    found = checkpoints.decide(stream)
+    assert made[0].columns == ["shard"]
+    found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["session"], r["turn_key"] or "", r["revision"], r["status"]) for r in spark.read.schema(found.schema).parquet(f"{tmp_path}/out").collect())
+    later = ("stale", "already_current", "inserted")
+    assert got == sorted([(s, t or "", 1, "inserted") for s, t, *_ in one] + [(s, t or "", v, later[v]) for s, t, _, v, *_ in two])

@@ -336,7 +336,9 @@ def advanced_heads(spark, d):
 def _streamed(spark: SparkSession, rows: DataFrame, make, name: str, by: Column) -> DataFrame:
     """rows through make as a stream that stops and goes on: four micro-batches or more, each with the rows of a quarter of `by`. -> what it wrote."""
     where = scratch(spark, name)
-    d = rows.withColumn("_by", by.cast("double"))
+    # Stored once, as each quarter would make the rows anew.
+    rows.withColumn("_by", by.cast("double")).write.parquet(f"{where}/rows")
+    d = spark.read.parquet(f"{where}/rows")
     edges = [float("-inf"), *d.approxQuantile("_by", [0.25, 0.5, 0.75], 0.001), float("inf")]
     for low, high in zip(edges, edges[1:], strict=False):
         d.where((F.col("_by") > low) & (F.col("_by") <= high)).drop("_by").write.mode("append").parquet(f"{where}/in")

@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pandas as pd
+
 from recallspark import queries_store
 from recallspark.streaming import checkpoints
 
@@ -39,3 +41,38 @@ def test_decisions_of_many_turns_take_few_groups(spark, tmp_path, monkeypatch):
     got = sorted((r["session"], r["turn_key"] or "", r["revision"], r["status"]) for r in spark.read.schema(found.schema).parquet(f"{tmp_path}/out").collect())
     later = ("stale", "already_current", "inserted")
     assert got == sorted([(s, t or "", 1, "inserted") for s, t, *_ in one] + [(s, t or "", v, later[v]) for s, t, _, v, *_ in two])
+
+
+class _Held:
+    """A value state in memory."""
+
+    value = None
+    calls = 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_resets_of_many_sessions_take_two_state_calls_a_micro_batch():
+    held, p = _Held(), checkpoints._Resets()
+    p.columns = ("session", "kind", "turn_key", "history_epoch", "status")
+    p.init(held)
+    names = ["session", "kind", "turn_key", "history_epoch", "revision", "content_hash", "generation", "offset"]
+    batch = lambda *rows: sorted(x for d in p.handleInputRows((0,), iter([pd.DataFrame(rows, columns=names)]), None) for x in d.itertuples(index=False, name=None))
+    first = [(f"s{i}", "turn", t, 0, 1, "x", 0, 1 << 60) for i in range(50) for t in ("a", "b")]
+    assert {x[-1] for x in batch(*first)} == {"inserted"} and held.calls == 1
+    got = batch(("s1", "reset", "", 1, 0, "", 0, 0), ("s1", "turn", "a", 1, 1, "y", 0, 2), ("s1", "turn", "b", 0, 2, "y", 0, 1 << 61), ("s2", "turn", "b", 0, 1, "y", 0, 1 << 60), ("s2", "turn", "a", 0, 2, "y", 0, 1 << 61))
+    assert got == sorted([("s1", "reset", "", 1, "reset"), ("s1", "turn", "a", 1, "inserted"), ("s1", "turn", "b", 0, "stale"), ("s2", "turn", "b", 0, "conflict"), ("s2", "turn", "a", 0, "inserted")])
+    assert held.calls == 3
+    assert [x[-1] for x in batch(("s1", "turn", "a", 1, 1, "y", 0, 2), ("s1", "reset", "", 1, 0, "", 0, 0))] == ["stale", "already_current"]

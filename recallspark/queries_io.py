@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import embedding, executions, log, store
+from .operators import duplicates, embedding, executions, log, store
 from .plans import checkpoints
 from .plans.engine import MemoryEngine
 from .queries import _RES, _TURNS, C, M, chunks, messages, observations, query, table
@@ -189,7 +189,8 @@ def turn_content_hash(spark, d):
 # 65,536 bytes less those of the marker, four fifths from the start; texts are ASCII.
 @query("WITH t AS (SELECT s_suppkey AS id, repeat(s_name || ' ', 3000 + (s_suppkey * 50)::INT) AS x FROM supplier), m AS (SELECT chr(10) || '...(truncated by byte limit)...' || chr(10) AS m) SELECT id, sha256(CASE WHEN length(x) <= 65536 THEN x ELSE left(x, floor((65536 - length(m)) * 0.8)::INT) || m || right(x, (65536 - length(m) - floor((65536 - length(m)) * 0.8))::INT) END) AS hash FROM t, m")
 def byte_truncation(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.repeat(F.concat("s_name", F.lit(" ")), F.lit(3000) + F.col("s_suppkey").cast("int") * 50).alias("x"))
+    # A small file is one task, but its rows become long texts.
+    s = duplicates.spread(table(spark, d, "supplier").select("s_suppkey", "s_name")).select(F.col("s_suppkey").alias("id"), F.repeat(F.concat("s_name", F.lit(" ")), F.lit(3000) + F.col("s_suppkey").cast("int") * 50).alias("x"))
     return s.select("id", F.sha2(T.truncate_output(F.col("x")), 256).alias("hash"))
 
 

@@ -95,3 +95,16 @@ def test_vectors(spark):
     v = [0.0, -1.5, 1e-40, float("inf"), 3.14]
     got = spark.createDataFrame([(v,)], "v array<float>").select(T.vec_to_hex("v").alias("h")).select("h", T.hex_to_vec("h").alias("v")).first()
     assert got["h"][:16] == "000000000000c0bf" and [round(x, 5) for x in got["v"]] == [round(x, 5) for x in v]
+
+
+@pytest.mark.parametrize("unit", ["é", "日", "😀", "aé日😀", "x"])
+def test_byte_limit_cuts_as_bytes_do_and_without_python(spark, unit):
+    """At each place that a character can be cut at, on both sides."""
+    room = T.OUTPUT_BYTES - len(T.BYTE_MARKER)
+    head = int(room * 0.8)
+    texts = ["x" * i + unit * (70000 // len(unit.encode())) + "y" * j for i in range(4) for j in range(4)]
+    out = spark.createDataFrame(list(enumerate(texts)), "i long, s string").select("i", T.truncate_output(F.col("s")).alias("x"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    for i, x in out.collect():
+        raw = texts[i].encode()
+        assert x == raw[:head].decode(errors="ignore") + T.BYTE_MARKER + raw[len(raw) - (room - head) :].decode(errors="ignore")

@@ -1,19 +1,21 @@
 """Exact nearest neighbours of many vectors at once, by pivots and the triangle inequality.
 
 A vector belongs to the cell of its nearest pivot, at some radius. A first look at a query's nearest cells gives a distance within which it has k
-neighbours; then only cells that come so near are joined, and of these only vectors whose radius differs from the query's distance
-to the pivot by no more than that. What is left out can't be among the k, so the result is that of all pairs.
+neighbours; then only cells that come so near are met. Queries and vectors meet in blocks, whose distances are products of matrices; those that
+may count are then taken exactly. What is left out can't be among the k, so the result is that of all pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .search import _few
 
 #: Pivots, which are vectors of the table: their distances to all vectors are taken, and each has a row of statistics on the driver.
 PIVOTS = 64
@@ -27,10 +29,6 @@ def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - one) ** 2).sum(1)) for one in p], axis=1)
 
 
-def _between(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
 def chosen(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
     """Pivots: the vectors of the smallest hashes of their ids, without repeats."""
     rows = vectors.where("embedding IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(pivots).select(F.col("embedding").cast("array<double>")).collect()
@@ -49,6 +47,65 @@ def cells(vectors: DataFrame, points: np.ndarray) -> DataFrame:
     return v.withColumn("at", nearest("embedding")).select("id", "embedding", "at.cell", "at.radius")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]):
+    """Pairs of blocks -> query ids, vectors and reaches, ids and vectors, approximate squares of all distances, and what these may be off by."""
+
+    def matrix(rows: pa.StructArray, name: str) -> np.ndarray:
+        lists = rows.field(name)
+        return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            b, v = batch.column(0).slice(i, 1).flatten(), batch.column(1).slice(i, 1).flatten()
+            x, y = matrix(b, "q"), matrix(v, "embedding")
+            xx, yy = (x * x).sum(1), (y * y).sum(1)
+            near = x @ (-2 * y.T)
+            near += xx[:, None]
+            near += yy
+            off = 1e-12 * (xx + yy.max()) * x.shape[1]
+            reach = b.field("reach").to_numpy(zero_copy_only=False)
+            for at in range(0, len(x), 256):
+                s = slice(at, at + 256)
+                yield b.field("query_id").slice(at, 256), x[s], reach[s], v.field("id"), y, near[s], off[s]
+
+
+def _nearest(k: int):
+    """Upper bounds of the k smallest distances of each query in a block."""
+
+    def work(batches):
+        for names, _, _, _, y, near, off in _blocks(batches):
+            m = min(k, len(y))
+            least = np.partition(near, m - 1, axis=1)[:, :m]
+            d = np.sqrt(np.maximum(least + off[:, None], 0))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(d)), m))), pa.array(d.ravel())], names=["query_id", "distance"])
+
+    return work
+
+
+def _within(k: int):
+    """The k nearest vectors of each query in a block, by distance and id, of those within its reach."""
+
+    def work(batches):
+        for names, x, reach, ids, y, near, off in _blocks(batches):
+            most = reach * (1 + SLACK) + SLACK
+            limit = most**2 + off
+            if len(y) > k:  # many vectors may be as near as the k-th one; only equals of it are looked at
+                limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * off)
+            a, b = np.nonzero(near <= limit[:, None])
+            total = np.zeros(len(a))
+            for j in range(x.shape[1]):  # in order, as a sum over the elements is
+                total += (x[a, j] - y[b, j]) ** 2
+            d = np.sqrt(total)
+            a, b, d = (z[d <= most[a]] for z in (a, b, d))
+            order = np.lexsort((b, d, a))
+            a, b, d = a[order], b[order], d[order]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            a, b, d = a[place < k], b[place < k], d[place < k]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), ids.take(pa.array(b)), pa.array(d)], names=["query_id", "id", "distance"])
+
+    return work
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
     """vectors (id, embedding), queries (query_id, embedding) -> query_id, id, distance, place: the k nearest vectors to each query by L2 distance, then by id.
 
@@ -69,41 +126,61 @@ def knn_parts(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVO
     n, low, high = (np.array([stats[c][f] for c in own], float) for f in ("n", "low", "high"))
     apart = _distances(points[own], points[own])
 
-    @F.pandas_udf("reach double, cells array<struct<cell: int, away: double, least: double, first: boolean>>")
+    @F.pandas_udf("reach double, home int, cells array<int>")
     def plan(x: pd.Series) -> pd.DataFrame:
+        """Within reach are k vectors; cells: the nearest ones, which hold k."""
         d = _distances(np.stack(x.to_list()), points[own])
         reach, out = [], []
         for row in d:
             far = np.argsort(row + high, kind="stable")
             enough = np.searchsorted(np.cumsum(n[far]), k)
             reach.append(float((row + high)[far[enough]]) if enough < len(own) else float("inf"))
+            near = np.argsort(row, kind="stable")
+            out.append(own[near[: np.searchsorted(np.cumsum(n[near]), k) + 1]].tolist())
+        return pd.DataFrame({"reach": reach, "home": own[d.argmin(1)].astype(np.int32), "cells": out})
+
+    @F.pandas_udf("array<int>")
+    def within(x: pd.Series, reach: pd.Series) -> pd.Series:
+        """Cells that can hold a vector within reach."""
+        d = _distances(np.stack(x.to_list()), points[own])
+        out = []
+        for row, most in zip(d, reach * (1 + SLACK) + SLACK, strict=True):
             home = int(row.argmin())
             beyond = np.divide(row**2 - row[home] ** 2, 2 * apart[home], out=np.zeros(len(own)), where=apart[home] > 0)
-            least = np.maximum.reduce([row - high, low - row, beyond, np.zeros(len(own))])
-            near = np.argsort(row, kind="stable")
-            first = np.zeros(len(own), bool)
-            first[near[: np.searchsorted(np.cumsum(n[near]), k) + 1]] = True
-            out.append([{"cell": int(c), "away": float(a), "least": float(b), "first": bool(f)} for c, a, b, f in zip(own, row, least, first, strict=True)])
-        return pd.DataFrame({"reach": reach, "cells": out})
+            out.append(own[np.maximum.reduce([row - high, low - row, beyond]) <= most].tolist())
+        return pd.Series(out)
 
-    parts = F.create_map(*(x for c, m in zip(own, n, strict=True) for x in (F.lit(int(c)), F.lit(int(-(-m // ROWS))))))
-    held = placed.withColumn("part", F.pmod(F.xxhash64("id"), parts[F.col("cell")].cast("long")).cast("int"))
-    asked = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("q"))
-    asked = checkpointed(asked.withColumn("plan", plan("q")).select("query_id", "q", "plan.reach", "plan.cells"))
+    def split(cell: str, key: str, sizes: dict[int, int]) -> Column:
+        parts = F.create_map(*(x for c, m in sizes.items() for x in (F.lit(int(c)), F.lit(int(-(-m // ROWS))))))
+        return F.pmod(F.xxhash64(key), parts[F.col(cell)].cast("long")).cast("int")
 
-    def compared(q: DataFrame, where: str) -> DataFrame:
-        """q with the vectors of its cells whose radius leaves them within reach."""
-        each = q.select("query_id", "q", (F.col("reach") * (1 + SLACK) + SLACK).alias("reach"), F.explode("cells").alias("c")).where(where).select("query_id", "q", "reach", "c.cell", "c.away")
-        each = _few(each.withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1))))
-        near = held.join(each, ["cell", "part"]).where(F.abs(F.col("away") - F.col("radius")) <= F.col("reach"))
-        return near.select("query_id", "id", _between(F.col("embedding"), F.col("q")).alias("distance"), "reach").where("distance <= reach").drop("reach")
+    # Blocks of up to about ROWS vectors, in order of id, are rows, dealt so that a task holds a few.
+    kind = vectors.schema["id"].dataType.simpleString()
+    held = placed.withColumn("part", split("cell", "id", {c: r["n"] for c, r in stats.items()})).groupBy("cell", "part").agg(F.array_sort(F.collect_list(F.struct("id", "embedding"))).alias("v"))
+    held = checkpointed(held.repartition(max(1, -(-int(n.sum()) // (4 * ROWS)))))
+    asked = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("q"))
+    asked = checkpointed(asked.withColumn("plan", plan("q")).select("query_id", "q", "plan.reach", "plan.home", "plan.cells"))
+    homes = {r["home"]: r["n"] for r in asked.groupBy("home").agg(F.count("*").alias("n")).collect()}  # a row a pivot
+    spread = max(2 * asked.sparkSession.sparkContext.defaultParallelism, -(-sum(homes.values()) // (4 * ROWS)))
+    named = queries.schema["query_id"].dataType.simpleString()
+
+    def met(q: DataFrame, work, out: str) -> DataFrame:
+        """Blocks of queries (query_id, q, reach, home, cells) with all blocks of vectors of their cells, without a copy of either for each pair on disk."""
+        if not homes:
+            return q.sparkSession.createDataFrame([], out)
+        blocks = q.withColumn("part", split("home", "query_id", homes)).groupBy("home", "part").agg(F.collect_list(F.struct("query_id", "q", "reach")).alias("b"), F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells"))
+        blocks = checkpointed(blocks.repartition(spread))
+        return blocks.crossJoin(held).where(F.array_contains("cells", F.col("cell"))).select("b", "v").mapInArrow(work, out)
+
+    looked = met(asked, _nearest(k), f"query_id {named}, distance double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance"))
+    # query_id may be repeated with other vectors; the farther reach is then right for all.
+    reached = looked.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("distance").alias("kth"))
+    narrow = asked.join(reached, "query_id", "left").withColumn("reach", F.least("reach", F.coalesce("kth", F.lit(float("inf")))))
+    pairs = met(narrow.withColumn("cells", within("q", "reach")), _within(k), f"query_id {named}, id {kind}, distance double")
 
     def best(pairs: DataFrame) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
         return pairs.withColumn("place", place).where(F.col("place") <= k)
 
-    # query_id may be repeated with other vectors; the farther reach is then right for all.
-    reached = best(compared(asked, "c.first")).where(F.col("place") == k).select("query_id", F.col("distance").alias("kth"))
-    narrow = asked.join(reached, "query_id", "left").withColumn("reach", F.least("reach", F.coalesce("kth", F.lit(float("inf")))))
-    pairs = compared(narrow, "c.least <= reach")
     return {"best": best(pairs), "compared": pairs}

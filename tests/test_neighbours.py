@@ -54,3 +54,11 @@ def test_large_cells_are_split(spark, monkeypatch):
 def test_lengths_must_agree(spark):
     with pytest.raises(Exception):
         neighbours.knn_batch(rows(spark, [(1, [0.0, 1.0]), (2, [0.0])], "id"), rows(spark, [(1, [0.0, 1.0])], "query_id"), 1).collect()
+
+
+def test_copies_are_not_compared_pair_by_pair(spark):
+    """Before, each query of a group of copies gave a row for each copy."""
+    v = [(i, [0.5] * 8) for i in range(600)] + [(i, [0.1 * (i % 7)] * 8) for i in range(600, 640)]
+    parts = neighbours.knn_parts(rows(spark, v, "id"), rows(spark, v, "query_id"), 3, 8)
+    assert parts["compared"].count() <= 3 * 8 * len(v)
+    assert found(parts["best"]) == brute(v, v, 3)

@@ -1,10 +1,13 @@
 """Queries on tables whose parts are of unlike or large sizes."""
 
 import hashlib
+import pathlib
 
 import pandas as pd
 
 from recallspark import queries_store
+from recallspark.operators import duplicates
+from recallspark.session import shared_dir
 from recallspark.streaming import checkpoints
 
 
@@ -76,3 +79,14 @@ def test_resets_of_many_sessions_take_two_state_calls_a_micro_batch():
     assert got == sorted([("s1", "reset", "", 1, "reset"), ("s1", "turn", "a", 1, "inserted"), ("s1", "turn", "b", 0, "inserted"), ("s2", "turn", "b", 0, "conflict"), ("s2", "turn", "a", 0, "inserted")])
     assert held.calls == 3
     assert [x[-1] for x in batch(("s1", "turn", "a", 1, 1, "y", 0, 2), ("s1", "reset", "", 1, 0, "", 0, 0))] == ["stale", "already_current"]
+
+
+def test_similar_pairs_store_less_than_the_texts(spark):
+    """Sets of trigrams take eight times the bytes of their texts; they were stored twice."""
+    where = shared_dir(spark).removeprefix("file:")
+    stored = lambda: sum(p.stat().st_size for p in pathlib.Path(where).rglob("*") if p.is_file())
+    texts = [" ".join(hashlib.md5(f"{i // 2} {k}".encode()).hexdigest() for k in range(60)) + f" {i}" for i in range(200)]
+    before = stored()
+    pairs = duplicates.similar_pairs(spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "id long, session string, content string"))
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(i, i + 1) for i in range(0, 200, 2)]
+    assert stored() - before < sum(map(len, texts))

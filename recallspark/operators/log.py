@@ -98,9 +98,10 @@ def fold(turns: DataFrame, resets: DataFrame, legacy: DataFrame) -> tuple[DataFr
     A session with a reset keeps the turns of its highest reset epoch; without one, the highest epoch of each turn counts.
     """
     top = resets.groupBy("session").agg(F.max("history_epoch").alias("top"))
-    now = latest_revisions(turns).join(top, "session", "left").where("top IS NULL OR history_epoch = top").drop("top")
-    best = F.row_number().over(Window.partitionBy("session", "turn_key").orderBy(F.desc("history_epoch")))
-    now = now.withColumn("_n", best).where("_n = 1").drop("_n")
+    own = turns.join(top, "session", "left").where("top IS NULL OR history_epoch = top").drop("top")
+    # The first of a turn is its highest revision in its highest epoch, so that turns are put in order once.
+    best = F.row_number().over(Window.partitionBy("session", "turn_key").orderBy(F.desc("history_epoch"), F.desc("revision"), "content_hash"))
+    now = own.withColumn("_n", best).where("_n = 1").drop("_n")
     conflicts = revision_conflicts(turns).join(top, "session", "left").where("top IS NULL OR history_epoch = top").drop("top")
     return now, legacy.join(top.select("session"), "session", "left_anti"), conflicts
 
@@ -124,10 +125,13 @@ def self_heal(records: DataFrame, chunks: DataFrame, n: int = 100) -> DataFrame:
     return tail(records.join(F.broadcast(newest), "file"), n).join(chunks.select("external_id"), "external_id", "left_anti")
 
 
-def latest_by_id(records: DataFrame) -> DataFrame:
-    """Each external id once, its last record in order of file and line."""
+def latest_by_id(records: DataFrame, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Each external id once, its last record in order of file and line. With cut, which stores the places of the others, records are not put in order whole."""
     w = Window.partitionBy("external_id").orderBy(F.desc("file"), F.desc("line_no"))
-    return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    if cut is None:
+        return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    older = cut(records.select("external_id", "file", "line_no").withColumn("_n", F.row_number().over(w)).where("_n > 1").select("file", "line_no"))
+    return records.join(older, ["file", "line_no"], "left_anti")
 
 
 def insert_count(legacy: DataFrame, turns: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators import duplicates, embedding, executions, formatting, log, postings, search, sessions, store
 from ..schema import BOUNDARY
-from ..session import checkpointed
+from ..session import Kept, checkpointed
 from ..sources import foreign, lines, logs, pending, transcripts
 from . import checkpoints
 from .snapshots import Conflict, Snapshots
@@ -95,7 +95,13 @@ class MemoryEngine:
     def save(self, chunks: DataFrame, base: int | None = None, **others: DataFrame | None) -> None:
         """All chunks anew, and the sessions that follow from them. Vectors of chunks that are gone go too, and if there is an index it is made anew."""
         base = self.snapshots.current()[0] if base is None else base
-        chunks = checkpointed(self._fitted("chunks", chunks))
+        kept = Kept(self.spark)
+        try:
+            self._save(base, kept(self._fitted("chunks", chunks)), others)
+        finally:
+            kept.clear()
+
+    def _save(self, base: int, chunks: DataFrame, others: dict[str, DataFrame | None]) -> None:
         vectors = others.pop("vectors", None)
         vectors = self.table("vectors") if vectors is None else vectors
         tables = {"chunks": chunks, "sessions": sessions.session_summary(chunks), "vectors": vectors.join(chunks.select("id"), "id", "left_semi"), "postings": postings.build(chunks) if self._indexed() else None} | others
@@ -165,28 +171,35 @@ class MemoryEngine:
         self._replace(base, incoming, self._distinct(incoming))
         return new
 
-    def _read(self, where: str | list[str], since: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """-> lines, committed frames (each transaction once), how far each file is read, and errors (message)."""
-        seen = checkpointed(logs.frame_lines(self.spark, where, since))
-        frames, problems = log.frames(seen, checkpointed)
+    def _read(self, where: str | list[str], kept: Kept, since: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """-> lines, committed frames (each transaction once), how far each file is read, and errors (message); all of them are read from what is kept."""
+        seen = kept(logs.frame_lines(self.spark, where, since))
+        frames, problems = log.frames(seen, kept)
         committed, doubles = log.one_payload_each(frames)
         left = problems.where("message <> 'incomplete transaction at EOF' AND message <> 'unknown record version/type'").join(committed.select("tx_id", "digest"), ["tx_id", "digest"], "left_anti")
         return seen, committed, log.cursors(seen, committed, problems), left.select("message").unionByName(doubles.select("message"))
 
-    def _folded(self, path: str, from_month: str | None = None):
-        """-> current turns, legacy chunks, resets, committed frames, how far files are read. Errors that matter raise."""
+    def _folded(self, path: str, kept: Kept, from_month: str | None = None):
+        """-> current turns, legacy chunks, resets, committed transactions, how far files are read. Errors that matter raise. Turns and chunks are in what is kept."""
         where: str | list[str] = path
         if from_month is not None:
             where = [r["path"] for r in lines.list_files(self.spark, path, from_month).select("path").collect()]
         if not where:
             raise FileNotFoundError(f"no log file below {path} has {from_month}")
-        seen, committed, ends, errors = self._read(where)
-        turns, resets = logs.payloads(committed)
-        turns = checkpointed(turns)
-        now, old, conflicts = log.fold(turns, resets, log.latest_by_id(logs.chunks_of(seen.where("v = 1"))))
-        if bad := errors.unionByName(conflicts.select(F.lit("").alias("message"))).count():
-            raise ValueError(f"the log has {bad} errors")
-        return checkpointed(now), checkpointed(old), resets, committed, ends
+        read, parsed = Kept(self.spark), Kept(self.spark)
+        try:
+            seen, committed, ends, errors = self._read(where, read)
+            turns, resets = logs.payloads(committed)
+            turns, resets = parsed(turns.drop("file", "tx_id")), checkpointed(resets)
+            now, old, conflicts = log.fold(turns, resets, log.latest_by_id(logs.chunks_of(seen.where("v = 1")), read))
+            if bad := errors.unionByName(conflicts.select(F.lit("").alias("message"))).count():
+                raise ValueError(f"the log has {bad} errors")
+            old, committed, ends = kept(old.drop("file", "line_no")), kept(committed.select("tx_id", "digest")), checkpointed(ends)
+            read.clear()
+            return kept(now), old, resets, committed, ends
+        finally:
+            read.clear()
+            parsed.clear()
 
     def refresh(self, path: str) -> dict:
         """What the log's files have grown by since they were last read, to the tables: as a rebuild would have it. -> new transactions, records and bytes.
@@ -195,11 +208,17 @@ class MemoryEngine:
         """
         base = self.snapshots.current()[0]
         since = {r["file"]: r["offset"] for r in self.table("log_state").collect()}  # a row a file
-        seen, found, ends, errors = self._read(path, since)
+        kept = Kept(self.spark)
+        try:
+            return self._refreshed(base, kept, *self._read(path, kept, since))
+        finally:
+            kept.clear()
+
+    def _refreshed(self, base: int, kept: Kept, seen: DataFrame, found: DataFrame, ends: DataFrame, errors: DataFrame) -> dict:
         if bad := errors.count():
             raise ValueError(f"the log has {bad} errors")
         known = self.table("committed").select("tx_id", F.col("digest").alias("said"))
-        found = checkpointed(found.join(known, "tx_id", "left"))
+        found = kept(found.join(known, "tx_id", "left"))
         if found.where("said <> digest").limit(1).count():
             raise ValueError("a committed transaction has another digest")
         new = found.where("said IS NULL").drop("said")
@@ -208,7 +227,7 @@ class MemoryEngine:
         resets = checkpointed(resets.groupBy("session").agg(F.max("history_epoch").alias("history_epoch")).join(own.withColumnRenamed("history_epoch", "own"), "session", "left").where("own IS NULL OR history_epoch > own").drop("own"))
         top = own.unionByName(resets).groupBy("session").agg(F.max("history_epoch").alias("top"))
         turns = checkpointed(turns.join(top, "session", "left").where("top IS NULL OR history_epoch = top").drop("top"))
-        legacy = checkpointed(log.latest_by_id(logs.chunks_of(seen.where("v = 1"))))
+        legacy = kept(log.latest_by_id(logs.chunks_of(seen.where("v = 1")), kept))
         ends = checkpointed(ends)
         self._apply(base, turns, resets, new.select("tx_id", "digest"), legacy=legacy, by_revision=True, log_state=(ends, ends))
         size = seen.agg(F.coalesce(F.sum(F.octet_length("line") + F.col("ended").cast("int")), F.lit(0))).first()[0]
@@ -222,16 +241,21 @@ class MemoryEngine:
         if from_month is not None and not dry_run:
             raise ValueError("from_month needs dry_run")
         base = self.snapshots.current()[0]
-        now, old, resets, committed, ends = self._folded(path, from_month)
+        kept = Kept(self.spark)
+        now, old, resets, committed, ends = self._folded(path, kept, from_month)
         new = self._numbered(logs.parts(now)).unionByName(self._numbered(old))
-        new = sessions.reindex(self._distinct(checkpointed(new)))
-        if not dry_run:
+        new = sessions.reindex(self._distinct(new))
+        if dry_run:
+            return new
+        try:
             seen = logs.observations(now)
             vectors = old.where("embedding IS NOT NULL").select("external_id", "embedding").join(new.select("id", "external_id"), "external_id").select("id", "embedding")
             epochs = checkpoints.raised_epochs(self.spark.createDataFrame([], checkpoints.EPOCHS), resets)
             receipts = self.table("receipts").join(committed.select("tx_id"), "tx_id", "left_anti")
-            self.save(new, base, vectors=vectors, observations=seen, resolutions=executions.resolutions(seen), heads=now.select(*names(checkpoints.HEADS)), epochs=epochs, committed=committed.select("tx_id", "digest"), receipts=receipts, log_state=ends)
-        return new
+            self.save(new, base, vectors=vectors, observations=seen, resolutions=executions.resolutions(seen), heads=now.select(*names(checkpoints.HEADS)), epochs=epochs, committed=committed, receipts=receipts, log_state=ends)
+        finally:
+            kept.clear()
+        return self.chunks()
 
     def truncate(self) -> None:
         """Empties the derived tables; what is needed for checkpoints, and the maintenance log, stay."""

@@ -118,7 +118,7 @@ class Snapshots:
             order = ("part", *order)
         if order:
             out = out.repartitionByRange(*order).sortWithinPartitions(*order)
-        (out.write.partitionBy("part") if table in self.parted else out.write).parquet(f"{self.path}/{folder}")
+        (out.write.partitionBy("part") if table in self.parted else out.write).option("compression", "zstd").parquet(f"{self.path}/{folder}")
         return folder
 
     def _layer(self, table: str, rows: DataFrame | None, gone: DataFrame | None = None) -> dict:

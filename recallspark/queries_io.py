@@ -238,22 +238,24 @@ def insert_vectors(spark, d):
 
 
 def written_log(spark, d) -> str:
-    """Documents as version 1 records, those with a vector with it, and orders as committed turns of customers; a reset hides one customer segment's first epoch."""
+    """Documents as version 1 records, those with a vector with it, and orders as committed turns of customers, in compressed files."""
     where = scratch(spark, "log")
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("float")).alias("v"))
     c = chunks(spark, d).join(v, "id", "left")
     one = F.struct(F.lit(1).alias("v"), F.lit("chunk").alias("type"), F.col("id").cast("string").alias("id"), F.col("session").alias("sessionId"), F.col("project").alias("projectPath"), F.col("chunk_index").alias("chunkIndex"), "content", F.lit("human").alias("role"), F.lit(1).alias("tokenCount"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("createdAt"), T.vec_to_hex("v").alias("embedding"))
-    c.select(F.to_json(one).alias("value")).write.text(f"{where}/v1")
-    o = table(spark, d, "orders")
-    key, session = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    c.select(F.to_json(one).alias("value")).write.option("compression", "gzip").text(f"{where}/v1")
+    # A customer's orders come together before they are lines, which are thirty times as large.
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", F.col("o_custkey").cast("string").alias("tx_id"))
+    o = o.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-o.count() // 50_000)), "tx_id")
+    key, session = F.col("o_orderkey").cast("string"), F.col("tx_id")
     meta = F.struct(F.array().cast("array<string>").alias("filePaths"), F.array().cast("array<string>").alias("toolNames"), F.array().cast("array<string>").alias("errorMessages"))
     part = F.struct(F.lit(0).alias("partIndex"), F.concat(F.lit("o-"), key).alias("externalId"), F.col("o_orderpriority").alias("content"), F.lit("human").alias("role"), meta.alias("metadata"), F.lit(2).alias("tokenCount"))
     status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "succeeded").otherwise("unknown")
     run = F.struct(F.lit(0).alias("executionIndex"), F.lit("sh").alias("toolName"), F.lit("make").alias("command"), status.alias("status"), F.lit("out").alias("outputExcerpt"))
     at = F.struct(F.lit("source_offset").alias("kind"), F.lit(0).alias("generation"), F.col("o_orderkey").alias("offset"))
     turn = F.to_json(F.struct(F.lit(2).alias("v"), F.lit("turn_checkpoint").alias("type"), session.alias("txId"), session.alias("sessionId"), F.lit("claude").alias("runtime"), key.alias("turnKey"), F.lpad(key, 20, "0").alias("sourceOrder"), F.lit(0).alias("historyEpoch"), F.lit(1).alias("revision"), F.sha2(key, 256).alias("contentHash"), F.lit("2026-01-01T00:00:00Z").alias("completedAt"), F.lit("/p").alias("projectPath"), at.alias("observedThrough"), F.array(part).alias("parts"), F.array(run).alias("executions")))
-    frames = log.serialize_frame(o.select(session.alias("tx_id"), F.lit("2026").alias("created_at"), F.col("o_orderkey").alias("no"), turn.alias("line")))
-    frames.select(F.array_join("lines", "\n").alias("value")).write.text(f"{where}/v2")
+    frames = log.serialize_frame(o.select("tx_id", F.lit("2026").alias("created_at"), F.col("o_orderkey").alias("no"), turn.alias("line")))
+    frames.select(F.array_join("lines", "\n").alias("value")).write.option("compression", "gzip").text(f"{where}/v2")
     return where
 
 

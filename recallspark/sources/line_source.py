@@ -1,5 +1,7 @@
 """Lines of text files as a data source, `recall_lines`: byte ranges of a file are read by several tasks, and a stream reads what files have grown by.
 
+A file whose name ends in .gz is one range, as compressed text can't be read from its middle; its offsets are those of the text.
+
 A line belongs to the range that its first byte is in; a task skips the end of the line that began before its range and reads its own last line to the end.
 So offsets are exact, and no task holds more than some blocks and one line.
 """
@@ -16,6 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "file string, split long, nth long, offset long, ended boolean, line string"
 #: Bytes of a range, and of a read.
 SPLIT, BLOCK = 64 << 20, 4 << 20
+#: How names of compressed files end, and the end of a range whose size is only known when it is read.
+PACKED, OPEN_END = ".gz", 1 << 62
 
 
 class Range(InputPartition):
@@ -25,11 +29,38 @@ class Range(InputPartition):
         self.file, self.low, self.start, self.end = file, low, start, end
 
 
+class _Text:
+    """The text of a compressed file, which is read forwards."""
+
+    def __init__(self, stream):
+        self.stream, self.at = stream, 0
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.stream.close()
+
+    def read(self, n: int) -> bytes:
+        """n bytes, fewer only at the end."""
+        found = []
+        while n > 0 and (block := self.stream.read(n)):
+            found.append(block)
+            n -= len(block)
+            self.at += len(block)
+        return b"".join(found)
+
+    def seek(self, at: int) -> None:
+        while self.at < at:
+            if not self.read(min(BLOCK, at - self.at)):
+                raise ValueError(f"a compressed file has {self.at} bytes of text and was read up to {at}")
+
+
 def _open(file: str):
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(file)
-    return system.open_input_file(path)
+    return _Text(system.open_input_stream(path, compression="gzip")) if file.endswith(PACKED) else system.open_input_file(path)
 
 
 def listed(paths: list[str]) -> list[tuple[str, int]]:
@@ -54,6 +85,9 @@ def ranges(files: list[tuple[str, int]], since: dict[str, int], split: int) -> l
     out = []
     for file, size in files:
         low = since.get(file, 0)
+        if file.endswith(PACKED):
+            out.append(Range(file, low, low, OPEN_END))
+            continue
         if size < low:
             raise ValueError(f"{file} has {size} bytes and was read up to {low}")
         out += [Range(file, low, i, min(size, i + split)) for i in range(low, size, split)]
@@ -136,7 +170,9 @@ class LineStreamReader(DataSourceStreamReader):
         return {file: end for file, size in listed(self.paths) if (end := _last_newline(file, size))}
 
     def partitions(self, start, end):
-        return ranges([(f, e) for f, e in sorted(end.items()) if e > start.get(f, 0)], start, self.split)
+        grown = [(f, e) for f, e in sorted(end.items()) if e > start.get(f, 0)]
+        packed = [Range(f, start.get(f, 0), start.get(f, 0), e) for f, e in grown if f.endswith(PACKED)]
+        return ranges([x for x in grown if not x[0].endswith(PACKED)], start, self.split) + packed
 
     def read(self, partition):
         return read_range(partition, True)
@@ -148,6 +184,12 @@ class LineStreamReader(DataSourceStreamReader):
 def _last_newline(file: str, size: int) -> int:
     """The byte after the last newline of the first size bytes, 0 without one."""
     with _open(file) as f:
+        if file.endswith(PACKED):
+            at = end = 0
+            while block := f.read(BLOCK):
+                end = at + k + 1 if (k := block.rfind(b"\n")) >= 0 else end
+                at += len(block)
+            return end
         at = size
         while at > 0:
             low = max(0, at - BLOCK)

@@ -23,6 +23,10 @@ PIVOTS = 64
 ROWS = 4096
 #: What rounding may add to a distance.
 SLACK = 1e-9
+#: What a rounding of single precision adds, relatively.
+SINGLE = 2.0**-23
+#: Vectors within a query's reach, as a multiple of k, from which on a block's k-th distance is looked for.
+MANY = 4
 
 
 def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -50,23 +54,43 @@ def cells(vectors: DataFrame, points: np.ndarray) -> DataFrame:
 def _blocks(batches: Iterator[pa.RecordBatch]):
     """Pairs of blocks -> query ids, vectors and reaches, ids and vectors, approximate squares of all distances, and what these may be off by."""
 
-    def matrix(rows: pa.StructArray, name: str) -> np.ndarray:
-        lists = rows.field(name)
-        return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
-
     for batch in batches:
         for i in range(batch.num_rows):
-            b, v = batch.column(0).slice(i, 1).flatten(), batch.column(1).slice(i, 1).flatten()
-            x, y = matrix(b, "q"), matrix(v, "embedding")
+            asked, reach, ids = (batch.column(c).slice(i, 1).flatten() for c in ("asked", "reach", "ids"))
+            x, y = (np.frombuffer(batch.column(c)[i].as_buffer()).reshape(n, -1) for c, n in (("q", len(asked)), ("v", len(ids))))
             xx, yy = (x * x).sum(1), (y * y).sum(1)
-            near = x @ (-2 * y.T)
-            near += xx[:, None]
-            near += yy
-            off = 1e-12 * (xx + yy.max()) * x.shape[1]
-            reach = b.field("reach").to_numpy(zero_copy_only=False)
+            reach = reach.to_numpy(zero_copy_only=False)
+            single = SINGLE * (xx + yy.max()) * (x.shape[1] + 8)
+            # Single precision tells most vectors apart where what it is off by is little beside the reach.
+            fits = max(xx.max(), yy.max()) < 1e30 and np.mean(single <= 0.01 * reach**2) > 0.9
+            kind, off = (np.float32, single) if fits else (float, 1e-12 * (xx + yy.max()) * x.shape[1])
+            # The product of rows (-2x, x.x, 1) and (y, 1, y.y) is the square of the distance.
+            left = np.column_stack([-2 * x, xx, np.ones(len(x))]).astype(kind)
+            right = np.column_stack([y, np.ones(len(y)), yy]).astype(kind).T
             for at in range(0, len(x), 256):
                 s = slice(at, at + 256)
-                yield b.field("query_id").slice(at, 256), x[s], reach[s], v.field("id"), y, near[s], off[s]
+                yield asked.slice(at, 256), x[s], reach[s], ids, y, left[s] @ right, off[s]
+
+
+def _packed(vectors: pa.ChunkedArray) -> pa.Array:
+    """Vectors of a block as one value, which goes from process to process without a look at its numbers."""
+    return pa.array([pa.concat_arrays(vectors.chunks).flatten().to_numpy(zero_copy_only=False).tobytes()], pa.binary())
+
+
+def _listed(x: pa.ChunkedArray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.concat_arrays(x.chunks))
+
+
+def _held(rows: pa.Table) -> pa.Table:
+    """A block of vectors, in order of id."""
+    t = rows.sort_by("id")
+    return pa.table({"cell": t["cell"].slice(0, 1), "ids": _listed(t["id"]), "v": _packed(t["embedding"])})
+
+
+def _asked(rows: pa.Table) -> pa.Table:
+    """A block of queries, and the cells that any of them meets."""
+    cells = np.unique(pa.concat_arrays(rows["cells"].chunks).flatten().to_numpy(zero_copy_only=False))
+    return pa.table({"asked": _listed(rows["query_id"]), "reach": _listed(rows["reach"]), "q": _packed(rows["q"]), "cells": pa.ListArray.from_arrays(pa.array([0, len(cells)], pa.int32()), pa.array(cells, pa.int32()))})
 
 
 def _nearest(k: int):
@@ -89,9 +113,11 @@ def _within(k: int):
         for names, x, reach, ids, y, near, off in _blocks(batches):
             most = reach * (1 + SLACK) + SLACK
             limit = most**2 + off
-            if len(y) > k:  # many vectors may be as near as the k-th one; only equals of it are looked at
+            top = np.nextafter(limit.astype(near.dtype), np.inf, dtype=near.dtype)
+            a, b = np.divmod(np.flatnonzero(near <= top[:, None]), len(y))
+            if len(y) > k and len(a) > MANY * k * len(x):  # many vectors may be as near as the k-th one; only equals of it are looked at
                 limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * off)
-            a, b = np.nonzero(near <= limit[:, None])
+                a, b = np.nonzero(near <= limit[:, None])
             total = np.zeros(len(a))
             for j in range(x.shape[1]):  # in order, as a sum over the elements is
                 total += (x[a, j] - y[b, j]) ** 2
@@ -156,7 +182,7 @@ def knn_parts(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVO
 
     # Blocks of up to about ROWS vectors, in order of id, are rows, dealt so that a task holds a few.
     kind = vectors.schema["id"].dataType.simpleString()
-    held = placed.withColumn("part", split("cell", "id", {c: r["n"] for c, r in stats.items()})).groupBy("cell", "part").agg(F.array_sort(F.collect_list(F.struct("id", "embedding"))).alias("v"))
+    held = placed.withColumn("part", split("cell", "id", {c: r["n"] for c, r in stats.items()})).groupBy("cell", "part").applyInArrow(_held, f"cell int, ids array<{kind}>, v binary")
     held = checkpointed(held.repartition(max(1, -(-int(n.sum()) // (4 * ROWS)))))
     asked = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("q"))
     asked = checkpointed(asked.withColumn("plan", plan("q")).select("query_id", "q", "plan.reach", "plan.home", "plan.cells"))
@@ -168,9 +194,9 @@ def knn_parts(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVO
         """Blocks of queries (query_id, q, reach, home, cells) with all blocks of vectors of their cells, without a copy of either for each pair on disk."""
         if not homes:
             return q.sparkSession.createDataFrame([], out)
-        blocks = q.withColumn("part", split("home", "query_id", homes)).groupBy("home", "part").agg(F.collect_list(F.struct("query_id", "q", "reach")).alias("b"), F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells"))
+        blocks = q.withColumn("part", split("home", "query_id", homes)).groupBy("home", "part").applyInArrow(_asked, f"asked array<{named}>, reach array<double>, q binary, cells array<int>")
         blocks = checkpointed(blocks.repartition(spread))
-        return blocks.crossJoin(held).where(F.array_contains("cells", F.col("cell"))).select("b", "v").mapInArrow(work, out)
+        return blocks.crossJoin(held).where(F.array_contains("cells", F.col("cell"))).select("asked", "reach", "q", "ids", "v").mapInArrow(work, out)
 
     looked = met(asked, _nearest(k), f"query_id {named}, distance double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance"))

@@ -1,6 +1,7 @@
 """Exact nearest neighbours against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from recallspark.operators import neighbours
@@ -62,3 +63,22 @@ def test_copies_are_not_compared_pair_by_pair(spark):
     parts = neighbours.knn_parts(rows(spark, v, "id"), rows(spark, v, "query_id"), 3, 8)
     assert parts["compared"].count() <= 3 * 8 * len(v)
     assert found(parts["best"]) == brute(v, v, 3)
+
+
+def test_blocks_are_compared_in_single_precision(spark):
+    """Products of doubles, and a search for the k-th distance in each row, took most of a block's time."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 16))
+    batch = pa.RecordBatch.from_arrays([pa.array([list(range(300))]), pa.array([[10.0] * 300]), pa.array([x.tobytes()], pa.binary()), pa.array([list(range(300))]), pa.array([x.tobytes()], pa.binary())], names=["asked", "reach", "q", "ids", "v"])
+    assert {near.dtype for *_, near, _ in neighbours._blocks([batch])} == {np.dtype(np.float32)}
+    (a, b), exact = (np.concatenate([r.column(c).to_numpy() for r in neighbours._within(3)([batch])]) for c in (0, 1)), brute(list(enumerate(x)), list(enumerate(x)), 3)
+    assert list(zip(a, b)) == [(q, i) for q, i, *_ in sorted(exact, key=lambda r: (r[0], r[2]))]
+
+
+def test_far_from_the_origin_single_precision_is_left(spark):
+    """Vectors whose distances are less than what single precision adds to their squares."""
+    rng = np.random.default_rng(9)
+    v = [(i, (1e4 + rng.normal(size=6)).tolist()) for i in range(300)]
+    kind = "long, embedding array<double>"
+    best = neighbours.knn_batch(spark.createDataFrame(v, f"id {kind}"), spark.createDataFrame(v[:50], f"query_id {kind}"), 3, 8)
+    assert found(best) == brute(v, v[:50], 3)

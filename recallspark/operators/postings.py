@@ -1,8 +1,8 @@
 """An inverted index of three-character pieces with their places, which answers full-text searches without reading contents.
 
 Rows are (bucket, gram, id, project, size, at): the places of a piece in a chunk's lower-cased content. A keyword occurs where its pieces stand at
-places in step, so occurrences, and with them BM25, come from the rows of its pieces alone. The index is stored in order of bucket and gram, and a search
-reads the row groups of its buckets. A row of bucket -1, which is of no chunk, has the number of chunks as gram and the sum of their sizes as size.
+places in step, so occurrences, and with them BM25, come from the rows of its pieces alone. A task gives runs of rows in order of bucket and gram, each of many
+chunks, which are stored as they come: rows take several times the bytes of their texts, so they are not dealt anew. A search reads the pages of its buckets. A row of bucket -1, which is of no chunk, has the number of chunks as gram and the sum of their sizes as size.
 
 An index may be several segments, each the postings of the chunks that a change brought, without those of chunks that a later change took away. The
 rows of bucket -1 then count what each change brought less what it took away.
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 SCHEMA = "bucket int, gram long, id long, project string, size long, at array<int>"
 BUCKETS = 256
+#: Places of a run, which a task holds in memory (but for one longer chunk).
+PLACES = 1 << 21
 
 
 def code(gram: str) -> int:
@@ -35,19 +37,33 @@ def build(chunks: DataFrame, lost: DataFrame | None = None) -> DataFrame:
     lost (id, content): chunks that are gone, which the segment's counts are less by.
     """
 
+    def run(ids: list[int], projects: list[str | None], grams: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(g) for g in grams])
+        gram = np.concatenate(grams)
+        chunk = np.repeat(np.arange(len(ids)), sizes)
+        at = (np.arange(len(gram)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        own = (gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int32)
+        order = np.lexsort((np.repeat(np.array(ids), sizes), gram, own))  # stable, so places stay in order
+        gram, chunk = gram[order], chunk[order]
+        first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (chunk[1:] != chunk[:-1])]))
+        who = chunk[first]
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(gram)).astype(np.int32)), pa.array(at[order]))
+        return pa.RecordBatch.from_arrays([pa.array(own[order][first]), pa.array(gram[first]), pa.array(np.array(ids)[who]), pa.array(projects, pa.string()).take(pa.array(who)), pa.array(sizes[who]), places], names=["bucket", "gram", "id", "project", "size", "at"])
+
     def work(batches):
+        held, n = [], 0
         for batch in batches:
             for id_, project, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
                 if len(points) < 3:
                     continue
-                gram = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
-                order = np.argsort(gram, kind="stable")
-                names, first = np.unique(gram[order], return_index=True)
-                n = len(names)
-                at = pa.ListArray.from_arrays(pa.array(np.append(first, len(gram)).astype(np.int32)), pa.array(order.astype(np.int32)))
-                own = (names.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(names), pa.array(np.full(n, id_)), pa.array([project] * n, pa.string()), pa.array(np.full(n, len(gram))), at], names=["bucket", "gram", "id", "project", "size", "at"])
+                if n and n + len(points) > PLACES:
+                    yield run(*zip(*held, strict=True))
+                    held, n = [], 0
+                held.append((id_, project, points[:-2] << 42 | points[1:-1] << 21 | points[2:]))
+                n += len(points)
+        if held:
+            yield run(*zip(*held, strict=True))
 
     plain = F.lower(F.coalesce("content", F.lit("")))
     text = chunks.select(F.col("id").cast("long").alias("id"), F.col("project").cast("string").alias("project"), plain.alias("text"))
@@ -62,8 +78,8 @@ def _counted(counts: DataFrame) -> DataFrame:
 
 
 def combined(rows: DataFrame) -> DataFrame:
-    """Rows of several segments as one segment: their counts become one row."""
-    return rows.where("bucket >= 0").unionByName(_counted(rows.where("bucket = -1")))
+    """Rows of several segments as one segment, in runs again: their counts become one row."""
+    return rows.where("bucket >= 0").sortWithinPartitions("bucket", "gram", "id").unionByName(_counted(rows.where("bucket = -1")))
 
 
 def occurrences(index: DataFrame, words: list[tuple[str, bool]]) -> DataFrame:

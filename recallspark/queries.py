@@ -137,7 +137,7 @@ def bm25_postings(spark, d):
     """bm25_topk from the stored index instead of the contents."""
     where = scratch(spark, "postings")
     c = chunks(spark, d)
-    postings.build(c).repartitionByRange("bucket", "gram").sortWithinPartitions("bucket", "gram").write.parquet(where)
+    postings.build(duplicates.spread(c)).write.option("compression", "zstd").parquet(where)
     return search.bm25(c, [TERM], k=50, index=spark.read.parquet(where)).select("id", F.round("rank", 6).alias("rank"), F.col("place").cast("long"))
 
 

@@ -36,7 +36,7 @@ DERIVED = ("chunks", "sessions", "observations", "resolutions", "vectors", "post
 #: What rows are replaced by: a commit writes rows of some keys, and readers forget the older ones of these.
 KEYS = {"chunks": ("session",), "sessions": ("session",), "observations": ("session",), "resolutions": ("session",), "heads": ("session",), "epochs": ("session",), "vectors": ("id",), "postings": ("id",), "committed": ("tx_id",), "receipts": ("tx_id",), "pending": ("runtime", "session", "pending_key"), "cursors": ("runtime", "session"), "log_state": ("file",)}
 PARTED = ("chunks", "observations", "heads")
-LAYOUT = {"chunks": ("project", "created_at"), "postings": ("bucket", "gram", "id")}
+LAYOUT = {"chunks": ("project", "created_at")}
 
 
 def names(schema: str) -> list[str]:
@@ -109,8 +109,13 @@ class MemoryEngine:
 
     def _replace(self, base: int, touched: DataFrame, mine: DataFrame, vectors: DataFrame | None = None, **more: tuple[DataFrame | None, DataFrame | None]) -> None:
         """The sessions touched (session) have the chunks `mine` from now on; sessions, vectors (with new ones) and index follow, and more tables change with them."""
-        touched = checkpointed(touched.select("session").distinct())
-        mine = checkpointed(self._fitted("chunks", mine))
+        kept = Kept(self.spark)
+        try:
+            self._replaced(base, kept, checkpointed(touched.select("session").distinct()), kept(self._fitted("chunks", mine)), vectors, more)
+        finally:
+            kept.clear()
+
+    def _replaced(self, base: int, kept: Kept, touched: DataFrame, mine: DataFrame, vectors: DataFrame | None, more: dict[str, tuple[DataFrame | None, DataFrame | None]]) -> None:
         have = self.snapshots.current()[1]
         changes = {"chunks": (mine, touched), "sessions": (sessions.session_summary(mine), touched)}
         if "vectors" in have or "postings" in have or vectors is not None:
@@ -119,9 +124,12 @@ class MemoryEngine:
                 lost = had.select("id").join(mine, "id", "left_anti")
                 changes["vectors"] = (vectors, lost if vectors is None else lost.unionByName(vectors.select("id")))
             if "postings" in have:
-                differ = lambda a, b: a.alias("a").join(b.alias("b"), (F.col("a.id") == F.col("b.id")) & F.col("a.project").eqNullSafe(F.col("b.project")) & F.col("a.content").eqNullSafe(F.col("b.content")), "left_anti")
-                lost = checkpointed(differ(had, mine).select("id", "project", "content"))
-                changes["postings"] = (postings.build(differ(mine, had), lost), lost)
+                # Texts are told apart by their hashes, so that what meets is small; only those that change go on.
+                thin = lambda d: d.select("id", "project", F.sha2("content", 256).alias("hash"))
+                a, b = kept(thin(had)), kept(thin(mine))
+                differ = lambda a, b: kept(a.alias("a").join(b.alias("b"), (F.col("a.id") == F.col("b.id")) & F.col("a.project").eqNullSafe(F.col("b.project")) & F.col("a.hash").eqNullSafe(F.col("b.hash")), "left_anti").select("id"))
+                lost = kept(had.join(differ(a, b), "id", "left_semi").select("id", "project", "content"))
+                changes["postings"] = (postings.build(mine.join(differ(b, a), "id", "left_semi"), lost), lost)
         self._change(base, touched, **(changes | more))
 
     def _add(self, base: int, new: DataFrame) -> None:
@@ -138,7 +146,7 @@ class MemoryEngine:
         """Chunks lost (id, session) go, and with orphans_too observations and resolutions of sessions that then have none."""
         lost = checkpointed(lost.select("id", "session"))
         touched = checkpointed(lost.select("session").distinct())
-        mine = checkpointed(self.table("chunks", touched).join(lost.select("id"), "id", "left_anti"))
+        mine = self.table("chunks", touched).join(lost.select("id"), "id", "left_anti")
         gone = touched.join(mine, "session", "left_anti")
         self._replace(base, touched, mine, **({"observations": (None, gone), "resolutions": (None, gone)} if orphans_too else {}))
 
@@ -312,7 +320,7 @@ class MemoryEngine:
             # A session that was ever reset has no version 1 records.
             epochs = self.table("epochs").where("history_epoch > 0").select("session").unionByName(again)
             records = legacy.join(epochs, "session", "left_anti")
-            legacy = checkpointed(self._numbered(records))
+            legacy = self._numbered(records)
             touched = touched.unionByName(legacy.select("session"))
             vectors = records.where("embedding IS NOT NULL").select("external_id", "embedding").join(legacy.select("id", "external_id"), "external_id").select("id", "embedding")
         touched = checkpointed(touched.distinct())
@@ -333,7 +341,7 @@ class MemoryEngine:
         if legacy is not None:
             kept = kept.join(legacy.select("external_id"), "external_id", "left_anti")
             new = new.unionByName(legacy)
-        mine = self._distinct(checkpointed(sessions.reindex(kept.unionByName(new))))
+        mine = self._distinct(sessions.reindex(kept.unionByName(new)))
         seen = checkpointed(executions.replace_turn(store.baseline(seen, again), logs.observations(won), won))
         changes = {
             "observations": (seen, touched),

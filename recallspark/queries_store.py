@@ -33,7 +33,7 @@ def _grown(spark: SparkSession, d: str, index: bool = True) -> MemoryEngine:
     where = scratch(spark, "log")
     e = MemoryEngine(spark, scratch(spark, "store"))
     for i, piece in enumerate(_pieces(spark, d)):
-        records(piece).write.mode("append").text(where)
+        records(piece).write.mode("append").option("compression", "gzip").text(where)
         if i:
             e.refresh(where)
         else:
@@ -63,10 +63,10 @@ def index_after_edit(spark, d):
     """Records of one project come again with longer texts."""
     e, where = MemoryEngine(spark, scratch(spark, "store")), scratch(spark, "log")
     c = chunks(spark, d)
-    records(c).write.text(where)
+    records(c).write.option("compression", "gzip").text(where)
     e.rebuild(where)
     e.index()
-    records(c.where(F.col("project") == PROJECT).withColumn("content", F.concat("content", F.lit(" amentia and ment")))).write.mode("append").text(where)
+    records(c.where(F.col("project") == PROJECT).withColumn("content", F.concat("content", F.lit(" amentia and ment")))).write.mode("append").option("compression", "gzip").text(where)
     e.refresh(where)
     return _ranks(e, OTHER)
 
@@ -75,7 +75,7 @@ def index_after_edit(spark, d):
 def index_after_delete(spark, d):
     """All chunks of one project are deleted."""
     e, where = MemoryEngine(spark, scratch(spark, "store")), scratch(spark, "log")
-    records(chunks(spark, d)).write.text(where)
+    records(chunks(spark, d)).write.option("compression", "gzip").text(where)
     e.rebuild(where)
     e.index()
     e.delete(F.col("project") == PROJECT)

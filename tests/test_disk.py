@@ -59,3 +59,33 @@ def test_the_last_of_repeated_records_stays(spark, tmp_path):
 
     out = log.latest_by_id(found, lambda d: d.localCheckpoint())
     assert sorted((r["external_id"], len(r["content"])) for r in out.collect()) == [(str(i), 256 if i < 3 else 128) for i in range(6)]
+
+
+def test_postings_are_stored_as_they_come(spark, monkeypatch):
+    """Rows of a chunk came one chunk after another, and were all dealt anew and put in order on disk."""
+    from recallspark.operators import postings
+
+    monkeypatch.setattr(postings, "PLACES", 1 << 12)
+    rows = postings.build(made(spark, 60, 4).coalesce(1)).where("bucket >= 0")
+    assert "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    keys = [(r["bucket"], r["gram"], r["id"]) for r in rows.collect()]
+    runs = 1 + sum(b < a for a, b in zip(keys, keys[1:]))
+    assert 7 <= runs <= 9 and len(set(keys)) == len(keys)
+
+
+def test_changes_of_an_indexed_store_leave_no_copies_of_its_texts(spark, tmp_path):
+    """Chunks of the sessions that change, and those that are gone, stayed as checkpoints of their texts."""
+    c = made(spark, 60, 400)
+    records(c).write.text(f"{tmp_path}/log")
+    e = MemoryEngine(spark, str(tmp_path / "store"))
+    e.rebuild(f"{tmp_path}/log")
+    e.index()
+    before = stored(spark)
+    records(c.where("id % 2 = 0").withColumn("content", lines.F.concat("content", lines.F.lit(" and more")))).write.mode("append").text(f"{tmp_path}/log")
+    e.refresh(f"{tmp_path}/log")
+    e.delete(lines.F.col("session") == "s1")
+    assert stored(spark) - before < 60 * 400 * 128 / 4
+    from recallspark.operators import postings, search
+
+    assert e.chunks().count() == 40 and postings.totals(e.table("postings"))[0] == 40
+    assert search.bm25(e.chunks(), ["and more"], k=None, index=e.table("postings")).count() == e.chunks().where("content LIKE '%and more'").count() == 20

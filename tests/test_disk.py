@@ -89,3 +89,17 @@ def test_changes_of_an_indexed_store_leave_no_copies_of_its_texts(spark, tmp_pat
 
     assert e.chunks().count() == 40 and postings.totals(e.table("postings"))[0] == 40
     assert search.bm25(e.chunks(), ["and more"], k=None, index=e.table("postings")).count() == e.chunks().where("content LIKE '%and more'").count() == 20
+
+
+def test_blocks_meet_without_copies_of_their_texts(spark, monkeypatch):
+    """Each text went through the shuffle once for each pair of blocks that its block is in."""
+    from recallspark.operators import duplicates
+
+    monkeypatch.setattr(duplicates, "ELEMENTS", 2048)
+    texts = [noise(i // 2, 1 + i % 5 // 4) + f" {i}" for i in range(120)]
+    grams = [{t[k : k + 3] for k in range(len(t) - 2)} for t in texts]
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if len(grams[a] & grams[b]) >= 0.6 * len(grams[a] | grams[b])}
+    pairs = duplicates.similar_pairs(spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "id long, session string, content string"))
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and len(want) > 30
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "array_contains" in plan and "FlatMapGroups" not in plan

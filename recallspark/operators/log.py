@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import payload_digest
+from . import whole_frames
+
+# Workers need not find this package.
+cloudpickle.register_pickle_by_value(whole_frames)
 
 
 def frames(lines: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda d: d) -> tuple[DataFrame, DataFrame]:
@@ -15,32 +20,40 @@ def frames(lines: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda d: d
 
     Frames: file, tx_id, created_at, begin_offset, digest, payloads. Diagnostics: file, offset, tx_id, digest, message: damaged lines, frames abandoned by a
     new begin, commits without begin, invalid frames, frames without end. Begins are counted by the lines' ranges (split, if there is one) and added up
-    over a file's ranges, so that a file of any size is many tasks. cut may store the frames, which both results are made from.
+    over a file's ranges, so that a file of any size is many tasks. Frames that a task reads whole are put together there; only the lines of others are shuffled.
+    cut may store the frames, which both results are made from.
     """
     if "split" not in lines.columns:
         lines = lines.withColumn("split", F.lit(0))
     bad = lines.where("problem IS NOT NULL").select("file", "offset", F.lit(None).cast("string").alias("tx_id"), F.lit(None).cast("string").alias("digest"), F.col("problem").alias("message"))
     v2 = lines.where("problem IS NULL AND v = 2")
     begin, commit = F.col("type") == "tx_begin", F.col("type") == "tx_commit"
-    # A frame number begins at each begin; whatever stands after a commit of the same number is outside of frames.
-    own = F.sum(begin.cast("int")).over(Window.partitionBy("file", "split").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
     begins = v2.groupBy("file", "split").agg(F.count_if(begin).alias("n"))
+    mark = F.when(begin, 1).when(commit, 2).when(F.col("type").isNotNull(), 0)
+    marked = v2.select("file", *[F.col(c).cast("long").alias(c) for c in ("split", "line_no", "offset")], F.octet_length("line").alias("size"), mark.alias("mark"), F.when(mark == 0, F.col("line")).alias("line"), "txId", "recordCount", "payloadDigest", "createdAt")
+    marked = marked.mapInArrow(whole_frames.gather, whole_frames.SCHEMA)
+    whole = marked.where("frame IS NOT NULL").select("file", F.lit(None).cast("long").alias("frame"), F.col("txId").alias("tx_id"), F.col("createdAt").alias("created_at"), F.col("offset").alias("begin_offset"), "frame.commit_tx", "frame.record_count", "frame.said", F.lit(1).cast("long").alias("ends"), "frame.payloads", "frame.same")
+    # Of the others, and of the begins and commits of whole frames, which others are told by: a frame number begins at each begin; whatever stands after a commit of the same number is outside of frames.
+    begin, commit = F.col("mark") == 1, F.col("mark") == 2
+    own = F.sum(begin.cast("int")).over(Window.partitionBy("file", "split").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
-    d = v2.withColumn("own", own).join(begins.select("file", "split", before.alias("before")), ["file", "split"]).withColumn("frame", F.col("before") + F.col("own"))
+    d = marked.select("file", "split", "line_no", "offset", "mark", "line", "closed", *[F.when(~F.col("closed"), F.col(c)).alias(c) for c in ("txId", "recordCount", "payloadDigest", "createdAt")])
+    d = d.withColumn("own", own).join(begins.select("file", "split", before.alias("before")), ["file", "split"]).withColumn("frame", F.col("before") + F.col("own"))
     d = d.withColumn("commits", F.coalesce(F.sum(commit.cast("int")).over(Window.partitionBy("file", "frame").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     orphan = d.where(commit & ((F.col("frame") == 0) | (F.col("commits") > 0))).select("file", "offset", F.col("txId").alias("tx_id"), F.lit(None).cast("string").alias("digest"), F.lit("orphan tx_commit without tx_begin").alias("message"))
-    last = d.groupBy("file").agg(F.max("frame").alias("last_frame"))
+    last = begins.groupBy("file").agg(F.sum("n").alias("last_frame"))
     pick = lambda c, when: F.max(F.when(when, F.col(c)))
     body = F.transform(F.array_sort(F.collect_list(F.when(~begin & ~commit, F.struct("line_no", "line", "txId")))), lambda x: x)
-    g = d.where("frame > 0 AND commits = 0").groupBy("file", "frame").agg(
+    g = d.where("frame > 0 AND commits = 0 AND NOT closed").groupBy("file", "frame").agg(
         pick("txId", begin).alias("tx_id"), pick("createdAt", begin).alias("created_at"), pick("offset", begin).alias("begin_offset"),
         pick("txId", commit).alias("commit_tx"), pick("recordCount", commit).alias("record_count"), pick("payloadDigest", commit).alias("said"), F.count_if(commit).alias("ends"), body.alias("body"))
-    g = g.withColumn("payloads", F.transform("body", lambda x: x["line"])).withColumn("digest", payload_digest(F.col("payloads"))).join(last, "file")
     same = F.forall("body", lambda x: F.coalesce(x["txId"] == F.col("tx_id"), F.lit(False)))
-    valid = (F.col("ends") == 1) & (F.col("tx_id") == F.col("commit_tx")) & (F.col("record_count") == F.size("payloads")) & (F.col("said") == F.col("digest")) & F.col("created_at").isNotNull() & same
-    g = cut(g.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("body"))
+    g = g.withColumn("payloads", F.transform("body", lambda x: x["line"])).withColumn("same", same).drop("body")
+    g = whole.unionByName(g).withColumn("digest", payload_digest(F.col("payloads")))
+    valid = (F.col("ends") == 1) & (F.col("tx_id") == F.col("commit_tx")) & (F.col("record_count") == F.size("payloads")) & (F.col("said") == F.col("digest")) & F.col("created_at").isNotNull() & F.col("same")
+    g = cut(g.withColumn("valid", F.coalesce(valid, F.lit(False))))
     message = F.when(F.col("ends") > 0, "invalid transaction frame").when(F.col("frame") < F.col("last_frame"), "abandoned frame: new tx_begin before commit").otherwise("incomplete transaction at EOF")
-    broken = g.where("NOT valid").select("file", F.col("begin_offset").alias("offset"), "tx_id", F.when(message.startswith("abandoned"), F.col("digest")).alias("digest"), message.alias("message"))
+    broken = g.where("NOT valid").join(last, "file").select("file", F.col("begin_offset").alias("offset"), "tx_id", F.when(message.startswith("abandoned"), F.col("digest")).alias("digest"), message.alias("message"))
     return g.where("valid").select("file", "tx_id", "created_at", "begin_offset", "digest", "payloads"), bad.unionByName(orphan).unionByName(broken)
 
 

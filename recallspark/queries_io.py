@@ -237,11 +237,27 @@ def insert_vectors(spark, d):
 # --- the engine
 
 
+#: Bits of the bitmap of ids that have a vector: 8 MB, in at most 2048 rows.
+BITS = 1 << 26
+
+
+def with_vectors(c: DataFrame, v: DataFrame) -> DataFrame:
+    """c with the vectors of v (id, v), null where there is none. Only rows that may have one are shuffled with their texts: a bitmap of the ids' hashes tells which."""
+    place = F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(BITS))
+    at = F.bitmap_bit_position(place)
+    bits = v.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(at).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.expr("shiftright(_byte, _bit) % 2 = 1"), F.lit(False))
+    d = c.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_bucket", "left").withColumn("_byte", byte).withColumn("_bit", (at % 8).cast("int")).withColumn("_may", may)
+    own = d.where("_may").select(*c.columns).join(v, "id", "left")
+    return own.unionByName(d.where("NOT _may").select(*c.columns, F.lit(None).cast(v.schema["v"].dataType).alias("v")))
+
+
 def written_log(spark, d) -> str:
     """Documents as version 1 records, those with a vector with it, and orders as committed turns of customers, in compressed files."""
     where = scratch(spark, "log")
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("float")).alias("v"))
-    c = chunks(spark, d).join(v, "id", "left")
+    c = with_vectors(chunks(spark, d), v)
     one = F.struct(F.lit(1).alias("v"), F.lit("chunk").alias("type"), F.col("id").cast("string").alias("id"), F.col("session").alias("sessionId"), F.col("project").alias("projectPath"), F.col("chunk_index").alias("chunkIndex"), "content", F.lit("human").alias("role"), F.lit(1).alias("tokenCount"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("createdAt"), T.vec_to_hex("v").alias("embedding"))
     c.select(F.to_json(one).alias("value")).write.option("compression", "gzip").text(f"{where}/v1")
     # A customer's orders come together before they are lines, which are thirty times as large.

@@ -103,3 +103,21 @@ def test_blocks_meet_without_copies_of_their_texts(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in pairs.collect()} == want and len(want) > 30
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "array_contains" in plan and "FlatMapGroups" not in plan
+
+
+def test_only_texts_with_a_vector_are_shuffled_to_it(spark):
+    """All texts went through the shuffle, and were put in order, where the vectors are no broadcast."""
+    from recallspark import queries_io
+    from tests.test_frames import written
+
+    c = spark.createDataFrame([(i if i else None, noise(i, 20)) for i in range(1000)], "id long, content string").localCheckpoint()
+    v = spark.createDataFrame([(i, [float(i)]) for i in range(5, 1200, 10)], "id long, v array<float>").localCheckpoint()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = queries_io.with_vectors(c, v)
+        rows = found.collect()
+        assert sorted((r["id"] or 0, r["content"], r["v"]) for r in rows) == [(i, noise(i, 20), [float(i)] if i % 10 == 5 else None) for i in range(1000)]
+        assert written(found._jdf.queryExecution().executedPlan()) < 1000 * 20 * 128 / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
